@@ -422,27 +422,54 @@ def tcp_comparison(tcp_all: DataFrame) -> DataFrame:
 # --- H18 ------------------------------------------------------------------------------
 
 
-def build_house(inputs, cache: str = "none") -> dict[str, DataFrame]:
-    """The six derived House tables in dependency order, lazily (or cached).
+class HouseTables:
+    """The six derived House tables, built on first use in dependency order.
 
     ``cache`` is passed to :func:`psephos.plans.sizing.materialize` for the
     tables several reports share (the candidate/place table, the long TCP
-    matrix and the full TCP table).
+    matrix and the full TCP table); the default keeps them lazy, which is
+    right when one report runs per plan.
     """
-    from psephos.plans.sizing import materialize
-
-    pp_all = materialize(polling_place_results_by_candidate(inputs.fp_pp, inputs.fp_type), cache)
-    long = materialize(tcp_long(inputs.tcp_pp, inputs.tcp_type), cache)
-    by_type = tcp_by_type(long, inputs.tcp_type)
-    return {
-        "pp_all": pp_all,
-        "formal_votes_div": formal_votes_by_party(inputs.fp_pp),
-        "tcp_long": long,
-        "tcp_pp": tcp_by_place(long),
-        "hor_tcp_type": by_type,
-        "div_total_type": vote_types_by_division(inputs.fp_type, inputs.fp_pp),
-        "tcp_type": materialize(tcp_everything(by_type, inputs.enrolment), cache),
-    }
+
+    NAMES = ("pp_all", "formal_votes_div", "tcp_long", "tcp_pp", "hor_tcp_type", "div_total_type", "tcp_type")
+
+    def __init__(self, inputs, cache: str = "none"):
+        self.inputs = inputs
+        self.cache = cache
+        self._built: dict[str, DataFrame] = {}
+
+    def _make(self, name: str) -> DataFrame:
+        from psephos.plans.sizing import materialize
+
+        i = self.inputs
+        if name == "pp_all":
+            return materialize(polling_place_results_by_candidate(i.fp_pp, i.fp_type), self.cache)
+        if name == "formal_votes_div":
+            return formal_votes_by_party(i.fp_pp)
+        if name == "tcp_long":
+            return materialize(tcp_long(i.tcp_pp, i.tcp_type), self.cache)
+        if name == "tcp_pp":
+            return tcp_by_place(self["tcp_long"])
+        if name == "hor_tcp_type":
+            return tcp_by_type(self["tcp_long"], i.tcp_type)
+        if name == "div_total_type":
+            return vote_types_by_division(i.fp_type, i.fp_pp)
+        if name == "tcp_type":
+            return materialize(tcp_everything(self["hor_tcp_type"], i.enrolment), self.cache)
+        raise KeyError(name)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._make(name)
+        return self._built[name]
+
+    def all(self) -> dict[str, DataFrame]:
+        return {n: self[n] for n in self.NAMES}
+
+
+def build_house(inputs, cache: str = "none") -> HouseTables:
+    """Refresh of the derived House tables (built lazily on access)."""
+    return HouseTables(inputs, cache)
 
 
 # --- dormant reports (kept commented out in the original analysis) ---------------------

@@ -43,10 +43,14 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
     ``persist``: memory-and-disk cache; a lost executor's blocks are recomputed
     from lineage. ``checkpoint``: reliable checkpoint into the shared
     ``spark.checkpoint.dir`` (cuts lineage; survives executor loss without
-    recomputation). ``none``: keep it lazy.
+    recomputation). ``table``: parquet written under that folder and read
+    back. ``auto``: ``checkpoint`` when the cluster names a checkpoint folder,
+    else ``persist``. ``none``: keep it lazy.
     """
     if how == "none":
         return df
+    if how == "auto":
+        how = "checkpoint" if checkpoint_dir(df.sparkSession) else "persist"
     if how == "checkpoint":
         spark = df.sparkSession
         d = checkpoint_dir(spark)

@@ -5,23 +5,25 @@ into ballots: a line item is a bundle of votes for one candidate at one
 polling place, its order carries the vote type and its customer's nation is
 the division. The feeds the reports read are aggregates of those ballots.
 
-Scale design: the five-way join runs once per plan and is immediately
-collapsed into a compact *grain* table (division x polling place x candidate
-slot x vote type x TCP side), with partial aggregation before the shuffle.
-Every feed is a cheap aggregate of that grain, so within one query plan the
-big join is computed once and its exchange is reused. Join order is the cheap
-one for a star: customer x nation x region (dimensions, checked-size
-broadcast), then orders (shuffle on custkey), then lineitem (one shuffle on
-orderkey, the only shuffle that moves line-item-sized data).
+Scale design: the five-way join runs once and is immediately collapsed into
+a compact *grain* table (division x polling place x candidate slot x vote
+type x TCP side), with partial aggregation before the shuffle, so what moves
+after the join is tiny whatever the input size. The grain is then cut from
+its lineage (reliable checkpoint into the cluster's ``spark.checkpoint.dir``,
+else a memory-and-disk persist): left lazy, predicate pushdown would give
+every feed its own copy of the join. Join order is the cheap one for a star:
+customer x nation x region (dimensions, checked-size broadcast), then orders
+(shuffle on custkey), then lineitem (one shuffle on orderkey, the only
+shuffle that moves line-item-sized data; AQE splits a skewed order key).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.constants import DAY_FORMAT, INFORMAL, PREPOLL_DAYS
-from psephos.plans.sizing import broadcast_if_small
+from psephos.plans.sizing import broadcast_if_small, materialize
 from psephos.sources.inputs import HouseInputs, PrepollInputs, SenateInputs
 from psephos.sources.schemas import PREPOLL_2013_IDS, PREPOLL_2016_IDS
 
@@ -61,50 +63,71 @@ WAREHOUSE_TABLES = ["lineitem", "orders", "customer", "nation", "region"]
 # --- helpers ------------------------------------------------------------------
 
 
+# Declared read schemas: only the columns the view uses, so the scan prunes to
+# them and no footer-sampling job runs to infer a schema.
+WAREHOUSE_SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "ts timestamp_ntz, user_id bigint, event_type string",
+}
+
+
 def read_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet") for n in names}
+    out = {}
+    for n in names:
+        reader = spark.read.schema(WAREHOUSE_SCHEMAS[n]) if n in WAREHOUSE_SCHEMAS else spark.read
+        out[n] = reader.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet")
+    return out
 
 
-def _lookup(mapping: dict, key: Column) -> Column:
-    pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.create_map(*pairs)[key]
+def _sql(v) -> str:
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
-def _slot(partkey: Column) -> Column:
-    m = partkey % 100
-    expr = F.when(m < SLOT_BOUNDS[0][0], SLOT_BOUNDS[0][1])
-    for bound, slot in SLOT_BOUNDS[1:]:
-        expr = expr.when(m < bound, slot)
-    return expr.otherwise(INFORMAL_SLOT)
+def _case(key: str, mapping: dict, default: str = "NULL") -> str:
+    """A SQL CASE lookup of ``key`` in a fixed mapping (one JVM expression)."""
+    whens = " ".join(f"WHEN {_sql(k)} THEN {_sql(v)}" for k, v in mapping.items())
+    return f"CASE {key} {whens} ELSE {default} END"
 
 
-def _finalist(div: Column, which: int) -> Column:
-    return _lookup({k: v[which] for k, v in FINALISTS.items()}, div % 4)
+def _slot_sql(partkey: str) -> str:
+    whens = " ".join(f"WHEN {partkey} % 100 < {b} THEN {s}" for b, s in SLOT_BOUNDS)
+    return f"CASE {whens} ELSE {INFORMAL_SLOT} END"
 
 
-def _candidate(div: Column, slot: Column) -> dict[str, Column]:
-    party = _lookup(PARTY_OF_SLOT, slot)
-    informal = slot == INFORMAL_SLOT
-    return {
-        "CandidateID": div * 100 + slot,
-        "Surname": F.when(informal, F.lit(INFORMAL)).otherwise(F.concat(F.lit("Cand"), slot.cast("string"))),
-        "GivenNm": F.concat(F.lit("G"), slot.cast("string")),
-        "BallotPosition": slot.cast("long"),
-        "Elected": F.when(slot == _finalist(div, 0), "Y").otherwise("N"),
-        "HistoricElected": F.when(slot == div % 4 + 1, "Y").otherwise("N"),
-        "PartyAb": party,
-        "PartyNm": F.when(informal, F.lit(INFORMAL)).otherwise(F.concat(F.lit("Party "), party)),
-    }
+def _finalist_sql(which: int) -> str:
+    return "(" + _case("DivisionID % 4", {k: v[which] for k, v in FINALISTS.items()}) + ")"
 
 
-def _polling_place(div_name: Column, k: Column) -> Column:
-    return (
-        F.when(k == 0, F.concat(div_name, F.lit(" PPVC")))
-        .when(k == 1, F.concat(F.lit("PREPOLL "), div_name))
-        .otherwise(F.concat(div_name, F.lit(" Booth "), k.cast("string")))
-    )
+_PARTY_SQL = _case("slot", PARTY_OF_SLOT)
+
+# Candidate attributes as functions of (DivisionID, slot).
+_CANDIDATE_SQL = {
+    "CandidateID": "DivisionID * 100 + slot",
+    "Surname": f"CASE WHEN slot = {INFORMAL_SLOT} THEN {_sql(INFORMAL)} ELSE concat('Cand', CAST(slot AS STRING)) END",
+    "GivenNm": "concat('G', CAST(slot AS STRING))",
+    "BallotPosition": "CAST(slot AS BIGINT)",
+    "Elected": f"CASE WHEN slot = {_finalist_sql(0)} THEN 'Y' ELSE 'N' END",
+    "HistoricElected": "CASE WHEN slot = DivisionID % 4 + 1 THEN 'Y' ELSE 'N' END",
+    "PartyAb": _PARTY_SQL,
+    "PartyNm": f"CASE WHEN slot = {INFORMAL_SLOT} THEN {_sql(INFORMAL)} ELSE concat('Party ', {_PARTY_SQL}) END",
+    "Swing": "((DivisionID * 7 + slot * 3) % 21 - 10) / 2.0D",
+}
+
+_PLACE_SQL = {
+    "PollingPlaceID": "DivisionID * 10 + k",
+    "PollingPlace": (
+        "CASE WHEN k = 0 THEN concat(DivisionNm, ' PPVC') WHEN k = 1 THEN concat('PREPOLL ', DivisionNm) "
+        "ELSE concat(DivisionNm, ' Booth ', CAST(k AS STRING)) END"
+    ),
+}
+
+
+def _exprs(cols: list[str], known: dict[str, str]) -> list[str]:
+    return [f"{known[c]} AS {c}" if c in known else c for c in cols]
 
 
 # --- the grain ----------------------------------------------------------------
@@ -112,42 +135,39 @@ def _polling_place(div_name: Column, k: Column) -> Column:
 
 def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
     """Votes and ballot rows per (division, place, slot, vote type, parity)."""
-    region = tables["region"].select("r_regionkey", "r_name")
-    nation = tables["nation"].select("n_nationkey", "n_name", "n_regionkey")
-    geo = nation.join(broadcast_if_small(region), nation.n_regionkey == region.r_regionkey).select(
-        F.col("n_nationkey").alias("c_nationkey"),
-        F.col("n_nationkey").cast("long").alias("DivisionID"),
-        F.col("n_name").alias("DivisionNm"),
-        _lookup(STATE_OF_REGION, F.col("r_name")).alias("StateAb"),
+    # Dimensions: each checked to be small before it is broadcast; geo is at
+    # most nation x region rows, so it is bounded by the two checks.
+    nation, region = broadcast_if_small(tables["nation"]), broadcast_if_small(tables["region"])
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
+        "n_nationkey AS c_nationkey",
+        "CAST(n_nationkey AS BIGINT) AS DivisionID",
+        "n_name AS DivisionNm",
+        f"{_case('r_name', STATE_OF_REGION)} AS StateAb",
     )
-    cust = tables["customer"].select("c_custkey", "c_nationkey").join(broadcast_if_small(geo), "c_nationkey")
+    cust = tables["customer"].select("c_custkey", "c_nationkey").join(F.broadcast(geo), "c_nationkey")
     orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderpriority")
-    order_seat = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
-        F.col("o_orderkey").alias("l_orderkey"), "DivisionID", "DivisionNm", "StateAb", "o_orderpriority"
+    order_seat = orders.join(cust, orders.o_custkey == cust.c_custkey).selectExpr(
+        "o_orderkey AS l_orderkey", "DivisionID", "DivisionNm", "StateAb", "o_orderpriority"
     )
     lines = tables["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    rows = lines.join(order_seat, "l_orderkey").select(
+    rows = lines.join(order_seat, "l_orderkey").selectExpr(
         "StateAb",
         "DivisionID",
         "DivisionNm",
-        _lookup(VOTE_TYPE_OF_PRIORITY, F.col("o_orderpriority")).alias("vtype"),
-        (F.col("l_suppkey") % 10).alias("k"),
-        _slot(F.col("l_partkey")).alias("slot"),
-        (F.col("l_partkey") % 2).alias("parity"),
-        F.col("l_quantity").cast("long").alias("votes"),
+        f"{_case('o_orderpriority', VOTE_TYPE_OF_PRIORITY)} AS vtype",
+        "l_suppkey % 10 AS k",
+        f"{_slot_sql('l_partkey')} AS slot",
+        "l_partkey % 2 AS parity",
+        "CAST(l_quantity AS BIGINT) AS votes",
     )
     grain = rows.groupBy("StateAb", "DivisionID", "DivisionNm", "vtype", "k", "slot", "parity").agg(
         F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("n_rows")
     )
     # Seats without provisional votes, and seats without pre-poll places.
-    no_provisional = (F.col("DivisionID") % 6 == 5) & (F.col("vtype") == "ProvisionalVotes")
-    no_prepoll = (F.col("DivisionID") % 5 == 4) & (F.col("vtype") == "OrdinaryVotes") & (F.col("k") < 2)
-    return grain.where(~no_provisional & ~no_prepoll)
-
-
-def _type_sums(vote_types: list[str]) -> list[Column]:
-    sums = [F.coalesce(F.sum(F.when(F.col("vtype") == t, F.col("votes"))), F.lit(0)).alias(t) for t in vote_types]
-    return sums
+    return grain.where(
+        "NOT (DivisionID % 6 = 5 AND vtype = 'ProvisionalVotes') "
+        "AND NOT (DivisionID % 5 = 4 AND vtype = 'OrdinaryVotes' AND k < 2)"
+    )
 
 
 # --- House feeds ----------------------------------------------------------------
@@ -182,47 +202,29 @@ _TCP_TYPE_COLS = (
 )
 
 
-def _with_candidate(df: DataFrame) -> DataFrame:
-    return df.withColumns(_candidate(F.col("DivisionID"), F.col("slot")))
-
-
 def _by_place(grain: DataFrame) -> DataFrame:
-    out = (
-        grain.groupBy("StateAb", "DivisionID", "DivisionNm", "k", "slot")
-        .agg(F.sum("votes").alias("OrdinaryVotes"))
-        .withColumns(
-            {
-                "PollingPlaceID": F.col("DivisionID") * 10 + F.col("k"),
-                "PollingPlace": _polling_place(F.col("DivisionNm"), F.col("k")),
-            }
-        )
-    )
-    return _with_candidate(out).select(*_PP_COLS)
+    out = grain.groupBy("StateAb", "DivisionID", "DivisionNm", "k", "slot").agg(F.sum("votes").alias("OrdinaryVotes"))
+    return out.selectExpr(*_exprs(_PP_COLS, {**_PLACE_SQL, **_CANDIDATE_SQL}))
 
 
 def _by_type(grain: DataFrame, cols: list[str]) -> DataFrame:
-    out = grain.groupBy("StateAb", "DivisionID", "DivisionNm", "slot").agg(*_type_sums(_VT))
-    out = out.withColumn("TotalVotes", sum((F.col(t) for t in _VT[1:]), F.col(_VT[0])))
-    out = _with_candidate(out).withColumn(
-        "Swing", ((F.col("DivisionID") * 7 + F.col("slot") * 3) % 21 - 10) / F.lit(2.0)
-    )
-    return out.select(*cols)
+    sums = [f"coalesce(sum(CASE WHEN vtype = '{t}' THEN votes END), 0L) AS {t}" for t in _VT]
+    out = grain.groupBy("StateAb", "DivisionID", "DivisionNm", "slot").agg(*[F.expr(e) for e in sums])
+    total = {"TotalVotes": " + ".join(_VT)}
+    return out.selectExpr(*_exprs(cols, {**_CANDIDATE_SQL, **total}))
 
 
 def _tcp_rows(grain: DataFrame) -> DataFrame:
     """Formal grain rows re-assigned to the finalist who holds them after preferences."""
-    owner = F.when(F.col("parity") == 0, _finalist(F.col("DivisionID"), 0)).otherwise(
-        _finalist(F.col("DivisionID"), 1)
-    )
-    return grain.where(F.col("slot") < INFORMAL_SLOT).withColumn("slot", owner)
+    owner = f"CASE WHEN parity = 0 THEN {_finalist_sql(0)} ELSE {_finalist_sql(1)} END"
+    return grain.where(f"slot < {INFORMAL_SLOT}").withColumn("slot", F.expr(owner))
 
 
 def house_inputs(grain: DataFrame) -> HouseInputs:
-    ordinary = grain.where(F.col("vtype") == "OrdinaryVotes")
-    fp_pp = _by_place(ordinary)
+    fp_pp = _by_place(grain.where("vtype = 'OrdinaryVotes'"))
     fp_type = _by_type(grain, _TYPE_COLS)
     tcp = _tcp_rows(grain)
-    tcp_pp = _by_place(tcp.where(F.col("vtype") == "OrdinaryVotes"))
+    tcp_pp = _by_place(tcp.where("vtype = 'OrdinaryVotes'"))
     tcp_type = _by_type(tcp, _TCP_TYPE_COLS)
     enrolment = grain.groupBy("StateAb", "DivisionID", "DivisionNm").agg(
         (F.sum("n_rows") * ENROLMENT_PER_ROW).alias("Enrolment")
@@ -233,14 +235,14 @@ def house_inputs(grain: DataFrame) -> HouseInputs:
 
 def senate_inputs(grain: DataFrame) -> SenateInputs:
     by_cand = _by_type(grain, _TYPE_COLS + ["BallotPosition"])
-    fp_div = by_cand.select(
+    fp_div = by_cand.selectExpr(
         "StateAb",
         "DivisionNm",
-        F.expr("char(64 + BallotPosition)").alias("Ticket"),
+        "char(64 + BallotPosition) AS Ticket",
         "BallotPosition",
         "PartyAb",
-        F.col("PartyNm").alias("PartyName"),
-        F.col("Surname").alias("CandidateDetails"),
+        "PartyNm AS PartyName",
+        "Surname AS CandidateDetails",
         "Elected",
         "HistoricElected",
         *_VT,
@@ -252,8 +254,14 @@ def senate_inputs(grain: DataFrame) -> SenateInputs:
     return SenateInputs(fp_div, fp_group)
 
 
-def election_inputs(spark: SparkSession, sf_dir: str) -> tuple[HouseInputs, SenateInputs]:
-    grain = ballot_grain(read_tables(spark, sf_dir, WAREHOUSE_TABLES))
+def election_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> tuple[HouseInputs, SenateInputs]:
+    """House and Senate feeds over one materialized ballot grain.
+
+    The grain is cut from its lineage (``cache``, see ``materialize``) so the
+    five-way join runs once however many feeds and reports read it; without
+    the cut, predicate pushdown gives every feed its own copy of the join.
+    """
+    grain = materialize(ballot_grain(read_tables(spark, sf_dir, WAREHOUSE_TABLES)), cache)
     return house_inputs(grain), senate_inputs(grain)
 
 
@@ -264,7 +272,7 @@ def _day_names(n: int) -> list[str]:
     return [DAY_FORMAT % d for d in range(1, n + 1)]
 
 
-def prepoll_inputs(spark: SparkSession, sf_dir: str) -> PrepollInputs:
+def prepoll_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> PrepollInputs:
     """Two wide daily pre-poll files and two enrolment texts from ``events``."""
     ev = read_tables(spark, sf_dir, ["events"])["events"].select("ts", "user_id", "event_type")
     d = F.dayofmonth("ts")
@@ -279,6 +287,8 @@ def prepoll_inputs(spark: SparkSession, sf_dir: str) -> PrepollInputs:
         .groupBy("Election", "State", "Division", "Day")
         .agg(F.count(F.lit(1)).alias("Votes"))
     )
+    # Four feeds read these counts: scan the events once.
+    counts = materialize(counts, cache)
 
     def wide(election: str, days: int, ids: list[str]) -> DataFrame:
         names = _day_names(days)
