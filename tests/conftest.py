@@ -1,0 +1,25 @@
+import os
+import sys
+import tempfile
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from psephos.session import ensure_checkpoint_dir, get_session  # noqa: E402
+
+SF_SMOKE = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    s = get_session("local[*]", 8)
+    # Tests set their own checkpoint folder only when the session names none.
+    ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="psephos-ckpt-"))
+    yield s
+    s.stop()
+
+
+@pytest.fixture()
+def tmpdir_path():
+    return tempfile.mkdtemp(prefix="psephos-test-")

@@ -1,0 +1,38 @@
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from psephos.functions import bround2, pct, round_doubles, strict_sum, strict_sum_over, sum0
+
+
+def test_strict_sum_null_poisons_group_and_zero_over_no_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("b", 2), ("b", 3)], "k string, v long")
+    out = {r.k: (r.s, r.s0, r.none) for r in df.groupBy("k").agg(
+        strict_sum("v").alias("s"), sum0("v").alias("s0"), strict_sum("v", F.col("v") > 100).alias("none")
+    ).collect()}
+    assert out["a"] == (None, 1, 0)  # strict: NULL; lenient: 1; no matching rows: 0
+    assert out["b"] == (5, 5, 0)
+
+
+def test_conditional_strict_sum_only_sees_matching_rows(spark):
+    df = spark.createDataFrame([(1, "x"), (None, "y"), (4, "x")], "v long, t string")
+    r = df.agg(strict_sum("v", F.col("t") == "x").alias("x"), strict_sum("v", F.col("t") == "y").alias("y")).first()
+    assert (r.x, r.y) == (5, None)
+
+
+def test_strict_sum_over_window(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "k string, v long")
+    w = Window.partitionBy("k")
+    got = sorted((r.k, r.t) for r in df.select("k", strict_sum_over("v", w).alias("t")).collect())
+    assert got == [("a", None), ("a", None), ("b", 2)]
+
+
+def test_pct_divide_by_zero_is_null_never_nan(spark):
+    r = spark.createDataFrame([(1, 0), (0, 0), (1, 4)], "a long, b long").select(pct("a", "b").alias("p")).collect()
+    assert [x.p for x in r] == [None, None, 25.0]
+
+
+def test_round_half_even_and_only_doubles(spark):
+    df = spark.createDataFrame([(2.675, 0.125, 12345, 1.005)], "a double, b double, n long, c double")
+    r = round_doubles(df).first()
+    assert (r.a, r.b, r.n, r.c) == (2.68, 0.12, 12345, 1.0)
+    assert spark.range(1).select(bround2(F.lit(0.375)).alias("x")).first().x == 0.38
