@@ -168,12 +168,16 @@ def tcp_by_type(long: DataFrame, tcp_type: DataFrame) -> DataFrame:
 def tcp_everything(by_type: DataFrame, enrolment: DataFrame) -> DataFrame:
     """TCP votes with division totals, three kinds of percent, margin and enrolment."""
     w = Window.partitionBy("DivisionNm")
-    df = by_type.withColumns({f"total_{c}": strict_sum_over(c, w) for c in TCP_TYPES})
-    df = df.withColumns({f"tpp_percent_{c}": pct(c, f"total_{c}") for c in TCP_TYPES})
-    df = df.withColumns({f"party_percent_{c}": pct(c, "TotalVotes") for c in TCP_TYPES})
-    df = df.withColumns({f"div_percent_{c}": pct(c, "total_TotalVotes") for c in TCP_TYPES})
-    df = df.withColumn("margin_votes", F.col("TotalVotes") - (F.col("total_TotalVotes") - F.col("TotalVotes")))
-    df = df.withColumn("margin_percent", pct("margin_votes", "total_TotalVotes"))
+    df = by_type.select("*", *[strict_sum_over(c, w).alias(f"total_{c}") for c in TCP_TYPES])
+    margin = F.col("TotalVotes") - (F.col("total_TotalVotes") - F.col("TotalVotes"))
+    df = df.select(
+        "*",
+        *[pct(c, f"total_{c}").alias(f"tpp_percent_{c}") for c in TCP_TYPES],
+        *[pct(c, "TotalVotes").alias(f"party_percent_{c}") for c in TCP_TYPES],
+        *[pct(c, "total_TotalVotes").alias(f"div_percent_{c}") for c in TCP_TYPES],
+        margin.alias("margin_votes"),
+        pct(margin, "total_TotalVotes").alias("margin_percent"),
+    )
     enrol = enrolment.select(
         "DivisionID", "Enrolment", F.ceil(F.col("Enrolment") / F.lit(2)).alias("fifty_percent_enrolment")
     )

@@ -12,7 +12,8 @@ after the join is tiny whatever the input size. The grain is then cut from
 its lineage (reliable checkpoint into the cluster's ``spark.checkpoint.dir``,
 else a memory-and-disk persist): left lazy, predicate pushdown would give
 every feed its own copy of the join. Join order is the cheap one for a star:
-customer x nation x region (dimensions, checked-size broadcast), then orders
+customer x nation x region (dimensions, broadcast when Spark's size check
+passes), then orders
 (shuffle on custkey), then lineitem (one shuffle on orderkey, the only
 shuffle that moves line-item-sized data; AQE splits a skewed order key).
 """
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.constants import DAY_FORMAT, INFORMAL, PREPOLL_DAYS
-from psephos.plans.sizing import broadcast_if_small, materialize
+from psephos.plans.sizing import materialize
 from psephos.sources.inputs import HouseInputs, PrepollInputs, SenateInputs
 from psephos.sources.schemas import PREPOLL_2013_IDS, PREPOLL_2016_IDS
 
@@ -135,16 +136,17 @@ def _exprs(cols: list[str], known: dict[str, str]) -> list[str]:
 
 def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
     """Votes and ballot rows per (division, place, slot, vote type, parity)."""
-    # Dimensions: each checked to be small before it is broadcast; geo is at
-    # most nation x region rows, so it is bounded by the two checks.
-    nation, region = broadcast_if_small(tables["nation"]), broadcast_if_small(tables["region"])
+    # Dimensions carry no hint: Spark broadcasts them only when their file
+    # statistics pass spark.sql.autoBroadcastJoinThreshold (re-checked by AQE
+    # with runtime sizes), so a dimension that grows falls back to a shuffle.
+    nation, region = tables["nation"], tables["region"]
     geo = nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
         "n_nationkey AS c_nationkey",
         "CAST(n_nationkey AS BIGINT) AS DivisionID",
         "n_name AS DivisionNm",
         f"{_case('r_name', STATE_OF_REGION)} AS StateAb",
     )
-    cust = tables["customer"].select("c_custkey", "c_nationkey").join(F.broadcast(geo), "c_nationkey")
+    cust = tables["customer"].select("c_custkey", "c_nationkey").join(geo, "c_nationkey")
     orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderpriority")
     order_seat = orders.join(cust, orders.o_custkey == cust.c_custkey).selectExpr(
         "o_orderkey AS l_orderkey", "DivisionID", "DivisionNm", "StateAb", "o_orderpriority"
