@@ -1,9 +1,9 @@
-"""Physical-plan helpers: checked broadcasts and lineage cuts.
+"""Lineage cuts for tables several reports share.
 
-Broadcast hints are only placed on a side whose row count was *checked* to be
-under a bound; anything else is left to the sort-merge join and to AQE, which
-re-plans with runtime sizes (``spark.sql.adaptive.autoBroadcastJoinThreshold``)
-and splits skewed partitions (``spark.sql.adaptive.skewJoin.enabled``).
+No broadcast hints are placed anywhere: joins are left to Spark's size check
+(``spark.sql.autoBroadcastJoinThreshold`` on scan statistics) and to AQE,
+which re-plans with runtime sizes and splits skewed partitions
+(``spark.sql.adaptive.skewJoin.enabled``).
 """
 
 from __future__ import annotations
@@ -11,30 +11,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Largest dimension (rows) we hint as a broadcast after checking its size.
-BROADCAST_ROW_LIMIT = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint ``df`` for broadcast if it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows, so it is cheap on a raw
-    dimension scan. Use it only on scans (or other cheap plans), never on the
-    output of a large join: there the runtime size seen by AQE is the check.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def checkpoint_dir(spark) -> str | None:
     """The shared checkpoint folder the cluster names, if any."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    return conf or None
+    try:
+        d = spark.sparkContext.getCheckpointDir()
+    except Exception:  # noqa: BLE001 - no SparkContext under Spark Connect
+        d = None
+    return d or spark.conf.get("spark.checkpoint.dir", None) or None
 
 
 def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
@@ -56,7 +41,11 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
         d = checkpoint_dir(spark)
         if not d:
             raise ValueError("spark.checkpoint.dir is not set; refusing a machine-local checkpoint")
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            if not spark.sparkContext.getCheckpointDir():
+                spark.sparkContext.setCheckpointDir(d)
+        except Exception:  # noqa: BLE001 - Spark Connect reads the conf itself
+            pass
         return df.checkpoint(eager=True)
     if how == "table":
         spark = df.sparkSession
