@@ -5,17 +5,16 @@ into ballots: a line item is a bundle of votes for one candidate at one
 polling place, its order carries the vote type and its customer's nation is
 the division. The feeds the reports read are aggregates of those ballots.
 
-Scale design: the five-way join runs once and is immediately collapsed into
-a compact *grain* table (division x polling place x candidate slot x vote
-type x TCP side), with partial aggregation before the shuffle, so what moves
-after the join is tiny whatever the input size. The grain is then cut from
-its lineage (reliable checkpoint into the cluster's ``spark.checkpoint.dir``,
+Scale design: the big join runs once and is immediately collapsed into a
+compact *grain* table (division x polling place x candidate slot x vote type
+x TCP side), with partial aggregation before the shuffle, so what moves after
+the join is tiny whatever the input size. Only keys and small codes cross the
+two big shuffles (orders x customer on custkey, then lineitem x orders on
+orderkey, the only shuffle of line-item-sized data; AQE splits a skewed key);
+names are attached after the aggregate. The grain is then cut from its
+lineage (reliable checkpoint into the cluster's ``spark.checkpoint.dir``,
 else a memory-and-disk persist): left lazy, predicate pushdown would give
-every feed its own copy of the join. Join order is the cheap one for a star:
-customer x nation x region (dimensions, broadcast when Spark's size check
-passes), then orders
-(shuffle on custkey), then lineitem (one shuffle on orderkey, the only
-shuffle that moves line-item-sized data; AQE splits a skewed order key).
+every feed its own copy of the join.
 """
 
 from __future__ import annotations
@@ -135,36 +134,47 @@ def _exprs(cols: list[str], known: dict[str, str]) -> list[str]:
 
 
 def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
-    """Votes and ballot rows per (division, place, slot, vote type, parity)."""
-    # Dimensions carry no hint: Spark broadcasts them only when their file
-    # statistics pass spark.sql.autoBroadcastJoinThreshold (re-checked by AQE
-    # with runtime sizes), so a dimension that grows falls back to a shuffle.
-    nation, region = tables["nation"], tables["region"]
-    geo = nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
-        "n_nationkey AS c_nationkey",
-        "CAST(n_nationkey AS BIGINT) AS DivisionID",
-        "n_name AS DivisionNm",
-        f"{_case('r_name', STATE_OF_REGION)} AS StateAb",
+    """Votes and ballot rows per (division, place, slot, vote type, parity).
+
+    Only keys and codes cross the two big shuffles: the order side carries
+    (orderkey, nation key, vote-type code), not names; the line side carries
+    its four raw columns. Division and state names are attached after the
+    aggregate, against the few-row nation x region dimension.
+    """
+    vcodes = {p: i for i, p in enumerate(VOTE_TYPE_OF_PRIORITY, start=1)}
+    orders = tables["orders"].selectExpr(
+        "o_orderkey", "o_custkey", f"{_case('o_orderpriority', vcodes)} AS vcode"
     )
-    cust = tables["customer"].select("c_custkey", "c_nationkey").join(geo, "c_nationkey")
-    orders = tables["orders"].select("o_orderkey", "o_custkey", "o_orderpriority")
+    cust = tables["customer"].select("c_custkey", "c_nationkey")
     order_seat = orders.join(cust, orders.o_custkey == cust.c_custkey).selectExpr(
-        "o_orderkey AS l_orderkey", "DivisionID", "DivisionNm", "StateAb", "o_orderpriority"
+        "o_orderkey AS l_orderkey", "c_nationkey", "vcode"
     )
     lines = tables["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     rows = lines.join(order_seat, "l_orderkey").selectExpr(
-        "StateAb",
-        "DivisionID",
-        "DivisionNm",
-        f"{_case('o_orderpriority', VOTE_TYPE_OF_PRIORITY)} AS vtype",
+        "c_nationkey",
+        "vcode",
         "l_suppkey % 10 AS k",
         f"{_slot_sql('l_partkey')} AS slot",
         "l_partkey % 2 AS parity",
         "CAST(l_quantity AS BIGINT) AS votes",
     )
-    grain = rows.groupBy("StateAb", "DivisionID", "DivisionNm", "vtype", "k", "slot", "parity").agg(
+    cells = rows.groupBy("c_nationkey", "vcode", "k", "slot", "parity").agg(
         F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("n_rows")
     )
+    # Dimensions carry no hint: Spark broadcasts them only when their
+    # statistics pass spark.sql.autoBroadcastJoinThreshold (re-checked by AQE
+    # with runtime sizes), so a dimension that grows falls back to a shuffle.
+    nation, region = tables["nation"], tables["region"]
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey).selectExpr(
+        "n_nationkey AS c_nationkey",
+        "CAST(n_nationkey AS BIGINT) AS DivisionID",
+        "n_name AS DivisionNm",
+        f"{_case('r_name', STATE_OF_REGION)} AS StateAb",
+    )
+    vtype = _case("vcode", {i: t for p, i in vcodes.items() for t in [VOTE_TYPE_OF_PRIORITY[p]]})
+    grain = cells.join(geo, "c_nationkey").selectExpr(
+        "StateAb", "DivisionID", "DivisionNm", f"{vtype} AS vtype", "k", "slot", "parity", "votes", "n_rows"
+    )
     # Seats without provisional votes, and seats without pre-poll places.
     return grain.where(
         "NOT (DivisionID % 6 = 5 AND vtype = 'ProvisionalVotes') "
