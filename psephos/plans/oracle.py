@@ -546,6 +546,18 @@ def _run(keys: list[str]) -> str:
 def _prepoll_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     enrol_nat = "CASE Election WHEN '2016' THEN 15676659 ELSE 14712799 END"
+    days = ",\n  ".join(
+        (f"coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0)" if d <= 14 else
+         f"CASE WHEN Election = '2013' THEN coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0) END")
+        + f" AS Day{d:02d}"
+        for d in range(1, 17)
+    )
+    q["prepoll_combined"] = PREPOLL_BASE + f"""SELECT State, Division,
+  CASE WHEN Election = '2013' THEN Division || ' PPVC' END AS Centre,
+  {days},
+  Election,
+  CASE WHEN Election = '2016' THEN Division || ' PPVC' END AS m_centre_nm
+FROM pcounts GROUP BY Election, State, Division"""
     q["prepoll_daily"] = PREPOLL_BASE + f"SELECT * FROM {_prepoll_grid([])}"
     q["prepoll_cumulative"] = (
         PREPOLL_BASE

@@ -70,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "senate_quotas_full": _senate(lambda h, s: S.senate_quotas(s.fp_group, 12)),
     "senate_quotas_candidate": _senate(lambda h, s: S.senate_quotas_candidate(s.fp_div, 6)),
     # Pre-poll series (E1-E8)
+    "prepoll_combined": _prepoll(lambda c, e: c),
     "prepoll_daily": _prepoll(lambda c, e: E.prepoll_daily(c)),
     "prepoll_cumulative": _prepoll(lambda c, e: E.prepoll_cumulative(E.prepoll_daily(c))),
     "prepoll_state_cumulative": _prepoll(lambda c, e: E.prepoll_state_cumulative(c)),

@@ -145,3 +145,21 @@ def test_tcp_comparison_shape(world):
     assert n["TotalVotes"].ALP == 2.0 and n["TotalVotes"].COAL == 3.0 and n["TotalVotes"].GRN == 1.0
     sd = {r.Type: r for r in rows if r.Stat == "sd"}
     assert sd["TotalVotes"].GRN is None  # sample sd of one value
+
+
+def test_two_sitting_independents_fan_out(spark):
+    tcp_pp = [
+        dict(DivisionNm="Indy", PollingPlace="Indy Booth 2", PartyAb="IND", OrdinaryVotes=45),
+        dict(DivisionNm="Indy", PollingPlace="Indy Booth 2", PartyAb="ALP", OrdinaryVotes=55),
+    ]
+    tcp_type = [tcp_type_row("Indy", 9, "IND", 91, (45, 0, 0, 0, 0)), tcp_type_row("Indy", 9, "ALP", 93, (55, 0, 0, 0, 0))]
+    fp_type = [
+        tcp_type_row("Indy", 9, "IND", 91, (30, 0, 0, 0, 0), HistoricElected="Y"),
+        tcp_type_row("Indy", 9, "IND", 92, (15, 0, 0, 0, 0)),
+        tcp_type_row("Indy", 9, "ALP", 93, (55, 0, 0, 0, 0)),
+    ]
+    enrol = [dict(StateAb="VIC", DivisionID=9, DivisionNm="Indy", Enrolment=150)]
+    inp = house(spark, tcp_pp=tcp_pp, tcp_type=tcp_type, fp_type=fp_type, enrolment=enrol)
+    rows = H.lagging_incumbents(H.tcp_long(inp.tcp_pp, inp.tcp_type), inp.fp_type, inp.enrolment).collect()
+    assert sorted(r.held_surname for r in rows) == ["S91", "S92"]  # joined by party, not candidate
+    assert {(r.held_party, r.held_tpp, r.lead_party, r.StateAb) for r in rows} == {("IND", 45.0, "ALP", "VIC")}
