@@ -57,20 +57,25 @@ _LINE_SCHEMA = StructType(
 
 def _split_leading(n_leading: int):
     """Per split: tag the first ``n_leading + 1`` lines of each file as preamble
-    (``lead = 'p'``) or header (``lead = 'h'``); data lines get NULL."""
+    (``lead = 'p'``) or header (``lead = 'h'``); data lines get NULL.
+
+    Only lines of a split that starts at byte 0 can lead a file; within a
+    task they arrive in file order, so a running per-file line count (carried
+    across Arrow batches) finds them without looking at any other line.
+    """
 
     def run(batches):
         seen: dict[str, int] = {}
         for pdf in batches:
-            lead = [None] * len(pdf)
-            files, starts = pdf["file"].tolist(), pdf["block_start"].tolist()
-            for i, (f, s) in enumerate(zip(files, starts)):
-                if s != 0:
-                    continue
-                k = seen.get(f, 0)
-                if k <= n_leading:
-                    lead[i] = "h" if k == n_leading else "p"
-                    seen[f] = k + 1
+            lead = pd.Series(None, index=pdf.index, dtype=object)
+            first = pdf["block_start"] == 0
+            if first.any():
+                files = pdf.loc[first, "file"]
+                pos = files.groupby(files, sort=False).cumcount() + files.map(lambda f: seen.get(f, 0))
+                lead.loc[pos.index[pos < n_leading]] = "p"
+                lead.loc[pos.index[pos == n_leading]] = "h"
+                for f, k in files.value_counts(sort=False).items():
+                    seen[f] = seen.get(f, 0) + int(k)
             yield pd.DataFrame({"file": pdf["file"], "lead": lead, "value": pdf["value"]})
 
     return run

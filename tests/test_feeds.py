@@ -73,3 +73,17 @@ def test_seat_summary_sink_round_trip(spark, tmpdir_path):
     assert path.endswith("HoR-20160702-2105.csv")
     back = spark.read.option("header", True).schema(df.schema).csv(path).collect()
     assert [tuple(r) for r in back] == [("NSW", 1, 12.5)]
+
+
+def test_feed_scan_many_splits_only_first_split_loses_leading_lines(spark, tmpdir_path):
+    rows = [f"NSW,{i},Banks,1,Place {i},{i},S,G,1,N,N,ALP,Labor,{i},0" for i in range(1, 401)]
+    p = _write(os.path.join(tmpdir_path, "big.csv"), ["preamble line", PP_HEADER] + rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        df = read_feed(spark, p, schemas.HOUSE_FP_PP)
+        assert df.rdd.getNumPartitions() > 5
+        got = sorted(r.OrdinaryVotes for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == list(range(1, 401))
