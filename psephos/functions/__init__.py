@@ -6,6 +6,7 @@ from psephos.functions.columns import (
     cond_sum,
     desc_last,
     is_prepoll_place,
+    lookup,
     pct,
     ratio,
     round_doubles,
@@ -20,6 +21,7 @@ __all__ = [
     "cond_sum",
     "desc_last",
     "is_prepoll_place",
+    "lookup",
     "pct",
     "ratio",
     "round_doubles",

@@ -81,6 +81,14 @@ def round_doubles(df: DataFrame, digits: int = 2) -> DataFrame:
     )
 
 
+def lookup(mapping: dict, key: str | Column) -> Column:
+    """Value of ``key`` in a fixed mapping (a literal map; NULL when absent)."""
+    pairs = []
+    for k, v in mapping.items():
+        pairs += [F.lit(k), F.lit(v)]
+    return F.create_map(*pairs)[_c(key)]
+
+
 def is_prepoll_place(place: str | Column) -> Column:
     """True for pre-poll voting centres, matched case-sensitively by name."""
     return _c(place).rlike(PREPOLL_PLACE_PATTERN)

@@ -26,20 +26,14 @@ from psephos.functions import (
     asc_last,
     desc_last,
     is_prepoll_place,
+    lookup,
     pct,
     round_doubles,
     strict_sum,
     strict_sum_over,
-    sum0,
 )
 
 
-def _lookup(mapping: dict, key: Column) -> Column:
-    pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.create_map(*pairs)[key]
-
 
 def _yn(cond: Column) -> Column:
     return F.when(cond, F.lit("Y")).otherwise(F.lit("N"))
@@ -63,7 +57,7 @@ def polling_place_results_by_candidate(fp_pp: DataFrame, fp_type: DataFrame) ->
     decl = (
         fp_type.select(*ids, *DUMMY_PLACES)
         .unpivot(ids, list(DUMMY_PLACES), "vote_column", "OrdinaryVotes")
-        .withColumn("PollingPlace", _lookup(DUMMY_PLACES, F.col("vote_column")))
+        .withColumn("PollingPlace", lookup(DUMMY_PLACES, F.col("vote_column")))
         .drop("vote_column")
         .withColumn("DeclarationVote", F.lit("Y"))
     )
@@ -95,7 +89,7 @@ def tcp_long(tcp_pp: DataFrame, tcp_type: DataFrame) -> DataFrame:
         tcp_type.groupBy("DivisionNm", "PartyAb")
         .agg(*[strict_sum(c).alias(c) for c in DUMMY_PLACES])
         .unpivot(["DivisionNm", "PartyAb"], list(DUMMY_PLACES), "vote_column", "votes")
-        .select("DivisionNm", _lookup(DUMMY_PLACES, F.col("vote_column")).alias("PollingPlace"), "PartyAb", "votes")
+        .select("DivisionNm", lookup(DUMMY_PLACES, F.col("vote_column")).alias("PollingPlace"), "PartyAb", "votes")
     )
     return places.unionByName(decl)
 

@@ -11,18 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.constants import DAY_FORMAT, DIVISION_RENAMES_2013, NATIONAL_ENROLMENT
-from psephos.functions import pct, ratio, sum0
+from psephos.functions import lookup, pct, ratio, sum0
 
 ID_RENAMES_2016 = {"m_state_ab": "State", "m_div_nm": "Division"}
 
 
-def _lookup(mapping: dict, key) -> F.Column:
-    pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.create_map(*pairs)[key]
-
-
 def _days_by_position(df: DataFrame, n_ids: int = 3) -> DataFrame:
     """Name every column after the id columns ``Day01``, ``Day02``, ... by position."""
     renames = {c: DAY_FORMAT % (i + 1) for i, c in enumerate(df.columns[n_ids:])}
@@ -65,7 +58,7 @@ def prepoll_cumulative(daily: DataFrame) -> DataFrame:
     2016 the running columns of such days are blanked too (days not yet run).
     ``Prop_Votes`` is a fraction, ``Cum_Prop`` a percent.
     """
-    enrolled = _lookup(NATIONAL_ENROLMENT, F.col("Election"))
+    enrolled = lookup(NATIONAL_ENROLMENT, F.col("Election"))
     out = daily.withColumn("Cum_Total", F.sum("Votes").over(_running(["Election"])))
     out = out.withColumn("Votes", F.nullif(F.col("Votes"), F.lit(0)))
     out = out.withColumn("Prop_Votes", ratio("Votes", enrolled))
@@ -125,7 +118,7 @@ def prepoll_state_rate(state_cum: DataFrame, enrolment: DataFrame) -> DataFrame:
 
 def prepoll_division(combined: DataFrame) -> DataFrame:
     """Daily and running votes per election and division; two 2013 divisions take their new names."""
-    renamed = F.coalesce(_lookup(DIVISION_RENAMES_2013, F.col("Division")), F.col("Division"))
+    renamed = F.coalesce(lookup(DIVISION_RENAMES_2013, F.col("Division")), F.col("Division"))
     div = (
         long_days(combined.select("Election", "Division", *day_columns(combined)), ["Election", "Division"])
         .groupBy("Election", "Division", "Day")
