@@ -16,6 +16,7 @@ DEFAULTS = {
     # Remove a query's checkpoint files once nothing references them.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
