@@ -28,12 +28,18 @@ def main() -> None:
     QUERIES[FLAGSHIP](spark, sf_dir).collect()
     timings: dict[str, float] = {}
     rows: dict[str, int] = {}
+    errors: dict[str, str] = {}
     for name, fn in QUERIES.items():
         if only and name not in only:
             continue
         spark.catalog.clearCache()
         t0 = time.perf_counter()
-        rows[name] = len(fn(spark, sf_dir).collect())
+        try:
+            rows[name] = len(fn(spark, sf_dir).collect())
+        except Exception as e:  # noqa: BLE001 - report it, keep timing the others
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {errors[name]}", file=sys.stderr)
+            continue
         timings[name] = round(time.perf_counter() - t0, 3)
         print(f"# {name}: {timings[name]}s rows={rows[name]}", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
@@ -46,6 +52,8 @@ def main() -> None:
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
     }
+    if errors:
+        out["errors"] = errors
     print(json.dumps(out))
     spark.stop()
 
