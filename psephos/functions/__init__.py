@@ -3,12 +3,18 @@
 from psephos.functions.columns import (
     asc_last,
     bround2,
+    case_sql,
     cond_sum,
     desc_last,
     is_prepoll_place,
+    lit_sql,
     lookup,
     pct,
+    pct_sql,
+    prepoll_place_sql,
+    q,
     ratio,
+    ratio_sql,
     round_doubles,
     strict_sum,
     strict_sum_over,
@@ -18,12 +24,18 @@ from psephos.functions.columns import (
 __all__ = [
     "asc_last",
     "bround2",
+    "case_sql",
     "cond_sum",
     "desc_last",
     "is_prepoll_place",
+    "lit_sql",
     "lookup",
     "pct",
+    "pct_sql",
+    "prepoll_place_sql",
+    "q",
     "ratio",
+    "ratio_sql",
     "round_doubles",
     "strict_sum",
     "strict_sum_over",

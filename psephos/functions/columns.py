@@ -3,95 +3,153 @@
 The reports were written against data frames where a missing value poisons a
 plain ``sum`` but is skipped by ``sum(na.rm=TRUE)``, where ``x/0`` is not an
 error, and where ``round`` goes half-to-even. Spark differs on each point, so
-the rules live here, once, as plain ``pyspark.sql.functions`` expressions that
-stay inside whole-stage codegen.
+the rules live here, once, as built-in SQL expressions that stay inside
+whole-stage codegen.
+
+Arguments that are ``str`` are column names; each helper then builds its
+expression as one SQL string (one parse on the JVM side, instead of one
+round trip per sub-expression, which dominates plan-building time). ``Column``
+arguments are accepted too and take the Column-API path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from psephos.constants import PREPOLL_PLACE_PATTERN
 
 
+def q(name: str) -> str:
+    """A column name quoted for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def lit_sql(v) -> str:
+    """A Python literal as SQL text."""
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(v)
+
+
 def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def strict_sum(c: str | Column, where: Column | None = None) -> Column:
+def _over(partition: list[str]) -> str:
+    return "OVER (PARTITION BY " + ", ".join(q(p) for p in partition) + ")"
+
+
+def strict_sum(c: str | Column, where: str | Column | None = None) -> Column:
     """Group sum that is NULL when any summed value is NULL, 0 over no rows.
 
-    ``where`` restricts the summed rows (``sum(x[cond])``); rows where it is
-    false or NULL do not take part.
+    ``where`` (SQL text, or a Column) restricts the summed rows
+    (``sum(x[cond])``); rows where it is false or NULL do not take part.
     """
+    if isinstance(c, str) and (where is None or isinstance(where, str)):
+        x = q(c)
+        if where is None:
+            return F.expr(f"CASE WHEN count(1) = count({x}) THEN coalesce(sum({x}), 0) END")
+        return F.expr(
+            f"CASE WHEN count(CASE WHEN {where} THEN 1 END) = count(CASE WHEN {where} THEN {x} END) "
+            f"THEN coalesce(sum(CASE WHEN {where} THEN {x} END), 0) END"
+        )
     x = _c(c)
     if where is None:
         n_rows, n_vals, total = F.count(F.lit(1)), F.count(x), F.sum(x)
     else:
-        n_rows = F.count(F.when(where, F.lit(1)))
-        n_vals = F.count(F.when(where, x))
-        total = F.sum(F.when(where, x))
+        cond = F.expr(where) if isinstance(where, str) else where
+        n_rows = F.count(F.when(cond, F.lit(1)))
+        n_vals = F.count(F.when(cond, x))
+        total = F.sum(F.when(cond, x))
     return F.when(n_rows == n_vals, F.coalesce(total, F.lit(0)))
 
 
-def strict_sum_over(c: str | Column, w: Window) -> Column:
+def strict_sum_over(c: str, partition: list[str]) -> Column:
     """``strict_sum`` as a window aggregate (share-of-group without a self-join)."""
-    x = _c(c)
-    return F.when(
-        F.count(F.lit(1)).over(w) == F.count(x).over(w),
-        F.coalesce(F.sum(x).over(w), F.lit(0)),
-    )
+    x, w = q(c), _over(partition)
+    return F.expr(f"CASE WHEN count(1) {w} = count({x}) {w} THEN coalesce(sum({x}) {w}, 0) END")
 
 
 def sum0(c: str | Column) -> Column:
     """Group sum skipping NULLs; 0 when every value is NULL."""
-    return F.coalesce(F.sum(_c(c)), F.lit(0))
+    if isinstance(c, str):
+        return F.expr(f"coalesce(sum({q(c)}), 0)")
+    return F.coalesce(F.sum(c), F.lit(0))
 
 
-def cond_sum(c: str | Column, where: Column) -> Column:
+def cond_sum(c: str, where: str) -> Column:
     """Strict sum of the rows matching ``where``; 0 when none match."""
     return strict_sum(c, where)
 
 
+def ratio_sql(num: str, den: str) -> str:
+    """SQL text of ``num / den`` as a double, NULL for a zero or NULL denominator
+    (arguments are SQL text)."""
+    return f"try_divide(CAST({num} AS DOUBLE), {den})"
+
+
+def pct_sql(num: str, den: str) -> str:
+    """SQL text of ``num / den * 100`` in that order of operations (arguments are SQL text)."""
+    return f"{ratio_sql(num, den)} * 100"
+
+
 def ratio(num: str | Column, den: str | Column) -> Column:
     """``num / den`` as a double; NULL for a zero or NULL denominator."""
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(ratio_sql(q(num), q(den)))
     return F.try_divide(_c(num).cast("double"), _c(den))
 
 
 def pct(num: str | Column, den: str | Column) -> Column:
     """``num / den * 100`` in that order of operations; NULL for ``den = 0``."""
+    if isinstance(num, str) and isinstance(den, str):
+        return F.expr(pct_sql(q(num), q(den)))
     return ratio(num, den) * F.lit(100)
 
 
 def bround2(c: str | Column) -> Column:
     """Round to 2 decimals, half-to-even."""
-    return F.bround(_c(c), 2)
+    return F.expr(f"bround({q(c)}, 2)") if isinstance(c, str) else F.bround(c, 2)
 
 
 def round_doubles(df: DataFrame, digits: int = 2) -> DataFrame:
     """Round every floating column of ``df`` half-to-even; others unchanged."""
     return df.withColumns(
         {
-            f.name: F.bround(F.col(f"`{f.name}`"), digits)
+            f.name: F.expr(f"bround({q(f.name)}, {digits})")
             for f in df.schema.fields
             if isinstance(f.dataType, (DoubleType, FloatType))
         }
     )
 
 
+def case_sql(key: str, mapping: dict, default: str = "NULL") -> str:
+    """SQL text of a CASE lookup of ``key`` (SQL text) in a fixed mapping."""
+    whens = " ".join(f"WHEN {lit_sql(k)} THEN {lit_sql(v)}" for k, v in mapping.items())
+    return f"CASE {key} {whens} ELSE {default} END"
+
+
 def lookup(mapping: dict, key: str | Column) -> Column:
-    """Value of ``key`` in a fixed mapping (a literal map; NULL when absent)."""
+    """Value of ``key`` (a column) in a fixed mapping; NULL when absent."""
+    if isinstance(key, str):
+        return F.expr(case_sql(q(key), mapping))
     pairs = []
     for k, v in mapping.items():
         pairs += [F.lit(k), F.lit(v)]
-    return F.create_map(*pairs)[_c(key)]
+    return F.create_map(*pairs)[key]
+
+
+def prepoll_place_sql(place: str = "PollingPlace") -> str:
+    return f"{q(place)} RLIKE {lit_sql(PREPOLL_PLACE_PATTERN)}"
 
 
 def is_prepoll_place(place: str | Column) -> Column:
     """True for pre-poll voting centres, matched case-sensitively by name."""
-    return _c(place).rlike(PREPOLL_PLACE_PATTERN)
+    if isinstance(place, str):
+        return F.expr(prepoll_place_sql(place))
+    return place.rlike(PREPOLL_PLACE_PATTERN)
 
 
 def asc_last(c: str | Column) -> Column:

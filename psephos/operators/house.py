@@ -9,7 +9,7 @@ accept ``None`` for all divisions at once, which is the form that scales.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.constants import (
@@ -24,28 +24,29 @@ from psephos.constants import (
 )
 from psephos.functions import (
     asc_last,
+    case_sql,
     desc_last,
-    is_prepoll_place,
-    lookup,
+    lit_sql,
     pct,
+    pct_sql,
+    prepoll_place_sql,
+    q,
     round_doubles,
     strict_sum,
     strict_sum_over,
 )
 
+_INFORMAL = lit_sql(INFORMAL)
+_DUMMY_CASE = case_sql("vote_column", DUMMY_PLACES)
 
 
-def _yn(cond: Column) -> Column:
-    return F.when(cond, F.lit("Y")).otherwise(F.lit("N"))
-
-
-def _numeric_fill0(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
-    cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "double") and f.name not in exclude]
+def _numeric_fill0(df: DataFrame) -> DataFrame:
+    cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer", "double")]
     return df.fillna(0, subset=cols)
 
 
 def _by_division(df: DataFrame, division: str | None) -> DataFrame:
-    return df if division is None else df.where(F.col("DivisionNm") == division)
+    return df if division is None else df.where(f"DivisionNm = {lit_sql(division)}")
 
 
 # --- H1 ---------------------------------------------------------------------------
@@ -57,14 +58,14 @@ def polling_place_results_by_candidate(fp_pp: DataFrame, fp_type: DataFrame) ->
     decl = (
         fp_type.select(*ids, *DUMMY_PLACES)
         .unpivot(ids, list(DUMMY_PLACES), "vote_column", "OrdinaryVotes")
-        .withColumn("PollingPlace", lookup(DUMMY_PLACES, F.col("vote_column")))
+        .selectExpr("*", f"{_DUMMY_CASE} AS PollingPlace", "'Y' AS DeclarationVote")
         .drop("vote_column")
-        .withColumn("DeclarationVote", F.lit("Y"))
     )
-    out = fp_pp.withColumn("DeclarationVote", F.lit("N")).unionByName(decl, allowMissingColumns=True)
-    out = out.withColumn("PrepollOrdinary", _yn(is_prepoll_place("PollingPlace")))
-    order = fp_pp.columns + [c for c in decl.columns if c not in fp_pp.columns] + ["PrepollOrdinary"]
-    return out.select(*order)
+    out = fp_pp.selectExpr("*", "'N' AS DeclarationVote").unionByName(decl, allowMissingColumns=True)
+    order = fp_pp.columns + [c for c in decl.columns if c not in fp_pp.columns]
+    return out.selectExpr(
+        *[q(c) for c in order], f"CASE WHEN {prepoll_place_sql()} THEN 'Y' ELSE 'N' END AS PrepollOrdinary"
+    )
 
 
 # --- H2 ---------------------------------------------------------------------------
@@ -73,7 +74,7 @@ def polling_place_results_by_candidate(fp_pp: DataFrame, fp_type: DataFrame) ->
 def formal_votes_by_party(fp_pp: DataFrame) -> DataFrame:
     """Formal first-preference votes per division and party."""
     return (
-        fp_pp.where(F.col("PartyNm") != INFORMAL)
+        fp_pp.where(f"PartyNm != {_INFORMAL}")
         .groupBy("DivisionNm", "PartyAb")
         .agg(strict_sum("OrdinaryVotes").alias("votes"))
     )
@@ -89,7 +90,7 @@ def tcp_long(tcp_pp: DataFrame, tcp_type: DataFrame) -> DataFrame:
         tcp_type.groupBy("DivisionNm", "PartyAb")
         .agg(*[strict_sum(c).alias(c) for c in DUMMY_PLACES])
         .unpivot(["DivisionNm", "PartyAb"], list(DUMMY_PLACES), "vote_column", "votes")
-        .select("DivisionNm", lookup(DUMMY_PLACES, F.col("vote_column")).alias("PollingPlace"), "PartyAb", "votes")
+        .selectExpr("DivisionNm", f"{_DUMMY_CASE} AS PollingPlace", "PartyAb", "votes")
     )
     return places.unionByName(decl)
 
@@ -100,40 +101,38 @@ def _party_columns(df: DataFrame, keys: list[str]) -> list[str]:
 
 def tcp_by_place(long: DataFrame, parties: list[str] | None = None) -> DataFrame:
     """Wide TCP table: one column per party (NULL where absent), plus ``total``."""
-    w = Window.partitionBy("DivisionNm", "PollingPlace")
-    return (
-        long.withColumn("total", F.coalesce(F.sum("votes").over(w), F.lit(0)))
+    wide = (
+        long.selectExpr("*", "coalesce(sum(votes) OVER (PARTITION BY DivisionNm, PollingPlace), 0) AS total")
         .groupBy("DivisionNm", "PollingPlace", "total")
         .pivot("PartyAb", parties)
         .agg(F.first("votes"))
-        .transform(lambda d: d.select("DivisionNm", "PollingPlace", *_party_columns(d, ["DivisionNm", "PollingPlace"]), "total"))
     )
+    keys = ["DivisionNm", "PollingPlace"]
+    return wide.select(*keys, *[F.col(q(p)) for p in _party_columns(wide, keys)], "total")
 
 
 def tcp_by_place_percent(wide: DataFrame) -> DataFrame:
     """Each party column of the wide TCP table as a percent of the row total."""
     parties = _party_columns(wide, ["DivisionNm", "PollingPlace"])
-    return wide.withColumns({p: pct(F.col(f"`{p}`"), "total") for p in parties})
+    return wide.withColumns({p: pct(p, "total") for p in parties})
 
 
 def tcp_by_division_counts(long: DataFrame, parties: list[str] | None = None) -> DataFrame:
     """TCP votes per division, one column per party; absent party counts 0."""
-    w = Window.partitionBy("DivisionNm")
     wide = (
-        long.withColumn("total", F.coalesce(F.sum("votes").over(w), F.lit(0)))
+        long.selectExpr("*", "coalesce(sum(votes) OVER (PARTITION BY DivisionNm), 0) AS total")
         .groupBy("DivisionNm", "total")
         .pivot("PartyAb", parties)
         .agg(F.sum("votes"))
     )
     cols = _party_columns(wide, ["DivisionNm"])
-    return wide.fillna(0, subset=cols).select("DivisionNm", *cols, "total")
+    return wide.fillna(0, subset=cols).select("DivisionNm", *[F.col(q(p)) for p in cols], "total")
 
 
 def tcp_by_division_percent(long: DataFrame, parties: list[str] | None = None) -> DataFrame:
     """TCP share of each party per division (0 where the party is absent)."""
     counts = tcp_by_division_counts(long, parties)
-    cols = _party_columns(counts, ["DivisionNm"])
-    return counts.withColumns({p: pct(F.col(f"`{p}`"), "total") for p in cols})
+    return counts.withColumns({p: pct(p, "total") for p in _party_columns(counts, ["DivisionNm"])})
 
 
 # --- H6-H7: TCP by vote type ----------------------------------------------------------
@@ -147,7 +146,7 @@ def prepoll_ordinary_tcp(long: DataFrame) -> DataFrame:
     unknown sum and is dropped, so a sum is kept only when the party has a
     non-null count at every pre-poll place of its seat.
     """
-    return _complete_party_sums(long, long.where(is_prepoll_place("PollingPlace")), "PrepollOrdinary")
+    return _complete_party_sums(long, long.where(prepoll_place_sql()), "PrepollOrdinary")
 
 
 def tcp_by_type(long: DataFrame, tcp_type: DataFrame) -> DataFrame:
@@ -161,20 +160,17 @@ def tcp_by_type(long: DataFrame, tcp_type: DataFrame) -> DataFrame:
 
 def tcp_everything(by_type: DataFrame, enrolment: DataFrame) -> DataFrame:
     """TCP votes with division totals, three kinds of percent, margin and enrolment."""
-    w = Window.partitionBy("DivisionNm")
-    df = by_type.select("*", *[strict_sum_over(c, w).alias(f"total_{c}") for c in TCP_TYPES])
-    margin = F.col("TotalVotes") - (F.col("total_TotalVotes") - F.col("TotalVotes"))
-    df = df.select(
+    df = by_type.select("*", *[strict_sum_over(c, ["DivisionNm"]).alias(f"total_{c}") for c in TCP_TYPES])
+    margin = "(TotalVotes - (total_TotalVotes - TotalVotes))"
+    df = df.selectExpr(
         "*",
-        *[pct(c, f"total_{c}").alias(f"tpp_percent_{c}") for c in TCP_TYPES],
-        *[pct(c, "TotalVotes").alias(f"party_percent_{c}") for c in TCP_TYPES],
-        *[pct(c, "total_TotalVotes").alias(f"div_percent_{c}") for c in TCP_TYPES],
-        margin.alias("margin_votes"),
-        pct(margin, "total_TotalVotes").alias("margin_percent"),
-    )
-    enrol = enrolment.select(
-        "DivisionID", "Enrolment", F.ceil(F.col("Enrolment") / F.lit(2)).alias("fifty_percent_enrolment")
+        *[f"{pct_sql(c, 'total_' + c)} AS tpp_percent_{c}" for c in TCP_TYPES],
+        *[f"{pct_sql(c, 'TotalVotes')} AS party_percent_{c}" for c in TCP_TYPES],
+        *[f"{pct_sql(c, 'total_TotalVotes')} AS div_percent_{c}" for c in TCP_TYPES],
+        f"{margin} AS margin_votes",
+        f"{pct_sql(margin, 'total_TotalVotes')} AS margin_percent",
     )
+    enrol = enrolment.selectExpr("DivisionID", "Enrolment", "ceil(Enrolment / 2) AS fifty_percent_enrolment")
     order = df.columns + ["Enrolment", "fifty_percent_enrolment"]
     return df.join(enrol, "DivisionID", "left").select(*order)
 
@@ -187,27 +183,27 @@ def lagging_incumbents(long: DataFrame, fp_type: DataFrame, enrolment: DataFrame
     counts = tcp_by_division_percent(long)
     parties = _party_columns(counts, ["DivisionNm"])
     shares = counts.unpivot(["DivisionNm", "total"], parties, "PartyAb", "vote_percent")
-    sitting = fp_type.where(F.col("HistoricElected") == "Y").select("DivisionNm", "PartyAb")
+    sitting = fp_type.where("HistoricElected = 'Y'").select("DivisionNm", "PartyAb")
     names = fp_type.select("DivisionNm", "PartyAb", "Surname", "GivenNm")
     seats = enrolment.select("DivisionNm", "Enrolment", "StateAb")
-    leaders = shares.where(F.col("vote_percent") > 50).select("DivisionNm", F.col("PartyAb").alias("lead_party"))
+    leaders = shares.where("vote_percent > 50").selectExpr("DivisionNm", "PartyAb AS lead_party")
     out = (
         shares.join(sitting, ["DivisionNm", "PartyAb"])
-        .where(F.col("vote_percent") < 50)
+        .where("vote_percent < 50")
         .join(names, ["DivisionNm", "PartyAb"], "left")
         .join(seats, "DivisionNm", "left")
         .join(leaders, "DivisionNm", "left")
     )
-    return out.select(
+    return out.selectExpr(
         "StateAb",
         "DivisionNm",
-        F.col("PartyAb").alias("held_party"),
-        F.col("vote_percent").alias("held_tpp"),
-        F.col("Surname").alias("held_surname"),
-        F.col("GivenNm").alias("held_givenname"),
+        "PartyAb AS held_party",
+        "vote_percent AS held_tpp",
+        "Surname AS held_surname",
+        "GivenNm AS held_givenname",
         "lead_party",
-        F.col("total").alias("number_counted"),
-        pct("total", "Enrolment").alias("percent_counted"),
+        "total AS number_counted",
+        f"{pct_sql('total', 'Enrolment')} AS percent_counted",
     ).orderBy(asc_last("percent_counted"))
 
 
@@ -216,11 +212,13 @@ def lagging_incumbents(long: DataFrame, fp_type: DataFrame, enrolment: DataFrame
 
 def party_share_by_division(fp_type: DataFrame) -> DataFrame:
     """Each formal candidate row's share of its division's formal vote."""
-    w = Window.partitionBy("DivisionNm")
     return (
-        fp_type.where(F.col("PartyNm") != INFORMAL)
-        .withColumn("div_total", strict_sum_over("TotalVotes", w))
-        .select("StateAb", "DivisionNm", "HistoricElected", "PartyAb", "TotalVotes", pct("TotalVotes", "div_total").alias("prop_vote"))
+        fp_type.where(f"PartyNm != {_INFORMAL}")
+        .select("*", strict_sum_over("TotalVotes", ["DivisionNm"]).alias("div_total"))
+        .selectExpr(
+            "StateAb", "DivisionNm", "HistoricElected", "PartyAb", "TotalVotes",
+            f"{pct_sql('TotalVotes', 'div_total')} AS prop_vote",
+        )
     )
 
 
@@ -241,10 +239,8 @@ def vote_types_plain(fp_type: DataFrame) -> DataFrame:
 
 def vote_types_by_division(fp_type: DataFrame, fp_pp: DataFrame) -> DataFrame:
     """Votes per vote type per division, plus pre-poll ordinary votes (NULL if no PPVC)."""
-    prepoll = (
-        fp_pp.where(is_prepoll_place("PollingPlace"))
-        .groupBy("DivisionNm")
-        .agg(strict_sum("OrdinaryVotes").alias("prepoll_ordinary"))
+    prepoll = fp_pp.where(prepoll_place_sql()).groupBy("DivisionNm").agg(
+        strict_sum("OrdinaryVotes").alias("prepoll_ordinary")
     )
     return vote_types_plain(fp_type).join(prepoll, "DivisionNm", "left").select(
         "StateAb", "DivisionNm", "ordinary", "prepoll_ordinary", "absent", "provisional", "prepoll_dec", "postal", "total"
@@ -259,37 +255,41 @@ DIVISION_COLUMNS = ["ordinary", "prepoll_ordinary", "absent", "provisional", "pr
 
 def division_votes(pp_all: DataFrame, division: str | None = None) -> DataFrame:
     """Votes per candidate by vote type; informal row last, then by total descending."""
-    v = F.col("OrdinaryVotes")
-    place = F.col("PollingPlace")
+
+    def place(col: str) -> str:
+        return f"PollingPlace = {lit_sql(DUMMY_PLACES[col])}"
+
     out = (
         _by_division(pp_all, division)
         .groupBy(*_CAND_KEYS)
         .agg(
-            strict_sum(v, F.col("DeclarationVote") == "N").alias("ordinary"),
-            strict_sum(v, F.col("PrepollOrdinary") == "Y").alias("prepoll_ordinary"),
-            strict_sum(v, place == DUMMY_PLACES["AbsentVotes"]).alias("absent"),
-            strict_sum(v, place == DUMMY_PLACES["ProvisionalVotes"]).alias("provisional"),
-            strict_sum(v, place == DUMMY_PLACES["PrePollVotes"]).alias("prepoll_dec"),
-            strict_sum(v, place == DUMMY_PLACES["PostalVotes"]).alias("postal"),
-            strict_sum(v).alias("total"),
+            strict_sum("OrdinaryVotes", "DeclarationVote = 'N'").alias("ordinary"),
+            strict_sum("OrdinaryVotes", "PrepollOrdinary = 'Y'").alias("prepoll_ordinary"),
+            strict_sum("OrdinaryVotes", place("AbsentVotes")).alias("absent"),
+            strict_sum("OrdinaryVotes", place("ProvisionalVotes")).alias("provisional"),
+            strict_sum("OrdinaryVotes", place("PrePollVotes")).alias("prepoll_dec"),
+            strict_sum("OrdinaryVotes", place("PostalVotes")).alias("postal"),
+            strict_sum("OrdinaryVotes").alias("total"),
         )
     )
-    return out.orderBy("DivisionNm", F.col("Surname") == INFORMAL, desc_last("total"))
+    return out.orderBy("DivisionNm", F.expr(f"Surname = {_INFORMAL}"), desc_last("total"))
 
 
 def division_percent(votes: DataFrame) -> DataFrame:
     """Division table as percents: formal rows of their column's formal total,
     the informal row of the division's grand total; rounded, NULL as 0."""
-    w = Window.partitionBy("DivisionNm")
-    informal = F.col("Surname") == INFORMAL
-    grand = F.coalesce(F.sum("total").over(w), F.lit(0))
-    cols = {}
-    for c in DIVISION_COLUMNS:
-        formal_total = F.coalesce(F.sum(F.when(~informal, F.col(c))).over(w), F.lit(0))
-        cols[c] = F.when(informal, pct(c, grand)).otherwise(pct(c, formal_total))
-    out = votes.withColumns(cols).drop("CandidateID")
-    out = _numeric_fill0(round_doubles(out))
-    return out.orderBy("DivisionNm", informal, desc_last("total"))
+    w = "OVER (PARTITION BY DivisionNm)"
+    informal = f"Surname = {_INFORMAL}"
+    grand = f"coalesce(sum(total) {w}, 0)"
+    exprs = {
+        c: F.expr(
+            f"CASE WHEN {informal} THEN {pct_sql(q(c), grand)} "
+            f"ELSE {pct_sql(q(c), f'coalesce(sum(CASE WHEN NOT ({informal}) THEN {q(c)} END) {w}, 0)')} END"
+        )
+        for c in DIVISION_COLUMNS
+    }
+    out = _numeric_fill0(round_doubles(votes.withColumns(exprs).drop("CandidateID")))
+    return out.orderBy("DivisionNm", F.expr(informal), desc_last("total"))
 
 
 def division_tcp_votes(tcp_all: DataFrame, division: str | None = None) -> DataFrame:
@@ -299,14 +299,14 @@ def division_tcp_votes(tcp_all: DataFrame, division: str | None = None) -> DataF
 
 
 def division_tcp_percent(tcp_all: DataFrame, division: str | None = None) -> DataFrame:
-    out = _by_division(tcp_all, division).select(
+    out = _by_division(tcp_all, division).selectExpr(
         "DivisionNm",
         "PartyAb",
         "Surname",
         "GivenNm",
         "Elected",
         "HistoricElected",
-        *[F.col(f"tpp_percent_{c}").alias(c) for c in TCP_TYPES],
+        *[f"tpp_percent_{c} AS {c}" for c in TCP_TYPES],
     )
     return _numeric_fill0(round_doubles(out))
 
@@ -316,20 +316,19 @@ def division_tcp_percent(tcp_all: DataFrame, division: str | None = None) -> Dat
 
 def public_funding(fp_pp: DataFrame) -> DataFrame:
     """Funding per party from divisions where it polled strictly over 4 percent."""
-    w = Window.partitionBy("DivisionNm")
-    shares = formal_votes_by_party(fp_pp).withColumn("total", strict_sum_over("votes", w))
+    shares = formal_votes_by_party(fp_pp).select("*", strict_sum_over("votes", ["DivisionNm"]).alias("total"))
     funded = (
-        shares.where(pct("votes", "total") > FUNDING_THRESHOLD_PERCENT)
+        shares.where(f"{pct_sql('votes', 'total')} > {FUNDING_THRESHOLD_PERCENT!r}D")
         .groupBy("PartyAb")
         .agg(strict_sum("votes").alias("total_votes"))
     )
-    return (
-        funded.withColumn("funding", F.col("total_votes") * F.lit(FUNDING_CENTS_PER_VOTE) / F.lit(100))
-        .withColumn(
-            "group", F.when(F.col("PartyAb").isin(COALITION_PARTIES), F.lit(COALITION_LABEL)).otherwise(F.col("PartyAb"))
-        )
-        .orderBy(desc_last("funding"))
-    )
+    coalition = ", ".join(lit_sql(p) for p in COALITION_PARTIES)
+    return funded.selectExpr(
+        "PartyAb",
+        "total_votes",
+        f"total_votes * {FUNDING_CENTS_PER_VOTE!r}D / 100 AS funding",
+        f"CASE WHEN PartyAb IN ({coalition}) THEN {lit_sql(COALITION_LABEL)} ELSE PartyAb END AS `group`",
+    ).orderBy(desc_last("funding"))
 
 
 # --- H16 ------------------------------------------------------------------------------
@@ -341,33 +340,28 @@ def seat_summary(pp_all: DataFrame, enrolment: DataFrame, tcp_all: DataFrame, tc
         pp_all.groupBy("StateAb", "DivisionID", "DivisionNm")
         .agg(strict_sum("OrdinaryVotes").alias("total_votes"))
         .join(enrolment.select("DivisionID", "Enrolment"), "DivisionID", "left")
-        .withColumn("turnout", pct("total_votes", "Enrolment"))
     )
-    sitting = pp_all.where(F.col("HistoricElected") == "Y").groupBy("DivisionID").agg(F.min("PartyAb").alias("HistoricElected"))
-    elected = pp_all.where(F.col("Elected") == "Y").groupBy("DivisionID").agg(F.min("PartyAb").alias("Elected"))
-    share = F.col("div_percent_TotalVotes")
-    leading = tcp_all.where(share >= 50).select(
-        "DivisionID",
-        F.col("PartyAb").alias("leading_party"),
-        share.alias("leading_tcp"),
-        F.col("margin_votes").alias("margin"),
+    sitting = pp_all.where("HistoricElected = 'Y'").groupBy("DivisionID").agg(F.min("PartyAb").alias("HistoricElected"))
+    elected = pp_all.where("Elected = 'Y'").groupBy("DivisionID").agg(F.min("PartyAb").alias("Elected"))
+    leading = tcp_all.where("div_percent_TotalVotes >= 50").selectExpr(
+        "DivisionID", "PartyAb AS leading_party", "div_percent_TotalVotes AS leading_tcp", "margin_votes AS margin"
     )
-    lagging = tcp_all.where(share < 50).select(
-        "DivisionID", F.col("PartyAb").alias("lagging_party"), share.alias("lagging_tcp")
+    lagging = tcp_all.where("div_percent_TotalVotes < 50").selectExpr(
+        "DivisionID", "PartyAb AS lagging_party", "div_percent_TotalVotes AS lagging_tcp"
     )
-    swing = tcp_type.select("DivisionID", F.col("PartyAb").alias("leading_party"), "Swing")
+    swing = tcp_type.selectExpr("DivisionID", "PartyAb AS leading_party", "Swing")
     out = (
         total.join(sitting, "DivisionID", "left")
         .join(elected, "DivisionID", "left")
         .join(leading.join(lagging, "DivisionID", "left"), "DivisionID", "left")
         .join(swing, ["DivisionID", "leading_party"], "left")
-        .select(
+        .selectExpr(
             "StateAb",
             "DivisionID",
             "DivisionNm",
             "total_votes",
             "Enrolment",
-            "turnout",
+            f"{pct_sql('total_votes', 'Enrolment')} AS turnout",
             "HistoricElected",
             "Elected",
             "leading_party",
@@ -389,31 +383,31 @@ STATS = ["mean", "sd", "n"]
 
 def tcp_comparison(tcp_all: DataFrame) -> DataFrame:
     """Mean, sample sd and row count of the seven TCP percents for ALP, Coalition, Greens."""
+    coalition = ", ".join(lit_sql(p) for p in COALITION_PARTIES)
     bloc = (
-        F.when(F.col("PartyAb") == "ALP", F.lit("ALP"))
-        .when(F.col("PartyAb").isin(COALITION_PARTIES), F.lit(COALITION_LABEL))
-        .when(F.col("PartyAb") == "GRN", F.lit("GRN"))
+        f"CASE WHEN PartyAb = 'ALP' THEN 'ALP' WHEN PartyAb IN ({coalition}) THEN {lit_sql(COALITION_LABEL)} "
+        "WHEN PartyAb = 'GRN' THEN 'GRN' END"
     )
     tpp = [f"tpp_percent_{c}" for c in TCP_TYPES]
     long = (
-        tcp_all.select(bloc.alias("bloc"), *tpp)
-        .where(F.col("bloc").isNotNull())
+        tcp_all.selectExpr(f"{bloc} AS bloc", *tpp)
+        .where("bloc IS NOT NULL")
         .unpivot(["bloc"], tpp, "key", "v")
-        .withColumn("Type", F.regexp_replace("key", "^tpp_percent_", ""))
+        .selectExpr("bloc", "v", "regexp_replace(key, '^tpp_percent_', '') AS Type")
     )
     aggs = []
     for b in BLOCS:
-        mine = F.col("bloc") == b
+        mine = f"bloc = {lit_sql(b)}"
         aggs += [
-            F.avg(F.when(mine, F.col("v"))).alias(f"{b}_mean"),
-            F.stddev_samp(F.when(mine, F.col("v"))).alias(f"{b}_sd"),
-            F.count(F.when(mine, F.lit(1))).cast("double").alias(f"{b}_n"),
+            f"avg(CASE WHEN {mine} THEN v END) AS {b}_mean",
+            f"stddev_samp(CASE WHEN {mine} THEN v END) AS {b}_sd",
+            f"CAST(count(CASE WHEN {mine} THEN 1 END) AS DOUBLE) AS {b}_n",
         ]
-    wide = long.groupBy("Type").agg(*aggs)
-    rows = F.array(
-        *[F.struct(F.lit(s).alias("Stat"), *[F.col(f"{b}_{s}").alias(b) for b in BLOCS]) for s in STATS]
+    wide = long.groupBy("Type").agg(*[F.expr(a) for a in aggs])
+    rows = ", ".join(
+        "named_struct('Stat', " + lit_sql(s) + ", " + ", ".join(f"'{b}', {b}_{s}" for b in BLOCS) + ")" for s in STATS
     )
-    out = wide.select("Type", F.inline(rows))
+    out = wide.selectExpr("Type", f"inline(array({rows}))")
     return round_doubles(out.select("Type", "Stat", *BLOCS))
 
 
@@ -476,15 +470,13 @@ def build_house(inputs, cache: str = "none") -> HouseTables:
 def _complete_party_sums(long: DataFrame, places: DataFrame, name: str) -> DataFrame:
     """Per (DivisionNm, PartyAb) sum over ``places`` of the seat, kept only when
     the party has a known count at every one of them (else the sum is unknown)."""
-    n_places = places.select("DivisionNm", "PollingPlace").distinct().groupBy("DivisionNm").agg(
-        F.count(F.lit(1)).alias("n_places")
+    n_places = (
+        places.select("DivisionNm", "PollingPlace").distinct().groupBy("DivisionNm").agg(F.expr("count(1) AS n_places"))
     )
-    per_party = places.groupBy("DivisionNm", "PartyAb").agg(F.sum("votes").alias(name), F.count("votes").alias("n_known"))
-    return (
-        per_party.join(n_places, "DivisionNm")
-        .where(F.col("n_known") == F.col("n_places"))
-        .select("DivisionNm", "PartyAb", name)
+    per_party = places.groupBy("DivisionNm", "PartyAb").agg(
+        F.expr(f"sum(votes) AS {q(name)}"), F.expr("count(votes) AS n_known")
     )
+    return per_party.join(n_places, "DivisionNm").where("n_known = n_places").select("DivisionNm", "PartyAb", name)
 
 
 def tcp_division_party(long: DataFrame) -> DataFrame:
@@ -497,14 +489,13 @@ def division_votes_tcp(votes: DataFrame, long: DataFrame, by_type: DataFrame) ->
     to the candidate's own TCP votes by type."""
     shares = tcp_by_division_percent(long)
     parties = _party_columns(shares, ["DivisionNm"])
-    tcp = (
-        shares.unpivot(["DivisionNm", "total"], parties, "PartyAb", "tcp_percent")
-        .withColumn("tcp_percent", F.when(F.col("tcp_percent") != 0, F.col("tcp_percent")))
-        .select("DivisionNm", "PartyAb", (F.col("tcp_percent") / F.lit(100) * F.col("total")).alias("tcp_votes"))
+    tcp = shares.unpivot(["DivisionNm", "total"], parties, "PartyAb", "tcp_percent").selectExpr(
+        "DivisionNm", "PartyAb", "CASE WHEN tcp_percent != 0 THEN tcp_percent END / 100 * total AS tcp_votes"
     )
-    own = by_type.select("CandidateID", *[F.col(c).alias(f"tcp_{c}") for c in TCP_TYPES + ["Swing"]])
+    own_cols = TCP_TYPES + ["Swing"]
+    own = by_type.selectExpr("CandidateID", *[f"{c} AS tcp_{c}" for c in own_cols])
     return votes.join(tcp, ["DivisionNm", "PartyAb"], "left").join(own, "CandidateID", "left").select(
-        *votes.columns, "tcp_votes", *[f"tcp_{c}" for c in TCP_TYPES + ["Swing"]]
+        *votes.columns, "tcp_votes", *[f"tcp_{c}" for c in own_cols]
     )
 
 
@@ -521,31 +512,26 @@ _DIFF_NAMES = {
 
 def tcp_lead_lag_diff(tcp_all: DataFrame) -> DataFrame:
     """Leading minus lagging TCP votes per vote type, per seat."""
-    share = F.col("div_percent_TotalVotes")
-    tpp = [f"tpp_percent_{c}" for c in TCP_TYPES]
-    lead = tcp_all.where(share >= 50).select(
+    cols = TCP_TYPES + [f"tpp_percent_{c}" for c in TCP_TYPES]
+    lead = tcp_all.where("div_percent_TotalVotes >= 50").selectExpr(
         "DivisionID",
         "DivisionNm",
-        F.col("PartyAb").alias("leading_PartyAb"),
-        *[F.col(c).alias(f"leading_{c}") for c in TCP_TYPES + tpp],
-        F.col("total_TotalVotes").alias("TotalVotes"),
+        "PartyAb AS leading_PartyAb",
+        *[f"{c} AS leading_{c}" for c in cols],
+        "total_TotalVotes AS TotalVotes",
         "Enrolment",
     )
-    lag = tcp_all.where(share < 50).select(
-        "DivisionID",
-        F.col("PartyAb").alias("lagging_PartyAb"),
-        *[F.col(c).alias(f"lagging_{c}") for c in TCP_TYPES + tpp],
+    lag = tcp_all.where("div_percent_TotalVotes < 50").selectExpr(
+        "DivisionID", "PartyAb AS lagging_PartyAb", *[f"{c} AS lagging_{c}" for c in cols]
     )
-    out = lead.join(lag, "DivisionID", "left")
-    diffs = {f"diff_{n}": F.col(f"leading_{c}") - F.col(f"lagging_{c}") for c, n in _DIFF_NAMES.items()}
-    return out.select(
+    return lead.join(lag, "DivisionID", "left").selectExpr(
         "DivisionID",
         "DivisionNm",
         "leading_PartyAb",
-        *[f"leading_{c}" for c in TCP_TYPES + tpp],
+        *[f"leading_{c}" for c in cols],
         "lagging_PartyAb",
-        *[f"lagging_{c}" for c in TCP_TYPES + tpp],
+        *[f"lagging_{c}" for c in cols],
         "TotalVotes",
         "Enrolment",
-        *[v.alias(k) for k, v in diffs.items()],
+        *[f"leading_{c} - lagging_{c} AS diff_{n}" for c, n in _DIFF_NAMES.items()],
     )

@@ -7,25 +7,26 @@ default RANGE frame would merge tied days).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from psephos.constants import DAY_FORMAT, DIVISION_RENAMES_2013, NATIONAL_ENROLMENT
-from psephos.functions import lookup, pct, ratio, sum0
+from psephos.functions import case_sql, lit_sql, pct_sql, ratio, ratio_sql, sum0
 
 ID_RENAMES_2016 = {"m_state_ab": "State", "m_div_nm": "Division"}
 
 
 def _days_by_position(df: DataFrame, n_ids: int = 3) -> DataFrame:
     """Name every column after the id columns ``Day01``, ``Day02``, ... by position."""
-    renames = {c: DAY_FORMAT % (i + 1) for i, c in enumerate(df.columns[n_ids:])}
-    return df.withColumnsRenamed(renames).withColumns({n: F.col(n).cast("long") for n in renames.values()})
+    ids = [f"`{c}`" for c in df.columns[:n_ids]]
+    days = [f"CAST(`{c}` AS BIGINT) AS {DAY_FORMAT % (i + 1)}" for i, c in enumerate(df.columns[n_ids:])]
+    return df.selectExpr(*ids, *days)
 
 
 def combine_elections(pp2013: DataFrame, pp2016: DataFrame) -> DataFrame:
     """Stack the two wide files by name; days a file lacks are NULL."""
-    a = _days_by_position(pp2013).withColumn("Election", F.lit("2013"))
-    b = _days_by_position(pp2016.withColumnsRenamed(ID_RENAMES_2016)).withColumn("Election", F.lit("2016"))
+    a = _days_by_position(pp2013).selectExpr("*", "'2013' AS Election")
+    b = _days_by_position(pp2016.withColumnsRenamed(ID_RENAMES_2016)).selectExpr("*", "'2016' AS Election")
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -38,8 +39,13 @@ def long_days(wide: DataFrame, ids: list[str]) -> DataFrame:
     return wide.unpivot(ids, day_columns(wide), "Day", "Votes")
 
 
-def _running(partition: list[str]) -> Window:
-    return Window.partitionBy(*partition).orderBy("Day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+# Running total in day order: an explicit ROWS frame, one row per day.
+_RUNNING = "OVER (PARTITION BY {} ORDER BY Day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _running_total(partition: str, blank: str = "Election = '2016' AND Votes = 0") -> str:
+    """SQL text: the running total, NULL on days matching ``blank``."""
+    return f"CASE WHEN NOT ({blank}) THEN sum(Votes) {_RUNNING.format(partition)} END AS Cum_Total"
 
 
 def prepoll_daily(combined: DataFrame) -> DataFrame:
@@ -58,18 +64,18 @@ def prepoll_cumulative(daily: DataFrame) -> DataFrame:
     2016 the running columns of such days are blanked too (days not yet run).
     ``Prop_Votes`` is a fraction, ``Cum_Prop`` a percent.
     """
-    enrolled = lookup(NATIONAL_ENROLMENT, F.col("Election"))
-    out = daily.withColumn("Cum_Total", F.sum("Votes").over(_running(["Election"])))
-    out = out.withColumn("Votes", F.nullif(F.col("Votes"), F.lit(0)))
-    out = out.withColumn("Prop_Votes", ratio("Votes", enrolled))
-    out = out.withColumn("Cum_Prop", pct("Cum_Total", enrolled))
-    blank = (F.col("Election") == "2016") & F.col("Votes").isNull()
-    return out.withColumns(
-        {
-            "Cum_Total": F.when(~blank, F.col("Cum_Total")),
-            "Cum_Prop": F.when(~blank, F.col("Cum_Prop")),
-        }
-    ).select("Election", "Day", "Votes", "Cum_Total", "Prop_Votes", "Cum_Prop")
+    enrolled = case_sql("Election", NATIONAL_ENROLMENT)
+    blank = "Election = '2016' AND day_votes = 0"
+    return daily.selectExpr(
+        "Election", "Day", "Votes AS day_votes", f"sum(Votes) {_RUNNING.format('Election')} AS cum"
+    ).selectExpr(
+        "Election",
+        "Day",
+        "nullif(day_votes, 0) AS Votes",
+        f"CASE WHEN NOT ({blank}) THEN cum END AS Cum_Total",
+        f"{ratio_sql('nullif(day_votes, 0)', enrolled)} AS Prop_Votes",
+        f"CASE WHEN NOT ({blank}) THEN {pct_sql('cum', enrolled)} END AS Cum_Prop",
+    )
 
 
 def prepoll_state_cumulative(combined: DataFrame) -> DataFrame:
@@ -79,13 +85,11 @@ def prepoll_state_cumulative(combined: DataFrame) -> DataFrame:
         .groupBy("Election", "State", "Day")
         .agg(sum0("Votes").alias("Votes"))
     )
-    cum = F.sum("Votes").over(_running(["Election", "State"]))
-    blank = (F.col("Election") == "2016") & (F.col("Votes") == 0)
-    return state.withColumn("Cum_Total", F.when(~blank, cum)).select("Election", "State", "Day", "Votes", "Cum_Total")
+    return state.selectExpr("Election", "State", "Day", "Votes", _running_total("Election, State"))
 
 
 def _number(text_col: str, separator: str) -> F.Column:
-    return F.regexp_replace(F.col(text_col), separator, "").try_cast("long")
+    return F.expr(f"try_cast(regexp_replace(`{text_col}`, {lit_sql(separator)}, '') AS BIGINT)")
 
 
 def enrolment_2016_by_state(enrolment_2016: DataFrame) -> DataFrame:
@@ -98,37 +102,37 @@ def enrolment_2016_by_state(enrolment_2016: DataFrame) -> DataFrame:
 def enrolment_2013_by_state(enrolment_2013: DataFrame, states: list[str] | None = None) -> DataFrame:
     """Electors enrolled per state (space separators removed)."""
     out = enrolment_2013.select("State", _number("Electors_enrolled", " ").alias("enrolled_total"))
-    return out if states is None else out.where(F.col("State").isin(states))
+    return out if states is None else out.where(f"State IN ({', '.join(lit_sql(s) for s in states)})")
 
 
 def enrolment_both(e2013: DataFrame, e2016: DataFrame) -> DataFrame:
-    return e2013.withColumn("Election", F.lit("2013")).unionByName(e2016.withColumn("Election", F.lit("2016")))
+    return e2013.selectExpr("*", "'2013' AS Election").unionByName(e2016.selectExpr("*", "'2016' AS Election"))
 
 
 def prepoll_state_rate(state_cum: DataFrame, enrolment: DataFrame) -> DataFrame:
     """Running state votes as a fraction of state enrolment."""
-    out = state_cum.join(enrolment, ["Election", "State"], "left").withColumn(
-        "State_Prop", ratio("Cum_Total", "enrolled_total")
-    )
-    blank = (F.col("Election") == "2016") & (F.col("Votes") == 0)
-    return out.withColumn("State_Prop", F.when(~blank, F.col("State_Prop"))).select(
-        "Election", "State", "Day", "Votes", "Cum_Total", "enrolled_total", "State_Prop"
+    return state_cum.join(enrolment, ["Election", "State"], "left").selectExpr(
+        "Election",
+        "State",
+        "Day",
+        "Votes",
+        "Cum_Total",
+        "enrolled_total",
+        f"CASE WHEN NOT (Election = '2016' AND Votes = 0) THEN {ratio_sql('Cum_Total', 'enrolled_total')} END AS State_Prop",
     )
 
 
 def prepoll_division(combined: DataFrame) -> DataFrame:
     """Daily and running votes per election and division; two 2013 divisions take their new names."""
-    renamed = F.coalesce(lookup(DIVISION_RENAMES_2013, F.col("Division")), F.col("Division"))
     div = (
         long_days(combined.select("Election", "Division", *day_columns(combined)), ["Election", "Division"])
         .groupBy("Election", "Division", "Day")
         .agg(sum0("Votes").alias("Votes"))
     )
-    cum = F.sum("Votes").over(_running(["Election", "Division"]))
-    blank = (F.col("Election") == "2016") & (F.col("Votes") == 0)
-    out = div.withColumn("Cum_Total", F.when(~blank, cum))
-    out = out.withColumn("Division", F.when(F.col("Election") == "2013", renamed).otherwise(F.col("Division")))
-    return out.select("Election", "Division", "Day", "Votes", "Cum_Total")
+    renamed = case_sql("Division", DIVISION_RENAMES_2013, default="Division")
+    return div.selectExpr("*", _running_total("Election, Division")).selectExpr(
+        "Election", f"CASE WHEN Election = '2013' THEN {renamed} ELSE Division END AS Division", "Day", "Votes", "Cum_Total"
+    )
 
 
 def prepoll_state_totals(combined: DataFrame, enrolment: DataFrame) -> DataFrame:

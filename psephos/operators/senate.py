@@ -7,11 +7,10 @@ which would funnel each state's rows through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from psephos.constants import TERRITORIES, VOTE_COLUMNS
-from psephos.functions import asc_last, desc_last, pct, ratio, strict_sum
+from psephos.functions import asc_last, desc_last, lit_sql, pct, q, ratio, strict_sum
 
 CANDIDATE_KEYS = [
     "StateAb",
@@ -25,11 +24,12 @@ CANDIDATE_KEYS = [
 ]
 
 
-def quota(state_total: Column, state: Column, vacancies: int) -> Column:
-    """Droop quota, not floored: total / (vacancies + 1) + 1; territories elect 2."""
-    return F.when(state.isin(TERRITORIES), state_total / F.lit(3) + F.lit(1)).otherwise(
-        state_total / F.lit(vacancies + 1) + F.lit(1)
-    )
+def quota(state_total: str, vacancies: int, state: str = "StateAb") -> str:
+    """SQL text of the Droop quota, not floored: total / (vacancies + 1) + 1;
+    territories elect 2 (divisor 3) whatever ``vacancies`` says."""
+    territories = ", ".join(lit_sql(t) for t in TERRITORIES)
+    t = q(state_total)
+    return f"CASE WHEN {q(state)} IN ({territories}) THEN {t} / 3 + 1 ELSE {t} / {vacancies + 1} + 1 END"
 
 
 def senate_turnout(fp_div: DataFrame, enrolment: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def _state_quota(df: DataFrame, vacancies: int, total_name: str) -> DataFrame:
     return (
         df.groupBy("StateAb")
         .agg(strict_sum("TotalVotes").alias(total_name))
-        .withColumn("quota", quota(F.col(total_name), F.col("StateAb"), vacancies))
+        .selectExpr("*", f"{quota(total_name, vacancies)} AS quota")
     )
 
 
@@ -73,11 +73,7 @@ def senate_quotas_two(fp_group: DataFrame, full: int = 12, half: int = 6) -> Dat
     quotas = (
         fp_group.groupBy("StateAb")
         .agg(strict_sum("TotalVotes").alias("state_total"))
-        .select(
-            "StateAb",
-            quota(F.col("state_total"), F.col("StateAb"), full).alias("quota_dd"),
-            quota(F.col("state_total"), F.col("StateAb"), half).alias("quota_hs"),
-        )
+        .selectExpr("StateAb", f"{quota('state_total', full)} AS quota_dd", f"{quota('state_total', half)} AS quota_hs")
     )
     return fp_group.join(quotas, "StateAb", "left").select(
         "StateAb",
@@ -91,8 +87,8 @@ def senate_quotas_two(fp_group: DataFrame, full: int = 12, half: int = 6) -> Dat
 def senate_quotas_both(fp_group: DataFrame, state: str | None = None) -> DataFrame:
     """Half-Senate quotas next to full-Senate quotas, largest groups first."""
     hs = senate_quotas(fp_group, 6).withColumnRenamed("num_quotas", "quotas_hs")
-    fs = senate_quotas(fp_group, 12).select("StateAb", "GroupAb", F.col("num_quotas").alias("quotas_fs"))
+    fs = senate_quotas(fp_group, 12).selectExpr("StateAb", "GroupAb", "num_quotas AS quotas_fs")
     out = hs.join(fs, ["StateAb", "GroupAb"], "left")
     if state is not None:
-        out = out.where(F.col("StateAb") == state)
+        out = out.where(f"StateAb = {lit_sql(state)}")
     return out.select("StateAb", "GroupAb", "TotalVotes", "quotas_hs", "quotas_fs").orderBy(desc_last("TotalVotes"))

@@ -159,7 +159,7 @@ def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
         "CAST(l_quantity AS BIGINT) AS votes",
     )
     cells = rows.groupBy("c_nationkey", "vcode", "k", "slot", "parity").agg(
-        F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("n_rows")
+        F.expr("sum(votes) AS votes"), F.expr("count(1) AS n_rows")
     )
     # Dimensions carry no hint: Spark broadcasts them only when their
     # statistics pass spark.sql.autoBroadcastJoinThreshold (re-checked by AQE
@@ -215,7 +215,7 @@ _TCP_TYPE_COLS = (
 
 
 def _by_place(grain: DataFrame) -> DataFrame:
-    out = grain.groupBy("StateAb", "DivisionID", "DivisionNm", "k", "slot").agg(F.sum("votes").alias("OrdinaryVotes"))
+    out = grain.groupBy("StateAb", "DivisionID", "DivisionNm", "k", "slot").agg(F.expr("sum(votes) AS OrdinaryVotes"))
     return out.selectExpr(*_exprs(_PP_COLS, {**_PLACE_SQL, **_CANDIDATE_SQL}))
 
 
@@ -239,7 +239,7 @@ def house_inputs(grain: DataFrame) -> HouseInputs:
     tcp_pp = _by_place(tcp.where("vtype = 'OrdinaryVotes'"))
     tcp_type = _by_type(tcp, _TCP_TYPE_COLS)
     enrolment = grain.groupBy("StateAb", "DivisionID", "DivisionNm").agg(
-        (F.sum("n_rows") * ENROLMENT_PER_ROW).alias("Enrolment")
+        F.expr(f"sum(n_rows) * {ENROLMENT_PER_ROW} AS Enrolment")
     )
     places = fp_pp.select("StateAb", "DivisionID", "DivisionNm", "PollingPlaceID", "PollingPlace").distinct()
     return HouseInputs(fp_pp, fp_type, tcp_pp, tcp_type, enrolment, places)
@@ -260,8 +260,8 @@ def senate_inputs(grain: DataFrame) -> SenateInputs:
         *_VT,
         "TotalVotes",
     )
-    fp_group = fp_div.groupBy("StateAb", F.col("Ticket").alias("GroupAb")).agg(
-        F.sum("TotalVotes").alias("TotalVotes")
+    fp_group = fp_div.groupBy("StateAb", "Ticket").agg(F.expr("sum(TotalVotes) AS TotalVotes")).withColumnRenamed(
+        "Ticket", "GroupAb"
     )
     return SenateInputs(fp_div, fp_group)
 
@@ -286,18 +286,17 @@ def _day_names(n: int) -> list[str]:
 
 def prepoll_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> PrepollInputs:
     """Two wide daily pre-poll files and two enrolment texts from ``events``."""
-    ev = read_tables(spark, sf_dir, ["events"])["events"].select("ts", "user_id", "event_type")
-    d = F.dayofmonth("ts")
-    early = d <= PREPOLL_SPLIT_DAY
+    ev = read_tables(spark, sf_dir, ["events"])["events"]
+    d, split = "dayofmonth(ts)", PREPOLL_SPLIT_DAY
     counts = (
-        ev.select(
-            F.when(early, F.lit("2013")).otherwise(F.lit("2016")).alias("Election"),
-            F.col("event_type").alias("State"),
-            F.concat(F.lit("D"), (F.col("user_id") % 5).cast("string")).alias("Division"),
-            F.format_string(DAY_FORMAT, F.when(early, d).otherwise(d - PREPOLL_SPLIT_DAY)).alias("Day"),
+        ev.selectExpr(
+            f"CASE WHEN {d} <= {split} THEN '2013' ELSE '2016' END AS Election",
+            "event_type AS State",
+            "concat('D', CAST(user_id % 5 AS STRING)) AS Division",
+            f"format_string('{DAY_FORMAT}', CASE WHEN {d} <= {split} THEN {d} ELSE {d} - {split} END) AS Day",
         )
         .groupBy("Election", "State", "Division", "Day")
-        .agg(F.count(F.lit(1)).alias("Votes"))
+        .agg(F.expr("count(1) AS Votes"))
     )
     # Four feeds read these counts: scan the events once.
     counts = materialize(counts, cache)
@@ -305,33 +304,27 @@ def prepoll_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> Pre
     def wide(election: str, days: int, ids: list[str]) -> DataFrame:
         names = _day_names(days)
         w = (
-            counts.where(F.col("Election") == election)
+            counts.where(f"Election = '{election}'")
             .groupBy("State", "Division")
             .pivot("Day", names)
-            .agg(F.sum("Votes"))
+            .agg(F.expr("sum(Votes)"))
             .fillna(0, subset=names)
         )
-        w = w.withColumn("Centre", F.concat(F.col("Division"), F.lit(" PPVC")))
-        return w.select(
-            F.col("State").alias(ids[0]),
-            F.col("Division").alias(ids[1]),
-            F.col("Centre").alias(ids[2]),
-            *names,
+        return w.selectExpr(
+            f"State AS {ids[0]}", f"Division AS {ids[1]}", f"concat(Division, ' PPVC') AS {ids[2]}", *names
         )
 
     pp13 = wide("2013", PREPOLL_DAYS, PREPOLL_2013_IDS)
     pp16 = wide("2016", 30 - PREPOLL_SPLIT_DAY, PREPOLL_2016_IDS)
 
-    enrolled = counts.groupBy("Election", "State", "Division").agg(
-        (F.sum("Votes") * ENROLLED_PER_EVENT).alias("n")
-    )
-    enrol16 = enrolled.where(F.col("Election") == "2016").select(
-        "State", "Division", F.format_number("n", 0).alias("Electors_on_2016_Certified_list")
+    enrolled = counts.groupBy("Election", "State", "Division").agg(F.expr(f"sum(Votes) * {ENROLLED_PER_EVENT} AS n"))
+    enrol16 = enrolled.where("Election = '2016'").selectExpr(
+        "State", "Division", "format_number(n, 0) AS Electors_on_2016_Certified_list"
     )
     enrol13 = (
-        enrolled.where(F.col("Election") == "2013")
+        enrolled.where("Election = '2013'")
         .groupBy("State")
-        .agg(F.sum("n").alias("n"))
-        .select("State", F.regexp_replace(F.format_number("n", 0), ",", " ").alias("Electors_enrolled"))
+        .agg(F.expr("sum(n) AS n"))
+        .selectExpr("State", "regexp_replace(format_number(n, 0), ',', ' ') AS Electors_enrolled")
     )
     return PrepollInputs(pp13, pp16, enrol13, enrol16)

@@ -1,4 +1,3 @@
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from psephos.functions import bround2, pct, round_doubles, strict_sum, strict_sum_over, sum0
@@ -21,11 +20,21 @@ def test_conditional_strict_sum_only_sees_matching_rows(spark):
 
 def test_strict_sum_over_window(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), ("b", 2)], "k string, v long")
-    w = Window.partitionBy("k")
-    got = sorted((r.k, r.t) for r in df.select("k", strict_sum_over("v", w).alias("t")).collect())
+    got = sorted((r.k, r.t) for r in df.select("k", strict_sum_over("v", ["k"]).alias("t")).collect())
     assert got == [("a", None), ("a", None), ("b", 2)]
 
 
+def test_sql_and_column_paths_agree(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", None, 0), ("b", 3, 4)], "k string, v long, d long")
+    by_sql = df.groupBy("k").agg(strict_sum("v").alias("s"), strict_sum("v", "d > 0").alias("c"), sum0("v").alias("z"))
+    by_col = df.groupBy("k").agg(
+        strict_sum(F.col("v")).alias("s"), strict_sum(F.col("v"), F.col("d") > 0).alias("c"), sum0(F.col("v")).alias("z")
+    )
+    assert sorted(by_sql.collect()) == sorted(by_col.collect())
+    rows = df.select(pct("v", "d").alias("a"), pct(F.col("v"), F.col("d")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
 def test_pct_divide_by_zero_is_null_never_nan(spark):
     r = spark.createDataFrame([(1, 0), (0, 0), (1, 4)], "a long, b long").select(pct("a", "b").alias("p")).collect()
     assert [x.p for x in r] == [None, None, 25.0]
