@@ -19,6 +19,8 @@ every feed its own copy of the join.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -232,38 +234,83 @@ def _tcp_rows(grain: DataFrame) -> DataFrame:
     return grain.where(f"slot < {INFORMAL_SLOT}").withColumn("slot", F.expr(owner))
 
 
+class GrainHouseInputs:
+    """House feeds over the ballot grain, each built on first use (a report
+    that reads three feeds does not plan the other two)."""
+
+    def __init__(self, grain: DataFrame):
+        self.grain = grain
+
+    @cached_property
+    def fp_pp(self) -> DataFrame:
+        return _by_place(self.grain.where("vtype = 'OrdinaryVotes'"))
+
+    @cached_property
+    def fp_type(self) -> DataFrame:
+        return _by_type(self.grain, _TYPE_COLS)
+
+    @cached_property
+    def _tcp(self) -> DataFrame:
+        return _tcp_rows(self.grain)
+
+    @cached_property
+    def tcp_pp(self) -> DataFrame:
+        return _by_place(self._tcp.where("vtype = 'OrdinaryVotes'"))
+
+    @cached_property
+    def tcp_type(self) -> DataFrame:
+        return _by_type(self._tcp, _TCP_TYPE_COLS)
+
+    @cached_property
+    def enrolment(self) -> DataFrame:
+        return self.grain.groupBy("StateAb", "DivisionID", "DivisionNm").agg(
+            F.expr(f"sum(n_rows) * {ENROLMENT_PER_ROW} AS Enrolment")
+        )
+
+    @cached_property
+    def pp_location(self) -> DataFrame:
+        return self.fp_pp.select("StateAb", "DivisionID", "DivisionNm", "PollingPlaceID", "PollingPlace").distinct()
+
+
+class GrainSenateInputs:
+    """Senate feeds over the ballot grain, built on first use."""
+
+    def __init__(self, grain: DataFrame):
+        self.grain = grain
+
+    @cached_property
+    def fp_div(self) -> DataFrame:
+        by_cand = _by_type(self.grain, _TYPE_COLS + ["BallotPosition"])
+        return by_cand.selectExpr(
+            "StateAb",
+            "DivisionNm",
+            "char(64 + BallotPosition) AS Ticket",
+            "BallotPosition",
+            "PartyAb",
+            "PartyNm AS PartyName",
+            "Surname AS CandidateDetails",
+            "Elected",
+            "HistoricElected",
+            *_VT,
+            "TotalVotes",
+        )
+
+    @cached_property
+    def fp_group(self) -> DataFrame:
+        return (
+            self.fp_div.groupBy("StateAb", "Ticket")
+            .agg(F.expr("sum(TotalVotes) AS TotalVotes"))
+            .withColumnRenamed("Ticket", "GroupAb")
+        )
+
+
 def house_inputs(grain: DataFrame) -> HouseInputs:
-    fp_pp = _by_place(grain.where("vtype = 'OrdinaryVotes'"))
-    fp_type = _by_type(grain, _TYPE_COLS)
-    tcp = _tcp_rows(grain)
-    tcp_pp = _by_place(tcp.where("vtype = 'OrdinaryVotes'"))
-    tcp_type = _by_type(tcp, _TCP_TYPE_COLS)
-    enrolment = grain.groupBy("StateAb", "DivisionID", "DivisionNm").agg(
-        F.expr(f"sum(n_rows) * {ENROLMENT_PER_ROW} AS Enrolment")
-    )
-    places = fp_pp.select("StateAb", "DivisionID", "DivisionNm", "PollingPlaceID", "PollingPlace").distinct()
-    return HouseInputs(fp_pp, fp_type, tcp_pp, tcp_type, enrolment, places)
+    """House feeds (same fields as a loaded ``HouseInputs``), built lazily."""
+    return GrainHouseInputs(grain)  # type: ignore[return-value]
 
 
 def senate_inputs(grain: DataFrame) -> SenateInputs:
-    by_cand = _by_type(grain, _TYPE_COLS + ["BallotPosition"])
-    fp_div = by_cand.selectExpr(
-        "StateAb",
-        "DivisionNm",
-        "char(64 + BallotPosition) AS Ticket",
-        "BallotPosition",
-        "PartyAb",
-        "PartyNm AS PartyName",
-        "Surname AS CandidateDetails",
-        "Elected",
-        "HistoricElected",
-        *_VT,
-        "TotalVotes",
-    )
-    fp_group = fp_div.groupBy("StateAb", "Ticket").agg(F.expr("sum(TotalVotes) AS TotalVotes")).withColumnRenamed(
-        "Ticket", "GroupAb"
-    )
-    return SenateInputs(fp_div, fp_group)
+    return GrainSenateInputs(grain)  # type: ignore[return-value]
 
 
 def election_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> tuple[HouseInputs, SenateInputs]:
