@@ -1,0 +1,40 @@
+"""The session-style facade gives the same tables as the registered queries."""
+
+import os
+
+import pytest
+
+from psephos.api import ElectionCount
+from psephos.plans.registry import QUERIES
+from tests.conftest import SF_SMOKE
+
+
+@pytest.fixture(scope="module")
+def count(spark):
+    return ElectionCount.from_warehouse(spark, SF_SMOKE, cache="persist")
+
+
+@pytest.mark.parametrize(
+    "method, query",
+    [
+        ("seat_summary", "seat_summary"),
+        ("grim_reaper", "lagging_incumbents"),
+        ("public_funding_group_hor", "public_funding"),
+        ("calculate_senate_quotas", "senate_quotas_half"),
+        ("division_total_percent", "division_percent"),
+    ],
+)
+def test_methods_match_queries(spark, count, method, query):
+    got = sorted(tuple(r) for r in getattr(count, method)().collect())
+    want = sorted(tuple(r) for r in QUERIES[query](spark, SF_SMOKE).collect())
+    assert got == want
+
+
+def test_one_division_and_csv(spark, count, tmpdir_path):
+    name = count.house.enrolment.first().DivisionNm
+    one = count.division_total_votes(name).collect()
+    assert one and {r.DivisionNm for r in one} == {name} and one[-1].Surname == "Informal"
+    count.seat_summary(save_as_csv=True, out_dir=tmpdir_path)
+    written = [d for d in os.listdir(tmpdir_path) if d.startswith("HoR-")]
+    assert len(written) == 1
+    assert spark.read.option("header", True).csv(os.path.join(tmpdir_path, written[0])).count() == count.seat_summary().count()
