@@ -19,10 +19,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 
 from psephos.operators import house as H
+from psephos.operators import prepoll as E
 from psephos.operators import senate as S
-from psephos.sources.binding import election_inputs
-from psephos.sources.feeds import load_house, load_senate, write_seat_summary
-from psephos.sources.inputs import HouseInputs, SenateInputs
+from psephos.sources.binding import election_inputs, prepoll_inputs
+from psephos.sources.feeds import load_house, load_prepoll, load_senate, write_seat_summary
+from psephos.sources.inputs import PrepollInputs, SenateInputs
 
 
 class ElectionCount:
@@ -126,4 +127,41 @@ class ElectionCount:
         return S.senate_quotas_candidate(self._senate().fp_div, vacancies)
 
 
-__all__ = ["ElectionCount", "HouseInputs", "SenateInputs"]
+class PrepollSeries:
+    """Early-voting series of two elections: daily, running and against enrolment."""
+
+    def __init__(self, inputs: PrepollInputs):
+        self.inputs = inputs
+        self.prepoll_all = E.combine_elections(inputs.prepoll_2013, inputs.prepoll_2016)
+        self.enrolment_state_all = E.enrolment_both(
+            E.enrolment_2013_by_state(inputs.enrolment_2013), E.enrolment_2016_by_state(inputs.enrolment_2016)
+        )
+
+    @classmethod
+    def from_files(
+        cls, spark: SparkSession, prepoll_2013: str, prepoll_2016: str, enrolment_2013: str, enrolment_2016: str
+    ) -> PrepollSeries:
+        return cls(load_prepoll(spark, prepoll_2013, prepoll_2016, enrolment_2013, enrolment_2016))
+
+    @classmethod
+    def from_warehouse(cls, spark: SparkSession, sf_dir: str, cache: str = "auto") -> PrepollSeries:
+        return cls(prepoll_inputs(spark, sf_dir, cache))
+
+    def prepoll_numbers(self) -> DataFrame:
+        """National daily votes with running totals and shares of enrolment."""
+        return E.prepoll_cumulative(E.prepoll_daily(self.prepoll_all))
+
+    def prepoll_state(self) -> DataFrame:
+        return E.prepoll_state_cumulative(self.prepoll_all)
+
+    def prepoll_state_rate(self) -> DataFrame:
+        return E.prepoll_state_rate(self.prepoll_state(), self.enrolment_state_all)
+
+    def prepoll_div(self) -> DataFrame:
+        return E.prepoll_division(self.prepoll_all)
+
+    def state_totals(self) -> DataFrame:
+        return E.prepoll_state_totals(self.prepoll_all, self.enrolment_state_all)
+
+
+__all__ = ["ElectionCount", "PrepollSeries"]

@@ -336,13 +336,18 @@ def public_funding(fp_pp: DataFrame) -> DataFrame:
 
 def seat_summary(pp_all: DataFrame, enrolment: DataFrame, tcp_all: DataFrame, tcp_type: DataFrame) -> DataFrame:
     """Per seat: votes, turnout, sitting/elected party, TCP leader and lagger, margin, swing."""
+    # One pass over the candidate/place table: seat total, and the party of the
+    # sitting and of the elected candidate (a seat's rows agree on it, so the
+    # smallest is the first).
     total = (
         pp_all.groupBy("StateAb", "DivisionID", "DivisionNm")
-        .agg(strict_sum("OrdinaryVotes").alias("total_votes"))
+        .agg(
+            strict_sum("OrdinaryVotes").alias("total_votes"),
+            F.expr("min(CASE WHEN HistoricElected = 'Y' THEN PartyAb END) AS HistoricElected"),
+            F.expr("min(CASE WHEN Elected = 'Y' THEN PartyAb END) AS Elected"),
+        )
         .join(enrolment.select("DivisionID", "Enrolment"), "DivisionID", "left")
     )
-    sitting = pp_all.where("HistoricElected = 'Y'").groupBy("DivisionID").agg(F.min("PartyAb").alias("HistoricElected"))
-    elected = pp_all.where("Elected = 'Y'").groupBy("DivisionID").agg(F.min("PartyAb").alias("Elected"))
     leading = tcp_all.where("div_percent_TotalVotes >= 50").selectExpr(
         "DivisionID", "PartyAb AS leading_party", "div_percent_TotalVotes AS leading_tcp", "margin_votes AS margin"
     )
@@ -351,9 +356,7 @@ def seat_summary(pp_all: DataFrame, enrolment: DataFrame, tcp_all: DataFrame, tc
     )
     swing = tcp_type.selectExpr("DivisionID", "PartyAb AS leading_party", "Swing")
     out = (
-        total.join(sitting, "DivisionID", "left")
-        .join(elected, "DivisionID", "left")
-        .join(leading.join(lagging, "DivisionID", "left"), "DivisionID", "left")
+        total.join(leading.join(lagging, "DivisionID", "left"), "DivisionID", "left")
         .join(swing, ["DivisionID", "leading_party"], "left")
         .selectExpr(
             "StateAb",

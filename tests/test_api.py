@@ -38,3 +38,14 @@ def test_one_division_and_csv(spark, count, tmpdir_path):
     written = [d for d in os.listdir(tmpdir_path) if d.startswith("HoR-")]
     assert len(written) == 1
     assert spark.read.option("header", True).csv(os.path.join(tmpdir_path, written[0])).count() == count.seat_summary().count()
+
+
+def test_prepoll_series_matches_queries(spark):
+    from psephos.api import PrepollSeries
+
+    series = PrepollSeries.from_warehouse(spark, SF_SMOKE)
+    for method, query in [("prepoll_numbers", "prepoll_cumulative"), ("prepoll_state_rate", "prepoll_state_rate"),
+                          ("state_totals", "prepoll_state_totals")]:
+        got = sorted(tuple(r) for r in getattr(series, method)().collect())
+        want = sorted(tuple(r) for r in QUERIES[query](spark, SF_SMOKE).collect())
+        assert got == want, method
