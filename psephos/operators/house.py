@@ -99,16 +99,17 @@ def _party_columns(df: DataFrame, keys: list[str]) -> list[str]:
     return [c for c in df.columns if c not in keys and c != "total"]
 
 
+def _row_total(parties: list[str]) -> str:
+    """SQL text: the sum of the party cells of a row, a missing party as 0."""
+    return " + ".join([f"coalesce({q(p)}, 0)" for p in parties] or ["0"])
+
+
 def tcp_by_place(long: DataFrame, parties: list[str] | None = None) -> DataFrame:
     """Wide TCP table: one column per party (NULL where absent), plus ``total``."""
-    wide = (
-        long.selectExpr("*", "coalesce(sum(votes) OVER (PARTITION BY DivisionNm, PollingPlace), 0) AS total")
-        .groupBy("DivisionNm", "PollingPlace", "total")
-        .pivot("PartyAb", parties)
-        .agg(F.first("votes"))
-    )
     keys = ["DivisionNm", "PollingPlace"]
-    return wide.select(*keys, *[F.col(q(p)) for p in _party_columns(wide, keys)], "total")
+    wide = long.groupBy(*keys).pivot("PartyAb", parties).agg(F.first("votes"))
+    cols = _party_columns(wide, keys)
+    return wide.selectExpr(*keys, *[q(p) for p in cols], f"CAST({_row_total(cols)} AS BIGINT) AS total")
 
 
 def tcp_by_place_percent(wide: DataFrame) -> DataFrame:
@@ -119,14 +120,11 @@ def tcp_by_place_percent(wide: DataFrame) -> DataFrame:
 
 def tcp_by_division_counts(long: DataFrame, parties: list[str] | None = None) -> DataFrame:
     """TCP votes per division, one column per party; absent party counts 0."""
-    wide = (
-        long.selectExpr("*", "coalesce(sum(votes) OVER (PARTITION BY DivisionNm), 0) AS total")
-        .groupBy("DivisionNm", "total")
-        .pivot("PartyAb", parties)
-        .agg(F.sum("votes"))
-    )
+    wide = long.groupBy("DivisionNm").pivot("PartyAb", parties).agg(F.sum("votes"))
     cols = _party_columns(wide, ["DivisionNm"])
-    return wide.fillna(0, subset=cols).select("DivisionNm", *[F.col(q(p)) for p in cols], "total")
+    return wide.selectExpr(
+        "DivisionNm", *[f"coalesce({q(p)}, 0) AS {q(p)}" for p in cols], f"CAST({_row_total(cols)} AS BIGINT) AS total"
+    )
 
 
 def tcp_by_division_percent(long: DataFrame, parties: list[str] | None = None) -> DataFrame:
