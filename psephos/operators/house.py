@@ -176,18 +176,42 @@ def tcp_everything(by_type: DataFrame, enrolment: DataFrame) -> DataFrame:
 # --- H8 -----------------------------------------------------------------------------
 
 
+def _tcp_totals(long: DataFrame) -> DataFrame:
+    """TCP votes per seat (every place, NULL counts skipped)."""
+    return long.groupBy("DivisionNm").agg(F.expr("CAST(coalesce(sum(votes), 0) AS BIGINT) AS total"))
+
+
+def _tcp_party_votes(long: DataFrame) -> DataFrame:
+    """TCP votes per seat and party present in the seat (NULL counts skipped)."""
+    return long.groupBy("DivisionNm", "PartyAb").agg(F.expr("CAST(coalesce(sum(votes), 0) AS BIGINT) AS votes"))
+
+
 def lagging_incumbents(long: DataFrame, fp_type: DataFrame, enrolment: DataFrame) -> DataFrame:
-    """Seats whose sitting party is behind (TCP share strictly under 50)."""
-    counts = tcp_by_division_percent(long)
-    parties = _party_columns(counts, ["DivisionNm"])
-    shares = counts.unpivot(["DivisionNm", "total"], parties, "PartyAb", "vote_percent")
-    sitting = fp_type.where("HistoricElected = 'Y'").select("DivisionNm", "PartyAb")
+    """Seats whose sitting party is behind (TCP share strictly under 50).
+
+    A sitting party that is a TCP party somewhere but not in its own seat's
+    final two has share 0 there (the wide division table gives it a 0 cell);
+    one that is a TCP party nowhere has no share at all.
+    """
+    totals, votes = _tcp_totals(long), _tcp_party_votes(long)
+    tcp_parties = long.select("PartyAb").distinct()
+    sitting = (
+        fp_type.where("HistoricElected = 'Y'").select("DivisionNm", "PartyAb").join(tcp_parties, "PartyAb", "left_semi")
+    )
+    held = (
+        sitting.join(totals, "DivisionNm")
+        .join(votes, ["DivisionNm", "PartyAb"], "left")
+        .selectExpr("DivisionNm", "PartyAb", "total", f"{pct_sql('coalesce(votes, 0)', 'total')} AS vote_percent")
+    )
+    leaders = (
+        votes.join(totals, "DivisionNm")
+        .where(f"{pct_sql('votes', 'total')} > 50")
+        .selectExpr("DivisionNm", "PartyAb AS lead_party")
+    )
     names = fp_type.select("DivisionNm", "PartyAb", "Surname", "GivenNm")
     seats = enrolment.select("DivisionNm", "Enrolment", "StateAb")
-    leaders = shares.where("vote_percent > 50").selectExpr("DivisionNm", "PartyAb AS lead_party")
     out = (
-        shares.join(sitting, ["DivisionNm", "PartyAb"])
-        .where("vote_percent < 50")
+        held.where("vote_percent < 50")
         .join(names, ["DivisionNm", "PartyAb"], "left")
         .join(seats, "DivisionNm", "left")
         .join(leaders, "DivisionNm", "left")
@@ -487,11 +511,12 @@ def tcp_division_party(long: DataFrame) -> DataFrame:
 
 def division_votes_tcp(votes: DataFrame, long: DataFrame, by_type: DataFrame) -> DataFrame:
     """Division table joined to the TCP share/votes of the candidate's party and
-    to the candidate's own TCP votes by type."""
-    shares = tcp_by_division_percent(long)
-    parties = _party_columns(shares, ["DivisionNm"])
-    tcp = shares.unpivot(["DivisionNm", "total"], parties, "PartyAb", "tcp_percent").selectExpr(
-        "DivisionNm", "PartyAb", "CASE WHEN tcp_percent != 0 THEN tcp_percent END / 100 * total AS tcp_votes"
+    to the candidate's own TCP votes by type. A zero share counts as unknown."""
+    share = pct_sql("votes", "total")
+    tcp = (
+        _tcp_party_votes(long)
+        .join(_tcp_totals(long), "DivisionNm")
+        .selectExpr("DivisionNm", "PartyAb", f"CASE WHEN {share} != 0 THEN {share} END / 100 * total AS tcp_votes")
     )
     own_cols = TCP_TYPES + ["Swing"]
     own = by_type.selectExpr("CandidateID", *[f"{c} AS tcp_{c}" for c in own_cols])
