@@ -547,8 +547,8 @@ def _prepoll_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     enrol_nat = "CASE Election WHEN '2016' THEN 15676659 ELSE 14712799 END"
     days = ",\n  ".join(
-        (f"coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0)" if d <= 14 else
-         f"CASE WHEN Election = '2013' THEN coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0) END")
+        (f"CAST(coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0) AS BIGINT)" if d <= 14 else
+         f"CASE WHEN Election = '2013' THEN CAST(coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0) AS BIGINT) END")
         + f" AS Day{d:02d}"
         for d in range(1, 17)
     )

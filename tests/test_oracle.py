@@ -54,3 +54,12 @@ def test_shuffle_join_plans_give_the_same_answer(spark, con, name):
     d_cols = [c[0] for c in res.description]
     assert rows_of(df.columns, s_rows, False) == rows_of(d_cols, res.fetchall(), False)
     assert "BroadcastExchange" not in plan
+
+
+def test_oracle_column_types_match_spark(spark, con):
+    norm = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER"}
+    for name, fn in queries().items():
+        spark_types = {n: norm.get(t, t) for n, t in fn(spark, SF_SMOKE).dtypes}
+        rel = con.sql(oracle_sql()[name])
+        duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        assert spark_types == duck_types, name
