@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.constants import DAY_FORMAT, INFORMAL, PREPOLL_DAYS
+from psephos.functions import case_sql, lit_sql
 from psephos.plans.sizing import materialize
 from psephos.sources.inputs import HouseInputs, PrepollInputs, SenateInputs
 from psephos.sources.schemas import PREPOLL_2013_IDS, PREPOLL_2016_IDS
@@ -64,7 +65,6 @@ WAREHOUSE_TABLES = ["lineitem", "orders", "customer", "nation", "region"]
 
 # --- helpers ------------------------------------------------------------------
 
-
 # Declared read schemas: only the columns the view uses, so the scan prunes to
 # them and no footer-sampling job runs to infer a schema.
 WAREHOUSE_SCHEMAS = {
@@ -85,37 +85,27 @@ def read_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str,
     return out
 
 
-def _sql(v) -> str:
-    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-
-
-def _case(key: str, mapping: dict, default: str = "NULL") -> str:
-    """A SQL CASE lookup of ``key`` in a fixed mapping (one JVM expression)."""
-    whens = " ".join(f"WHEN {_sql(k)} THEN {_sql(v)}" for k, v in mapping.items())
-    return f"CASE {key} {whens} ELSE {default} END"
-
-
 def _slot_sql(partkey: str) -> str:
     whens = " ".join(f"WHEN {partkey} % 100 < {b} THEN {s}" for b, s in SLOT_BOUNDS)
     return f"CASE {whens} ELSE {INFORMAL_SLOT} END"
 
 
 def _finalist_sql(which: int) -> str:
-    return "(" + _case("DivisionID % 4", {k: v[which] for k, v in FINALISTS.items()}) + ")"
+    return "(" + case_sql("DivisionID % 4", {k: v[which] for k, v in FINALISTS.items()}) + ")"
 
 
-_PARTY_SQL = _case("slot", PARTY_OF_SLOT)
+_PARTY_SQL = case_sql("slot", PARTY_OF_SLOT)
 
 # Candidate attributes as functions of (DivisionID, slot).
 _CANDIDATE_SQL = {
     "CandidateID": "DivisionID * 100 + slot",
-    "Surname": f"CASE WHEN slot = {INFORMAL_SLOT} THEN {_sql(INFORMAL)} ELSE concat('Cand', CAST(slot AS STRING)) END",
+    "Surname": f"CASE WHEN slot = {INFORMAL_SLOT} THEN {lit_sql(INFORMAL)} ELSE concat('Cand', CAST(slot AS STRING)) END",
     "GivenNm": "concat('G', CAST(slot AS STRING))",
     "BallotPosition": "CAST(slot AS BIGINT)",
     "Elected": f"CASE WHEN slot = {_finalist_sql(0)} THEN 'Y' ELSE 'N' END",
     "HistoricElected": "CASE WHEN slot = DivisionID % 4 + 1 THEN 'Y' ELSE 'N' END",
     "PartyAb": _PARTY_SQL,
-    "PartyNm": f"CASE WHEN slot = {INFORMAL_SLOT} THEN {_sql(INFORMAL)} ELSE concat('Party ', {_PARTY_SQL}) END",
+    "PartyNm": f"CASE WHEN slot = {INFORMAL_SLOT} THEN {lit_sql(INFORMAL)} ELSE concat('Party ', {_PARTY_SQL}) END",
     "Swing": "((DivisionID * 7 + slot * 3) % 21 - 10) / 2.0D",
 }
 
@@ -145,7 +135,7 @@ def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
     """
     vcodes = {p: i for i, p in enumerate(VOTE_TYPE_OF_PRIORITY, start=1)}
     orders = tables["orders"].selectExpr(
-        "o_orderkey", "o_custkey", f"{_case('o_orderpriority', vcodes)} AS vcode"
+        "o_orderkey", "o_custkey", f"{case_sql('o_orderpriority', vcodes)} AS vcode"
     )
     cust = tables["customer"].select("c_custkey", "c_nationkey")
     order_seat = orders.join(cust, orders.o_custkey == cust.c_custkey).selectExpr(
@@ -171,9 +161,9 @@ def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
         "n_nationkey AS c_nationkey",
         "CAST(n_nationkey AS BIGINT) AS DivisionID",
         "n_name AS DivisionNm",
-        f"{_case('r_name', STATE_OF_REGION)} AS StateAb",
+        f"{case_sql('r_name', STATE_OF_REGION)} AS StateAb",
     )
-    vtype = _case("vcode", {i: t for p, i in vcodes.items() for t in [VOTE_TYPE_OF_PRIORITY[p]]})
+    vtype = case_sql("vcode", {i: VOTE_TYPE_OF_PRIORITY[p] for p, i in vcodes.items()})
     grain = cells.join(geo, "c_nationkey").selectExpr(
         "StateAb", "DivisionID", "DivisionNm", f"{vtype} AS vtype", "k", "slot", "parity", "votes", "n_rows"
     )
