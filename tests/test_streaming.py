@@ -1,6 +1,7 @@
 """Structured Streaming over feeds derived from the smoke tables."""
 
 import os
+import shutil
 import uuid
 
 from pyspark.sql import functions as F
@@ -44,16 +45,20 @@ def test_snapshot_refresh(spark, tmpdir_path):
     for key, df in [("fp_type", house.fp_type), ("tcp_pp", house.tcp_pp), ("tcp_type", house.tcp_type),
                     ("enrolment", house.enrolment), ("pp_location", house.pp_location)]:
         _write_feed(df, os.path.join(snap, HOUSE_FILES[key].format(event=EVENT_2016)))
+    # A second snapshot: the same count re-published under another name.
+    snap2 = os.path.join(tmpdir_path, "snap-002")
+    shutil.copytree(snap, snap2)
     notices = os.path.join(tmpdir_path, "notices")
     os.makedirs(notices)
     with open(os.path.join(notices, "n1.txt"), "w") as f:
-        f.write(snap + "\n")
+        f.write(snap + "\n" + snap2 + "\n")
     out = os.path.join(tmpdir_path, "out")
     q = watch_snapshots(spark, notices, out, checkpoint_location=os.path.join(tmpdir_path, "ckpt"), available_now=True)
     q.awaitTermination()
-    got = spark.read.parquet(os.path.join(out, "public_funding"))
+    assert sorted(os.listdir(os.path.join(out, "public_funding")))[-2:] == ["snapshot=snap-001", "snapshot=snap-002"]
+    got = spark.read.parquet(os.path.join(out, "public_funding")).where("snapshot = 'snap-001'").drop("snapshot")
     want = H.public_funding(house.fp_pp)
     assert {(r.PartyAb, r.total_votes) for r in got.collect()} == {(r.PartyAb, r.total_votes) for r in want.collect()}
-    assert spark.read.parquet(os.path.join(out, "seat_summary")).count() == H.seat_summary(
+    assert spark.read.parquet(os.path.join(out, "seat_summary")).where("snapshot = 'snap-002'").count() == H.seat_summary(
         H.build_house(house)["pp_all"], house.enrolment, H.build_house(house)["tcp_type"], house.tcp_type
     ).count()
