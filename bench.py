@@ -24,8 +24,10 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     spark = get_session(f"local[{cpus}]", cpus, {"spark.driver.memory": "16g"})
-    # JVM warm-up (class loading, codegen caches); not timed.
-    QUERIES[FLAGSHIP](spark, sf_dir).collect()
+    # JVM warm-up (class loading, JIT, codegen caches), one query per code
+    # path: checkpointed grain, pivot, windows, pre-poll. Not timed.
+    for name in (FLAGSHIP, "tcp_by_place", "senate_quotas_candidate", "prepoll_state_rate"):
+        QUERIES[name](spark, sf_dir).collect()
     timings: dict[str, float] = {}
     rows: dict[str, int] = {}
     errors: dict[str, str] = {}
