@@ -97,7 +97,8 @@ def read_feed(
 
     Columns are matched to ``schema`` by header name; columns the schema does
     not declare are read as text and dropped; declared columns missing from
-    the file are NULL.
+    the file are NULL. Finding the header lines is one extra pass over the
+    files (feeds are count-sized, tens of MB, not warehouse-sized).
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = (
