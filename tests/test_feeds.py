@@ -87,3 +87,13 @@ def test_feed_scan_many_splits_only_first_split_loses_leading_lines(spark, tmpdi
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == list(range(1, 401))
+
+
+def test_feed_scan_gzip(spark, tmpdir_path):
+    import gzip
+
+    p = os.path.join(tmpdir_path, "feed.csv.gz")
+    with gzip.open(p, "wt") as f:
+        f.write("preamble\n" + PP_HEADER + "\n" + "NSW,101,Banks,1,Banks PPVC,11,S,G,1,N,Y,ALP,Labor,42,0\n")
+    rows = read_feed(spark, p, schemas.HOUSE_FP_PP).collect()
+    assert [(r.PollingPlace, r.OrdinaryVotes) for r in rows] == [("Banks PPVC", 42)]
