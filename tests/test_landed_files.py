@@ -54,3 +54,22 @@ def test_prepoll_from_landed_files(spark, tmpdir_path):
 def test_count_facade_senate(spark, vacancies):
     count = ElectionCount.from_warehouse(spark, SF_SMOKE, cache="persist")
     assert count.calculate_senate_quotas(vacancies).count() == count.senate.fp_group.count()
+
+
+def test_count_from_feed_files(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from psephos.sources.feeds import HOUSE_FILES, STATE_FILES
+
+    house, _ = election_inputs(spark, SF_SMOKE)
+    for st in STATE_FILES:
+        _write(house.fp_pp.where(F.col("StateAb") == st),
+               os.path.join(tmpdir_path, HOUSE_FILES["fp_pp"].format(event=EVENT_2016, state=st)), ["House"])
+    for key in ("fp_type", "tcp_pp", "tcp_type", "enrolment", "pp_location"):
+        _write(getattr(house, key), os.path.join(tmpdir_path, HOUSE_FILES[key].format(event=EVENT_2016)), ["House"])
+    landed = ElectionCount.from_feeds(spark, tmpdir_path, senate=False, cache="persist")
+    direct = ElectionCount.from_warehouse(spark, SF_SMOKE, cache="persist")
+    for method in ("seat_summary", "grim_reaper", "public_funding_group_hor", "tcp_comparison"):
+        assert _rows(getattr(landed, method)()) == _rows(getattr(direct, method)()), method
+    with pytest.raises(ValueError):
+        landed.calculate_senate_quotas()
