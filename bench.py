@@ -53,6 +53,9 @@ def main() -> None:
         "rows": rows,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
+        "spark_version": spark.version,
+        "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),
+        "timing": "each query cold (cache cleared) after a four-query JVM warm-up",
     }
     if errors:
         out["errors"] = errors
