@@ -35,6 +35,7 @@ from psephos.functions import (
     strict_sum,
     strict_sum_over,
 )
+from psephos.plans.sizing import materialize
 
 _INFORMAL = lit_sql(INFORMAL)
 _DUMMY_CASE = case_sql("vote_column", DUMMY_PLACES)
@@ -440,7 +441,8 @@ def tcp_comparison(tcp_all: DataFrame) -> DataFrame:
 
 
 class HouseTables:
-    """The six derived House tables, built on first use in dependency order.
+    """The derived House tables (the six the analysis refreshes, plus the long
+    TCP matrix they share), built on first use in dependency order.
 
     ``cache`` is passed to :func:`psephos.plans.sizing.materialize` for the
     tables several reports share (the candidate/place table, the long TCP
@@ -456,8 +458,6 @@ class HouseTables:
         self._built: dict[str, DataFrame] = {}
 
     def _make(self, name: str) -> DataFrame:
-        from psephos.plans.sizing import materialize
-
         i = self.inputs
         if name == "pp_all":
             return materialize(polling_place_results_by_candidate(i.fp_pp, i.fp_type), self.cache)
