@@ -284,6 +284,9 @@ def _house_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["pp_results_by_candidate"] = _with(PP_ALL) + "SELECT * FROM pp_all"
     q["formal_votes_by_party"] = _with(H2) + "SELECT * FROM h2"
+    q["polling_place_locations"] = _with() + (
+        "SELECT DISTINCT StateAb, DivisionID, DivisionNm, PollingPlaceID, PollingPlace FROM house_fp_pp"
+    )
     q["tcp_by_place"] = _with(
         TCP_LONG,
         "tcp_tot AS (SELECT *, CAST(coalesce(sum(votes) OVER (PARTITION BY DivisionNm, PollingPlace), 0) AS BIGINT) AS total FROM tcp_long)",

@@ -64,6 +64,8 @@ QUERIES: dict[str, Query] = {
     "public_funding": _house(lambda i, t: H.public_funding(i.fp_pp)),
     "seat_summary": _house(lambda i, t: H.seat_summary(t["pp_all"], i.enrolment, t["tcp_type"], i.tcp_type)),
     "tcp_comparison": _house(lambda i, t: H.tcp_comparison(t["tcp_type"])),
+    # Polling-place locations feed (loaded by the original, not used by a report)
+    "polling_place_locations": _house(lambda i, t: i.pp_location),
     # Senate (S1-S3)
     "senate_turnout": _senate(lambda h, s: S.senate_turnout(s.fp_div, h.enrolment)),
     "senate_quotas_half": _senate(lambda h, s: S.senate_quotas(s.fp_group, 6)),
