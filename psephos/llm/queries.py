@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, pii, quality, token_counts, urls
+from . import bpe, chat, decontaminate, jaccard, pii, quality, token_counts, urls
 from .common import table
 
 PUBLIC = public_tokenizers.path
@@ -34,6 +34,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_texts(table(spark, sf_dir, "documents"), PUBLIC("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -59,6 +63,6 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_url_filters, op5_byte_bpe, op6_token_counts, op7_decontamination, op8_pii, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_url_filters, op4_jaccard_join, op5_byte_bpe, op6_token_counts, op7_decontamination, op8_pii, op9_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {}
