@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, pii, quality, token_counts, urls
+from . import bpe, chat, decontaminate, jaccard, lm, pii, quality, token_counts, urls
 from .common import table
 
 PUBLIC = public_tokenizers.path
@@ -63,6 +63,10 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(chat.format_windows(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_url_filters, op4_jaccard_join, op5_byte_bpe, op6_token_counts, op7_decontamination, op8_pii, op9_chat_format)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), PUBLIC("byte_bpe_multi_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_url_filters, op4_jaccard_join, op5_byte_bpe, op6_token_counts, op7_decontamination, op8_pii, op9_chat_format, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {}
