@@ -14,6 +14,7 @@ import hashlib
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import NEVER, WHITE, let, merge_ranked
 
@@ -71,13 +72,14 @@ def digest_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return _encode(docs, path, pattern, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digest)
 
 
-def decode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with its text encoded and decoded again, and ``n_tokens``; other columns as they are."""
-    from pyspark.sql.types import LongType, StructField, StructType
+def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids`` and ``n_tokens`` added, its text encoded and decoded again.
 
-    fields = [f for f in docs.schema.fields if f.name != "n_tokens"]
-    keep = [f.name for f in fields]
-    schema = StructType([*fields, StructField("n_tokens", LongType())])
+    Other columns stay as they are; columns of the two added names are replaced.
+    A null text stays null, with no ids; an empty one stays empty.
+    """
+    fields = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens")]
+    schema = StructType([*fields, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
     state = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches):
@@ -86,12 +88,13 @@ def decode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
         encode, decode = coder(state.value, pattern)
         for b in batches:
             at = b.schema.get_field_index(text_col)
-            ids = [encode(t) for t in b.column(at).to_pylist()]
-            texts = [None if t is None else decode(i).decode() for t, i in zip(b.column(at).to_pylist(), ids, strict=True)]
+            old = b.column(at).to_pylist()
+            ids = [encode(t) for t in old]
+            texts = [None if t is None else decode(i).decode() for t, i in zip(old, ids, strict=True)]
             cols = [pa.array(texts, b.schema.field(at).type) if k == at else c for k, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([len(i) for i in ids], pa.int64())], names=[*b.schema.names, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], names=[*b.schema.names, "ids", "n_tokens"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
 
 
 def coder(state: dict, pattern: str):

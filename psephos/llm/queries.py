@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, lm, pii, quality, token_counts, urls
+from . import bpe, chat, decontaminate, html_mincut, jaccard, lm, pii, quality, token_counts, urls
 from .common import table
 
 PUBLIC = public_tokenizers.path
@@ -25,6 +25,10 @@ URL_RULES = [
 PII_KEY = b"documents, first release"
 
 
+def op1_html_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -67,6 +71,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), PUBLIC("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_url_filters, op4_jaccard_join, op5_byte_bpe, op6_token_counts, op7_decontamination, op8_pii, op9_chat_format, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_quality_rules, op3_url_filters, op4_jaccard_join, op5_byte_bpe, op6_token_counts, op7_decontamination, op8_pii, op9_chat_format, op10_lm_scoring)}
 
 ORACLE_SQL: dict[str, str] = {}
