@@ -33,8 +33,8 @@ WORD_REFERENCES = {
     "fr": {"de": 0.050, "la": 0.028, "le": 0.021, "et": 0.020, "les": 0.018, "des": 0.016, "en": 0.012, "un": 0.011, "du": 0.011, "que": 0.010},
     "es": {"de": 0.060, "la": 0.037, "que": 0.030, "el": 0.028, "en": 0.026, "y": 0.025, "a": 0.020, "los": 0.016, "se": 0.013, "del": 0.011},
 }
-MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 100
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.2, 0.24
+MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 300, 100
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.25
 
 #: Character classes by what they leave when all else is deleted; the rest is "other".
 CLASSES = [r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^\p{Nd}]+", r"[^\x20\x09-\x0D]+", r"[^.,;:!?'\"()\-]+"]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_mincut, jaccard, lm, pii, quality, token_counts, urls
+from . import bpe, chat, decontaminate, html_mincut, jaccard, lm, oracle, pii, quality, token_counts, urls
 from .common import table
 
 PUBLIC = public_tokenizers.path
@@ -73,4 +73,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_quality_rules, op3_url_filters, op4_jaccard_join, op5_byte_bpe, op6_token_counts, op7_decontamination, op8_pii, op9_chat_format, op10_lm_scoring)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_quality_rules": oracle.quality_rules(),
+    "op3_url_filters": oracle.url_filters(URL_RULES),
+    "op4_jaccard_join": oracle.jaccard_join(4, 85),
+    "op7_decontamination": oracle.decontamination(),
+    "op9_chat_format": oracle.chat_format(512, 256),
+}
