@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import regex
 from pyspark.sql import Column, DataFrame
@@ -168,7 +169,7 @@ def _encode(docs, path, pattern, id_col, text_col, columns, result):
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The rank file as a literal: an array of slots by hash, each an array of (token in hex, rank).
+    """The rank file as a literal: an array of slots by hash, each the text ``,hex:rank,hex:rank,``.
 
     Indexing an array costs the same at any length, while a map literal is
     searched from its start for each lookup.
@@ -176,14 +177,8 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     slots: list[list[str]] = [[] for _ in range(SLOTS)]
     for b, r in ranks.items():
         h = b.hex().upper()
-        slots[_slot(h)].append(f"{h}:{r}")
-    return F.split(F.lit("\n".join("," + ",".join(s) + "," for s in slots)), "\n")
-
-
-def _slot(h: str) -> int:
-    import zlib
-
-    return zlib.crc32(h.encode()) % SLOTS
+        slots[zlib.crc32(h.encode()) % SLOTS].append(f"{h}:{r}")
+    return F.split(F.lit("\n".join("," + ",".join(s) + "," for s in slots)), "\n")  # folded into a constant by the planner
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], col: str = "word") -> DataFrame:
@@ -192,31 +187,28 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], col: str = "word") -
     Each word's bytes become an array of hex parts; ``aggregate`` folds at most
     (parts - 1) merges over it, each joining the leftmost pair of lowest rank.
     """
-    spark = words.sparkSession
-    table = spark.range(1).select(rank_map(ranks).alias("m"))
-    literal = table.first()["m"]  # bounded by the rank file
-    slots = F.lit(literal)
+    slots = rank_map(ranks)
 
     def rank(h: Column) -> Column:
-        hit = F.regexp_extract(F.get(slots, F.crc32(h.cast("binary")) % SLOTS), F.concat(F.lit(","), h, F.lit(":([0-9]+),")), 1)
-        return F.try_to_number(F.nullif(hit, F.lit("")), F.lit("999999999")).cast("int")
+        slot = F.get(slots, (F.crc32(h.cast("binary")) % SLOTS).cast("int"))
+        after = F.call_function("substring_index", slot, F.concat(F.lit(","), h, F.lit(":")), F.lit(-1))
+        return F.when(after != slot, F.substring_index(after, ",", 1).cast("int"))
 
     def step(parts: Column, _) -> Column:
         def joined(best: Column) -> Column:
             at = best["at"]
             return F.when(best["rank"].isNull(), parts).otherwise(
-                F.concat(F.slice(parts, 1, at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
+                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
             )
 
         pairs = F.transform(
             F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))),
             lambda i: F.struct(rank(F.concat(F.get(parts, i - 1), F.get(parts, i))).alias("rank"), i.alias("at")),
         )
-        known = F.filter(pairs, lambda p: p["rank"].isNotNull())
-        return F.when(F.size(parts) < 2, parts).otherwise(let(F.array_min(known), joined))
+        return F.when(F.size(parts) < 2, parts).otherwise(let(F.array_min(F.filter(pairs, lambda p: p["rank"].isNotNull())), joined))
 
     hexed = F.hex(F.encode(F.col(col), "UTF-8"))
-    parts = F.filter(F.split(hexed, "(?<=\\G..)"), lambda p: p != "")
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), parts, step)
+    parts = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.substring(hexed, i, F.lit(2)))
+    folded = F.aggregate(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), parts, step)
     whole = F.when(rank(hexed).isNotNull(), F.array(hexed)).otherwise(folded)
     return words.select(F.col(col), F.transform(whole, rank).alias("ids"))

@@ -59,7 +59,7 @@ def merge_ranked(parts: list, rank) -> list:
 
     ``rank(a, b)`` is the rank of joining two neighbours, or ``NEVER``. Short
     words scan for the best pair; long ones use a heap over linked neighbours,
-    so a word of n parts costs n log n.
+    so a word of n parts costs n log n. The list is used up.
     """
     n = len(parts)
     if n < 64:

@@ -50,7 +50,7 @@ PATTERNS = {
     "email": r"(?P<email>[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})",
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ip": r"(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\.?\d)",
-    "card": r"(?<![\d-])(?P<card>\d{4}([ -]?)\d{4}\2\d{4}\2\d{4}|\d{13,19}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\d-])",
+    "card": r"(?<![\d-])(?P<card>\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{13,19}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\d-])",
     "ssn": r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])",
     "phone": r"(?<![\w+])(?P<phone>\+\d{1,3}(?:(?:[ .-]|[#*$%&!|]{1,3} | \| )?\(?\d{1,4}\)?){2,5}|\(\d{3}\)(?: |[#*$%&!|]{1,3} | \| )?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
     "person": rf"(?:\b(?P<title>{_TITLE})\.? (?P<titled>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<person>(?:{_GIVEN}) {_NAME}))\b",
