@@ -194,28 +194,31 @@ def lagging_incumbents(long: DataFrame, fp_type: DataFrame, enrolment: DataFrame
     final two has share 0 there (the wide division table gives it a 0 cell);
     one that is a TCP party nowhere has no share at all.
     """
-    totals, votes = _tcp_totals(long), _tcp_party_votes(long)
+    # One aggregate per (seat, party), folded into a row per seat: its total,
+    # its few parties' votes, and the one that can be over half.
+    seats = (
+        _tcp_party_votes(long)
+        .groupBy("DivisionNm")
+        .agg(
+            F.expr("sum(votes) AS total"),
+            F.expr("map_from_entries(collect_list(struct(PartyAb, votes))) AS votes"),
+            F.expr("max_by(PartyAb, votes) AS first_party"),
+            F.expr("max(votes) AS first_votes"),
+        )
+        .withColumn("lead_party", F.expr(f"CASE WHEN {pct_sql('first_votes', 'total')} > 50 THEN first_party END"))
+    )
     tcp_parties = long.select("PartyAb").distinct()
     sitting = (
         fp_type.where("HistoricElected = 'Y'").select("DivisionNm", "PartyAb").join(tcp_parties, "PartyAb", "left_semi")
     )
-    held = (
-        sitting.join(totals, "DivisionNm")
-        .join(votes, ["DivisionNm", "PartyAb"], "left")
-        .selectExpr("DivisionNm", "PartyAb", "total", f"{pct_sql('coalesce(votes, 0)', 'total')} AS vote_percent")
-    )
-    leaders = (
-        votes.join(totals, "DivisionNm")
-        .where(f"{pct_sql('votes', 'total')} > 50")
-        .selectExpr("DivisionNm", "PartyAb AS lead_party")
-    )
+    share = pct_sql("coalesce(try_element_at(votes, PartyAb), 0)", "total")
+    held = sitting.join(seats, "DivisionNm").selectExpr("DivisionNm", "PartyAb", "total", "lead_party", f"{share} AS vote_percent")
     names = fp_type.select("DivisionNm", "PartyAb", "Surname", "GivenNm")
-    seats = enrolment.select("DivisionNm", "Enrolment", "StateAb")
+    enrolled = enrolment.select("DivisionNm", "Enrolment", "StateAb")
     out = (
         held.where("vote_percent < 50")
         .join(names, ["DivisionNm", "PartyAb"], "left")
-        .join(seats, "DivisionNm", "left")
-        .join(leaders, "DivisionNm", "left")
+        .join(enrolled, "DivisionNm", "left")
     )
     return out.selectExpr(
         "StateAb",
@@ -276,8 +279,11 @@ _CAND_KEYS = ["DivisionNm", "PartyAb", "CandidateID", "Surname", "GivenNm", "Ele
 DIVISION_COLUMNS = ["ordinary", "prepoll_ordinary", "absent", "provisional", "prepoll_dec", "postal", "total"]
 
 
-def division_votes(pp_all: DataFrame, division: str | None = None) -> DataFrame:
-    """Votes per candidate by vote type; informal row last, then by total descending."""
+def division_votes(pp_all: DataFrame, division: str | None = None, ordered: bool = True) -> DataFrame:
+    """Votes per candidate by vote type; informal row last, then by total descending.
+
+    ``ordered=False`` leaves the sort out, for a report that sorts its own result.
+    """
 
     def place(col: str) -> str:
         return f"PollingPlace = {lit_sql(DUMMY_PLACES[col])}"
@@ -295,7 +301,7 @@ def division_votes(pp_all: DataFrame, division: str | None = None) -> DataFrame:
             strict_sum("OrdinaryVotes").alias("total"),
         )
     )
-    return out.orderBy("DivisionNm", F.expr(f"Surname = {_INFORMAL}"), desc_last("total"))
+    return out.orderBy("DivisionNm", F.expr(f"Surname = {_INFORMAL}"), desc_last("total")) if ordered else out
 
 
 def division_percent(votes: DataFrame) -> DataFrame:
@@ -452,27 +458,28 @@ class HouseTables:
 
     NAMES = ("pp_all", "formal_votes_div", "tcp_long", "tcp_pp", "hor_tcp_type", "div_total_type", "tcp_type")
 
-    def __init__(self, inputs, cache: str = "none"):
+    def __init__(self, inputs, cache: str = "none", kept: list[DataFrame] | None = None):
         self.inputs = inputs
         self.cache = cache
+        self.kept = [] if kept is None else kept
         self._built: dict[str, DataFrame] = {}
 
     def _make(self, name: str) -> DataFrame:
         i = self.inputs
         if name == "pp_all":
-            return materialize(polling_place_results_by_candidate(i.fp_pp, i.fp_type), self.cache)
+            return materialize(polling_place_results_by_candidate(i.fp_pp, i.fp_type), self.cache, self.kept)
         if name == "formal_votes_div":
             return formal_votes_by_party(i.fp_pp)
         if name == "tcp_long":
-            return materialize(tcp_long(i.tcp_pp, i.tcp_type), self.cache)
+            return materialize(tcp_long(i.tcp_pp, i.tcp_type), self.cache, self.kept)
         if name == "tcp_pp":
-            return tcp_by_place(self["tcp_long"])
+            return tcp_by_place(self["tcp_long"], getattr(i, "parties", None))
         if name == "hor_tcp_type":
             return tcp_by_type(self["tcp_long"], i.tcp_type)
         if name == "div_total_type":
             return vote_types_by_division(i.fp_type, i.fp_pp)
         if name == "tcp_type":
-            return materialize(tcp_everything(self["hor_tcp_type"], i.enrolment), self.cache)
+            return materialize(tcp_everything(self["hor_tcp_type"], i.enrolment), self.cache, self.kept)
         raise KeyError(name)
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -484,9 +491,10 @@ class HouseTables:
         return {n: self[n] for n in self.NAMES}
 
 
-def build_house(inputs, cache: str = "none") -> HouseTables:
-    """Refresh of the derived House tables (built lazily on access)."""
-    return HouseTables(inputs, cache)
+def build_house(inputs, cache: str = "none", kept: list[DataFrame] | None = None) -> HouseTables:
+    """Refresh of the derived House tables (built lazily on access); ``kept``
+    takes what is materialized, for ``release``."""
+    return HouseTables(inputs, cache, kept)
 
 
 # --- dormant reports (kept commented out in the original analysis) ---------------------

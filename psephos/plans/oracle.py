@@ -75,9 +75,10 @@ geo AS (
 ballots AS (
   SELECT g.StateAb, g.DivisionID, g.DivisionNm,
          CASE o.o_orderpriority WHEN '1-URGENT' THEN 'OrdinaryVotes' WHEN '2-HIGH' THEN 'AbsentVotes'
-              WHEN '3-MEDIUM' THEN 'ProvisionalVotes' WHEN '4-NOT SPECIFIED' THEN 'PrePollVotes'
+              WHEN '3-MEDIUM' THEN CASE WHEN g.DivisionID % 6 = 5 THEN 'PostalVotes' ELSE 'ProvisionalVotes' END WHEN '4-NOT SPECIFIED' THEN 'PrePollVotes'
               WHEN '5-LOW' THEN 'PostalVotes' END AS vtype,
-         l.l_suppkey % 10 AS k,
+         CASE WHEN g.DivisionID % 5 = 4 AND o.o_orderpriority = '1-URGENT' AND l.l_suppkey % 10 < 2
+              THEN l.l_suppkey % 10 + 2 ELSE l.l_suppkey % 10 END AS k,
          CASE WHEN l.l_partkey % 100 < 34 THEN 1 WHEN l.l_partkey % 100 < 60 THEN 2
               WHEN l.l_partkey % 100 < 75 THEN 3 WHEN l.l_partkey % 100 < 88 THEN 4
               WHEN l.l_partkey % 100 < 91 THEN 5 WHEN l.l_partkey % 100 < 94 THEN 6
@@ -88,8 +89,6 @@ ballots AS (
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN geo g ON c.c_nationkey = g.nk
-  WHERE NOT (g.DivisionID % 6 = 5 AND o.o_orderpriority = '3-MEDIUM')
-    AND NOT (g.DivisionID % 5 = 4 AND o.o_orderpriority = '1-URGENT' AND l.l_suppkey % 10 < 2)
 ),
 tcp_ballots AS (
   SELECT StateAb, DivisionID, DivisionNm, vtype, k,
@@ -280,6 +279,11 @@ def _with(*parts: str) -> str:
     return "WITH " + ",\n".join([BASE.strip()] + [p.strip() for p in parts]) + "\n"
 
 
+def _party_columns(x: str, absent: str = "NULL") -> str:
+    """One column per party that can be a finalist; ``absent`` where it has no row."""
+    return ", ".join(f"coalesce(max({x}) FILTER (WHERE PartyAb = '{p}'), {absent}) AS {p}" for p in ("ALP", "GRN", "LP", "NP"))
+
+
 def _house_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     q["pp_results_by_candidate"] = _with(PP_ALL) + "SELECT * FROM pp_all"
@@ -290,15 +294,14 @@ def _house_queries() -> dict[str, str]:
     q["tcp_by_place"] = _with(
         TCP_LONG,
         "tcp_tot AS (SELECT *, CAST(coalesce(sum(votes) OVER (PARTITION BY DivisionNm, PollingPlace), 0) AS BIGINT) AS total FROM tcp_long)",
-    ) + "SELECT * FROM (PIVOT tcp_tot ON PartyAb USING first(votes) GROUP BY DivisionNm, PollingPlace, total)"
+    ) + f"SELECT DivisionNm, PollingPlace, {_party_columns('votes')}, total FROM tcp_tot GROUP BY DivisionNm, PollingPlace, total"
     q["tcp_by_place_percent"] = _with(
         TCP_LONG,
         "tcp_tot AS (SELECT *, CAST(coalesce(sum(votes) OVER (PARTITION BY DivisionNm, PollingPlace), 0) AS BIGINT) AS total FROM tcp_long)",
         f"tcp_pct AS (SELECT DivisionNm, PollingPlace, PartyAb, total, {pc('votes', 'total')} AS p FROM tcp_tot)",
-    ) + "SELECT * FROM (PIVOT tcp_pct ON PartyAb USING first(p) GROUP BY DivisionNm, PollingPlace, total)"
+    ) + f"SELECT DivisionNm, PollingPlace, {_party_columns('p')}, total FROM tcp_pct GROUP BY DivisionNm, PollingPlace, total"
     q["tcp_by_division_percent"] = _with(TCP_LONG, H5_GRID) + (
-        "SELECT * FROM (PIVOT (SELECT DivisionNm, total, PartyAb, vote_percent FROM h5_long) "
-        "ON PartyAb USING first(vote_percent) GROUP BY DivisionNm, total)"
+        f"SELECT DivisionNm, {_party_columns('vote_percent', pc('0', 'total'))}, total FROM h5_long GROUP BY DivisionNm, total"
     )
     q["tcp_by_type"] = _with(TCP_LONG, H5_GRID, H6) + "SELECT * FROM h6"
     q["tcp_everything"] = _with(TCP_LONG, H5_GRID, H6, H7) + "SELECT * FROM h7"
@@ -550,7 +553,7 @@ def _prepoll_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     enrol_nat = "CASE Election WHEN '2016' THEN 15676659 ELSE 14712799 END"
     days = ",\n  ".join(
-        (f"CAST(coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0) AS BIGINT)" if d <= 14 else
+        (f"CAST(coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0) AS BIGINT)" if d <= 15 else
          f"CASE WHEN Election = '2013' THEN CAST(coalesce(sum(Votes) FILTER (WHERE \"Day\" = 'Day{d:02d}'), 0) AS BIGINT) END")
         + f" AS Day{d:02d}"
         for d in range(1, 17)

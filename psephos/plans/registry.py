@@ -18,10 +18,12 @@ from psephos.sources.binding import election_inputs, prepoll_inputs
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _house(fn: Callable) -> Query:
+def _house(fn: Callable, cache: str = "none") -> Query:
+    """``cache="auto"`` materializes the shared House tables, for a report that reads one twice."""
+
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         house, _ = election_inputs(spark, sf_dir)
-        return fn(house, H.build_house(house))
+        return fn(house, H.build_house(house, cache))
 
     q.__doc__ = fn.__doc__
     return q
@@ -51,18 +53,18 @@ QUERIES: dict[str, Query] = {
     "formal_votes_by_party": _house(lambda i, t: t["formal_votes_div"]),
     "tcp_by_place": _house(lambda i, t: t["tcp_pp"]),
     "tcp_by_place_percent": _house(lambda i, t: H.tcp_by_place_percent(t["tcp_pp"])),
-    "tcp_by_division_percent": _house(lambda i, t: H.tcp_by_division_percent(t["tcp_long"])),
+    "tcp_by_division_percent": _house(lambda i, t: H.tcp_by_division_percent(t["tcp_long"], i.parties)),
     "tcp_by_type": _house(lambda i, t: t["hor_tcp_type"]),
     "tcp_everything": _house(lambda i, t: t["tcp_type"]),
-    "lagging_incumbents": _house(lambda i, t: H.lagging_incumbents(t["tcp_long"], i.fp_type, i.enrolment)),
+    "lagging_incumbents": _house(lambda i, t: H.lagging_incumbents(t["tcp_long"], i.fp_type, i.enrolment), "auto"),
     "party_share_by_division": _house(lambda i, t: H.party_share_by_division(i.fp_type)),
     "vote_types_by_division": _house(lambda i, t: t["div_total_type"]),
     "division_votes": _house(lambda i, t: H.division_votes(t["pp_all"])),
-    "division_percent": _house(lambda i, t: H.division_percent(H.division_votes(t["pp_all"]))),
+    "division_percent": _house(lambda i, t: H.division_percent(H.division_votes(t["pp_all"], ordered=False))),
     "division_tcp_votes": _house(lambda i, t: H.division_tcp_votes(t["tcp_type"])),
     "division_tcp_percent": _house(lambda i, t: H.division_tcp_percent(t["tcp_type"])),
     "public_funding": _house(lambda i, t: H.public_funding(i.fp_pp)),
-    "seat_summary": _house(lambda i, t: H.seat_summary(t["pp_all"], i.enrolment, t["tcp_type"], i.tcp_type)),
+    "seat_summary": _house(lambda i, t: H.seat_summary(t["pp_all"], i.enrolment, t["tcp_type"], i.tcp_type), "auto"),
     "tcp_comparison": _house(lambda i, t: H.tcp_comparison(t["tcp_type"])),
     # Polling-place locations feed (loaded by the original, not used by a report)
     "polling_place_locations": _house(lambda i, t: i.pp_location),
@@ -82,9 +84,9 @@ QUERIES: dict[str, Query] = {
     "tcp_division_party": _house(lambda i, t: H.tcp_division_party(t["tcp_long"])),
     "vote_types_plain": _house(lambda i, t: H.vote_types_plain(i.fp_type)),
     "division_votes_tcp": _house(
-        lambda i, t: H.division_votes_tcp(H.division_votes(t["pp_all"]), t["tcp_long"], t["hor_tcp_type"])
+        lambda i, t: H.division_votes_tcp(H.division_votes(t["pp_all"], ordered=False), t["tcp_long"], t["hor_tcp_type"]), "auto"
     ),
-    "tcp_lead_lag_diff": _house(lambda i, t: H.tcp_lead_lag_diff(t["tcp_type"])),
+    "tcp_lead_lag_diff": _house(lambda i, t: H.tcp_lead_lag_diff(t["tcp_type"]), "auto"),
     "senate_quotas_dd_hs": _senate(lambda h, s: S.senate_quotas_two(s.fp_group)),
     "senate_quotas_both": _senate(lambda h, s: S.senate_quotas_both(s.fp_group)),
     "prepoll_division": _prepoll(lambda c, e: E.prepoll_division(c)),

@@ -57,9 +57,12 @@ VOTE_TYPE_OF_PRIORITY = {
 # Final two candidate slots by DivisionID % 4.
 FINALISTS = {0: (1, 2), 1: (1, 2), 2: (1, 4), 3: (2, 3)}
 
+# Parties that can be a finalist: the columns of the wide TCP tables.
+TCP_PARTIES = sorted({PARTY_OF_SLOT[s] for pair in FINALISTS.values() for s in pair})
+
 ENROLMENT_PER_ROW = 27
 ENROLLED_PER_EVENT = 2
-PREPOLL_SPLIT_DAY = 16  # days 1-16 are the 2013 campaign, 17-30 the 2016 one
+PREPOLL_SPLIT_DAY = 16  # days 1-16 are the 2013 campaign, 17-31 the 2016 one
 
 WAREHOUSE_TABLES = ["lineitem", "orders", "customer", "nation", "region"]
 
@@ -164,13 +167,13 @@ def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
         f"{case_sql('r_name', STATE_OF_REGION)} AS StateAb",
     )
     vtype = case_sql("vcode", {i: VOTE_TYPE_OF_PRIORITY[p] for p, i in vcodes.items()})
-    grain = cells.join(geo, "c_nationkey").selectExpr(
-        "StateAb", "DivisionID", "DivisionNm", f"{vtype} AS vtype", "k", "slot", "parity", "votes", "n_rows"
-    )
-    # Seats without provisional votes, and seats without pre-poll places.
-    return grain.where(
-        "NOT (DivisionID % 6 = 5 AND vtype = 'ProvisionalVotes') "
-        "AND NOT (DivisionID % 5 = 4 AND vtype = 'OrdinaryVotes' AND k < 2)"
+    # Seats without provisional votes (theirs count as postal), and seats
+    # without pre-poll places (theirs count at two of the booths). Every row
+    # stays; two cells may now share a key, and the feeds sum again.
+    moved_type = f"CASE WHEN DivisionID % 6 = 5 AND {vtype} = 'ProvisionalVotes' THEN 'PostalVotes' ELSE {vtype} END"
+    moved_place = f"CASE WHEN DivisionID % 5 = 4 AND {vtype} = 'OrdinaryVotes' AND k < 2 THEN k + 2 ELSE k END"
+    return cells.join(geo, "c_nationkey").selectExpr(
+        "StateAb", "DivisionID", "DivisionNm", f"{moved_type} AS vtype", f"{moved_place} AS k", "slot", "parity", "votes", "n_rows"
     )
 
 
@@ -228,6 +231,8 @@ class GrainHouseInputs:
     """House feeds over the ballot grain, each built on first use (a report
     that reads three feeds does not plan the other two)."""
 
+    parties = TCP_PARTIES
+
     def __init__(self, grain: DataFrame):
         self.grain = grain
 
@@ -303,14 +308,17 @@ def senate_inputs(grain: DataFrame) -> SenateInputs:
     return GrainSenateInputs(grain)  # type: ignore[return-value]
 
 
-def election_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> tuple[HouseInputs, SenateInputs]:
+def election_inputs(
+    spark: SparkSession, sf_dir: str, cache: str = "auto", kept: list[DataFrame] | None = None
+) -> tuple[HouseInputs, SenateInputs]:
     """House and Senate feeds over one materialized ballot grain.
 
     The grain is cut from its lineage (``cache``, see ``materialize``) so the
     five-way join runs once however many feeds and reports read it; without
     the cut, predicate pushdown gives every feed its own copy of the join.
+    ``kept`` takes what was materialized, for ``release``.
     """
-    grain = materialize(ballot_grain(read_tables(spark, sf_dir, WAREHOUSE_TABLES)), cache)
+    grain = materialize(ballot_grain(read_tables(spark, sf_dir, WAREHOUSE_TABLES)), cache, kept)
     return house_inputs(grain), senate_inputs(grain)
 
 
@@ -352,7 +360,7 @@ def prepoll_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> Pre
         )
 
     pp13 = wide("2013", PREPOLL_DAYS, PREPOLL_2013_IDS)
-    pp16 = wide("2016", 30 - PREPOLL_SPLIT_DAY, PREPOLL_2016_IDS)
+    pp16 = wide("2016", 31 - PREPOLL_SPLIT_DAY, PREPOLL_2016_IDS)
 
     enrolled = counts.groupBy("Election", "State", "Division").agg(F.expr(f"sum(Votes) * {ENROLLED_PER_EVENT} AS n"))
     enrol16 = enrolled.where("Election = '2016'").selectExpr(
