@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from psephos.operators import house as H
 from psephos.operators import prepoll as E
 from psephos.operators import senate as S
+from psephos.plans.sizing import release
 from psephos.sources.binding import election_inputs, prepoll_inputs
-from psephos.sources.feeds import load_house, load_prepoll, load_senate, write_seat_summary
+from psephos.sources.feeds import STATE_FILES, load_house, load_prepoll, load_senate, write_seat_summary
 from psephos.sources.inputs import PrepollInputs, SenateInputs
 
 
@@ -32,23 +33,28 @@ class ElectionCount:
     def __init__(self, loader, cache: str = "auto"):
         self._loader = loader
         self.cache = cache
+        self._kept: list[DataFrame] = []
         self.refresh()
 
     @classmethod
     def from_feeds(cls, spark: SparkSession, base: str, senate: bool = True, cache: str = "auto") -> ElectionCount:
         """Feeds landed as CSV files under ``base`` (the published file names)."""
-        return cls(lambda: (load_house(spark, base), load_senate(spark, base) if senate else None), cache)
+        return cls(lambda kept: (load_house(spark, base), load_senate(spark, base) if senate else None), cache)
 
     @classmethod
     def from_warehouse(cls, spark: SparkSession, sf_dir: str, cache: str = "auto") -> ElectionCount:
         """The election view over the warehouse tables in ``sf_dir``."""
-        return cls(lambda: election_inputs(spark, sf_dir, cache), cache)
+        return cls(lambda kept: election_inputs(spark, sf_dir, cache, kept), cache)
 
     def refresh(self) -> ElectionCount:
-        """Re-read the feeds and rebuild the derived tables (lazily, on first use)."""
-        self.house, self.senate = self._loader()
+        """Re-read the feeds and rebuild the derived tables (lazily, on first use).
+
+        The tables of the last refresh are released first.
+        """
+        release(self._kept)
+        self.house, self.senate = self._loader(self._kept)
         self.as_of = datetime.now()
-        self.tables = H.build_house(self.house, self.cache)
+        self.tables = H.build_house(self.house, self.cache, self._kept)
         return self
 
     # --- House ----------------------------------------------------------------------
@@ -66,7 +72,7 @@ class ElectionCount:
         return H.tcp_by_place_percent(self.tables["tcp_pp"])
 
     def tcp_by_party_by_division_percent(self) -> DataFrame:
-        return H.tcp_by_division_percent(self.tables["tcp_long"])
+        return H.tcp_by_division_percent(self.tables["tcp_long"], getattr(self.house, "parties", None))
 
     def tcp_by_vote_type_by_division(self) -> DataFrame:
         return self.tables["hor_tcp_type"]
@@ -87,7 +93,7 @@ class ElectionCount:
         return H.division_votes(self.tables["pp_all"], division)
 
     def division_total_percent(self, division: str | None = None) -> DataFrame:
-        return H.division_percent(H.division_votes(self.tables["pp_all"], division))
+        return H.division_percent(H.division_votes(self.tables["pp_all"], division, ordered=False))
 
     def division_tcp_votes(self, division: str | None = None) -> DataFrame:
         return H.division_tcp_votes(self.tables["tcp_type"], division)
@@ -139,9 +145,16 @@ class PrepollSeries:
 
     @classmethod
     def from_files(
-        cls, spark: SparkSession, prepoll_2013: str, prepoll_2016: str, enrolment_2013: str, enrolment_2016: str
+        cls,
+        spark: SparkSession,
+        prepoll_2013: str,
+        prepoll_2016: str,
+        enrolment_2013: str,
+        enrolment_2016: str,
+        states: list[str] = STATE_FILES,
     ) -> PrepollSeries:
-        return cls(load_prepoll(spark, prepoll_2013, prepoll_2016, enrolment_2013, enrolment_2016))
+        """``states``: the rows of the 2013 enrolment table that count (not its total)."""
+        return cls(load_prepoll(spark, prepoll_2013, prepoll_2016, enrolment_2013, enrolment_2016, states))
 
     @classmethod
     def from_warehouse(cls, spark: SparkSession, sf_dir: str, cache: str = "auto") -> PrepollSeries:

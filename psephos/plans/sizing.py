@@ -8,8 +8,6 @@ which re-plans with runtime sizes and splits skewed partitions
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
 
@@ -22,15 +20,17 @@ def checkpoint_dir(spark) -> str | None:
     return d or spark.conf.get("spark.checkpoint.dir", None) or None
 
 
-def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
+def materialize(df: DataFrame, how: str = "persist", kept: list[DataFrame] | None = None) -> DataFrame:
     """Make ``df`` reusable across several reports.
 
     ``persist``: memory-and-disk cache; a lost executor's blocks are recomputed
     from lineage. ``checkpoint``: reliable checkpoint into the shared
     ``spark.checkpoint.dir`` (cuts lineage; survives executor loss without
-    recomputation). ``table``: parquet written under that folder and read
-    back. ``auto``: ``checkpoint`` when the cluster names a checkpoint folder,
-    else ``persist``. ``none``: keep it lazy.
+    recomputation). ``auto``: ``checkpoint`` when the cluster names a
+    checkpoint folder, else ``persist``; either gives the same answers.
+    ``none``: keep it lazy. What is materialized is added to ``kept``;
+    ``release`` it before the same sources are read anew, as Spark answers an
+    equal plan from its cache.
     """
     if how == "none":
         return df
@@ -46,15 +46,17 @@ def materialize(df: DataFrame, how: str = "persist") -> DataFrame:
                 spark.sparkContext.setCheckpointDir(d)
         except Exception:  # noqa: BLE001 - Spark Connect reads the conf itself
             pass
-        return df.checkpoint(eager=True)
-    if how == "table":
-        spark = df.sparkSession
-        d = checkpoint_dir(spark)
-        if not d:
-            raise ValueError("spark.checkpoint.dir is not set; nowhere shared to write the table")
-        path = f"{d.rstrip('/')}/psephos-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-    from pyspark import StorageLevel
+        out = df.checkpoint(eager=True)
+    else:
+        from pyspark import StorageLevel
+
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if kept is not None:
+        kept.append(out)
+    return out
+
 
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def release(kept: list[DataFrame]) -> None:
+    """Give back what ``materialize`` kept; checkpoint files go with their last reference."""
+    while kept:
+        kept.pop().unpersist(blocking=True)

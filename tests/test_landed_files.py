@@ -44,7 +44,8 @@ def test_prepoll_from_landed_files(spark, tmpdir_path):
     # The 2016 enrolment file carries four preamble lines and a spaced header.
     e16 = inp.enrolment_2016.withColumnRenamed("Electors_on_2016_Certified_list", "Electors on 2016 Certified list")
     _write(e16, paths["e16"], ["Enrolment statistics", "", "as at the close of rolls", ""])
-    landed = PrepollSeries.from_files(spark, paths["p13"], paths["p16"], paths["e13"], paths["e16"])
+    states = [r.State for r in inp.enrolment_2013.select("State").collect()]
+    landed = PrepollSeries.from_files(spark, paths["p13"], paths["p16"], paths["e13"], paths["e16"], states)
     direct = PrepollSeries.from_warehouse(spark, SF_SMOKE)
     for method in ("prepoll_numbers", "prepoll_state_rate", "prepoll_div", "state_totals"):
         assert _rows(getattr(landed, method)()) == _rows(getattr(direct, method)()), method
