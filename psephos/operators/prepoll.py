@@ -99,10 +99,9 @@ def enrolment_2016_by_state(enrolment_2016: DataFrame) -> DataFrame:
     )
 
 
-def enrolment_2013_by_state(enrolment_2013: DataFrame, states: list[str] | None = None) -> DataFrame:
+def enrolment_2013_by_state(enrolment_2013: DataFrame) -> DataFrame:
     """Electors enrolled per state (space separators removed)."""
-    out = enrolment_2013.select("State", _number("Electors_enrolled", " ").alias("enrolled_total"))
-    return out if states is None else out.where(f"State IN ({', '.join(lit_sql(s) for s in states)})")
+    return enrolment_2013.select("State", _number("Electors_enrolled", " ").alias("enrolled_total"))
 
 
 def enrolment_both(e2013: DataFrame, e2016: DataFrame) -> DataFrame:

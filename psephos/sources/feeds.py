@@ -2,13 +2,13 @@
 
 The count publishes CSV files that start with preamble lines, then a header,
 then rows. Spark's CSV reader can only drop one header line per file, so the
-scan reads lines as text and drops each file's leading lines in a per-split
-step (rows of one file split reach a task in file order; only the split that
-starts at offset 0 holds the preamble). The header text of each file gives
-the column order; rows are then parsed by ``from_csv`` with the declared
-types, so quoted commas are kept and nothing is inferred. Text columns get
-``""`` for blanks (a blank party must still pass ``PartyNm != 'Informal'``),
-numeric blanks stay NULL.
+scan reads lines as text. A header pass takes each file's first few lines (a
+limit over the split that starts at byte 0, so no more is read); the data pass
+drops those lines where that split repeats them and parses the rest by
+``from_csv`` with the declared types, all in built-in functions. Quoted commas
+are kept and nothing is inferred; a quoted line break fails the scan (FAILFAST).
+Text columns get ``""`` for blanks (a blank party must still pass
+``PartyNm != 'Informal'``), numeric blanks stay NULL.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import csv
 import io
 import re
 from datetime import datetime
+from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructType
 
 from psephos.constants import (
     ENROLMENT_2016_PREAMBLE_LINES,
@@ -50,35 +50,10 @@ SENATE_FILES = {
     "fp_group": "SenateFirstPrefsByStateByGroupByVoteTypeDownload-{event}.csv",
 }
 
-_LINE_SCHEMA = StructType(
-    [StructField("file", StringType()), StructField("lead", StringType()), StructField("value", StringType())]
-)
-
-
-def _split_leading(n_leading: int):
-    """Per split: tag the first ``n_leading + 1`` lines of each file as preamble
-    (``lead = 'p'``) or header (``lead = 'h'``); data lines get NULL.
-
-    Only lines of a split that starts at byte 0 can lead a file; within a
-    task they arrive in file order, so a running per-file line count (carried
-    across Arrow batches) finds them without looking at any other line.
-    """
-
-    def run(batches):
-        seen: dict[str, int] = {}
-        for pdf in batches:
-            lead = pd.Series(None, index=pdf.index, dtype=object)
-            first = pdf["block_start"] == 0
-            if first.any():
-                files = pdf.loc[first, "file"]
-                pos = files.groupby(files, sort=False).cumcount() + files.map(lambda f: seen.get(f, 0))
-                lead.loc[pos.index[pos < n_leading]] = "p"
-                lead.loc[pos.index[pos == n_leading]] = "h"
-                for f, k in files.value_counts(sort=False).items():
-                    seen[f] = seen.get(f, 0) + int(k)
-            yield pd.DataFrame({"file": pdf["file"], "lead": lead, "value": pdf["value"]})
-
-    return run
+def _leading_lines(spark: SparkSession, file: str, n: int) -> list[str]:
+    """The first ``n`` lines of one file."""
+    first = spark.read.text(file).where(F.col("_metadata.file_block_start") == 0).limit(n)
+    return [r["value"] for r in first.select("value").collect()]
 
 
 def _header_fields(line: str) -> list[str]:
@@ -90,62 +65,57 @@ def _header_fields(line: str) -> list[str]:
 def read_feed(
     spark: SparkSession,
     paths: str | list[str],
-    schema: StructType,
+    schema: StructType | None,
     preamble: int = FEED_PREAMBLE_LINES,
+    extra: bool = False,
 ) -> DataFrame:
     """Scan result-feed CSV files: ``preamble`` lines, a header, then rows.
 
-    Columns are matched to ``schema`` by header name; columns the schema does
-    not declare are read as text and dropped; declared columns missing from
-    the file are NULL. Finding the header lines is one extra pass over the
-    files (feeds are count-sized, tens of MB, not warehouse-sized).
+    Columns are matched to ``schema`` by header name; a declared column that
+    the files lack is an error that names it. Columns the schema does not
+    declare are dropped, or with ``extra`` follow as text. Without a schema
+    every column of the header is kept as text. Files without a header line
+    give no rows. The header pass is a small job per file; it collects
+    ``preamble + 1`` lines of each.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = (
-        spark.read.text(paths)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block_start"),
-            "value",
-        )
-        .mapInPandas(_split_leading(preamble), _LINE_SCHEMA)
-    )
-    # One header line per file: a bounded collect (file count), not data.
-    headers = {r["value"] for r in lines.where(F.col("lead") == "h").select("value").distinct().collect()}
+    text = spark.read.text(paths)
+    leading = [_leading_lines(spark, unquote(f), preamble + 1) for f in text.inputFiles()]
+    headers = sorted({x[preamble] for x in leading if len(x) > preamble})
     if not headers:
-        return spark.createDataFrame([], schema)
-    if len(headers) > 1:
-        fields = [_header_fields(h) for h in headers]
-        if any(f != fields[0] for f in fields):
-            raise ValueError(f"feed files disagree on their header: {sorted(headers)}")
-    names = _header_fields(next(iter(headers)))
-    declared = {f.name: f.dataType for f in schema.fields}
+        return spark.createDataFrame([], schema or StructType([]))
+    names = _header_fields(headers[0])
+    if any(_header_fields(h) != names for h in headers):
+        raise ValueError(f"feed files disagree on their header: {headers}")
+    declared = {f.name: f.dataType for f in schema.fields} if schema else {}
+    if missing := [n for n in declared if n not in names]:
+        raise ValueError(f"feed files lack the declared columns {missing}; their header has {names}")
     ddl = ", ".join(f"`{n}` {declared.get(n, StringType()).simpleString()}" for n in names)
-    parsed = lines.where(F.col("lead").isNull() & (F.length("value") > 0)).select(
-        F.from_csv("value", ddl, {"mode": "FAILFAST"}).alias("r")
-    )
-    out = parsed.select(
-        *[
-            (F.col(f"r.`{f.name}`") if f.name in names else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in schema.fields
-        ]
-    )
-    text_cols = [f.name for f in schema.fields if isinstance(f.dataType, StringType)]
-    return out.fillna("", subset=text_cols)
+    drop = sorted({line for lines in leading for line in lines})
+    is_leading = (F.col("_metadata.file_block_start") == 0) & F.col("value").isin(drop)
+    rows = text.where(~is_leading & (F.length("value") > 0)).select(F.from_csv("value", ddl, {"mode": "FAILFAST"}).alias("r"))
+    keep = list(declared) + [n for n in names if n not in declared and (extra or not schema)]
+    out = rows.select(*[F.col(f"r.`{n}`") for n in keep])
+    return out.fillna("", subset=[f.name for f in out.schema.fields if isinstance(f.dataType, StringType)])
 
 
 def _path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def load_house(spark: SparkSession, base: str, event: str = EVENT_2016, states: list[str] = STATE_FILES) -> HouseInputs:
-    """The House feeds of one count snapshot from ``base``."""
+def load_house(
+    spark: SparkSession, base: str, event: str = EVENT_2016, states: list[str] = STATE_FILES, extra: bool = False
+) -> HouseInputs:
+    """The House feeds of one count snapshot from ``base``; ``extra`` keeps undeclared columns (as text).
+
+    The locations feed, which no report reads, has the columns of its own header.
+    """
     fp_pp = read_feed(
-        spark, [_path(base, HOUSE_FILES["fp_pp"].format(event=event, state=s)) for s in states], schemas.HOUSE_FP_PP
+        spark, [_path(base, HOUSE_FILES["fp_pp"].format(event=event, state=s)) for s in states], schemas.HOUSE_FP_PP, extra=extra
     )
 
     def one(key, schema):
-        return read_feed(spark, _path(base, HOUSE_FILES[key].format(event=event)), schema)
+        return read_feed(spark, _path(base, HOUSE_FILES[key].format(event=event)), schema, extra=extra)
 
     return HouseInputs(
         fp_pp=fp_pp,
@@ -153,7 +123,7 @@ def load_house(spark: SparkSession, base: str, event: str = EVENT_2016, states:
         tcp_pp=one("tcp_pp", schemas.HOUSE_TCP_PP),
         tcp_type=one("tcp_type", schemas.HOUSE_TCP_TYPE),
         enrolment=one("enrolment", schemas.ENROLMENT_DIV),
-        pp_location=one("pp_location", schemas.POLLING_PLACES),
+        pp_location=one("pp_location", None),
     )
 
 
@@ -170,23 +140,32 @@ def load_tcp_type_2013(spark: SparkSession, base: str) -> DataFrame:
     return read_feed(spark, _path(base, HOUSE_FILES["tcp_type"].format(event=EVENT_2013)), schemas.HOUSE_TCP_TYPE)
 
 
-def read_prepoll(spark: SparkSession, path: str, id_cols: list[str]) -> DataFrame:
-    """A wide pre-poll file (header row, no preamble): id columns, then day columns."""
+def read_prepoll(spark: SparkSession, path: str, n_ids: int = 3) -> DataFrame:
+    """A wide pre-poll file (header row, no preamble): ``n_ids`` id columns under their own names, then day columns."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    days = raw.columns[len(id_cols):]
-    return raw.select(*id_cols, *[F.col(f"`{d}`").try_cast("long").alias(d) for d in days])
+    ids = [F.col(f"`{c}`") for c in raw.columns[:n_ids]]
+    return raw.select(*ids, *[F.col(f"`{d}`").try_cast("long").alias(d) for d in raw.columns[n_ids:]])
 
 
 def load_prepoll(
-    spark: SparkSession, prepoll_2013: str, prepoll_2016: str, enrolment_2013: str, enrolment_2016: str
+    spark: SparkSession,
+    prepoll_2013: str,
+    prepoll_2016: str,
+    enrolment_2013: str,
+    enrolment_2016: str,
+    states: list[str] = STATE_FILES,
 ) -> PrepollInputs:
-    """Pre-poll files of both elections and the two enrolment tables."""
+    """Pre-poll files of both elections and the two enrolment tables.
+
+    The landed 2013 enrolment table is cut to the ``states``: it ends in a
+    national total, which is no state.
+    """
     e16 = read_feed(spark, enrolment_2016, schemas.ENROLMENT_2016, preamble=ENROLMENT_2016_PREAMBLE_LINES)
     e13 = spark.read.schema(schemas.ENROLMENT_2013).option("header", True).csv(enrolment_2013)
     return PrepollInputs(
-        prepoll_2013=read_prepoll(spark, prepoll_2013, schemas.PREPOLL_2013_IDS),
-        prepoll_2016=read_prepoll(spark, prepoll_2016, schemas.PREPOLL_2016_IDS),
-        enrolment_2013=e13,
+        prepoll_2013=read_prepoll(spark, prepoll_2013),
+        prepoll_2016=read_prepoll(spark, prepoll_2016),
+        enrolment_2013=e13.where(F.trim("State").isin(states)),
         enrolment_2016=e16,
     )
 

@@ -1,9 +1,11 @@
 import os
 from datetime import datetime
 
+import pytest
+
 from psephos.operators import prepoll as E
 from psephos.sources import schemas
-from psephos.sources.feeds import read_feed, read_prepoll, write_seat_summary
+from psephos.sources.feeds import load_prepoll, load_tcp_type_2013, read_feed, read_prepoll, write_seat_summary
 
 PP_HEADER = "StateAb,DivisionID,DivisionNm,PollingPlaceID,PollingPlace,CandidateID,Surname,GivenNm,BallotPosition,Elected,HistoricElected,PartyAb,PartyNm,OrdinaryVotes,Swing"
 
@@ -58,9 +60,10 @@ def test_enrolment_2013_spaces(spark):
 
 def test_prepoll_file_and_combine_by_position(spark, tmpdir_path):
     p13 = _write(os.path.join(tmpdir_path, "p13.csv"), ["State,Division,Centre,1/9,2/9", "NSW,Banks,X,5,6"])
-    p16 = _write(os.path.join(tmpdir_path, "p16.csv"), ["m_state_ab,m_div_nm,m_centre_nm,d1", "NSW,Banks,X,7"])
-    a = read_prepoll(spark, p13, schemas.PREPOLL_2013_IDS)
-    b = read_prepoll(spark, p16, schemas.PREPOLL_2016_IDS)
+    # the third id column may have any name
+    p16 = _write(os.path.join(tmpdir_path, "p16.csv"), ["m_state_ab,m_div_nm,pp_nm,d1", "NSW,Banks,X,7"])
+    a = read_prepoll(spark, p13)
+    b = read_prepoll(spark, p16)
     c = E.combine_elections(a, b)
     assert {"Election", "State", "Division", "Day01", "Day02"} <= set(c.columns)
     got = {(r.Election, r.Day01, r.Day02) for r in c.collect()}
@@ -97,3 +100,41 @@ def test_feed_scan_gzip(spark, tmpdir_path):
         f.write("preamble\n" + PP_HEADER + "\n" + "NSW,101,Banks,1,Banks PPVC,11,S,G,1,N,Y,ALP,Labor,42,0\n")
     rows = read_feed(spark, p, schemas.HOUSE_FP_PP).collect()
     assert [(r.PollingPlace, r.OrdinaryVotes) for r in rows] == [("Banks PPVC", 42)]
+
+
+def test_feed_scan_names_a_missing_column(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "renamed.csv"), ["preamble", PP_HEADER.replace("PartyNm", "Party"), "NSW,1,B,1,P,11,S,G,1,N,Y,ALP,Labor,4,0"])
+    with pytest.raises(ValueError, match="PartyNm"):
+        read_feed(spark, p, schemas.HOUSE_FP_PP)
+
+
+def test_feed_scan_keeps_undeclared_columns_on_request(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "more.csv"), ["preamble", PP_HEADER, "NSW,1,B,1,P,11,S,G,1,N,Y,ALP,Labor,4,0.5"])
+    assert "Swing" not in read_feed(spark, p, schemas.HOUSE_FP_PP).columns
+    more = read_feed(spark, p, schemas.HOUSE_FP_PP, extra=True)
+    assert more.columns == [*schemas.HOUSE_FP_PP.names, "BallotPosition", "Swing"]
+    assert (more.first().OrdinaryVotes, more.first().Swing) == (4, "0.5")
+    own = read_feed(spark, p, None)
+    assert own.columns == PP_HEADER.split(",") and own.first().OrdinaryVotes == "4"
+
+
+def test_feed_data_pass_runs_no_python(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "x.csv"), ["preamble", PP_HEADER, "NSW,1,B,1,P,11,S,G,1,N,Y,ALP,Labor,4,0"])
+    plan = read_feed(spark, p, schemas.HOUSE_FP_PP)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_tcp_file_of_2013(spark, tmpdir_path):
+    header = ",".join(schemas.HOUSE_TCP_TYPE.names)
+    _write(os.path.join(tmpdir_path, "HouseTcpByCandidateByVoteTypeDownload-17496.csv"), ["2013 Federal Election", header, "NSW,1,Banks,11,S,G,1,N,Y,ALP,Labor,10,1,2,3,4,20,-1.5"])
+    row = load_tcp_type_2013(spark, tmpdir_path).first()
+    assert (row.DivisionNm, row.TotalVotes, row.Swing) == ("Banks", 20, -1.5)
+
+
+def test_enrolment_2013_total_row_is_no_state(spark, tmpdir_path):
+    p = _write(os.path.join(tmpdir_path, "p.csv"), ["State,Division,Centre,1/9", "NSW,Banks,X,5"])
+    e13 = _write(os.path.join(tmpdir_path, "e13.csv"), ["State,Electors enrolled", "NSW,1 000", "VIC,2 000", "National,3 000"])
+    e16 = _write(os.path.join(tmpdir_path, "e16.csv"), ["a", "b", "c", "d", "State,Division,Electors on 2016 Certified list", 'NSW,Banks,"1,000"'])
+    inputs = load_prepoll(spark, p, p, e13, e16)
+    both = E.enrolment_both(E.enrolment_2013_by_state(inputs.enrolment_2013), E.enrolment_2016_by_state(inputs.enrolment_2016))
+    assert sorted(map(tuple, both.collect())) == [("NSW", 1000, "2013"), ("NSW", 1000, "2016"), ("VIC", 2000, "2013")]
