@@ -5,7 +5,7 @@ analysis re-reads them and rebuilds its tables. Two Spark forms of that:
 
 * ``watch_snapshots``: a file stream of snapshot notices (one line per
   published snapshot folder). Each micro-batch runs the batch reports over the
-  new snapshot(s) and writes them under ``out_dir/<report>/snapshot=<name>``.
+  new snapshot(s) and writes them under ``out_dir/<report>/snapshot=<path>``.
   The stream's checkpoint makes the refresh exactly-once per notice.
 * ``running_formal_votes``: first-preference rows arriving as polling places
   report, kept as a running (division, party) total in the state store.
@@ -14,13 +14,14 @@ analysis re-reads them and rebuilds its tables. Two Spark forms of that:
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from psephos.operators import house as H
-from psephos.plans.sizing import checkpoint_dir
+from psephos.plans.sizing import checkpoint_dir, release
 from psephos.sources.feeds import load_house
 
 Report = Callable[[object, H.HouseTables], DataFrame]
@@ -41,13 +42,22 @@ def _stream_checkpoint(spark: SparkSession, name: str, given: str | None) -> str
     return f"{base.rstrip('/')}/streams/{name}"
 
 
+def snapshot_name(snapshot_dir: str) -> str:
+    """A name for the folder, from its whole path: two folders never share one."""
+    return quote(snapshot_dir.rstrip("/"), safe="").replace("%", "~")
+
+
 def refresh_snapshot(spark: SparkSession, snapshot_dir: str, out_dir: str, reports: dict[str, Report]) -> None:
     """Run ``reports`` over one snapshot folder and write each under its name."""
+    kept: list[DataFrame] = []
     inputs = load_house(spark, snapshot_dir)
-    tables = H.build_house(inputs, cache="auto")
-    name = snapshot_dir.rstrip("/").rsplit("/", 1)[-1]
-    for report, fn in reports.items():
-        fn(inputs, tables).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{report}/snapshot={name}")
+    tables = H.build_house(inputs, "auto", kept)
+    name = snapshot_name(snapshot_dir)
+    try:
+        for report, fn in reports.items():
+            fn(inputs, tables).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{report}/snapshot={name}")
+    finally:
+        release(kept)
 
 
 def watch_snapshots(
@@ -57,8 +67,12 @@ def watch_snapshots(
     reports: dict[str, Report] | None = None,
     checkpoint_location: str | None = None,
     available_now: bool = False,
+    notices_per_trigger: int = 100,
 ) -> StreamingQuery:
-    """Rebuild ``reports`` for every snapshot folder named in a new notice file."""
+    """Rebuild ``reports`` for every snapshot folder named in a new notice file.
+
+    A trigger takes at most ``notices_per_trigger`` notice files; the rest wait.
+    """
     reports = reports or DEFAULT_REPORTS
 
     def each_batch(batch: DataFrame, epoch_id: int) -> None:
@@ -68,6 +82,7 @@ def watch_snapshots(
 
     writer = (
         spark.readStream.format("text")
+        .option("maxFilesPerTrigger", notices_per_trigger)
         .load(notices_dir)
         .writeStream.foreachBatch(each_batch)
         .option("checkpointLocation", _stream_checkpoint(spark, "snapshots", checkpoint_location))
@@ -82,15 +97,22 @@ def running_formal_votes(fp_pp_stream: DataFrame) -> DataFrame:
 
 
 def start_running_formal_votes(
-    fp_pp_stream: DataFrame, query_name: str, checkpoint_location: str | None = None, available_now: bool = True
+    fp_pp_stream: DataFrame, out_dir: str, checkpoint_location: str | None = None, available_now: bool = True
 ) -> StreamingQuery:
-    """Keep the running totals in an in-memory table named ``query_name`` (update mode)."""
+    """Write the running totals as parquet under ``out_dir/batch=<n>``, a whole table for each trigger.
+
+    The state holds a row per division and party; each trigger writes them all
+    (complete mode), from the executors. The latest batch is the current count.
+    """
     spark = fp_pp_stream.sparkSession
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={epoch_id}")
+
     w = (
         running_formal_votes(fp_pp_stream)
         .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(query_name)
-        .option("checkpointLocation", _stream_checkpoint(spark, query_name, checkpoint_location))
+        .foreachBatch(write)
+        .option("checkpointLocation", _stream_checkpoint(spark, "running-formal-votes", checkpoint_location))
     )
     return (w.trigger(availableNow=True) if available_now else w).start()

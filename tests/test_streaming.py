@@ -2,7 +2,6 @@
 
 import os
 import shutil
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from psephos.operators import house as H
 from psephos.sources import schemas
 from psephos.sources.binding import election_inputs
 from psephos.sources.feeds import EVENT_2016, HOUSE_FILES, STATE_FILES
-from psephos.streaming.snapshots import start_running_formal_votes, watch_snapshots
+from psephos.streaming.snapshots import snapshot_name, start_running_formal_votes, watch_snapshots
 from tests.conftest import SF_SMOKE
 
 
@@ -21,10 +20,11 @@ def test_running_formal_votes_matches_batch(spark, tmpdir_path):
     house.fp_pp.where(F.col("PollingPlaceID") % 2 == 0).write.parquet(src + "/wave=1")
     house.fp_pp.where(F.col("PollingPlaceID") % 2 == 1).write.parquet(src + "/wave=2")
     stream = spark.readStream.schema(schemas.HOUSE_FP_PP).parquet(src + "/*")
-    name = f"running_{uuid.uuid4().hex[:8]}"
-    q = start_running_formal_votes(stream, name, os.path.join(tmpdir_path, "ckpt"))
+    out = os.path.join(tmpdir_path, "totals")
+    q = start_running_formal_votes(stream, out, os.path.join(tmpdir_path, "ckpt"))
     q.awaitTermination()
-    got = {(r.DivisionNm, r.PartyAb): r.votes for r in spark.table(name).collect()}
+    last = max(int(d.split("=")[1]) for d in os.listdir(out) if d.startswith("batch="))
+    got = {(r.DivisionNm, r.PartyAb): r.votes for r in spark.read.parquet(f"{out}/batch={last}").collect()}
     want = {(r.DivisionNm, r.PartyAb): r.votes for r in H.formal_votes_by_party(house.fp_pp).collect()}
     assert got == want and len(got) > 0
 
@@ -46,7 +46,7 @@ def test_snapshot_refresh(spark, tmpdir_path):
                     ("enrolment", house.enrolment), ("pp_location", house.pp_location)]:
         _write_feed(df, os.path.join(snap, HOUSE_FILES[key].format(event=EVENT_2016)))
     # A second snapshot: the same count re-published under another name.
-    snap2 = os.path.join(tmpdir_path, "snap-002")
+    snap2 = os.path.join(tmpdir_path, "later", "snap-001")  # ends like the first
     shutil.copytree(snap, snap2)
     notices = os.path.join(tmpdir_path, "notices")
     os.makedirs(notices)
@@ -55,10 +55,12 @@ def test_snapshot_refresh(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "out")
     q = watch_snapshots(spark, notices, out, checkpoint_location=os.path.join(tmpdir_path, "ckpt"), available_now=True)
     q.awaitTermination()
-    assert sorted(os.listdir(os.path.join(out, "public_funding")))[-2:] == ["snapshot=snap-001", "snapshot=snap-002"]
-    got = spark.read.parquet(os.path.join(out, "public_funding")).where("snapshot = 'snap-001'").drop("snapshot")
+    names = sorted(snapshot_name(x) for x in (snap, snap2))
+    assert len(set(names)) == 2
+    assert sorted(d for d in os.listdir(os.path.join(out, "public_funding")) if d.startswith("snapshot=")) == [f"snapshot={n}" for n in names]
+    got = spark.read.parquet(os.path.join(out, "public_funding")).where(f"snapshot = '{snapshot_name(snap)}'").drop("snapshot")
     want = H.public_funding(house.fp_pp)
     assert {(r.PartyAb, r.total_votes) for r in got.collect()} == {(r.PartyAb, r.total_votes) for r in want.collect()}
-    assert spark.read.parquet(os.path.join(out, "seat_summary")).where("snapshot = 'snap-002'").count() == H.seat_summary(
+    assert spark.read.parquet(os.path.join(out, "seat_summary")).where(f"snapshot = '{snapshot_name(snap2)}'").count() == H.seat_summary(
         H.build_house(house)["pp_all"], house.enrolment, H.build_house(house)["tcp_type"], house.tcp_type
     ).count()
