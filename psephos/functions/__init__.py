@@ -2,13 +2,9 @@
 
 from psephos.functions.columns import (
     asc_last,
-    bround2,
     case_sql,
-    cond_sum,
     desc_last,
-    is_prepoll_place,
     lit_sql,
-    lookup,
     pct,
     pct_sql,
     prepoll_place_sql,
@@ -23,13 +19,9 @@ from psephos.functions.columns import (
 
 __all__ = [
     "asc_last",
-    "bround2",
     "case_sql",
-    "cond_sum",
     "desc_last",
-    "is_prepoll_place",
     "lit_sql",
-    "lookup",
     "pct",
     "pct_sql",
     "prepoll_place_sql",

@@ -79,11 +79,6 @@ def sum0(c: str | Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-def cond_sum(c: str, where: str) -> Column:
-    """Strict sum of the rows matching ``where``; 0 when none match."""
-    return strict_sum(c, where)
-
-
 def ratio_sql(num: str, den: str) -> str:
     """SQL text of ``num / den`` as a double, NULL for a zero or NULL denominator
     (arguments are SQL text)."""
@@ -109,11 +104,6 @@ def pct(num: str | Column, den: str | Column) -> Column:
     return ratio(num, den) * F.lit(100)
 
 
-def bround2(c: str | Column) -> Column:
-    """Round to 2 decimals, half-to-even."""
-    return F.expr(f"bround({q(c)}, 2)") if isinstance(c, str) else F.bround(c, 2)
-
-
 def round_doubles(df: DataFrame, digits: int = 2) -> DataFrame:
     """Round every floating column of ``df`` half-to-even; others unchanged."""
     return df.withColumns(
@@ -131,27 +121,10 @@ def case_sql(key: str, mapping: dict, default: str = "NULL") -> str:
     return f"CASE {key} {whens} ELSE {default} END"
 
 
-def lookup(mapping: dict, key: str | Column) -> Column:
-    """Value of ``key`` (a column) in a fixed mapping; NULL when absent."""
-    if isinstance(key, str):
-        return F.expr(case_sql(q(key), mapping))
-    pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(k), F.lit(v)]
-    return F.create_map(*pairs)[key]
-
-
 def prepoll_place_sql(place: str = "PollingPlace") -> str:
     return f"{q(place)} RLIKE {lit_sql(PREPOLL_PLACE_PATTERN)}"
 
 
-def is_prepoll_place(place: str | Column) -> Column:
-    """True for pre-poll voting centres, matched case-sensitively by name."""
-    if isinstance(place, str):
-        return F.expr(prepoll_place_sql(place))
-    return place.rlike(PREPOLL_PLACE_PATTERN)
-
-
 def asc_last(c: str | Column) -> Column:
     return _c(c).asc_nulls_last()
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -21,26 +19,24 @@ DEFAULTS = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    """A session with AQE on and the UI off; existing cluster settings win."""
+    """A session with AQE on and the UI off.
+
+    The defaults fill in only what the submit command or an active session
+    leaves unset; the arguments are the caller's own choice and always hold.
+    """
     b = SparkSession.builder.appName("psephos")
     if master:
         b = b.master(master)
-    conf = dict(DEFAULTS)
+    given = dict(extra or {})
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
+        given["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if SparkSession.getActiveSession() is None:
+        from pyspark import SparkConf
+
+        submitted = SparkConf()  # what spark-submit and spark-defaults set
+        given = {k: v for k, v in DEFAULTS.items() if not submitted.contains(k)} | given
+    for k, v in given.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set ``fallback`` only when unset (tests)."""
-    d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        os.makedirs(fallback, exist_ok=True)
-        d = fallback
-    spark.sparkContext.setCheckpointDir(d)
-    return d

@@ -2,9 +2,9 @@
 
 Usage: python scripts/run_report.py <report> <tables_dir> <out_dir> [--csv] [--list]
 
-Under spark-submit the cluster's settings (master, checkpoint folder,
-shuffle partitions) come from the submit command; locally it runs on
-local[*]. Output is written in parallel as a folder of part files.
+Run it by spark-submit: the master, checkpoint folder and shuffle partitions
+come from the submit command, never from here (without a master Spark's own
+default, local[*], holds). Output is written in parallel as a folder of part files.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def main() -> None:
         return
     from psephos.session import get_session
 
-    spark = get_session(None if os.environ.get("SPARK_ENV_LOADED") else "local[*]")
+    spark = get_session()
     df = QUERIES[args.report](spark, args.tables_dir)
     writer = df.write.mode("overwrite")
     (writer.option("header", True).csv if args.csv else writer.parquet)(args.out_dir)

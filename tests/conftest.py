@@ -6,11 +6,18 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from psephos.session import ensure_checkpoint_dir, get_session  # noqa: E402
+from psephos.session import get_session  # noqa: E402
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
+def ensure_checkpoint_dir(spark, fallback: str) -> str:
+    """Use the session's ``spark.checkpoint.dir``; set ``fallback`` only when unset."""
+    d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or fallback
+    spark.sparkContext.setCheckpointDir(d)
+    return d
+
+
 @pytest.fixture(scope="session")
 def spark():
     s = get_session("local[*]", 8)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from psephos.functions import bround2, pct, round_doubles, strict_sum, strict_sum_over, sum0
+from psephos.functions import pct, round_doubles, strict_sum, strict_sum_over, sum0
 
 
 def test_strict_sum_null_poisons_group_and_zero_over_no_rows(spark):
@@ -44,4 +44,3 @@ def test_round_half_even_and_only_doubles(spark):
     df = spark.createDataFrame([(2.675, 0.125, 12345, 1.005)], "a double, b double, n long, c double")
     r = round_doubles(df).first()
     assert (r.a, r.b, r.n, r.c) == (2.68, 0.12, 12345, 1.0)
-    assert spark.range(1).select(bround2(F.lit(0.375)).alias("x")).first().x == 0.38
