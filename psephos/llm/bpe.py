@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from .common import NEVER, WHITE, let, merge_ranked
 
 #: Words and units whose encoding a Python worker remembers; it starts anew beyond that.
-CACHE = 400_000
+CACHE = 150_000
 #: Slots of the literal rank map.
 SLOTS = 1 << 16
 
