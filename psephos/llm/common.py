@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: str):
+    """Batches to and from Python hold at most so many bytes in the jobs run inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 #: Rank of a pair that does not merge.
 NEVER = 1 << 60
 

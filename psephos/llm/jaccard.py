@@ -9,7 +9,9 @@ and no link between different sets is lost.
    groups. Any partition gives right results; a good one leaves little to do.
 3. The matrix holds each group's tokens. Tokens are ordered by hash, very
    frequent ones last; a class queries with its first tokens, as many as must
-   meet any set it links with, and finds the groups that hold one of them.
+   hold MEET percent of any set it links with, and finds the groups whose first
+   tokens hold that many of them. A class whose first tokens reach very frequent
+   ones takes only as many as must hold one, and finds the groups that hold one.
 4. Of those, only groups whose token union covers enough of the query are
    opened: members of fitting size and parity sketch are verified exactly.
    Groups that link merge.
@@ -24,16 +26,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow_bytes, cut
 
 SEEDS = 8
 #: Min-hashes of which a class and its leader must share to be verified.
 AGREE = 4
-#: A token in more documents' first tokens than this counts as very frequent,
+#: A token counted in more documents than this counts as very frequent,
 #: if it is among the MOST_FREQUENT: that bounds what is sent to the executors
 #: (8 bytes each). The choice changes the order of tokens, never the result.
-FREQUENT, MOST_FREQUENT = 100, 200_000
+FREQUENT, MOST_FREQUENT = 10, 500_000
 SKETCH = 512
+#: Percent of a set's size that it must share, among the first tokens, with what it links with.
+MEET = 4
+#: Bits of the sketch of ids by which texts are read again, and ids up to which it is used.
+ID_BITS, ID_MOST = 1 << 23, 1 << 20
+#: Rows that a Python worker holds or hands over at once.
+ROWS = 100_000
 #: Bytes of token blocks that one share of the hash range should hold.
 SHARE_BYTES = 32 << 20
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -66,14 +74,23 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(acc)
 
 
-def probe_length(n, percent: int):
-    """Tokens of a set of n of which one is in any set it links with."""
-    return n - (percent * n + 99) // 100 + 1
+def meet(n):
+    """Tokens that two linked sets, the smaller of size n, must share among their first tokens."""
+    return n * MEET // 100 + 1
 
 
-def index_length(n, percent: int):
+def probe_length(n, percent: int, share=meet):
+    """First tokens of a set of n that hold ``share(n)`` tokens of any set it links with."""
+    return np.minimum(n, n - (percent * n + 99) // 100 + share(n))
+
+
+def index_length(n, percent: int, share=meet):
     """The same for sets it links with that are not smaller."""
-    return n - (2 * percent * n + 99 + percent) // (100 + percent) + 1
+    return np.minimum(n, n - (2 * percent * n + 99 + percent) // (100 + percent) + share(n))
+
+
+def one(n):
+    return 1
 
 
 def _describe(tokens: np.ndarray):
@@ -109,7 +126,11 @@ class _Join:
         self.spark, self.docs, self.size, self.percent = docs.sparkSession, docs, size, percent
 
     def describe(self) -> tuple[DataFrame, DataFrame]:
-        """(id, n, key, seeds, odd) per row; blocks (share, tokens, counts) of first tokens."""
+        """(id, n, key, seeds, odd) per row; blocks (share, tokens, counts) of tokens.
+
+        Counted are the first tokens by hash of each set, and of the others
+        those that come twice among a few thousand texts.
+        """
         size, percent = self.size, self.percent
         shares = max(12, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -118,17 +139,23 @@ class _Join:
 
             names = ["id", "n", "key", "seeds", "odd", "share", "tokens", "counts"]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
-            for b in batches:
-                rows, first = [], []
+            for b in slices(batches, 2000):
+                rows, first, rest, seen = [], [], [], set()
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     t = shingle_set(text, size)
                     if not len(t):
                         rows.append((i, 0, None, None, None, None, None, None))
                         continue
                     rows.append((i, len(t), *_describe(t), None, None, None))
-                    first.append(t[: 3 * probe_length(len(t), percent) // 2 + 8])
+                    if rows[-1][2] not in seen:
+                        seen.add(rows[-1][2])
+                        cut_at = 3 * probe_length(len(t), percent) // 2 + 8
+                        first.append(t[:cut_at])
+                        rest.append(t[cut_at:])
                 if first:
                     tokens, counts = np.unique(np.concatenate(first), return_counts=True)
+                    later, often = np.unique(np.concatenate(rest), return_counts=True)
+                    tokens, counts = np.r_[tokens, later[often > 1]], np.r_[counts, often[often > 1]]
                     share = (tokens % np.uint64(shares)).astype(np.int32)
                     order = np.argsort(share, kind="stable")
                     tokens, counts, share = tokens[order], counts[order].astype(np.int32), share[order]
@@ -143,7 +170,7 @@ class _Join:
         return out.where("share is null").select("id", "n", "key", "seeds", "odd"), out.where("share is not null").select("share", "tokens", "counts")
 
     def frequent(self, blocks: DataFrame) -> np.ndarray:
-        """The most frequent first tokens, sorted; at most MOST_FREQUENT."""
+        """The most frequent of the counted tokens, sorted; at most MOST_FREQUENT."""
 
         def run(key, parts):
             import pandas as pd
@@ -159,18 +186,33 @@ class _Join:
         return np.sort(np.array([r[0] for r in top.select("token").collect()], np.int64).astype(np.uint64))
 
     def sets(self, reps: DataFrame) -> DataFrame:
-        """``rep, tokens`` (binary) of the documents whose id is in ``reps`` (rep)."""
+        """``rep, tokens`` (binary) of the documents whose id is in ``reps`` (rep), and perhaps some others.
+
+        Up to ID_MOST ids, a bitmap of their hashes picks the texts where they
+        are read, without a shuffle; beyond that, a semi-join does.
+        """
         size = self.size
 
         def run(batches):
             import pyarrow as pa
 
-            for b in batches:
+            for b in slices(batches):
                 tokens = [shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.binary())], names=["rep", "tokens"])
 
-        wanted = self.docs.join(cut(reps.select(F.col("rep").alias("id")).distinct()), "id", "left_semi")
-        return wanted.mapInArrow(run, "rep bigint, tokens binary").dropDuplicates(["rep"])
+        ids = cut(reps.select(F.col("rep").alias("id")).distinct())
+        if ids.count() > ID_MOST:
+            return self.docs.join(ids, "id", "left_semi").mapInArrow(run, "rep bigint, tokens binary")
+        bit = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+        # bitmaps count from 1
+        maps = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+        bits = np.zeros(ID_BITS // 8, np.uint8)
+        for bucket, part in maps.collect():  # ID_BITS in all
+            at = (bucket - 1) * len(part)
+            bits[at : at + len(part)] = np.frombuffer(bytes(part), np.uint8)
+        longs = F.split(F.lit(",".join(map(str, bits.view("<i8")))), ",").cast("array<bigint>")  # folded into a constant by the planner
+        word = F.get(longs, F.shiftright(bit, 6).cast("int"))
+        return self.docs.where(F.call_function("getbit", word, (bit % 64).cast("int")) == 1).mapInArrow(run, "rep bigint, tokens binary")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of class representatives that link."""
@@ -181,7 +223,7 @@ class _Join:
         def run(batches):
             import pyarrow as pa
 
-            for b in batches:
+            for b in slices(batches):
                 keep = []
                 for x, y in zip(b.column(2), b.column(3), strict=True):
                     x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
@@ -201,15 +243,24 @@ class _Join:
 
     def leaders(self, classes: DataFrame) -> DataFrame:
         """Pairs (a, b) of a class and a leader with which it shares a min-hash and probably links."""
-        me = F.struct("rep", "n", "seeds", "odd")
-        seeds = classes.select(me.alias("c"), F.posexplode("seeds").alias("seed", "hash"))
-        leader = seeds.groupBy("seed", "hash").agg(F.min("c").alias("l"), F.count("*").alias("size")).where("size > 1").drop("size")
+        seeds = classes.select("rep", F.posexplode("seeds").alias("seed", "hash"))
+        size = seeds.groupBy("seed", "hash").agg(F.count("*").alias("size")).where("size > 1")
+        # of near copies, the one all others are copies of shares the most min-hashes
+        central = seeds.join(size, ["seed", "hash"]).groupBy("rep").agg(F.sum("size").alias("shares"))
+        me = F.struct(F.col("shares"), (-F.col("rep")).alias("first"), F.col("rep"), F.col("n"), F.col("seeds"), F.col("odd"))
+        seeds = cut(classes.join(central, "rep").select(me.alias("c"))).select("c", F.posexplode("c.seeds").alias("seed", "hash"))
+        leader = seeds.groupBy("seed", "hash").agg(F.max(F.struct("c.shares", "c.first", "c.rep")).alias("l"), F.count("*").alias("size"))
+        leader = leader.where("size > 1").select("seed", "hash", F.col("l.rep").alias("rep")).join(classes, "rep").select("seed", "hash", F.struct("rep", "n", "seeds", "odd").alias("l"))
         agree = F.aggregate(F.zip_with("c.seeds", "l.seeds", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         pairs = seeds.join(leader, ["seed", "hash"]).where((F.col("c.rep") != F.col("l.rep")) & (agree >= AGREE) & self.fits("c", "l"))
         return pairs.select(F.col("c.rep").alias("a"), F.col("l.rep").alias("b")).distinct()
 
     def queries(self, classes: DataFrame, frequent: np.ndarray) -> DataFrame:
-        """Distinct (q, g): classes and the other groups whose matrix rows hold one of their first tokens."""
+        """Distinct (q, g): classes and the other groups whose matrix rows hold enough of their first tokens.
+
+        Of a class whose first tokens are none of them very frequent, no such
+        token of a group matters; so the two ways below lose no link.
+        """
         size, percent = self.size, self.percent
         sent = self.spark.sparkContext.broadcast(frequent)
 
@@ -217,23 +268,27 @@ class _Join:
             import pyarrow as pa
 
             hot = sent.value
-            for b in batches:
-                keys, out = [], []
+            for b in slices(batches):
+                keys, n_rare, out = [], [], []
                 for text in b.column(1).to_pylist():
                     t = shingle_set(text, size)
                     if len(t):
                         keys.append(_key(t))
-                        if len(hot):
-                            is_hot = hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] == t
-                            t = np.r_[t[~is_hot], t[is_hot]]
-                        out.append(t[: probe_length(len(t), percent)].tobytes())
+                        is_hot = hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] == t if len(hot) else np.zeros(len(t), bool)
+                        rare = t[~is_hot]
+                        most = probe_length(len(t), percent)
+                        if len(rare) < most:  # all the rare ones, then frequent ones as far as one must be met
+                            rare = np.r_[rare, t[is_hot][: max(0, probe_length(len(t), percent, one) - len(rare))]]
+                        out.append(rare[:most].tobytes())
+                        n_rare.append(int(len(t) - is_hot.sum()))
                     else:
                         keys.append(None)
                         out.append(None)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["id", "key", "first"])
+                        n_rare.append(None)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(n_rare, pa.int64()), pa.array(out, pa.binary())], names=["id", "key", "rare", "first"])
 
-        tokens = self.docs.mapInArrow(first, "id bigint, key bigint, first binary").where("key is not null")
-        own = tokens.join(classes.select("key", F.col("rep").alias("id"), "n", "g"), ["key", "id"]).select(F.col("id").alias("rep"), "n", "g", "first")
+        tokens = self.docs.mapInArrow(first, "id bigint, key bigint, rare bigint, first binary").where("key is not null")
+        own = tokens.join(classes.select("key", F.col("rep").alias("id"), "n", "g"), ["key", "id"]).select(F.col("id").alias("rep"), "n", "g", "rare", "first")
         total = classes.agg(F.sum("n")).first()[0] or 0  # one value
         shares = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 * 32) // SHARE_BYTES + 1)
 
@@ -243,12 +298,13 @@ class _Join:
             for b in batches:
                 if not b.num_rows:
                     continue
-                lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(3)]
+                lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(4)]
                 lens = np.array([len(x) for x in lists])
-                rep, n, g = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), lens) for i in range(3))
+                rep, n, g, rare = (np.repeat(b.column(i).to_numpy(zero_copy_only=False), lens) for i in range(4))
                 rank = np.concatenate([np.arange(k) for k in lens])
                 tok = np.concatenate(lists)
-                index = rank < index_length(n, percent)
+                index = rank < np.where(rank < rare, index_length(n, percent), index_length(n, percent, one))
+                n = np.where(rare < probe_length(n, percent), -n, n)  # negative: one token is enough
                 share = (tok % np.uint64(shares)).astype(np.int64)
                 order = np.argsort(share, kind="stable")
                 share = share[order]
@@ -262,7 +318,7 @@ class _Join:
 
         blocks = own.mapInArrow(spread, "share int, tok binary, rep binary, g binary, n binary, idx binary")
 
-        def meet(key, parts):
+        def look_up(key, parts):
             import pandas as pd
 
             tok, rep, g, n, idx = (np.concatenate([np.frombuffer(x, k) for x in parts[c]]) for c, k in (("tok", np.uint64), ("rep", np.int64), ("g", np.int64), ("n", np.int32), ("idx", np.bool_)))
@@ -274,7 +330,8 @@ class _Join:
             keep = np.repeat(shared, ends - at)
             order, tok, g = order[keep], tok[keep], g[keep]
             rep, n, idx = rep[order], n[order], idx[order]
-            found = [np.empty((0, 2), np.int64)]
+            few, n = n < 0, np.abs(n)
+            found = [np.empty((0, 4), np.int64)]
             if len(tok):
                 # the matrix: a row for each token and group, with the sizes of the members that index it
                 m = np.flatnonzero(idx)
@@ -285,18 +342,21 @@ class _Join:
                     lo, hi = np.searchsorted(m_tok, tok, "left"), np.searchsorted(m_tok, tok, "right")
                     todo = np.cumsum(hi - lo)
                     at = 0
-                    while at < len(tok):  # so many queries that a few million meetings are held at once
-                        to = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + 2_000_000, "right")))
+                    while at < len(tok):  # so many queries that few meetings are held at once
+                        to = max(at + 1, int(np.searchsorted(todo, (todo[at - 1] if at else 0) + 4 * ROWS, "right")))
                         k = (hi - lo)[at:to]
                         q = np.repeat(np.arange(at, to), k)
                         r = np.arange(len(q)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[at:to], k)
                         ok = (m_g[r] != g[q]) & (low[r] <= n[q]) & (100 * high[r].astype(np.int64) >= percent * n[q].astype(np.int64))
-                        found.append(np.unique(np.c_[rep[q[ok]], m_g[r[ok]]], axis=0))
+                        pairs, count = np.unique(np.c_[rep[q[ok]], m_g[r[ok]], few[q[ok]]], axis=0, return_counts=True)
+                        found.append(np.c_[pairs, count])
                         at = to
-            pairs = np.unique(np.concatenate(found), axis=0)
-            return pd.DataFrame({"q": pairs[:, 0], "g": pairs[:, 1]})
+            out = np.concatenate(found)
+            return pd.DataFrame({"q": out[:, 0], "g": out[:, 1], "few": out[:, 2], "shared": out[:, 3]})
 
-        return blocks.groupBy("share").applyInPandas(meet, "q bigint, g bigint").distinct()
+        met = blocks.groupBy("share").applyInPandas(look_up, "q bigint, g bigint, few bigint, shared bigint").groupBy("q", "g").agg(F.max("few").alias("few"), F.sum("shared").alias("shared"))
+        least = F.when(F.col("few") == 1, 1).otherwise(F.floor(F.ceil(F.col("n") * percent / 100) * MEET / 100) + 1)
+        return met.join(classes.select(F.col("rep").alias("q"), "n"), "q").where(F.col("shared") >= least).select("q", "g").distinct()
 
     def qualify(self, found: DataFrame, classes: DataFrame) -> DataFrame:
         """Of (q, g), those whose group's token union holds enough of the query's tokens.
@@ -313,10 +373,12 @@ class _Join:
             import pyarrow as pa
 
             for b in batches:
-                lists = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(b.num_columns - 1)]
-                lens = np.array([len(x) for x in lists], np.int64)
-                back = pa.array(np.repeat(np.arange(b.num_rows), lens))
-                yield pa.RecordBatch.from_arrays([*[c.take(back) for c in b.columns[:-1]], pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))], names=[*b.schema.names[:-1], "token"])
+                for row in range(b.num_rows):
+                    own = np.frombuffer(b.column(b.num_columns - 1)[row].as_buffer(), np.int64)
+                    for at in range(0, len(own), ROWS):
+                        part = pa.array(own[at : at + ROWS])
+                        same = pa.array(np.full(len(part), row))
+                        yield pa.RecordBatch.from_arrays([*[c.take(same) for c in b.columns[:-1]], part], names=[*b.schema.names[:-1], "token"])
 
         union = members.join(sets, "rep").select("g", "tokens").mapInArrow(tokens, "g bigint, token bigint").distinct()
         asked = bound.join(sets.withColumnRenamed("rep", "q"), "q").join(classes.select(F.col("rep").alias("q"), "n"), "q").select("q", "g", "n", "tokens").mapInArrow(tokens, "q bigint, g bigint, n bigint, token bigint")
@@ -339,6 +401,13 @@ class _Join:
         return rows.join(classes.select("key", "rep"), "key", "left").select("id", "n", "rep"), components(led.union(more))
 
 
+def slices(batches, rows: int = 500):
+    """The batches in pieces, so that a worker holds few texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _key(tokens: np.ndarray) -> int:
     from xxhash import xxh3_64_intdigest
 
@@ -357,7 +426,9 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     integers; other columns are not read. Sets are of 64-bit hashes.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows, label = _Join(own.where("id is not null"), size, percent).links()
+    with arrow_bytes(docs.sparkSession, "8m"):  # all that needs Python runs in here
+        rows, label = _Join(own.where("id is not null"), size, percent).links()
+        rows, label = cut(rows), cut(label)
     same = rows.where("rep is not null and rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     repeated = rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
     if repeated:  # an id with several texts ties their classes together
