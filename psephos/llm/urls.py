@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-DAMPING, STEPS, CUT_EVERY = 0.85, 12, 4
-#: A host is blocked if its distrust exceeds this times its trust, and the least score.
-RATIO, LEAST = 1.0, 1e-9
+DAMPING, CUT_EVERY = 0.85, 4
+#: Scores are settled when none changes by more than this share of itself between two cuts.
+TOLERANCE = 1e-4
+#: Below this a score is too near to underflow to be followed further.
+TINY = 1e-290
+#: A host is blocked if its distrust exceeds this times its trust.
+RATIO = 1.0
+#: What the SQL stops at (its steps, and its least score); the operator has neither limit.
+STEPS, LEAST = 12, 1e-9
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,7 +63,9 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     One join and one sum a step for both: trust follows links by their share of
     the source's links, distrust goes back by their share of the target's.
-    Mass at a host without further links is not passed on.
+    Mass at a host without further links is not passed on. Steps go on until
+    every host that a seed reaches has its score, however far it is, and none
+    changes by more than TOLERANCE of itself.
     """
     both = edges.select(F.lit("t").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "links").unionByName(
         edges.select(F.lit("d").alias("kind"), F.col("dst").alias("from"), F.col("src").alias("to"), "links")
@@ -65,16 +73,24 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     total = both.groupBy("kind", "from").agg(F.sum("links").alias("total"))
     flow = cut(both.join(total, ["kind", "from"]).select("kind", "from", "to", (F.col("links") / F.col("total")).alias("share")))
     seed = cut(seeds.select("host", F.explode(F.create_map(F.lit("t"), F.col("trust"), F.lit("d"), F.col("distrust"))).alias("kind", "score")).where("score > 0"))
-    score = seed
-    for step in range(1, STEPS + 1):
-        passed = flow.join(score.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (DAMPING * F.col("share") * F.col("score")).alias("score"))
-        score = passed.unionByName(seed.withColumn("score", (1 - DAMPING) * F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if step % CUT_EVERY == 0:
-            score = cut(score)
+    score, last = seed, None
+    while last is None or not settled(score, last):
+        last = score
+        for _ in range(CUT_EVERY):
+            passed = flow.join(score.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (DAMPING * F.col("share") * F.col("score")).alias("score"))
+            score = passed.unionByName(seed.withColumn("score", (1 - DAMPING) * F.col("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        score = cut(score)
     either = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0))
     return score.groupBy("host").agg(either("t").alias("trust"), either("d").alias("distrust"))
 
 
+def settled(score: DataFrame, last: DataFrame) -> bool:
+    """Whether no score is new or differs from the last one by more than TOLERANCE of itself."""
+    both = score.join(last.withColumnRenamed("score", "old"), ["kind", "host"], "left")
+    moved = F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) > TOLERANCE * F.col("score")
+    return both.where(moved & (F.col("score") > TINY)).isEmpty()
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, host, path, rule, verdict`` per row of ``pages``; ``rule`` is null where none fits.
 
@@ -92,6 +108,6 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     sums = per_host.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()  # one row
     share = lambda c: F.col(c) / F.lit(max(1, sums[c] or 0))
     scores = propagate(host_edges(pages, url_col, html_col), per_host.select("host", share("t").alias("trust"), share("d").alias("distrust")))
-    blocked = cut(scores.where((F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") > LEAST)).select("host", F.lit("block").alias("__of_host")))
+    blocked = cut(scores.where((F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") > 0)).select("host", F.lit("block").alias("__of_host")))
     verdict = F.coalesce("__rule.verdict", "__of_host", F.lit("allow"))
     return judged.join(blocked, "host", "left").select(F.col("__id").alias(id_col), "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))

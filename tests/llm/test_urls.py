@@ -59,6 +59,19 @@ def test_propagation_equals_brute_force(spark):
     assert verdicts["http://w.net/"] == "block" and verdicts["http://y.net/2"] == "allow" and verdicts["http://good.org/a"] == "allow"
 
 
+def test_distance_and_dilution_change_no_verdict(spark):
+    """Hosts 20 links before a blocked one, and hosts with a small part of a blocked one's links, are blocked."""
+    rows = [("http://bad.com/de/1", ""), ("http://far0.net/", "<a href=http://bad.com/de/1>x</a>")]
+    rows += [(f"http://far{i + 1}.net/", f"<a href=http://far{i}.net/>x</a>") for i in range(19)]
+    near = ["bad.com", *(f"small{i}.net" for i in range(4))]
+    for i in range(4):
+        rows += [(f"http://{near[i + 1]}/", f"<a href=http://{near[i]}/>x</a>"), (f"http://large{i}.net/", f"<a href=http://{near[i]}/>x</a>" * 2000)]
+    rows += [("http://loop1.net/", "<a href=http://loop2.net/>x</a>"), ("http://loop2.net/", "<a href=http://loop1.net/>x</a><a href=http://bad.com/>x</a>"), ("http://other.net/", "")]
+    got = {h: v for h, _, _, v in judged(spark, rows).values()}
+    assert got.pop("other.net") == "allow"
+    assert set(got.values()) == {"block"}
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [("http://a.org/x", "<a href=http://b.net/>b</a>")] * 3
     assert len(judged(spark, rows)) == 3
