@@ -3,7 +3,8 @@
 A document's histogram of character classes and its histogram of common words
 are compared with each reference language's by Jensen-Shannon distance; the
 nearest language counts, so a wrong or missing language label harms nothing.
-Either test has a length below which it does not judge. Everything is one pass
+Either test has a length below which it does not judge, and neither judges a
+text whose script or language has no reference. Everything is one pass
 of built-in functions over each row: no shuffle, no state.
 """
 
@@ -36,6 +37,16 @@ WORD_REFERENCES = {
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 300, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.25
 
+#: A text far from all references is in a language without one if its own commonest
+#: words, so many at most, make up this share of it: listed words and those of other
+#: characters than letters do not count.
+OWN_WORDS, MIN_OWN_SHARE = 10, 0.1
+PLAIN = r"\A[\p{L}\p{M}'’\-]+\z"
+#: Letters of the references' script, those without case, and those of scripts without
+#: spaces between words, where so many letters count as a word.
+LATIN, CASELESS = r"\p{IsLatin}", r"\p{Lo}"
+UNSPACED, LETTERS_A_WORD = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}", 2
+
 #: Character classes by what they leave when all else is deleted; the rest is "other".
 CLASSES = [r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^\p{Nd}]+", r"[^\x20\x09-\x0D]+", r"[^.,;:!?'\"()\-]+"]
 
@@ -88,20 +99,45 @@ def nearest(shares: Column, references: list[list[float]]) -> Column:
     return let(shares, lambda p: F.least(*[distance(p, q) for q in references]))
 
 
+def letters(t: Column, kind: str = r"\p{L}") -> Column:
+    """Letters of the kind in the text."""
+    return F.char_length(F.regexp_replace(t, f"[^{kind}]+", ""))
+
+
+def own_share(w: Column, listed: list[str]) -> Column:
+    """Share of the words ``w`` that the commonest plain, unlisted ones found three times or more make up."""
+
+    def runs(s: Column) -> Column:  # lengths of the runs of equal words in a sorted array
+        at = F.transform(F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x != F.get(s, i - 1), F.lit(True)), i)), lambda i: i.isNotNull()), lambda i: i)
+        return let(at, lambda a: F.transform(a, lambda x, i: F.coalesce(F.get(a, i + 1), F.size(s)) - x))
+
+    plain = F.filter(w, lambda x: x.rlike(PLAIN) & ~x.isin(listed))
+    top = F.slice(F.sort_array(F.filter(let(F.sort_array(plain), runs), lambda n: n > 2), asc=False), 1, OWN_WORDS)
+    return F.aggregate(top, F.lit(0), lambda n, x: n + x) / F.size(w)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``char_distance``, ``word_distance`` and ``kept``.
 
     All other columns are kept; columns named like the new ones are replaced.
     Null and empty texts count 0 words and fail the base rules. A text below
-    the length a distance needs has a null distance and passes it. Each row,
-    repeated ones too, is judged by itself.
+    the length a distance needs has a null distance and passes it; so does one
+    too far from all references whose script or language has none: mostly
+    letters without case for the characters, mostly letters that are not Latin
+    or many common words of its own for the words. In scripts without spaces
+    letters stand for the least number of words. Each row, repeated ones too,
+    is judged by itself.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     vocabulary = sorted({w for r in WORD_REFERENCES.values() for w in r})
     out = docs.withColumns(base_counts(F.col(text_col)))
     sizes = [F.char_length(F.regexp_replace(t, c, "")) for c in CLASSES]
     classes = let(F.array(F.char_length(t), *sizes), lambda n: F.transform(F.array(*[n[i] for i in range(1, 6)], n[0] - n[1] - n[2] - n[3] - n[4] - n[5]), lambda x: x / n[0]))
-    char = F.when(F.char_length(t) >= MIN_CHARS_JUDGED, nearest(classes, list(CHAR_REFERENCES.values())))
+    caseless, foreign = 2 * letters(t, CASELESS) > letters(t), 2 * letters(t, LATIN) < letters(t)
+    no_reference = lambda d, most, test: F.when((d <= most) | ~test, d)
+    char = F.when(
+        F.char_length(t) >= MIN_CHARS_JUDGED, let(nearest(classes, list(CHAR_REFERENCES.values())), lambda d: no_reference(d, MAX_CHAR_DISTANCE, caseless))
+    )
 
     def word_shares(language: str):
         at = [vocabulary.index(w) for w in WORD_REFERENCES[language]]
@@ -123,10 +159,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     common = lambda w: F.filter(w, lambda x: x.isin(vocabulary))
     counts = lambda c, n: F.concat(F.array(n), F.transform(F.array(*map(F.lit, vocabulary)), lambda v: F.size(F.filter(c, lambda x: x == v)).cast("bigint")))
-    word = F.when(
-        F.col("n_words") >= MIN_WORDS_JUDGED, let(common(words(F.lower(t))), lambda c: let(counts(c, F.col("n_words")), word_distance))
-    )
+
+    def to_nearest(w: Column) -> Column:
+        far = let(common(w), lambda c: let(counts(c, F.col("n_words")), word_distance))
+        return let(far, lambda d: no_reference(d, MAX_WORD_DISTANCE, foreign | (own_share(w, vocabulary) >= MIN_OWN_SHARE)))
+
+    word = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, let(words(F.lower(t)), to_nearest))
     out = out.withColumns({"char_distance": char, "word_distance": word})
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+    unspaced = lambda x: (letters(x, UNSPACED) >= LETTERS_A_WORD * MIN_WORDS) & (2 * letters(x, UNSPACED) > letters(x))
+    few = F.when(F.col("n_words") < MIN_WORDS, let(t, lambda x: ~unspaced(x))).otherwise(False)  # bound, or it is computed for every row
+    failed = few | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
