@@ -11,6 +11,7 @@ script. A document's surrogates are also checked against its own entities.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 from pyspark.sql import DataFrame
@@ -19,8 +20,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 #: Common given names by (script, gender).
 GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Carmen Claire Elena Emma Heidi Ingrid Isabel Julia Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Paula Petra Rosa Sarah Sofia Susan Teresa Ursula".split(),
-    ("latin", "m"): "Adam Andreas Anton Carlos Charles Daniel David Diego Edward Felix Frank Georg Hans Henri Jack James John Jorge Juan Karl Louis Luis Mark Martin Michael Oscar Paul Peter Robert Stefan Thomas William".split(),
+    ("latin", "f"): "Alice Anna Barbara Carmen Claire Elena Emma Heidi Ingrid Isabel Julia Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Paula Petra Rosa Sarah Sofia Susan Teresa Ursula Jennifer Elizabeth Patricia Jessica Karen Lisa Nancy Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine Christine Helen Rachel Carolyn Janet Catherine Hannah Sabine Monika Brigitte Gisela Renate Helga Karin Katharina Susanne Nathalie Isabelle Sylvie Sophie Camille Chloé Hélène Françoise Monique Jacqueline Pilar Dolores Josefa Francisca Cristina Lucía Marta Beatriz".split(),
+    ("latin", "m"): "Adam Andreas Anton Carlos Charles Daniel David Diego Edward Felix Frank Georg Hans Henri Jack James John Jorge Juan Karl Louis Luis Mark Martin Michael Oscar Paul Peter Robert Stefan Thomas William Joseph Christopher Matthew Anthony Donald Steven Andrew Kenneth Joshua Kevin Brian George Timothy Ronald Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Gregory Alexander Patrick Dennis Jerry Tyler Aaron Henry Klaus Jürgen Wolfgang Günter Dieter Uwe Heinz Helmut Manfred Matthias Tobias Sebastian Florian Pierre Philippe Jacques Nicolas François Laurent Olivier Antoine Guillaume José Antonio Manuel Francisco Javier Miguel Fernando Rafael Alejandro Pablo Sergio".split(),
     ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Наталья Ольга Светлана Татьяна".split(),
     ("cyrillic", "m"): "Алексей Андрей Борис Виктор Дмитрий Иван Михаил Николай Олег Сергей".split(),
 }
@@ -37,12 +38,28 @@ CLASSES = [
     "".join(map(chr, range(0x3B1, 0x3CA))),
     "".join(map(chr, range(0x430, 0x450))),
     "".join(map(chr, range(0x410, 0x430))),
+    "".join(c for c in map(chr, range(0x100, 0x180)) if c.islower()),
+    "".join(c for c in map(chr, range(0x100, 0x180)) if c.isupper()),
+    "άέήίόύώ",
+    "".join(chr(c) for c in range(0x391, 0x3AA) if c != 0x3A2),
+    "".join(map(chr, range(0x450, 0x460))),
+    "".join(map(chr, range(0x400, 0x410))),
 ]
 HEX = ["0123456789abcdef", "0123456789ABCDEF"]
 
-_NAME = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+"
-_TITLE = "|".join(re.escape(t) for group in TITLES.values() for t in group)
-_GIVEN = "|".join(sorted({n for names in GIVEN.values() for n in names}))
+
+def _ranges(chars: list[int]) -> str:
+    """The code points as ranges of a regular expression's class."""
+    starts = [c for c, before in zip(chars, [-2, *chars[:-1]], strict=True) if before != c - 1]
+    ends = [c for c, after in zip(chars, [*chars[1:], -2], strict=True) if after != c + 1]
+    return "".join(f"{chr(x)}-{chr(y)}" for x, y in zip(starts, ends, strict=True))
+
+
+_UPPER = _ranges([c for c in range(0x41, 0x2000) if chr(c).isupper()])
+_NAME = rf"(?:[{_UPPER}]['’])?[{_UPPER}][^\W\d_]+(?:['’-][{_UPPER}][^\W\d_]+)*"
+_cases = lambda names: sorted({x for n in names for x in (n, n.upper())}, key=lambda n: (-len(n), n))
+_TITLE = "|".join(map(re.escape, _cases(t for group in TITLES.values() for t in group)))
+_GIVEN = "|".join(_cases(n for names in GIVEN.values() for n in names))
 
 #: Kinds in order of precedence where matches overlap.
 PATTERNS = {
@@ -50,9 +67,10 @@ PATTERNS = {
     "email": r"(?P<email>[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})",
     "iban": r"\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ip": r"(?<![\d.])(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d))(?!\.?\d)",
+    "ip6": r"(?<![\w:.])(?P<ip6>(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:])",
     "card": r"(?<![\d-])(?P<card>\d{4}(?P<gap>[ -]?)\d{4}(?P=gap)\d{4}(?P=gap)\d{4}|\d{13,19}|3\d{3}[ -]\d{6}[ -]\d{5})(?![\d-])",
     "ssn": r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])",
-    "phone": r"(?<![\w+])(?P<phone>\+\d{1,3}(?:(?:[ .-]|[#*$%&!|]{1,3} | \| )?\(?\d{1,4}\)?){2,5}|\(\d{3}\)(?: |[#*$%&!|]{1,3} | \| )?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<![\w+])(?P<phone>\+\d{1,3}(?:(?:[ .-]|[#*$%&!|]{1,3} | \| )?\(?\d{1,4}\)?){2,5}|\(\d{3}\)(?: |[#*$%&!|]{1,3} | \| )?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|(?!\d{1,2}(?P<dot>[./-])\d{1,2}(?P=dot)\d{4}(?!\d))\(?0\d{1,5}\)?(?:[ ./-]{1,3}\d{2,8}){1,5}|0[1-9]\d{8,9}|[679]\d\d(?:(?: \d{3}){2}|(?: \d\d){3}))(?!\d)",
     "person": rf"(?:\b(?P<title>{_TITLE})\.? (?P<titled>{_NAME}(?: {_NAME}){{0,2}})|\b(?P<person>(?:{_GIVEN}) {_NAME}))\b",
 }
 
@@ -113,6 +131,15 @@ def luhn(digits: str) -> int:
     return -sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
 
 
+def is_ip6(value: str) -> bool:
+    """Whether it is an address, and no name with ``::`` in program text."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return any(c.isdigit() for c in value) and sum(map(bool, value.split(":"))) > 1
+
+
 def order(key: bytes, names: list[str]) -> dict[str, str]:
     """A keyed cycle through the names: none stays as it is."""
     ring = sorted(names, key=lambda n: hashlib.blake2b(n.encode(), key=key).digest())
@@ -126,6 +153,8 @@ def surrogate(key: bytes, kind: str, value: str, given: dict[str, str], again: i
         local, _, domain = value.rpartition("@")
         labels, _, top = domain.rpartition(".")
         return f"{permute(key, f'{tweak}\1{domain}', local)}@{permute(key, 'domain', labels)}.{top}"
+    if kind == "ip" and ":" in value:
+        return permute(key, tweak, value, [HEX[1]]) if value == value.upper() else permute(key, tweak, value.lower(), [HEX[0]])
     if kind == "ip":
         bytes_ = [chr(0x4E00 + int(b)) for b in value.split(".")]
         return ".".join(str(ord(c) - 0x4E00) for c in permute(key, tweak, "".join(bytes_), ["".join(map(chr, range(0x4E00, 0x4F00)))]))
@@ -137,7 +166,7 @@ def surrogate(key: bytes, kind: str, value: str, given: dict[str, str], again: i
         new += str((luhn(new) + (0 if valid else int(digits[-1]) - luhn(digits[:-1]))) % 10)
         fill = iter(new)
         return re.sub(r"\d", lambda _: next(fill), value)
-    if kind == "phone" and (m := re.match(r"\+\d{1,3}(?=\D)", value)):
+    if kind == "phone" and (m := re.match(r"\+\d{1,3}(?=\D)|\(?0", value)):
         return m[0] + permute(key, f"{tweak}\1{m[0]}", value[m.end() :])
     if kind in ("iban", "key") and (m := re.match(r"[A-Z]{2}(?=\d)|AKIA|gh[pousr]_", value)):
         return m[0] + permute(key, f"{tweak}\1{m[0]}", value[m.end() :])
@@ -147,7 +176,8 @@ def surrogate(key: bytes, kind: str, value: str, given: dict[str, str], again: i
                 return permute(key, tweak, value, [alphabet])
         return permute(key, tweak, value)
     if kind == "person":
-        return " ".join(given.get(w) or permute(key, f"name\1{again}", w) for w in value.split(" "))
+        listed = lambda w: given.get(w) or (given[w.title()].upper() if w.isupper() and w.title() in given else None)
+        return " ".join(listed(w) or permute(key, f"name\1{again}", w) for w in value.split(" "))
     return permute(key, tweak, value)
 
 
@@ -163,8 +193,10 @@ def replacer(key: bytes):
             return text, []
         hits = []
         for m in find(text):
-            group = next(g for g in ("secret", "key", "email", "iban", "ip", "card", "ssn", "phone", "titled", "person") if m[g])
-            kind, value = ("person" if group == "titled" else group), m[group]
+            group = next(g for g in ("secret", "key", "email", "iban", "ip", "ip6", "card", "ssn", "phone", "titled", "person") if m[g])
+            kind, value = {"titled": "person", "ip6": "ip"}.get(group, group), m[group]
+            if group == "ip6" and not is_ip6(value):
+                continue
             n = sum(c.isdigit() for c in value)
             if kind == "phone" and not 9 <= n <= 15 or kind == "card" and n != 16 and luhn(re.sub(r"\D", "", value)[:-1]) != int(value[-1]):
                 continue

@@ -70,6 +70,19 @@ def test_noise_and_upper_case():
     assert [k for k, _, _ in spans] == ["email", "phone", "key", "ip", "card"]
 
 
+def test_other_forms_of_names_phones_and_addresses():
+    for text, old in {
+        "Jennifer Brown came": "Jennifer Brown", "then JOHN SMITH said": "JOHN SMITH", "Mr O'Brien said": "O'Brien", "Dr. Dvořák said": "Dvořák", "Mrs Smith-Jones's car": "Smith-Jones",
+        "MR SMITH, again": "SMITH", "Frau Łucja Żak war da": "Łucja Żak", "call 06 12 34 56 78 now": "06 12 34 56 78", "Tel. 030 1234567, Berlin": "030 1234567", "tel 0612345678.": "0612345678",
+        "tel 612 345 678.": "612 345 678", "tel 555 123 4567.": "555 123 4567", "Tel. (030) 123 45 67!": "(030) 123 45 67", "at 2001:db8::8a2e:370:7334, port": "2001:db8::8a2e:370:7334",
+    }.items():
+        new, spans = found(text)
+        assert [(o, k) for k, o, _ in spans] == [(old, spans[0][0])] if spans else False, text
+        assert old not in new and new == text.replace(old, spans[0][2]), text
+    for text in ("On 01.02.2003 at 14:30:15 it was 06/07/2008 12:00", "std::vector a::b 12:30:45", "In 2019 2020 2021", "I miss London and Dr who"):
+        assert found(text) == (text, [])
+
+
 def test_rows(spark):
     df, rows = helpers.docs(spark, [*helpers.EDGE_TEXTS, "mail me@site.example.com", "again me@site.example.com and you@site.example.com"])
     out = pii.replace_entities(df, KEY)
