@@ -25,26 +25,49 @@ BOILERPLATE = set("nav footer aside form menu dialog header".split())
 MAIN = set("article main".split())
 #: Words of class, id and role that mark boilerplate or content.
 BAD = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|sidebar|side-?bar|aside|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|login|signup|sign-up|search|pagination|pager|toolbar|widgets?|copyright|legal|disclaimer|contentinfo|complementary|tags?)(?![a-z])"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|sidebar|side-?bar|aside|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|login|signup|sign-up|search|pagination|pager|toolbar|widgets?|copyright|legal|disclaimer|contentinfo|complementary|tags?)"
 )
+#: Hints under which article elements are items of a list, not the main text.
+ITEMS = re.compile(r"(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|related|recommend\w*)")
+#: First parts of classes that name a state or subject of the page (has-sidebar, tag-science).
+ABOUT = set("has no not with without is tag tags category".split())
 GOOD = re.compile(r"(?<![a-z])(?:article|articlebody|main|content|post|entry|story|text|body)(?![a-z])")
 UNSEEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 
 #: The classifier: log-odds of content.
-BIAS, IN_MAIN, HINT_GOOD, HINT_BAD, IN_BOILERPLATE = 0.5, 3.0, 2.0, -9.0, -9.0
+BIAS, IN_MAIN, HINT_GOOD, HINT_BAD, HINT_PART, IN_BOILERPLATE = 0.5, 3.0, 2.0, -6.0, -4.0, -9.0
 BY_TAG = {"p": 1.0, "h1": 0.8, "h2": 0.8, "h3": 0.6, "h4": 0.6, "pre": 0.8, "blockquote": 0.8, "li": -0.5, "legend": -1.0, "option": -4.0}
 PER_WORD, MOST_WORDS, LINKED, SENTENCE, RIGHTS = 0.04, 50, -4.0, 0.5, -2.0
 #: Smoothness: neighbours; and more for the same parent; blocks two apart with the same parent.
 NEXT, SIBLING, SECOND = 0.4, 0.8, 0.3
 
 
+def hint(words: str) -> tuple[float, bool]:
+    """Weight of the boilerplate words in class, id and role, and whether they mark a list of items.
+
+    A word counts as a whole class, less as a part of one, and not at all in
+    names like has-x, no-x and tag-x.
+    """
+    worst, items = 0.0, False
+    for name in words.replace('"', " ").replace("'", " ").split():
+        parts = re.split(r"[^a-z]+", name)
+        if BAD.fullmatch(name):
+            worst = HINT_BAD
+        elif parts[0] not in ABOUT and any(map(BAD.fullmatch, parts)):
+            worst = min(worst, HINT_PART)
+        else:
+            continue
+        items = items or any(map(ITEMS.fullmatch, parts))
+    return worst, items
+
+
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, log-odds, parent) of each block of the page with text, in order."""
     out: list[tuple[str, float, int]] = []
-    # an open element: tag, number, best hint, worst hint, hidden
-    stack: list[tuple[str, int, float, float, bool]] = [("", 0, 0.0, 0.0, False)]
+    # an open element: tag, number, best hint, worst hint, hidden, worst that an article or main inside keeps
+    stack: list[tuple[str, int, float, float, bool, float]] = [("", 0, 0.0, 0.0, False, 0.0)]
     text: list[str] = []
     linked, number, at, link_depth = 0, 0, 0, 0
 
@@ -112,21 +135,26 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             link_depth += 1
         if attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
-        _, _, good, bad, hidden = stack[-1]
+        _, _, good, bad, hidden, kept = stack[-1]
+        if tag in MAIN:
+            bad = kept  # a container's hint does not veto it
         if attributes:
             words = " ".join(_ATTRIBUTE.findall(attributes)).lower()
             if words and tag not in ("html", "body"):
                 if GOOD.search(words):
                     good = max(good, HINT_GOOD)
-                if BAD.search(words):
-                    bad = min(bad, HINT_BAD)
+                worst, items = hint(words)
+                if tag not in MAIN:
+                    bad = min(bad, worst)
+                if items and (tag not in MAIN or worst == HINT_BAD):
+                    bad = kept = min(kept, IN_BOILERPLATE)
             hidden = hidden or bool(UNSEEN.search(attributes))
         if tag in MAIN:
             good = max(good, IN_MAIN)
         if tag in BOILERPLATE:
-            bad = min(bad, IN_BOILERPLATE)
+            bad = kept = min(kept, IN_BOILERPLATE)
         number += 1
-        stack.append((tag, number, good, bad, hidden or tag in HIDDEN))
+        stack.append((tag, number, good, bad, hidden or tag in HIDDEN, kept))
     text.append(page[at:])
     flush()
     return out

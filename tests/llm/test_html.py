@@ -23,6 +23,17 @@ def test_article_without_the_rest():
     assert H.main_text(PAGE) == TEXT
 
 
+def test_one_word_in_a_class_does_not_veto_an_article():
+    text = "A paragraph of the story that is long enough to be text and goes on for a while, as they do."
+    for around in ('<article class="post tag-science">', '<div class="layout has-sidebar">', '<div class="no-sidebar">', '<div class="content-sidebar-wrap"><article>', '<div class="sidebar"><main>', '<article class="share">'):
+        assert H.main_text(f"{around}<p>{text}</p><p>{text}</p>") == f"{text} {text}", around
+    # a long paragraph in an article outweighs one hint; a list of comments or an aside still goes
+    long = " ".join([text] * 3)
+    assert H.main_text(f"<article><p>{text}</p><div class=share><p>{long}</p></div></article>") == f"{text} {long}"
+    for around in ("<div class=related-posts><article>", "<aside><article>", "<div class=comments><article>", "<div class=sidebar>", "<div class=site-footer>"):
+        assert H.main_text(f"<article><p>{text}</p></article>{around}<p>{text}</p>") == text, around
+
+
 def test_broken_markup():
     assert H.main_text("<p>unclosed <b>bold &amp; x") == "unclosed bold & x"
     assert H.main_text("<a href='x>y'>q</a> a < b & c") == "q a < b & c"
