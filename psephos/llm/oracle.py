@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, quality, urls
+from . import chat, decontaminate, merkle, quality, urls
 
 WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 UPPER, LOWER = urls.UPPER, urls.LOWER
@@ -108,3 +108,53 @@ f AS (SELECT conv_id, chars FROM x UNION ALL
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS turns, coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS loss FROM p GROUP BY conv_id),
 h AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM f GROUP BY conv_id)
 SELECT g.conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g JOIN h ON h.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+
+def merkle_manifest(levels: int = 8, above: int = 4) -> str:
+    """Groups of up to 8 ** levels rows, up to 8 ** above groups."""
+    field = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    byte = "lambda x: unicode(x)::BIGINT"
+    bit = "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), {byte})), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {bit})))"
+
+    def tree(name: str, count: int) -> list[str]:
+        """Levels ``name``0 to ``name``count of (g, pos, n, h); s: with what stands left and right of each node."""
+        out = []
+        for k in range(count):
+            run = f"PARTITION BY g, pos // {merkle.FANOUT} ORDER BY pos ROWS BETWEEN"
+            out.append(
+                f"{name}s{k} AS MATERIALIZED (SELECT g, pos, n, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, "
+                f"coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {name}{k})"
+            )
+            out.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT g, pos // {merkle.FANOUT} AS pos, (any_value(n) + {merkle.FANOUT - 1}) // {merkle.FANOUT} AS n, "
+                f"CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {name}{k} GROUP BY g, pos // {merkle.FANOUT})"
+            )
+        return out
+
+    def climb(name: str, source: str, tree_name: str, count: int, g: str, pos: str) -> list[str]:
+        """The folds f and siblings q of the rows of ``source`` through all levels."""
+        out = []
+        for k in range(count):
+            before = source if k == 0 else f"{name}{k - 1}"
+            out.append(
+                f"{name}{k} AS (SELECT c.* EXCLUDE (f, q), CASE WHEN s.n = 1 THEN f ELSE sha256(s.a || f || s.b) END AS f, CASE WHEN s.n = 1 THEN q ELSE q || s.a || s.b END AS q "
+                f"FROM {before} c JOIN {tree_name}s{k} s ON s.g = c.{g} AND s.pos = c.{pos} // {merkle.FANOUT**k})"
+            )
+        return out
+
+    parts = [
+        f"d AS (SELECT doc_id, {leaf('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {leaf('text')} END AS other, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM documents)",
+        "r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d)",
+        "t0 AS MATERIALIZED (SELECT g, pos, count(*) OVER (PARTITION BY g) AS n, leaf AS h FROM r)",
+        *tree("t", levels),
+        f"u0 AS MATERIALIZED (SELECT 0 AS g, g AS pos, count(*) OVER () AS n, h FROM t{levels})",
+        *tree("u", above),
+        "c AS (SELECT doc_id, leaf, g, pos, 0 AS top, other AS f, '' AS q FROM r)",
+        *climb("x", "c", "t", levels, "g", "pos"),
+        *climb("y", f"x{levels - 1}", "u", above, "top", "g"),
+    ]
+    return f"""
+WITH {", ".join(parts)}
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(q) AS proof_sha256, f AS folded_root, f = u.h AS verified FROM y{above - 1} y JOIN t{levels} t ON t.g = y.g JOIN u{above} u ON u.g = y.top"""

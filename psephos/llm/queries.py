@@ -5,9 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_mincut, jaccard, lm, oracle, pii, quality, token_counts, urls
+from . import bpe, chat, decontaminate, html_mincut, jaccard, lm, merkle, oracle, pii, quality, token_counts, urls
 from .common import table
 
 PUBLIC = public_tokenizers.path
@@ -71,7 +70,26 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), PUBLIC("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_quality_rules, op3_url_filters, op4_jaccard_join, op5_byte_bpe, op6_token_counts, op7_decontamination, op8_pii, op9_chat_format, op10_lm_scoring)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_mincut,
+        op2_quality_rules,
+        op3_url_filters,
+        op4_jaccard_join,
+        op5_byte_bpe,
+        op6_token_counts,
+        op7_decontamination,
+        op8_pii,
+        op9_chat_format,
+        op10_lm_scoring,
+        op11_merkle_manifest,
+    )
+}
 
 ORACLE_SQL = {
     "op2_quality_rules": oracle.quality_rules(),
@@ -79,4 +97,5 @@ ORACLE_SQL = {
     "op4_jaccard_join": oracle.jaccard_join(4, 85),
     "op7_decontamination": oracle.decontamination(),
     "op9_chat_format": oracle.chat_format(512, 256),
+    "op11_merkle_manifest": oracle.merkle_manifest(),
 }
