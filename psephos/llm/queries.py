@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html_mincut, jaccard, lm, merkle, oracle, pii, quality, token_counts, urls
+from . import bpe, chat, decontaminate, html_mincut, jaccard, lm, merkle, negatives, oracle, pii, quality, secrets, token_counts, urls
 from .common import table
 
 PUBLIC = public_tokenizers.path
@@ -74,6 +74,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +97,8 @@ QUERIES = {
         op9_chat_format,
         op10_lm_scoring,
         op11_merkle_manifest,
+        op12_secret_scans,
+        op13_hard_negatives,
     )
 }
 
@@ -98,4 +109,5 @@ ORACLE_SQL = {
     "op7_decontamination": oracle.decontamination(),
     "op9_chat_format": oracle.chat_format(512, 256),
     "op11_merkle_manifest": oracle.merkle_manifest(),
+    "op13_hard_negatives": oracle.hard_negatives(),
 }

@@ -1,0 +1,92 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from psephos.llm import negatives
+
+from . import helpers
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int"
+
+
+def brute(rows, positives=5, count=10):
+    use = []
+    for i, v, label in rows:
+        if label is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        use.append((i, (label + 1) % 10 if i is not None and i % 7 == 0 else label, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
+    key = lambda x: (-x[1], x[0] is None, x[0] or 0)
+    out = []
+    for k, (i, label, v) in enumerate(use):
+        if i is None or i % 100:
+            continue
+        scored = [(j, sum(a * b for a, b in zip(v, w, strict=False)), other) for m, (j, other, w) in enumerate(use) if m != k]
+        for p in sorted((x for x in scored if x[2] == label), key=key)[:positives]:
+            fit = sorted((x for x in scored if x[2] != label and 30 * p[1] <= 100 * x[1] <= 90 * p[1]), key=key)
+            out += [(i, p[0], r, n[0], p[1], n[1]) for r, n in enumerate(fit[:count], 1)]
+    return sorted(out, key=repr)
+
+
+def result(df):
+    return sorted(map(tuple, negatives.mine(df).collect()), key=repr)
+
+
+@pytest.mark.parametrize(("m", "k", "n"), [(1, 1, 1), (25, 25, 25), (33, 64, 70), (130, 77, 99), (64, 0, 30)])
+def test_strassen_equals_plain_integers(m, k, n, monkeypatch):
+    monkeypatch.setattr(negatives, "DIRECT", 6)
+    rng = np.random.default_rng(m)
+    for top in (300, 1 << 27):
+        a, b = rng.integers(-top, top, (m, k)), rng.integers(-top, top, (k, n))
+        want = [[sum(int(x) * int(y) for x, y in zip(r, c, strict=True)) for c in b.T] for r in a]
+        assert negatives.strassen(a, b).tolist() == want
+
+
+def test_windows_are_exact():
+    scores = np.array([negatives.NO_SCORE, -7, 0, 1, 9, 10, 11, 65536, (1 << 61) + 3])
+    least, most = negatives.windows(scores, 30, 90)
+    for s, lo, hi in zip(scores.tolist()[1:], least.tolist()[1:], most.tolist()[1:], strict=True):
+        assert lo == -(-30 * s // 100) and hi == 90 * s // 100
+    assert least[0] > most[0]
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_equals_brute_force(spark, monkeypatch, small):
+    if small:  # several blocks, stripes and rounds of merging
+        for name, value in (("ANCHORS", 3), ("ROWS", 7), ("STRIPE", 2), ("MERGED", 2), ("COLUMNS", 3)):
+            monkeypatch.setattr(negatives, name, value)
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 0.2) for _ in range(30)] for _ in range(4)]
+    rows = [(i, [x + rng.gauss(0, 0.08) for x in centres[rng.randrange(4)]], rng.randrange(4)) for i in range(0, 900, 3 if small else 1)]
+    assert result(table(spark, rows).repartition(6)) == brute(rows)
+
+
+def test_a_hot_vector_ties(spark):
+    """A third of the rows are one vector."""
+    rng = random.Random(5)
+    rows = [(i, [0.5, 0.25, -0.1] if i % 3 == 0 else [rng.gauss(0, 0.5) for _ in range(3)], i % 4) for i in range(600)]
+    assert result(table(spark, rows)) == brute(rows)
+
+
+def test_edge_rows(spark):
+    """Nulls in any column, non-finite components, repeated rows and anchors, unequal lengths, extra columns."""
+    rng = random.Random(6)
+    vector = lambda: [rng.gauss(0, 0.5) for _ in range(5)]
+    rows = [(i, vector(), i % 3) for i in range(1, 60)]
+    rows += [(100, [0.5] * 5, 1), (100, [0.5] * 5, 1), (100, [0.4] * 5, 1), (200, [], 1), (300, [0.5, 0.5], 2), (400, None, 1), (500, vector(), None)]
+    rows += [(600, [0.1, None, 0.2, 0.3, 0.4], 1), (700, [0.1, float("nan"), 0.2, 0.3, 0.4], 1), (800, [float("inf")] * 5, 1), (None, [0.5] * 5, 1), (None, [0.45] * 5, 2), (None, None, None)]
+    df = table(spark, rows).withColumns({c: F.lit("clash") for c in ["id", "vec", "block", "stripe", "n", "scores", "found", "kind"]})
+    got = result(df)
+    assert got == brute(rows)
+    assert {r[0] for r in got} >= {100, 300}
+
+
+def test_empty(spark):
+    assert result(helpers.empty(spark, SCHEMA)) == []
+    assert result(table(spark, [(1, [1.0], 1), (2, [1.0], 1)])) == []  # no anchors
+    assert result(table(spark, [(100, [1.0], 1)])) == []  # nobody else
