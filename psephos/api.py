@@ -57,6 +57,10 @@ class ElectionCount:
         self.tables = H.build_house(self.house, self.cache, self._kept)
         return self
 
+    def release(self) -> None:
+        """Give back what is materialized; results are computed anew from then on."""
+        release(self._kept)
+
     # --- House ----------------------------------------------------------------------
 
     def polling_place_results_by_candidate(self) -> DataFrame:
@@ -136,12 +140,25 @@ class ElectionCount:
 class PrepollSeries:
     """Early-voting series of two elections: daily, running and against enrolment."""
 
-    def __init__(self, inputs: PrepollInputs):
-        self.inputs = inputs
+    def __init__(self, inputs: PrepollInputs | None = None, loader=None):
+        """From ``inputs``, or from ``loader(kept)``, which ``refresh`` calls again."""
+        self._loader = loader or (lambda kept: inputs)
+        self._kept: list[DataFrame] = []
+        self.refresh()
+
+    def refresh(self) -> PrepollSeries:
+        """Release what the last refresh materialized and read the sources anew."""
+        self.release()
+        self.inputs = inputs = self._loader(self._kept)
         self.prepoll_all = E.combine_elections(inputs.prepoll_2013, inputs.prepoll_2016)
         self.enrolment_state_all = E.enrolment_both(
             E.enrolment_2013_by_state(inputs.enrolment_2013), E.enrolment_2016_by_state(inputs.enrolment_2016)
         )
+        return self
+
+    def release(self) -> None:
+        """Give back what is materialized; results are computed anew from then on."""
+        release(self._kept)
 
     @classmethod
     def from_files(
@@ -154,11 +171,11 @@ class PrepollSeries:
         states: list[str] = STATE_FILES,
     ) -> PrepollSeries:
         """``states``: the rows of the 2013 enrolment table that count (not its total)."""
-        return cls(load_prepoll(spark, prepoll_2013, prepoll_2016, enrolment_2013, enrolment_2016, states))
+        return cls(loader=lambda kept: load_prepoll(spark, prepoll_2013, prepoll_2016, enrolment_2013, enrolment_2016, states))
 
     @classmethod
     def from_warehouse(cls, spark: SparkSession, sf_dir: str, cache: str = "auto") -> PrepollSeries:
-        return cls(prepoll_inputs(spark, sf_dir, cache))
+        return cls(loader=lambda kept: prepoll_inputs(spark, sf_dir, cache, kept))
 
     def prepoll_numbers(self) -> DataFrame:
         """National daily votes with running totals and shares of enrolment."""

@@ -4,6 +4,7 @@ from psephos.functions.columns import (
     asc_last,
     case_sql,
     desc_last,
+    left_join_na,
     lit_sql,
     pct,
     pct_sql,
@@ -21,6 +22,7 @@ __all__ = [
     "asc_last",
     "case_sql",
     "desc_last",
+    "left_join_na",
     "lit_sql",
     "pct",
     "pct_sql",

@@ -14,6 +14,8 @@ arguments are accepted too and take the Column-API path.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -131,3 +133,10 @@ def asc_last(c: str | Column) -> Column:
 
 def desc_last(c: str | Column) -> Column:
     return _c(c).desc_nulls_last()
+
+
+def left_join_na(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` where a NULL key meets a NULL key, as the original's joins match NA with NA."""
+    theirs = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return left.join(theirs, same, "left").drop(*[f"__{k}" for k in keys])

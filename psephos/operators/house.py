@@ -26,6 +26,7 @@ from psephos.functions import (
     asc_last,
     case_sql,
     desc_last,
+    left_join_na,
     lit_sql,
     pct,
     pct_sql,
@@ -171,7 +172,7 @@ def tcp_everything(by_type: DataFrame, enrolment: DataFrame) -> DataFrame:
     )
     enrol = enrolment.selectExpr("DivisionID", "Enrolment", "ceil(Enrolment / 2) AS fifty_percent_enrolment")
     order = df.columns + ["Enrolment", "fifty_percent_enrolment"]
-    return df.join(enrol, "DivisionID", "left").select(*order)
+    return left_join_na(df, enrol, ["DivisionID"]).select(*order)
 
 
 # --- H8 -----------------------------------------------------------------------------
@@ -368,15 +369,12 @@ def seat_summary(pp_all: DataFrame, enrolment: DataFrame, tcp_all: DataFrame, tc
     # One pass over the candidate/place table: seat total, and the party of the
     # sitting and of the elected candidate (a seat's rows agree on it, so the
     # smallest is the first).
-    total = (
-        pp_all.groupBy("StateAb", "DivisionID", "DivisionNm")
-        .agg(
-            strict_sum("OrdinaryVotes").alias("total_votes"),
-            F.expr("min(CASE WHEN HistoricElected = 'Y' THEN PartyAb END) AS HistoricElected"),
-            F.expr("min(CASE WHEN Elected = 'Y' THEN PartyAb END) AS Elected"),
-        )
-        .join(enrolment.select("DivisionID", "Enrolment"), "DivisionID", "left")
+    total = pp_all.groupBy("StateAb", "DivisionID", "DivisionNm").agg(
+        strict_sum("OrdinaryVotes").alias("total_votes"),
+        F.expr("min(CASE WHEN HistoricElected = 'Y' THEN PartyAb END) AS HistoricElected"),
+        F.expr("min(CASE WHEN Elected = 'Y' THEN PartyAb END) AS Elected"),
     )
+    total = left_join_na(total, enrolment.select("DivisionID", "Enrolment"), ["DivisionID"])
     leading = tcp_all.where("div_percent_TotalVotes >= 50").selectExpr(
         "DivisionID", "PartyAb AS leading_party", "div_percent_TotalVotes AS leading_tcp", "margin_votes AS margin"
     )
@@ -384,25 +382,22 @@ def seat_summary(pp_all: DataFrame, enrolment: DataFrame, tcp_all: DataFrame, tc
         "DivisionID", "PartyAb AS lagging_party", "div_percent_TotalVotes AS lagging_tcp"
     )
     swing = tcp_type.selectExpr("DivisionID", "PartyAb AS leading_party", "Swing")
-    out = (
-        total.join(leading.join(lagging, "DivisionID", "left"), "DivisionID", "left")
-        .join(swing, ["DivisionID", "leading_party"], "left")
-        .selectExpr(
-            "StateAb",
-            "DivisionID",
-            "DivisionNm",
-            "total_votes",
-            "Enrolment",
-            f"{pct_sql('total_votes', 'Enrolment')} AS turnout",
-            "HistoricElected",
-            "Elected",
-            "leading_party",
-            "leading_tcp",
-            "lagging_party",
-            "lagging_tcp",
-            "margin",
-            "Swing",
-        )
+    seats = left_join_na(total, left_join_na(leading, lagging, ["DivisionID"]), ["DivisionID"])
+    out = left_join_na(seats, swing, ["DivisionID", "leading_party"]).selectExpr(
+        "StateAb",
+        "DivisionID",
+        "DivisionNm",
+        "total_votes",
+        "Enrolment",
+        f"{pct_sql('total_votes', 'Enrolment')} AS turnout",
+        "HistoricElected",
+        "Elected",
+        "leading_party",
+        "leading_tcp",
+        "lagging_party",
+        "lagging_tcp",
+        "margin",
+        "Swing",
     )
     return round_doubles(out)
 
@@ -451,27 +446,30 @@ class HouseTables:
     TCP matrix they share), built on first use in dependency order.
 
     ``cache`` is passed to :func:`psephos.plans.sizing.materialize` for the
-    tables several reports share (the candidate/place table, the long TCP
-    matrix and the full TCP table); the default keeps them lazy, which is
-    right when one report runs per plan.
+    tables in ``shared`` (by default those that several reports read: the
+    candidate/place table, the long TCP matrix and the full TCP table); the
+    default keeps them lazy, which is right when one report runs per plan.
     """
 
     NAMES = ("pp_all", "formal_votes_div", "tcp_long", "tcp_pp", "hor_tcp_type", "div_total_type", "tcp_type")
 
-    def __init__(self, inputs, cache: str = "none", kept: list[DataFrame] | None = None):
+    SHARED = ("pp_all", "tcp_long", "tcp_type")
+
+    def __init__(self, inputs, cache: str = "none", kept: list[DataFrame] | None = None, shared: tuple[str, ...] = SHARED):
         self.inputs = inputs
         self.cache = cache
+        self.shared = shared
         self.kept = [] if kept is None else kept
         self._built: dict[str, DataFrame] = {}
 
     def _make(self, name: str) -> DataFrame:
         i = self.inputs
         if name == "pp_all":
-            return materialize(polling_place_results_by_candidate(i.fp_pp, i.fp_type), self.cache, self.kept)
+            return polling_place_results_by_candidate(i.fp_pp, i.fp_type)
         if name == "formal_votes_div":
             return formal_votes_by_party(i.fp_pp)
         if name == "tcp_long":
-            return materialize(tcp_long(i.tcp_pp, i.tcp_type), self.cache, self.kept)
+            return tcp_long(i.tcp_pp, i.tcp_type)
         if name == "tcp_pp":
             return tcp_by_place(self["tcp_long"], getattr(i, "parties", None))
         if name == "hor_tcp_type":
@@ -479,22 +477,25 @@ class HouseTables:
         if name == "div_total_type":
             return vote_types_by_division(i.fp_type, i.fp_pp)
         if name == "tcp_type":
-            return materialize(tcp_everything(self["hor_tcp_type"], i.enrolment), self.cache, self.kept)
+            return tcp_everything(self["hor_tcp_type"], i.enrolment)
         raise KeyError(name)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
-            self._built[name] = self._make(name)
+            how = self.cache if name in self.shared else "none"
+            self._built[name] = materialize(self._make(name), how, self.kept)
         return self._built[name]
 
     def all(self) -> dict[str, DataFrame]:
         return {n: self[n] for n in self.NAMES}
 
 
-def build_house(inputs, cache: str = "none", kept: list[DataFrame] | None = None) -> HouseTables:
+def build_house(
+    inputs, cache: str = "none", kept: list[DataFrame] | None = None, shared: tuple[str, ...] = HouseTables.SHARED
+) -> HouseTables:
     """Refresh of the derived House tables (built lazily on access); ``kept``
     takes what is materialized, for ``release``."""
-    return HouseTables(inputs, cache, kept)
+    return HouseTables(inputs, cache, kept, shared)
 
 
 # --- dormant reports (kept commented out in the original analysis) ---------------------
@@ -528,7 +529,7 @@ def division_votes_tcp(votes: DataFrame, long: DataFrame, by_type: DataFrame) ->
     )
     own_cols = TCP_TYPES + ["Swing"]
     own = by_type.selectExpr("CandidateID", *[f"{c} AS tcp_{c}" for c in own_cols])
-    return votes.join(tcp, ["DivisionNm", "PartyAb"], "left").join(own, "CandidateID", "left").select(
+    return left_join_na(votes.join(tcp, ["DivisionNm", "PartyAb"], "left"), own, ["CandidateID"]).select(
         *votes.columns, "tcp_votes", *[f"tcp_{c}" for c in own_cols]
     )
 
@@ -558,7 +559,7 @@ def tcp_lead_lag_diff(tcp_all: DataFrame) -> DataFrame:
     lag = tcp_all.where("div_percent_TotalVotes < 50").selectExpr(
         "DivisionID", "PartyAb AS lagging_PartyAb", *[f"{c} AS lagging_{c}" for c in cols]
     )
-    return lead.join(lag, "DivisionID", "left").selectExpr(
+    return left_join_na(lead, lag, ["DivisionID"]).selectExpr(
         "DivisionID",
         "DivisionNm",
         "leading_PartyAb",

@@ -55,7 +55,7 @@ CAND = f"""
     CASE WHEN slot = 8 THEN 'Informal' ELSE 'Party ' || ({PARTY}) END AS PartyNm"""
 
 PLACE = (
-    "CASE WHEN k = 0 THEN DivisionNm || ' PPVC' WHEN k = 1 THEN 'PREPOLL ' || DivisionNm "
+    "CASE WHEN k % 10 = 0 THEN DivisionNm || ' PPVC ' || CAST(k AS VARCHAR) WHEN k % 10 = 1 THEN 'PREPOLL ' || DivisionNm || ' ' || CAST(k AS VARCHAR) "
     "ELSE DivisionNm || ' Booth ' || CAST(k AS VARCHAR) END"
 )
 
@@ -78,7 +78,7 @@ ballots AS (
               WHEN '3-MEDIUM' THEN CASE WHEN g.DivisionID % 6 = 5 THEN 'PostalVotes' ELSE 'ProvisionalVotes' END WHEN '4-NOT SPECIFIED' THEN 'PrePollVotes'
               WHEN '5-LOW' THEN 'PostalVotes' END AS vtype,
          CASE WHEN g.DivisionID % 5 = 4 AND o.o_orderpriority = '1-URGENT' AND l.l_suppkey % 10 < 2
-              THEN l.l_suppkey % 10 + 2 ELSE l.l_suppkey % 10 END AS k,
+              THEN l.l_suppkey % 10 + 2 ELSE l.l_suppkey % 10 END + 10 * (l.l_suppkey // 100) AS k,
          CASE WHEN l.l_partkey % 100 < 34 THEN 1 WHEN l.l_partkey % 100 < 60 THEN 2
               WHEN l.l_partkey % 100 < 75 THEN 3 WHEN l.l_partkey % 100 < 88 THEN 4
               WHEN l.l_partkey % 100 < 91 THEN 5 WHEN l.l_partkey % 100 < 94 THEN 6
@@ -100,7 +100,7 @@ fp_pp_g AS (
   FROM ballots WHERE vtype = 'OrdinaryVotes' GROUP BY ALL
 ),
 house_fp_pp AS (
-  SELECT StateAb, DivisionID, DivisionNm, DivisionID * 10 + k AS PollingPlaceID, {PLACE} AS PollingPlace,
+  SELECT StateAb, DivisionID, DivisionNm, k * 100 + DivisionID AS PollingPlaceID, {PLACE} AS PollingPlace,
     {CAND},
     OrdinaryVotes
   FROM fp_pp_g
@@ -121,7 +121,7 @@ tcp_pp_g AS (
   FROM tcp_ballots WHERE vtype = 'OrdinaryVotes' GROUP BY ALL
 ),
 house_tcp_pp AS (
-  SELECT StateAb, DivisionID, DivisionNm, DivisionID * 10 + k AS PollingPlaceID, {PLACE} AS PollingPlace,
+  SELECT StateAb, DivisionID, DivisionNm, k * 100 + DivisionID AS PollingPlaceID, {PLACE} AS PollingPlace,
     {CAND},
     OrdinaryVotes
   FROM tcp_pp_g

@@ -1,7 +1,8 @@
 """Named queries over the driver's tables: ``name -> (spark, sf_dir) -> DataFrame``.
 
 Each query builds the election view from the warehouse tables it reads and
-runs one report on it, so its work grows with those tables.
+runs one report on it, so its work grows with those tables. A query first
+releases what the one before it materialized.
 """
 
 from __future__ import annotations
@@ -13,17 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from psephos.operators import house as H
 from psephos.operators import prepoll as E
 from psephos.operators import senate as S
+from psephos.plans.sizing import kept_for_query
 from psephos.sources.binding import election_inputs, prepoll_inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _house(fn: Callable, cache: str = "none") -> Query:
-    """``cache="auto"`` materializes the shared House tables, for a report that reads one twice."""
+def _house(fn: Callable, *shared: str) -> Query:
+    """``shared``: the House tables that the report reads twice or more, to be materialized."""
 
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        house, _ = election_inputs(spark, sf_dir)
-        return fn(house, H.build_house(house, cache))
+        kept = kept_for_query(spark)
+        house, _ = election_inputs(spark, sf_dir, kept=kept)
+        return fn(house, H.build_house(house, "auto", kept, shared))
 
     q.__doc__ = fn.__doc__
     return q
@@ -31,7 +34,7 @@ def _house(fn: Callable, cache: str = "none") -> Query:
 
 def _senate(fn: Callable) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        house, senate = election_inputs(spark, sf_dir)
+        house, senate = election_inputs(spark, sf_dir, kept=kept_for_query(spark))
         return fn(house, senate)
 
     return q
@@ -39,7 +42,7 @@ def _senate(fn: Callable) -> Query:
 
 def _prepoll(fn: Callable) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        inp = prepoll_inputs(spark, sf_dir)
+        inp = prepoll_inputs(spark, sf_dir, kept=kept_for_query(spark))
         combined = E.combine_elections(inp.prepoll_2013, inp.prepoll_2016)
         enrol = E.enrolment_both(E.enrolment_2013_by_state(inp.enrolment_2013), E.enrolment_2016_by_state(inp.enrolment_2016))
         return fn(combined, enrol)
@@ -56,7 +59,7 @@ QUERIES: dict[str, Query] = {
     "tcp_by_division_percent": _house(lambda i, t: H.tcp_by_division_percent(t["tcp_long"], i.parties)),
     "tcp_by_type": _house(lambda i, t: t["hor_tcp_type"]),
     "tcp_everything": _house(lambda i, t: t["tcp_type"]),
-    "lagging_incumbents": _house(lambda i, t: H.lagging_incumbents(t["tcp_long"], i.fp_type, i.enrolment), "auto"),
+    "lagging_incumbents": _house(lambda i, t: H.lagging_incumbents(t["tcp_long"], i.fp_type, i.enrolment), "tcp_long"),
     "party_share_by_division": _house(lambda i, t: H.party_share_by_division(i.fp_type)),
     "vote_types_by_division": _house(lambda i, t: t["div_total_type"]),
     "division_votes": _house(lambda i, t: H.division_votes(t["pp_all"])),
@@ -64,7 +67,7 @@ QUERIES: dict[str, Query] = {
     "division_tcp_votes": _house(lambda i, t: H.division_tcp_votes(t["tcp_type"])),
     "division_tcp_percent": _house(lambda i, t: H.division_tcp_percent(t["tcp_type"])),
     "public_funding": _house(lambda i, t: H.public_funding(i.fp_pp)),
-    "seat_summary": _house(lambda i, t: H.seat_summary(t["pp_all"], i.enrolment, t["tcp_type"], i.tcp_type), "auto"),
+    "seat_summary": _house(lambda i, t: H.seat_summary(t["pp_all"], i.enrolment, t["tcp_type"], i.tcp_type), "tcp_long", "tcp_type"),
     "tcp_comparison": _house(lambda i, t: H.tcp_comparison(t["tcp_type"])),
     # Polling-place locations feed (loaded by the original, not used by a report)
     "polling_place_locations": _house(lambda i, t: i.pp_location),
@@ -84,9 +87,9 @@ QUERIES: dict[str, Query] = {
     "tcp_division_party": _house(lambda i, t: H.tcp_division_party(t["tcp_long"])),
     "vote_types_plain": _house(lambda i, t: H.vote_types_plain(i.fp_type)),
     "division_votes_tcp": _house(
-        lambda i, t: H.division_votes_tcp(H.division_votes(t["pp_all"], ordered=False), t["tcp_long"], t["hor_tcp_type"]), "auto"
+        lambda i, t: H.division_votes_tcp(H.division_votes(t["pp_all"], ordered=False), t["tcp_long"], t["hor_tcp_type"]), "tcp_long"
     ),
-    "tcp_lead_lag_diff": _house(lambda i, t: H.tcp_lead_lag_diff(t["tcp_type"]), "auto"),
+    "tcp_lead_lag_diff": _house(lambda i, t: H.tcp_lead_lag_diff(t["tcp_type"]), "tcp_long", "tcp_type"),
     "senate_quotas_dd_hs": _senate(lambda h, s: S.senate_quotas_two(s.fp_group)),
     "senate_quotas_both": _senate(lambda h, s: S.senate_quotas_both(s.fp_group)),
     "prepoll_division": _prepoll(lambda c, e: E.prepoll_division(c)),

@@ -60,3 +60,19 @@ def release(kept: list[DataFrame]) -> None:
     """Give back what ``materialize`` kept; checkpoint files go with their last reference."""
     while kept:
         kept.pop().unpersist(blocking=True)
+
+
+#: What the last registered query of each Spark application materialized.
+_OF_LAST_QUERY: dict[str, list[DataFrame]] = {}
+
+
+def kept_for_query(spark) -> list[DataFrame]:
+    """A new list for what one registered query materializes; what the query before it kept is released.
+
+    So a session holds one query's tables at a time, and each query reads its
+    sources as they are. A result still held from before stays right: Spark
+    recomputes what it needs of the released tables.
+    """
+    app = spark.sparkContext.applicationId
+    release(_OF_LAST_QUERY.setdefault(app, []))
+    return _OF_LAST_QUERY[app]

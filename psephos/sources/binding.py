@@ -62,6 +62,9 @@ TCP_PARTIES = sorted({PARTY_OF_SLOT[s] for pair in FINALISTS.values() for s in p
 
 ENROLMENT_PER_ROW = 27
 ENROLLED_PER_EVENT = 2
+# A place k of a seat: ten of each hundred suppliers are one, so places grow with
+# the suppliers; k % 10 is its kind.
+PLACE_SQL = "l_suppkey % 10 + 10 * (l_suppkey DIV 100)"
 PREPOLL_SPLIT_DAY = 16  # days 1-16 are the 2013 campaign, 17-31 the 2016 one
 
 WAREHOUSE_TABLES = ["lineitem", "orders", "customer", "nation", "region"]
@@ -113,9 +116,10 @@ _CANDIDATE_SQL = {
 }
 
 _PLACE_SQL = {
-    "PollingPlaceID": "DivisionID * 10 + k",
+    "PollingPlaceID": "k * 100 + DivisionID",
     "PollingPlace": (
-        "CASE WHEN k = 0 THEN concat(DivisionNm, ' PPVC') WHEN k = 1 THEN concat('PREPOLL ', DivisionNm) "
+        "CASE k % 10 WHEN 0 THEN concat(DivisionNm, ' PPVC ', CAST(k AS STRING)) "
+        "WHEN 1 THEN concat('PREPOLL ', DivisionNm, ' ', CAST(k AS STRING)) "
         "ELSE concat(DivisionNm, ' Booth ', CAST(k AS STRING)) END"
     ),
 }
@@ -148,7 +152,7 @@ def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
     rows = lines.join(order_seat, "l_orderkey").selectExpr(
         "c_nationkey",
         "vcode",
-        "l_suppkey % 10 AS k",
+        f"{PLACE_SQL} AS k",
         f"{_slot_sql('l_partkey')} AS slot",
         "l_partkey % 2 AS parity",
         "CAST(l_quantity AS BIGINT) AS votes",
@@ -171,7 +175,7 @@ def ballot_grain(tables: dict[str, DataFrame]) -> DataFrame:
     # without pre-poll places (theirs count at two of the booths). Every row
     # stays; two cells may now share a key, and the feeds sum again.
     moved_type = f"CASE WHEN DivisionID % 6 = 5 AND {vtype} = 'ProvisionalVotes' THEN 'PostalVotes' ELSE {vtype} END"
-    moved_place = f"CASE WHEN DivisionID % 5 = 4 AND {vtype} = 'OrdinaryVotes' AND k < 2 THEN k + 2 ELSE k END"
+    moved_place = f"CASE WHEN DivisionID % 5 = 4 AND {vtype} = 'OrdinaryVotes' AND k % 10 < 2 THEN k + 2 ELSE k END"
     return cells.join(geo, "c_nationkey").selectExpr(
         "StateAb", "DivisionID", "DivisionNm", f"{moved_type} AS vtype", f"{moved_place} AS k", "slot", "parity", "votes", "n_rows"
     )
@@ -329,8 +333,10 @@ def _day_names(n: int) -> list[str]:
     return [DAY_FORMAT % d for d in range(1, n + 1)]
 
 
-def prepoll_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> PrepollInputs:
-    """Two wide daily pre-poll files and two enrolment texts from ``events``."""
+def prepoll_inputs(
+    spark: SparkSession, sf_dir: str, cache: str = "auto", kept: list[DataFrame] | None = None
+) -> PrepollInputs:
+    """Two wide daily pre-poll files and two enrolment texts from ``events``; ``kept`` as for the election."""
     ev = read_tables(spark, sf_dir, ["events"])["events"]
     d, split = "dayofmonth(ts)", PREPOLL_SPLIT_DAY
     counts = (
@@ -344,7 +350,7 @@ def prepoll_inputs(spark: SparkSession, sf_dir: str, cache: str = "auto") -> Pre
         .agg(F.expr("count(1) AS Votes"))
     )
     # Four feeds read these counts: scan the events once.
-    counts = materialize(counts, cache)
+    counts = materialize(counts, cache, kept)
 
     def wide(election: str, days: int, ids: list[str]) -> DataFrame:
         names = _day_names(days)

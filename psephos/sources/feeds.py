@@ -3,10 +3,12 @@
 The count publishes CSV files that start with preamble lines, then a header,
 then rows. Spark's CSV reader can only drop one header line per file, so the
 scan reads lines as text. A header pass takes each file's first few lines (a
-limit over the split that starts at byte 0, so no more is read); the data pass
-drops those lines where that split repeats them and parses the rest by
+limit over the split that starts at byte 0, so no more is read), and one survey
+looks for what needs care: a quoted line break, or a row equal to a leading
+line. Feeds without either, the usual case, are one scan that drops the leading
+lines by value; the others go by position (``records``). Rows are parsed by
 ``from_csv`` with the declared types, all in built-in functions. Quoted commas
-are kept and nothing is inferred; a quoted line break fails the scan (FAILFAST).
+and line breaks are kept and nothing is inferred.
 Text columns get ``""`` for blanks (a blank party must still pass
 ``PartyNm != 'Informal'``), numeric blanks stay NULL.
 """
@@ -15,7 +17,9 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
+import uuid
 from datetime import datetime
 from urllib.parse import unquote
 
@@ -31,6 +35,7 @@ from psephos.constants import (
 )
 from psephos.sources import schemas
 from psephos.sources.inputs import HouseInputs, PrepollInputs, SenateInputs
+from psephos.sources.records import opens_quote, whole_records
 
 # --- fixed values: feed file names -------------------------------------------------
 
@@ -58,8 +63,23 @@ def _leading_lines(spark: SparkSession, file: str, n: int) -> list[str]:
 
 def _header_fields(line: str) -> list[str]:
     """Header names with runs of non-identifier characters as ``_``
-    ("Electors on 2016 Certified list" -> "Electors_on_2016_Certified_list")."""
-    return [re.sub(r"[^0-9A-Za-z]+", "_", n).strip("_") for n in next(csv.reader(io.StringIO(line)))]
+    ("Electors on 2016 Certified list" -> "Electors_on_2016_Certified_list").
+
+    Names that come out alike, in any case, get ``_1``, ``_2``, ... from the
+    second on; an empty one is ``X``.
+    """
+    names: list[str] = []
+    taken: set[str] = set()
+    for field in next(csv.reader(io.StringIO(line))):
+        base = re.sub(r"[^0-9A-Za-z]+", "_", field).strip("_") or "X"
+        name = base
+        for k in itertools.count(1):
+            if name.lower() not in taken:
+                break
+            name = f"{base}_{k}"
+        taken.add(name.lower())
+        names.append(name)
+    return names
 
 
 def read_feed(
@@ -75,8 +95,10 @@ def read_feed(
     the files lack is an error that names it. Columns the schema does not
     declare are dropped, or with ``extra`` follow as text. Without a schema
     every column of the header is kept as text. Files without a header line
-    give no rows. The header pass is a small job per file; it collects
-    ``preamble + 1`` lines of each.
+    give no rows. A header over several lines, and a quote that never closes,
+    are errors. The header pass is a small job per file; it collects
+    ``preamble + 1`` lines of each. The survey reads the files once and brings
+    back two counts.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     text = spark.read.text(paths)
@@ -84,6 +106,8 @@ def read_feed(
     headers = sorted({x[preamble] for x in leading if len(x) > preamble})
     if not headers:
         return spark.createDataFrame([], schema or StructType([]))
+    if broken := [h for h in headers if h.count('"') % 2]:
+        raise ValueError(f"feed files have a line break inside their header: {broken}")
     names = _header_fields(headers[0])
     if any(_header_fields(h) != names for h in headers):
         raise ValueError(f"feed files disagree on their header: {headers}")
@@ -93,7 +117,13 @@ def read_feed(
     ddl = ", ".join(f"`{n}` {declared.get(n, StringType()).simpleString()}" for n in names)
     drop = sorted({line for lines in leading for line in lines})
     is_leading = (F.col("_metadata.file_block_start") == 0) & F.col("value").isin(drop)
-    rows = text.where(~is_leading & (F.length("value") > 0)).select(F.from_csv("value", ddl, {"mode": "FAILFAST"}).alias("r"))
+    survey = text.agg(F.count_if(is_leading), F.count_if(~is_leading & opens_quote())).first()
+    if survey[0] == sum(map(len, leading)) and not survey[1]:
+        lines = text.where(~is_leading & (F.length("value") > 0))
+    else:
+        lines = whole_records(text, preamble + 1)
+    # a quote mark inside a quoted field is doubled
+    rows = lines.select(F.from_csv("value", ddl, {"mode": "FAILFAST", "escape": '"'}).alias("r"))
     keep = list(declared) + [n for n in names if n not in declared and (extra or not schema)]
     out = rows.select(*[F.col(f"r.`{n}`") for n in keep])
     return out.fillna("", subset=[f.name for f in out.schema.fields if isinstance(f.dataType, StringType)])
@@ -158,20 +188,45 @@ def load_prepoll(
     """Pre-poll files of both elections and the two enrolment tables.
 
     The landed 2013 enrolment table is cut to the ``states``: it ends in a
-    national total, which is no state.
+    national total, which is no state. White space around its state codes goes.
     """
     e16 = read_feed(spark, enrolment_2016, schemas.ENROLMENT_2016, preamble=ENROLMENT_2016_PREAMBLE_LINES)
     e13 = spark.read.schema(schemas.ENROLMENT_2013).option("header", True).csv(enrolment_2013)
+    e13 = e13.withColumn("State", F.regexp_replace("State", r"\A[\s\u00A0]+|[\s\u00A0]+\z", ""))
     return PrepollInputs(
         prepoll_2013=read_prepoll(spark, prepoll_2013),
         prepoll_2016=read_prepoll(spark, prepoll_2016),
-        enrolment_2013=e13.where(F.trim("State").isin(states)),
+        enrolment_2013=e13.where(F.col("State").isin(states)),
         enrolment_2016=e16,
     )
 
 
 def write_seat_summary(df: DataFrame, out_dir: str, as_of: datetime) -> str:
-    """Write the seat summary as CSV under ``HoR-<YYYYmmdd-HHMM>.csv`` (a folder of parts)."""
+    """Write the seat summary as one CSV file, ``HoR-<YYYYmmdd-HHMM>.csv``.
+
+    A row per seat, so one task writes it. It is written to a staging folder
+    beside its place and then renamed there: readers see the whole file or none,
+    and an interrupted write leaves none under that name. A file of that name is
+    replaced.
+    """
     path = _path(out_dir, SEAT_SUMMARY_NAME.format(stamp=as_of.strftime(SEAT_SUMMARY_STAMP)))
-    df.write.mode("overwrite").option("header", True).csv(path)
+    write_one_csv(df, path)
     return path
+
+
+def write_one_csv(df: DataFrame, path: str) -> None:
+    """``df`` in its order as one CSV file at ``path``, on any file system that Spark writes to."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    staging = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_staging-{uuid.uuid4().hex}")
+    try:
+        df.coalesce(1).write.option("header", True).csv(staging.toString())
+        part = next(s.getPath() for s in fs.listStatus(staging) if s.getPath().getName().startswith("part-"))
+        if fs.exists(target):
+            fs.delete(target, True)
+        if not fs.rename(part, target):
+            raise OSError(f"could not move the written file to {path}")
+    finally:
+        fs.delete(staging, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -18,6 +19,19 @@ class HouseInputs:
     enrolment: DataFrame  # enrolment by division
     pp_location: DataFrame | None = None  # polling-place list (loaded, not used)
 
+    @cached_property
+    def parties(self) -> list[str]:
+        """The parties of the TCP feeds, the columns of the wide tables: found once, by one job.
+
+        As many as Spark allows columns of a pivot; more are an error.
+        """
+        most = int(self.tcp_pp.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        found = self.tcp_pp.select("PartyAb").unionByName(self.tcp_type.select("PartyAb")).where("PartyAb IS NOT NULL").distinct()
+        names = [r[0] for r in found.limit(most + 1).collect()]
+        if len(names) > most:
+            raise ValueError(f"the TCP feeds name over {most} parties (spark.sql.pivotMaxValues)")
+        return sorted(names)
+
 
 @dataclass
 class SenateInputs:

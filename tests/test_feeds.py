@@ -1,3 +1,4 @@
+import csv
 import os
 from datetime import datetime
 
@@ -78,6 +79,27 @@ def test_seat_summary_sink_round_trip(spark, tmpdir_path):
     assert [tuple(r) for r in back] == [("NSW", 1, 12.5)]
 
 
+def test_seat_summary_sink_is_one_file_in_order(spark, tmpdir_path):
+    when = datetime(2016, 7, 2, 21, 5)
+    df = spark.range(0, 300, 1, 7).selectExpr("id", "concat('Seat, ', id) AS name").orderBy("name")
+    want = [r.name for r in df.collect()]
+    path = write_seat_summary(df, tmpdir_path, when)
+    assert os.path.isfile(path) and [f for f in os.listdir(tmpdir_path) if not f.startswith(".")] == ["HoR-20160702-2105.csv"]
+    with open(path, newline="") as f:
+        rows = list(csv.reader(f))
+    assert rows[0] == ["id", "name"] and [r[1] for r in rows[1:]] == want
+    write_seat_summary(df.limit(1), tmpdir_path, when)  # replaced
+    with open(path, newline="") as f:
+        assert len(list(csv.reader(f))) == 2
+
+
+def test_interrupted_sink_leaves_no_file(spark, tmpdir_path):
+    broken = spark.range(3).selectExpr("id", "CAST(raise_error('interrupted') AS STRING) AS x")
+    with pytest.raises(Exception, match="interrupted"):
+        write_seat_summary(broken, tmpdir_path, datetime(2016, 7, 2, 21, 5))
+    assert os.listdir(tmpdir_path) == []
+
+
 def test_feed_scan_many_splits_only_first_split_loses_leading_lines(spark, tmpdir_path):
     rows = [f"NSW,{i},Banks,1,Place {i},{i},S,G,1,N,N,ALP,Labor,{i},0" for i in range(1, 401)]
     p = _write(os.path.join(tmpdir_path, "big.csv"), ["preamble line", PP_HEADER] + rows)
