@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +38,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Folders written by ``cut`` inside the innermost ``scratch``.
+_WRITTEN: ContextVar[dict[str, DataFrame] | None] = ContextVar("written", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: parquet in the shared folder, read back.
 
     The folder is the session's ``spark.checkpoint.dir``; files there survive a
-    lost executor, and the read has true sizes for Spark's join choice.
+    lost executor, and the read has true sizes for Spark's join choice. They
+    stay until the ``scratch`` around ends, or for good outside one.
     """
     spark = df.sparkSession
     shared = checkpoint_dir(spark)
@@ -49,7 +55,32 @@ def cut(df: DataFrame) -> DataFrame:
         raise ValueError("spark.checkpoint.dir is not set; nowhere shared to write to")
     path = f"{shared.rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    written = _WRITTEN.get()
+    if written is not None:
+        written[path] = out
+    return out
+
+
+@contextmanager
+def scratch():
+    """Removes the tables cut inside when it ends, but for those put in the list it gives.
+
+    What is kept must not be computed from what goes: keep the last tables cut.
+    """
+    outer, written, kept = _WRITTEN.get(), {}, []
+    token = _WRITTEN.set(written)
+    try:
+        yield kept
+    finally:
+        _WRITTEN.reset(token)
+        for path, df in written.items():
+            if any(df is k for k in kept):
+                if outer is not None:
+                    outer[path] = df
+            else:
+                folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @contextmanager
@@ -106,3 +137,32 @@ def merge_ranked(parts: list, rank) -> list:
         if (k := before[i]) >= 0 and (r := rank(parts[k], parts[i])) != NEVER:
             heapq.heappush(heap, (r, k, size[k], size[i]))
     return [p for p, k in zip(parts, size, strict=True) if k]
+
+
+class Memory:
+    """A bounded memory of computed values that keeps what is asked for often.
+
+    Two generations: when the young one is full it becomes the old one, and what
+    was old is forgotten unless it was asked for meanwhile.
+    """
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = max(1, most // 2), {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value):
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def slices(batches, rows: int = 500):
+    """The batches in pieces, so that a worker holds few texts as Python objects and hands over few results at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

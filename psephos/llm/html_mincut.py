@@ -32,9 +32,11 @@ ITEMS = re.compile(r"(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|discu
 #: First parts of classes that name a state or subject of the page (has-sidebar, tag-science).
 ABOUT = set("has no not with without is tag tags category".split())
 GOOD = re.compile(r"(?<![a-z])(?:article|articlebody|main|content|post|entry|story|text|body)(?![a-z])")
-UNSEEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: An attribute's name and value; a quote opens a value only right after the sign.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>))"""
+_ATTRIBUTE = re.compile(rf"""([^\s=>/]++)\s*+({_VALUE})?""")
+_TAG = re.compile(rf"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|{_VALUE})*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 
 #: The classifier: log-odds of content.
 BIAS, IN_MAIN, HINT_GOOD, HINT_BAD, HINT_PART, IN_BOILERPLATE = 0.5, 3.0, 2.0, -6.0, -4.0, -9.0
@@ -51,7 +53,7 @@ def hint(words: str) -> tuple[float, bool]:
     names like has-x, no-x and tag-x.
     """
     worst, items = 0.0, False
-    for name in words.replace('"', " ").replace("'", " ").split():
+    for name in words.split():
         parts = re.split(r"[^a-z]+", name)
         if BAD.fullmatch(name):
             worst = HINT_BAD
@@ -63,6 +65,24 @@ def hint(words: str) -> tuple[float, bool]:
     return worst, items
 
 
+def marks(attributes: str) -> tuple[str, bool]:
+    """(class, id and role words, whether hidden) of a tag's attributes."""
+    words, hidden = [], False
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value[1:].strip()
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        if name in ("class", "id", "role", "itemprop"):
+            words.append(value.lower())
+        elif name == "hidden":
+            hidden = hidden or value.lower() != "false"
+        elif name == "aria-hidden":
+            hidden = hidden or value.strip().lower() == "true"
+        elif name == "style":
+            hidden = hidden or bool(UNSEEN.search(value))
+    return " ".join(words), hidden
+
+
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, log-odds, parent) of each block of the page with text, in order."""
     out: list[tuple[str, float, int]] = []
@@ -139,7 +159,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         if tag in MAIN:
             bad = kept  # a container's hint does not veto it
         if attributes:
-            words = " ".join(_ATTRIBUTE.findall(attributes)).lower()
+            words, unseen = marks(attributes)
             if words and tag not in ("html", "body"):
                 if GOOD.search(words):
                     good = max(good, HINT_GOOD)
@@ -148,7 +168,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                     bad = min(bad, worst)
                 if items and (tag not in MAIN or worst == HINT_BAD):
                     bad = kept = min(kept, IN_BOILERPLATE)
-            hidden = hidden or bool(UNSEEN.search(attributes))
+            hidden = hidden or unseen
         if tag in MAIN:
             good = max(good, IN_MAIN)
         if tag in BOILERPLATE:

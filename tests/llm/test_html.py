@@ -34,6 +34,38 @@ def test_one_word_in_a_class_does_not_veto_an_article():
         assert H.main_text(f"<article><p>{text}</p></article>{around}<p>{text}</p>") == text, around
 
 
+def test_quotes_open_a_value_only_after_the_sign():
+    page = "<article><a title=it's href=x>go</a><p>A paragraph of the story, long enough.</p><p>B paragraph. It isn't so, as they say.</p><p>C is the last one of them.</p></article>"
+    text = H.main_text(page)
+    assert all(x in text for x in ("A paragraph", "B paragraph", "C is the last"))
+    assert H.main_text("""<p title="a > b" x='c > d' don't>x y</p>""") == "x y"
+    assert H.main_text("<p title=don't>it's</p>") == "it's"
+    assert H.marks(""" title="class=ad" CLASS = 'Post one' id=x data-class=menu hidden=false aria-hidden="false" """) == ("post one x", False)
+    assert [H.marks(a)[1] for a in (" hidden", ' aria-hidden="true"', ' style="color:red; Display : none"', " data-hidden=1")] == [True, True, True, False]
+
+
+def test_tags_end_where_the_library_ends_them():
+    """Text between tags with odd attributes, against html.parser."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out = []
+
+        def handle_data(self, data):
+            self.out.append(data)
+
+    rng = random.Random(8)
+    pieces = ["a", "b=c", 'd="e > f"', "g='h > i'", "j=k'l", 'm=n"o', "p = 'q'", "class=x", 'r=""', "s=''", "t==u"]
+    for _ in range(400):
+        page = "".join(f"<b {' '.join(rng.choices(pieces, k=rng.randrange(4)))}>word{i}</b> " for i in range(4))
+        want = Texts()
+        want.feed(page)
+        want.close()
+        assert "".join(H._TAG.sub("", page).split()) == "".join("".join(want.out).split()), page
+
+
 def test_broken_markup():
     assert H.main_text("<p>unclosed <b>bold &amp; x") == "unclosed bold & x"
     assert H.main_text("<a href='x>y'>q</a> a < b & c") == "q a < b & c"
