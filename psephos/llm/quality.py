@@ -37,15 +37,30 @@ WORD_REFERENCES = {
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 300, 100
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.25
 
-#: A text far from all references is in a language without one if its own commonest
-#: words, so many at most, make up this share of it: listed words and those of other
-#: characters than letters do not count.
-OWN_WORDS, MIN_OWN_SHARE = 10, 0.1
-PLAIN = r"\A[\p{L}\p{M}'’\-]+\z"
-#: Letters of the references' script, those without case, and those of scripts without
-#: spaces between words, where so many letters count as a word.
+#: Common words of other languages in Latin script, to tell a text that has no
+#: reference. Words that are also listed above, or common there, are left out.
+OTHER_LANGUAGES = {
+    "it": "di il che per è della sono non del gli alla nel anche dei più",
+    "pt": "do da não uma os dos das para com ao pelo são mais também",
+    "nl": "het een van dat niet zijn voor aan ook naar maar bij wordt werd",
+    "sv": "och att det som för inte på är av till ett har från kan",
+    "da": "og at det som ikke på er af til et har fra der jeg var",
+    "no": "og å det som ikke på er av til et har fra jeg var",
+    "fi": "ja on ei että se joka mutta ovat kun hän ole myös tai sen",
+    "pl": "i w na z że się nie do jest o jak to za po",
+    "cs": "a v na že se je s z do o jako pro ale by",
+    "ro": "și în că nu pe cu este din care la mai sau sunt o",
+    "hu": "a az és hogy nem is egy ez meg csak de volt van ha",
+    "tr": "ve bir bu da için ile çok gibi daha olarak ne o kadar olan",
+    "id": "yang dan di itu dengan untuk dari dalam tidak ini pada adalah ke akan",
+    "vi": "và của là có không cho được một trong với các những đã người",
+    "ca": "i els amb per dels una com al és més però van les ha",
+}
+#: A text far from all references is in one of these if their words make up this share of it,
+#: and so many different ones are found.
+MIN_OTHER_SHARE, MIN_OTHER_WORDS = 0.08, 5
+#: Letters of the references' script, and those without case.
 LATIN, CASELESS = r"\p{IsLatin}", r"\p{Lo}"
-UNSPACED, LETTERS_A_WORD = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}", 2
 
 #: Character classes by what they leave when all else is deleted; the rest is "other".
 CLASSES = [r"[^\p{Ll}]+", r"[^\p{Lu}]+", r"[^\p{Nd}]+", r"[^\x20\x09-\x0D]+", r"[^.,;:!?'\"()\-]+"]
@@ -104,16 +119,21 @@ def letters(t: Column, kind: str = r"\p{L}") -> Column:
     return F.char_length(F.regexp_replace(t, f"[^{kind}]+", ""))
 
 
-def own_share(w: Column, listed: list[str]) -> Column:
-    """Share of the words ``w`` that the commonest plain, unlisted ones found three times or more make up."""
+def other_language(w: Column) -> Column:
+    """Whether enough of the words are common ones of one of OTHER_LANGUAGES."""
+
+    def enough(words_: str) -> Column:
+        listed = words_.split()
+
+        def test(found: Column) -> Column:
+            return (F.size(found) >= MIN_OTHER_SHARE * F.size(w)) & (F.size(F.array_distinct(found)) >= MIN_OTHER_WORDS)
 
-    def runs(s: Column) -> Column:  # lengths of the runs of equal words in a sorted array
-        at = F.transform(F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x != F.get(s, i - 1), F.lit(True)), i)), lambda i: i.isNotNull()), lambda i: i)
-        return let(at, lambda a: F.transform(a, lambda x, i: F.coalesce(F.get(a, i + 1), F.size(s)) - x))
+        return let(F.filter(w, lambda x: x.isin(listed)), test)
 
-    plain = F.filter(w, lambda x: x.rlike(PLAIN) & ~x.isin(listed))
-    top = F.slice(F.sort_array(F.filter(let(F.sort_array(plain), runs), lambda n: n > 2), asc=False), 1, OWN_WORDS)
-    return F.aggregate(top, F.lit(0), lambda n, x: n + x) / F.size(w)
+    out = F.lit(False)
+    for words_ in OTHER_LANGUAGES.values():
+        out = out | enough(words_)
+    return out
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,9 +144,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     the length a distance needs has a null distance and passes it; so does one
     too far from all references whose script or language has none: mostly
     letters without case for the characters, mostly letters that are not Latin
-    or many common words of its own for the words. In scripts without spaces
-    letters stand for the least number of words. Each row, repeated ones too,
-    is judged by itself.
+    or the common words of another listed language for the words. Texts of any
+    length are judged whole, a null id stays, each row, repeated ones too, is
+    judged by itself, and an empty table stays empty.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     vocabulary = sorted({w for r in WORD_REFERENCES.values() for w in r})
@@ -162,12 +182,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def to_nearest(w: Column) -> Column:
         far = let(common(w), lambda c: let(counts(c, F.col("n_words")), word_distance))
-        return let(far, lambda d: no_reference(d, MAX_WORD_DISTANCE, foreign | (own_share(w, vocabulary) >= MIN_OWN_SHARE)))
+        return let(far, lambda d: no_reference(d, MAX_WORD_DISTANCE, foreign | other_language(w)))
 
     word = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, let(words(F.lower(t)), to_nearest))
     out = out.withColumns({"char_distance": char, "word_distance": word})
-    unspaced = lambda x: (letters(x, UNSPACED) >= LETTERS_A_WORD * MIN_WORDS) & (2 * letters(x, UNSPACED) > letters(x))
-    few = F.when(F.col("n_words") < MIN_WORDS, let(t, lambda x: ~unspaced(x))).otherwise(False)  # bound, or it is computed for every row
-    failed = few | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     far = (F.coalesce("char_distance", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~far)
