@@ -4,8 +4,12 @@ Detected entities get keyed replacements of their own type and format. A
 surrogate is a keyed permutation of the entity within its format (a Feistel
 network over the digits and letters, each kept in its class, case and script),
 so one entity has one surrogate in all documents and two entities of a format
-never share one. Given names are permuted within the list of their gender and
-script. A document's surrogates are also checked against its own entities.
+never share one. The words of a name go by one keyed cycle: listed given names
+within the list of their gender and script, all other words within their
+pattern of vowels and consonants, past listed ones. A cycle has no fixed point
+and is one-to-one, so names never collide and none stays as it is; a name in
+capitals is the name itself, in capitals. Entities of different kinds are
+checked against each other in each document.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +51,10 @@ CLASSES = [
     "".join(map(chr, range(0x400, 0x410))),
 ]
 HEX = ["0123456789abcdef", "0123456789ABCDEF"]
+#: For names: vowels and consonants apart, so that words stay pronounceable.
+SPOKEN = ["aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", *CLASSES[3:]]
+#: Surrogates a Python worker remembers, and tries after a collision between kinds.
+REMEMBERED, TRIES = 1 << 16, 100
 
 
 def _ranges(chars: list[int]) -> str:
@@ -75,11 +84,13 @@ PATTERNS = {
 }
 
 
-def permute(key: bytes, tweak: str, value: str, classes: list[str] = CLASSES) -> str:
+def permute(key: bytes, tweak: str, value: str, classes: list[str] = CLASSES, cycle: bool = False) -> str:
     """``value`` with its characters permuted by the key within their classes.
 
     For one tweak and one pattern of classes this is a bijection: a Feistel
-    network whose halves are numbers in the mixed radix of their classes.
+    network whose halves are numbers in the mixed radix of their classes. With
+    ``cycle`` it is one cycle through all values of the pattern: the value that
+    the network takes to the next number.
     """
     cls, at = [], []
     for i, c in enumerate(value):
@@ -110,14 +121,23 @@ def permute(key: bytes, tweak: str, value: str, classes: list[str] = CLASSES) ->
         return n
 
     left, right, m, n = number(0, cut), number(cut, len(digits)), size(0, cut), size(cut, len(digits))
-    for turn in range(10):
-        other = right if turn % 2 == 0 else left
+
+    def add(turn: int, other: int) -> int:
         h = hashlib.blake2b(tag + f"{turn}\1{other}".encode(), key=key, digest_size=64).digest()
-        k = int.from_bytes(h * (1 + (m * n).bit_length() // 448), "big")
+        return int.from_bytes(h * (1 + (m * n).bit_length() // 448), "big")
+
+    for turn in range(10):
         if turn % 2 == 0:
-            left = (left + k) % m
+            left = (left + add(turn, right)) % m
         else:
-            right = (right + k) % n
+            right = (right + add(turn, left)) % n
+    if cycle:
+        left, right = divmod((left * n + right + 1) % (m * n), n)
+        for turn in reversed(range(10)):
+            if turn % 2 == 0:
+                left = (left - add(turn, right)) % m
+            else:
+                right = (right - add(turn, left)) % n
     out = list(value)
     for lo, hi, x in ((0, cut, left), (cut, len(digits), right)):
         for j in range(hi - 1, lo - 1, -1):
@@ -126,6 +146,26 @@ def permute(key: bytes, tweak: str, value: str, classes: list[str] = CLASSES) ->
     return "".join(out)
 
 
+def folded(word: str) -> str:
+    """A word in capitals as it is written otherwise, if capitals undo that; else the word."""
+    if len(word) > 1 and word.isupper():
+        plain = re.sub(r"[^\W\d_]+", lambda m: m[0][0] + m[0][1:].lower(), word)
+        if len(plain) == len(word) and plain.upper() == word:
+            return plain
+    return word
+
+
+def name_surrogate(key: bytes, word: str, given: dict[str, str]) -> str:
+    """The surrogate of one word of a name; listed ones in ``given`` stay among themselves."""
+    plain = folded(word)
+    new = given.get(plain)
+    if new is None:
+        new = permute(key, "name", plain, SPOKEN, cycle=True)
+        while new in given:  # ends, as the cycle comes back to the unlisted word itself
+            new = permute(key, "name", new, SPOKEN, cycle=True)
+    return new if plain == word else new.upper()
+
+
 def luhn(digits: str) -> int:
     """The check digit that follows ``digits``."""
     return -sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
@@ -147,7 +187,7 @@ def order(key: bytes, names: list[str]) -> dict[str, str]:
 
 
 def surrogate(key: bytes, kind: str, value: str, given: dict[str, str], again: int = 0) -> str:
-    """The replacement of an entity; ``again`` counts the tries after collisions."""
+    """The replacement of an entity; ``again`` counts the tries after it met one of another kind."""
     tweak = f"{kind}\1{again}"
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -176,8 +216,7 @@ def surrogate(key: bytes, kind: str, value: str, given: dict[str, str], again: i
                 return permute(key, tweak, value, [alphabet])
         return permute(key, tweak, value)
     if kind == "person":
-        listed = lambda w: given.get(w) or (given[w.title()].upper() if w.isupper() and w.title() in given else None)
-        return " ".join(listed(w) or permute(key, f"name\1{again}", w) for w in value.split(" "))
+        return " ".join(name_surrogate(key, w, given) for w in value.split(" "))
     return permute(key, tweak, value)
 
 
@@ -187,6 +226,7 @@ def replacer(key: bytes):
     # cheap tests without which no pattern can match
     hint = re.compile(rf"[@\d=:]|\b(?:{_TITLE})\b|\b(?:{_GIVEN})\b").search
     given = {a: b for names in GIVEN.values() for a, b in order(key, names).items()}
+    new_of = lru_cache(REMEMBERED)(lambda kind, value: surrogate(key, kind, value, given))
 
     def replace(text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         if not hint(text):
@@ -203,12 +243,15 @@ def replacer(key: bytes):
             hits.append((kind, m.start(group), value))
         if not hits:
             return text, []
-        own, used, new = {v for _, _, v in hits}, set(), {}
-        for kind, _, v in sorted(set((k, 0, v) for k, _, v in hits)):
-            again = 0
-            while (s := surrogate(key, kind, v, given, again)) in used or s in own and again < 50:
-                again += 1
-            used.add(s)
+        used, new = {}, {}
+        # Within a kind no two entities meet; another kind's surrogate is avoided. Names come first and never change.
+        for kind, v in sorted({(k, v) for k, _, v in hits}, key=lambda e: (e[0] != "person", e)):
+            s = new_of(kind, v)
+            for again in range(1, TRIES):
+                if used.get(s, kind) == kind:
+                    break
+                s = surrogate(key, kind, v, given, again)
+            used[s] = kind
             new[kind, v] = s
         out, at, spans = [], 0, []
         for kind, start, v in hits:
@@ -224,9 +267,11 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
     """``docs`` with the entities in ``text_col`` replaced; adds ``n_entities`` and ``entities``.
 
     ``entities`` lists (kind, start and length in the old text, surrogate), in
-    order. Null texts stay null with no entities; empty ones stay empty; rows
-    and other columns are kept as they are (columns of the two added names are
-    replaced). One key gives one surrogate per entity in all documents.
+    order. Null texts stay null with no entities; empty ones stay empty; texts of
+    any length are read whole; rows, repeated ones too, and other columns are kept
+    as they are (columns of the two added names are replaced); an empty table
+    stays empty. One key gives one surrogate per entity in all documents, but for
+    the rare entity whose surrogate another kind has taken in the document.
     """
     from pyspark.sql.types import ArrayType, IntegerType, StringType
 

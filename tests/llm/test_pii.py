@@ -60,6 +60,38 @@ def test_distinct_entities_stay_distinct():
     assert len(spans) == 1000 == len({x for _, _, x in spans}) and not {x for _, _, x in spans} & {o for _, o, _ in spans}
 
 
+def test_names_that_once_collided_end():
+    key = b"documents, first release"
+    for text in ("Mr Bmnd met Mr Dolores.", "Mr Cblp met Mr Olivier.", "Mr Geqv met Mr Jürgen."):
+        new, spans = pii.replacer(key)(text)
+        assert len(spans) == 2 == len({s for _, _, _, s in spans}) and new != text
+
+
+def test_names_are_one_cycle_over_listed_and_other_words():
+    """All capitalised words of up to three letters with all listed names: one-to-one, none fixed, listed ones among themselves."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {a.upper() + b + c for a in letters for b in ["", *letters] for c in (["", *letters] if b else [""])}
+    given = {a: b for names in pii.GIVEN.values() for a, b in pii.order(KEY, names).items()}
+    words |= set(given)
+    new = {w: pii.name_surrogate(KEY, w, given) for w in words}
+    assert len(set(new.values())) == len(words)
+    assert [w for w in words if new[w] == w and len(w) > 1] == []
+    assert all((new[w] in given) == (w in given) for w in words)
+    assert all([c in "aeiou" for c in new[w].lower()] == [c in "aeiou" for c in w.lower()] for w in words if w.isascii() and w not in given)
+
+
+def test_capitals_and_mixed_case_are_one_name():
+    new, spans = found("Mr SMITH and Mrs Smith; MR O'BRIEN, Dr O'Brien; ANNA KARENINA, Anna Karenina")
+    subs = [s for _, _, s in spans]
+    assert subs[0] == subs[1].upper() and subs[2] == subs[3].upper() and subs[4] == subs[5].upper()
+
+
+def test_kinds_that_meet_are_told_apart(monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda key, kind, value, given, again=0: "same" if not again else f"same{again}")
+    _, spans = found("at 10.1.2.3 or a@b.example.com")
+    assert len({s for _, _, _, s in pii.replacer(KEY)("at 10.1.2.3 or a@b.example.com")[1]}) == 2 == len(spans)
+
+
 def test_clean_text_is_left_alone():
     for text in ("Version 1.2.3 of 2024-05-06 costs 1,234.50 at 12:30.", "The 100 best of 2000 and 2001", "a@b is no address", helpers.LONG):
         assert found(text) == (text, [])
