@@ -76,6 +76,14 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 
 def without_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in whose id no item is found."""
-    found = find_items(docs, items, id_col, text_col, item_id, item_text).select(F.col(id_col).alias("__found")).distinct()
-    return docs.join(cut(found), F.col(id_col).eqNullSafe(F.col("__found")), "left_anti")
+    """The rows of ``docs`` in whose document no item is found.
+
+    Rows of one id are one document. Rows with a null id are documents by their
+    text, so only those that hold an item go. Null and empty texts stay, texts
+    of any length are searched whole, all columns are kept, and an empty table
+    stays empty.
+    """
+    key = F.coalesce(F.concat(F.lit("id "), F.col(id_col).cast("string")), F.concat(F.lit("text "), F.sha2(F.col(text_col), 256)), F.lit("none"))
+    own = docs.select(key.alias("__key"), F.col(text_col).alias("__text"))
+    found = find_items(own, items, "__key", "__text", item_id, item_text).select(F.col("__key").alias("__found")).distinct()
+    return docs.withColumn("__key", key).join(cut(found), F.col("__key") == F.col("__found"), "left_anti").drop("__key")

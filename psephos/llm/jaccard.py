@@ -23,10 +23,10 @@ range, not as rows. The number of shares grows with the tokens.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, cut
+from .common import arrow_bytes, cut, scratch, slices
 
 SEEDS = 8
 #: Min-hashes of which a class and its leader must share to be verified.
@@ -119,6 +119,14 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def counted_shares(text_bytes: int, least: int, percent: int) -> int:
+    """Shares of the hash range for the token counts of so many bytes of text: about SHARE_BYTES each.
+
+    A word has some six bytes; of its tokens a set counts the first, 12 bytes each.
+    """
+    return max(12, least, int(text_bytes / 6 * 1.5 * (100 - percent + MEET) / 100 * 12) // SHARE_BYTES + 1)
+
+
 class _Join:
     """One run of the join over (id, text)."""
 
@@ -132,7 +140,9 @@ class _Join:
         those that come twice among a few thousand texts.
         """
         size, percent = self.size, self.percent
-        shares = max(12, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        # at most a token for each two bytes or so; less is counted
+        letters = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one value
+        shares = counted_shares(letters, int(self.spark.conf.get("spark.sql.shuffle.partitions")), percent)
 
         def run(batches):
             import pyarrow as pa
@@ -401,13 +411,6 @@ class _Join:
         return rows.join(classes.select("key", "rep"), "key", "left").select("id", "n", "rep"), components(led.union(more))
 
 
-def slices(batches, rows: int = 500):
-    """The batches in pieces, so that a worker holds few texts as Python objects."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def _key(tokens: np.ndarray) -> int:
     from xxhash import xxh3_64_intdigest
 
@@ -426,9 +429,10 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     integers; other columns are not read. Sets are of 64-bit hashes.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    with arrow_bytes(docs.sparkSession, "8m"):  # all that needs Python runs in here
+    with arrow_bytes(docs.sparkSession, "8m"), scratch() as kept:  # all that needs Python runs in here
         rows, label = _Join(own.where("id is not null"), size, percent).links()
         rows, label = cut(rows), cut(label)
+        kept += [rows, label]
     same = rows.where("rep is not null and rep <> id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     repeated = rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
     if repeated:  # an id with several texts ties their classes together
@@ -441,6 +445,20 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest; rows with a null id or no text stay."""
-    gone = join(docs, size, percent, id_col, text_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(cut(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each group of linked documents, that with the smallest id.
+
+    Of repeated rows of one id one stays, the first by text. Rows with a null id
+    take part as documents by their text, after all ids. Documents without text
+    link with nothing and stay. All columns are kept; an empty table stays empty.
+    """
+    by_text = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2)
+    keyed = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("bigint"), by_text))
+    found = cut(join(keyed.select("__key", F.col(text_col).alias("__text")), size, percent, "__key", "__text"))
+    gone = found.where(F.col("component_id") != F.col("__key")).select(F.col("__key").alias("__gone")).distinct()
+    left = keyed.join(cut(gone), F.col("__key") == F.col("__gone"), "left_anti")
+    again = cut(found.groupBy(F.col("__key").alias("__again")).count().where("count > 1").select("__again"))
+    if not again.isEmpty():
+        once = keyed.join(again, F.col("__key") == F.col("__again"), "left_semi").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+        first = once.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(text_col))).where("__n = 1").drop("__n")
+        left = left.join(again, F.col("__key") == F.col("__again"), "left_anti").unionByName(first)
+    return left.drop("__key")

@@ -38,10 +38,20 @@ def test_equals_brute_force(spark):
     assert got == want and len(want) > 50
     left = decontaminate.without_items(df, bench)
     gone = {d for d, _ in want}
-    assert left.columns == df.columns
+    assert left.columns == df.columns  # the one row without an id holds an item
     assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted((d for d, _ in docs if d not in gone), key=repr)
 
 
+def test_rows_without_an_id_go_by_their_text(spark):
+    item = "the five words of item and more"
+    rows = [(None, f"a text that holds {item} and goes on"), (None, "a clean text without an id that has some words"), (None, None), (1, "another clean text with a few words in it"), (1, item)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    left = decontaminate.without_items(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([rows[1], rows[2]], key=repr)
+
+
 def test_empty(spark):
     docs, items = helpers.empty(spark), helpers.empty(spark, "item_id bigint, text string")
     one = spark.createDataFrame([(1, "one two three four five six")], "item_id bigint, text string")

@@ -73,10 +73,21 @@ def test_one_of_each(spark):
     df, rows = helpers.docs(spark)
     out = jaccard.one_of_each(df)
     assert out.columns == df.columns
-    # the two rows of the last id stay together or go together: here its copy has a smaller id
+    # of the two rows of the last id, and its copy with a smaller id, one stays
     assert sorted((r.doc_id for r in out.collect()), key=repr) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, None]
 
 
+def test_one_of_each_of_repeated_rows_and_rows_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, a), (7, a), (None, a), (None, b), (None, b), (9, c), (9, c), (9, c), (None, None), (3, None)]
+    out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(5, a), (None, b), (9, c), (None, None), (3, None)], key=repr)
+
+
+def test_shares_grow_with_the_input():
+    assert [jaccard.counted_shares(n, 12, 80) for n in (0, 10**9, 10**11, 10**13)] == [12, 22, 2146, 214577]
+
+
 def test_empty(spark):
     assert jaccard.join(helpers.empty(spark), 4, 85).count() == 0
     assert jaccard.one_of_each(helpers.empty(spark)).count() == 0
