@@ -137,6 +137,7 @@ def prove(docs: DataFrame, group: str, order: str, digest: Column, offered: Colu
     records, tops = build(leaves.select("g", "pos", "n", F.col("leaf").alias("digest")))
     tops = cut(tops)
     of_group = tops.join(groups.select("g", "groups"), "g").select(F.lit(0).cast("bigint").alias("g"), F.col("g").alias("pos"), F.col("groups").alias("n"), "digest", "height")
+    of_group = cut(of_group)
     above, root = build(of_group.select("g", "pos", "n", "digest"))
     root = cut(root.select("g", F.col("digest").alias("root"), "height"))
     empty = F.array().cast("array<struct<left: string, right: string>>")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, cut
+from .common import arrow_bytes, cut, scratch
 
 #: Rows of an anchor block, and of a block of all rows.
 ANCHORS, ROWS = 1024, 4096
@@ -195,7 +195,7 @@ def mine(
     spark = rows.sparkSession
     own = usable(rows, id_col, label_col, vec_col)
     anchors = own.where((F.col("id") != NO_ID) & (F.col("id") % anchor_every == 0))
-    with arrow_bytes(spark, "8m"):  # all that needs Python runs in here
+    with arrow_bytes(spark, "8m"), scratch() as kept:  # all that needs Python runs in here
         of_rows = cut(row_blocks(own))
         of_anchors = cut(anchor_blocks(anchors))
         n_blocks = of_rows.count()
@@ -205,7 +205,9 @@ def mine(
         best = cut(heaps(of_rows, of_anchors, stripes, positives + 1, None))
         mine_ = cut(own_positives(of_anchors, best, positives))
         found = cut(heaps(of_rows, mine_, stripes, negatives, (low, high)))
-        return cut(listed(mine_, found, positives, negatives))
+        out = cut(listed(mine_, found, positives, negatives))
+        kept.append(out)
+        return out
 
 
 def row_blocks(own: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 DAMPING, CUT_EVERY = 0.85, 4
 #: Scores are settled when none changes by more than this share of itself between two cuts.
@@ -104,10 +104,12 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str
     per_host = judged.where("host <> '' and __rule is not null").groupBy("host").agg(
         F.count_if(F.col("__rule.verdict") == "allow").alias("t"), F.count_if(F.col("__rule.verdict") == "block").alias("d")
     )
-    per_host = cut(per_host)
-    sums = per_host.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()  # one row
-    share = lambda c: F.col(c) / F.lit(max(1, sums[c] or 0))
-    scores = propagate(host_edges(pages, url_col, html_col), per_host.select("host", share("t").alias("trust"), share("d").alias("distrust")))
-    blocked = cut(scores.where((F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") > 0)).select("host", F.lit("block").alias("__of_host")))
+    with scratch() as kept:
+        per_host = cut(per_host)
+        sums = per_host.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()  # one row
+        share = lambda c: F.col(c) / F.lit(max(1, sums[c] or 0))
+        scores = propagate(host_edges(pages, url_col, html_col), per_host.select("host", share("t").alias("trust"), share("d").alias("distrust")))
+        blocked = cut(scores.where((F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") > 0)).select("host", F.lit("block").alias("__of_host")))
+        kept.append(blocked)
     verdict = F.coalesce("__rule.verdict", "__of_host", F.lit("allow"))
     return judged.join(blocked, "host", "left").select(F.col("__id").alias(id_col), "host", "path", F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
