@@ -11,23 +11,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from array import array
 
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import NEVER, WHITE, let, merge_ranked
+from .common import NEVER, WHITE, Memory, let, merge_ranked, slices
 
-#: Words and units whose encoding a Python worker remembers; it starts anew beyond that.
-CACHE = 150_000
+#: Units whose encoding a Python worker remembers while it works on a partition.
+CACHE = 300_000
 #: Slots of the literal rank map.
 SLOTS = 1 << 16
-
-
-def load(path: str) -> dict:
-    """What the executors get: the ranks, and a worker's memory of words and units."""
-    return {"ranks": load_ranks(path), "words": {}, "units": {}}
+#: More than any rank.
+IDS = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -36,18 +34,51 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def load(path: str) -> tuple[dict[bytes, int], dict[int, int]]:
+    """What the executors get: the ranks of tokens and of pairs of tokens."""
+    ranks = load_ranks(path)
+    return ranks, pair_ranks(ranks)
+
+
 def splitter(pattern: str):
     """``findall`` of the pattern with ``\\s`` as the Unicode property White_Space."""
     p = pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
     return regex.compile(p).findall
 
 
-def fold_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one word."""
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank of what two tokens join to, by ``first id * IDS + second id``."""
+    out = {}
+    for whole, rank in ranks.items():
+        for i in range(1, len(whole)):
+            a, b = ranks.get(whole[:i]), ranks.get(whole[i:])
+            if a is not None and b is not None:
+                out[a * IDS + b] = rank
+    return out
+
+
+def fold_word(word: bytes, ranks: dict[bytes, int], pairs: dict[int, int] | None = None) -> list[int]:
+    """The ids of one word.
+
+    With ``pairs`` a short word is folded over ids, as a token's rank is its id.
+    """
     if word in ranks:
         return [ranks[word]]
     get = ranks.get
-    return [ranks[p] for p in merge_ranked([word[i : i + 1] for i in range(len(word))], lambda a, b: get(a + b, NEVER))]
+    if pairs is None or len(word) > 60:
+        return [ranks[p] for p in merge_ranked([word[i : i + 1] for i in range(len(word))], lambda a, b: get(a + b, NEVER))]
+    ids = [get(word[i : i + 1]) for i in range(len(word))]
+    joins = pairs.get
+    open_ = [joins(a * IDS + b, NEVER) for a, b in zip(ids, ids[1:])]
+    while open_ and (best := min(open_)) != NEVER:
+        at = open_.index(best)
+        ids[at] = best
+        del ids[at + 1], open_[at]
+        if at:
+            open_[at - 1] = joins(ids[at - 1] * IDS + best, NEVER)
+        if at < len(open_):
+            open_[at] = joins(best * IDS + ids[at + 1], NEVER)
+    return ids
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,13 +87,20 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     ``path`` is a rank file, read on the driver; ``pattern`` splits a text into
     words that are merged separately; no special tokens. ``decoded`` joins the
     byte pieces of the ids again. Null and empty texts give no ids and empty
-    bytes; repeated rows and ids give a row each; other columns are not read.
+    bytes; texts of any length are encoded whole; repeated rows and ids give a
+    row each, a null id too; other columns are not read; an empty table gives no
+    rows.
     """
-    return _encode(docs, path, pattern, id_col, text_col, "ids array<int>, decoded binary", lambda ids, out: (ids, out))
+    return _encode(docs, path, pattern, id_col, text_col, "ids array<int>, decoded binary", lambda ids, out: (ids.tolist(), out))
 
 
 def digest_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``encode_texts``, with digests in place of ids and bytes: ``id, n_tokens, ids_sha256, decoded_sha256``."""
+    """As ``encode_texts``, with digests in place of ids and bytes: ``id, n_tokens, ids_sha256, decoded_sha256``.
+
+    A row for each row, null and repeated ids too; a null or empty text, of no
+    tokens, has the empty string's digests; texts of any length are coded whole;
+    other columns are not read; an empty table gives no rows.
+    """
     sha, names = hashlib.sha256, []
 
     def digest(ids, out):
@@ -86,63 +124,87 @@ def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     def run(batches):
         import pyarrow as pa
 
-        encode, decode = coder(state.value, pattern)
-        for b in batches:
+        encode, decode = coder(state.value[0], pattern, state.value[1])
+        for b in slices(batches):
             at = b.schema.get_field_index(text_col)
-            old = b.column(at).to_pylist()
-            ids = [encode(t) for t in old]
-            texts = [None if t is None else decode(i).decode() for t, i in zip(old, ids, strict=True)]
+            ids, texts = [], []
+            for t in b.column(at).to_pylist():
+                ids.append(encode(t))
+                texts.append(None if t is None else decode(ids[-1]).decode())
             cols = [pa.array(texts, b.schema.field(at).type) if k == at else c for k, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64())], names=[*b.schema.names, "ids", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*cols, list_array(ids), pa.array(map(len, ids), pa.int64())], names=[*b.schema.names, "ids", "n_tokens"])
 
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
 
 
-def coder(state: dict, pattern: str):
-    """``encode(text) -> ids`` and ``decode(ids) -> bytes``.
+def list_array(ids: list[array]):
+    """The id arrays as one Arrow list array, without a Python object for each id."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    flat = np.frombuffer(b"".join(ids), np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
+def coder(ranks: dict[bytes, int], pattern: str, pairs: dict[int, int] | None = None):
+    """``encode(text) -> array of ids`` and ``decode(ids) -> bytes``.
 
     A space and the run after it split alike in any text, unless white space
     stands before the space. So texts are taken unit by unit, cut before each
     space; a text with such a place, or a space at its end, is split whole.
     """
-    ranks, words, units = state["ranks"], state["words"], state["units"]
     find = splitter(pattern)
-    piece = {r: b for b, r in ranks.items()}
+    units = Memory(CACHE)
+    known, recall = units.get, units.put
+
+    def fold(w: str) -> array:
+        return array("i", fold_word(w.encode("utf-8", "surrogatepass"), ranks, pairs))
 
-    def of_words(text: str) -> list[int]:
-        ids: list[int] = []
+    def by_word(text: str) -> array:
+        """Word by word; the words are remembered as units are."""
+        ids = array("i")
         for w in find(text):
-            got = words.get(w)
+            got = known(w)
             if got is None:
-                got = fold_word(w.encode("utf-8", "surrogatepass"), ranks)
-                if len(words) >= CACHE:
-                    words.clear()
+                got = fold(w)
                 if len(w) < 100:
-                    words[w] = got
+                    recall(w, got)
             ids += got
         return ids
 
-    def encode(text: str | None) -> list[int]:
+    def of_unit(unit: str) -> array:
+        if unit.isalpha() or unit[1:].isalpha() and unit[0] == " ":  # most likely one word, remembered as the unit
+            words = find(unit)
+            if len(words) == 1:
+                return fold(unit)
+        return by_word(unit)
+
+    def encode(text: str | None) -> array:
+        ids = array("i")
         if not text:
-            return []
+            return ids
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
-            return of_words(text)
-        ids = list(of_words(first))
+            return by_word(text)
+        ids += by_word(first)
+        young = units.young.get
         for u in rest:
-            got = units.get(u)
+            got = young(" " + u) or known(" " + u)
             if got is None:
                 if not u or u[-1].isspace():
-                    return of_words(text)
-                got = of_words(" " + u)
-                if len(units) >= CACHE:
-                    units.clear()
+                    return by_word(text)
+                got = of_unit(" " + u)
                 if len(u) < 100:
-                    units[u] = got
+                    recall(" " + u, got)
+                    young = units.young.get
             ids += got
         return ids
 
-    return encode, lambda ids: b"".join([piece[i] for i in ids])
+    piece = [b""] * (1 + max(ranks.values(), default=0))
+    for b, r in ranks.items():
+        piece[r] = b
+    return encode, lambda ids: b"".join(map(piece.__getitem__, ids))
 
 
 def _encode(docs, path, pattern, id_col, text_col, columns, result):
@@ -154,9 +216,9 @@ def _encode(docs, path, pattern, id_col, text_col, columns, result):
     def run(batches):
         import pyarrow as pa
 
-        encode, decode = coder(state.value, pattern)
+        encode, decode = coder(state.value[0], pattern, state.value[1])
         of = {"int32": pa.list_(pa.int32()), "binary": pa.binary(), "int64": pa.int64(), "string": pa.string()}
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in b.column(1).to_pylist():
                 ids = encode(t)

@@ -7,7 +7,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from psephos.llm import bpe, token_counts
-from psephos.llm.common import merge_ranked
+from psephos.llm.common import Memory, merge_ranked
 
 from . import helpers
 
@@ -29,13 +29,29 @@ def tik():
 
 
 def test_coder_equals_the_library():
-    encode, decode = bpe.coder(bpe.load(RANKS), P.PATTERN)
+    ranks, pairs = bpe.load(RANKS)
+    encode, decode = bpe.coder(ranks, P.PATTERN, pairs)
+    plain, _ = bpe.coder(ranks, P.PATTERN)
     ref = tik()
     for t in odd_texts():
-        assert encode(t) == ref.encode_ordinary(t), repr(t)
+        assert encode(t).tolist() == ref.encode_ordinary(t) == plain(t).tolist(), repr(t)
         assert decode(encode(t)) == t.encode()
 
 
+def test_a_full_memory_forgets_what_is_not_asked_for(monkeypatch):
+    m = Memory(10)
+    for i in range(200):
+        m.put(i, i)
+        assert m.get(0) == 0 and m.get(i) == i and len(m.young) + len(m.old) <= 10
+    assert m.get(150) is None
+    monkeypatch.setattr(bpe, "CACHE", 4)
+    ranks, pairs = bpe.load(RANKS)
+    encode, _ = bpe.coder(ranks, P.PATTERN, pairs)
+    ref = tik()
+    for t in odd_texts()[:60]:
+        assert encode(t).tolist() == ref.encode_ordinary(t)
+
+
 def test_counter_equals_the_library():
     count = token_counts.counter(token_counts.load(COUNTS))
     ref = Tokenizer.from_file(COUNTS)
