@@ -7,14 +7,15 @@ word's share of its class comes from corpus counts:
 
     p(word | before) = p(class | before) * (c + 1) / (N_class + V_class + 1)
 
-Documents are dealt into blocks by hash. Pass one, in each block: the words'
-training counts, and a model trained on all training windows of the block from
-one common start; counts are then summed by share of the hash range, models
-averaged by their tokens. Pass two brings each block the corpus counts of its
-own words, and scores its documents: windows of CONTEXT + STRIDE words overlap
-so that each word is scored once, with at least CONTEXT words before it where
-the text has them. Nothing but the model and per-class sums, whose sizes are
-fixed, passes through the driver.
+Documents are dealt into blocks by hash, as many as the texts' size asks for,
+so that neither a block nor its result depends on the cluster's settings. Pass
+one, in each block: the words' training counts, and a model trained on all
+training windows of the block from one common start; counts are then summed by
+share of the hash range, models averaged by their tokens. Pass two brings each
+block the corpus counts of its own words, and scores its documents: windows of
+CONTEXT + STRIDE words overlap so that each word is scored once, with at least
+CONTEXT words before it where the text has them. Nothing but the model and
+per-class sums, whose sizes are fixed, passes through the driver.
 """
 
 from __future__ import annotations
@@ -25,16 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load_ranks
-from .common import cut
+from .common import cut, scratch
 
 CLASSES, TAILS, WIDTH = 64, 64, 12
 CONTEXT, STRIDE = 16, 16
-#: Windows of a step: BATCH, or fewer where a block would give under STEPS steps.
-BATCH, STEPS, RATE = 512, 150, 0.01
+#: Windows of a training step, and windows scored at once.
+BATCH, RATE = 128, 0.01
+#: Bytes of text of a block, and of a share of the words.
+BLOCK_BYTES = 3 << 20
 #: The end of a text is a word of its own with its own class.
 END_HASH, END_CLASS, START = np.uint64(0), CLASSES - 1, CLASSES
-#: Words whose classes a Python worker remembers.
-CACHE = 400_000
 
 
 # -- words ---------------------------------------------------------------
@@ -51,13 +52,26 @@ def classes_of(word: bytes, ranks: dict[bytes, int], longest: int) -> tuple[int,
     return first * 40503 % 65536 % (CLASSES - 1), last * 40503 % 65536 % TAILS
 
 
-def hashes_of(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """The words of a text and the hashes of its tokens, the end included."""
-    from xxhash import xxh3_64_intdigest
+class Words:
+    """The distinct words of a block, numbered as they come; 0 is the end of a text."""
 
-    w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    h = np.fromiter(map(xxh3_64_intdigest, w), np.uint64, len(w))
-    return w, np.append(np.maximum(h, np.uint64(1)), END_HASH)
+    def __init__(self):
+        self.number = {b"": 0}
+
+    def add(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's tokens, the end included."""
+        w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+        w.append(b"")
+        number = self.number
+        return np.fromiter([number.setdefault(x, len(number)) for x in w], np.int32, len(w))
+
+    def hashes(self) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest
+
+        h = np.fromiter(map(xxh3_64_intdigest, self.number), np.uint64, len(self.number))
+        h = np.maximum(h, np.uint64(1))
+        h[0] = END_HASH
+        return h
 
 
 # -- model ---------------------------------------------------------------
@@ -104,7 +118,7 @@ def windows(first: np.ndarray, last: np.ndarray, lens: np.ndarray):
     return target, np.where(inside, first[pos], np.uint8(START)), np.where(inside, last[pos], np.uint8(TAILS)), use
 
 
-_CAUSAL = np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(CONTEXT, CONTEXT + STRIDE)[:, None]
+_CAUSAL = (np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(CONTEXT, CONTEXT + STRIDE)[:, None]).astype(np.float32)
 _SCALE = np.float32(WIDTH**-0.5)
 
 
@@ -122,7 +136,9 @@ def forward(p: dict, x1, x2, use):
     q = xq @ p["q"]
     s = (q * _SCALE) @ k.transpose(0, 2, 1)
     np.exp(np.minimum(s, 60, out=s), out=s)
-    s *= _CAUSAL & use[:, None, :]
+    s *= _CAUSAL
+    if not use.all():
+        s *= use[:, None, :]
     s /= s.sum(2, keepdims=True)
     hx = np.concatenate([s @ v, xq], 2)
     z = hx @ p["out"]
@@ -174,10 +190,9 @@ def train(first: np.ndarray, last: np.ndarray, lens: np.ndarray) -> np.ndarray:
     target, x1, x2, use = windows(first, last, lens)
     order = np.random.default_rng(11).permutation(len(target))
     m, v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
-    batch = min(BATCH, max(8, len(order) // STEPS))
-    steps = -(-len(order) // batch)
-    for step, at in enumerate(range(0, len(order), batch), 1):
-        i = order[at : at + batch]
+    steps = -(-len(order) // BATCH)
+    for step, at in enumerate(range(0, len(order), BATCH), 1):
+        i = order[at : at + BATCH]
         mask = target[i] >= 0
         g = gradient(p, x1[i], x2[i], use[i], first[target[i]], mask)
         m += 0.1 * (g - m)
@@ -210,61 +225,46 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     out from learning if crc32 of its id as text leaves 2 modulo 7; a null id is
     learned from. ``base_score`` is the add-one unigram log10 probability,
     ``score`` the model's. ``path``: a public rank file, for subword ids. Null
-    and empty texts are one token, the end; repeated rows count and are scored
-    each; other columns are not read. An empty table gives no rows.
+    and empty texts are one token, the end; texts of any length are scored
+    whole; repeated rows count and are scored each; other columns are not read.
+    An empty table gives no rows. The result does not depend on the number of
+    shuffle partitions. Rows equal in id and text share a block.
     """
     spark = docs.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranks = load_ranks(path)
-    state = spark.sparkContext.broadcast({"ranks": ranks, "longest": max(map(len, ranks)), "known": {}})
+    state = spark.sparkContext.broadcast((ranks, max(map(len, ranks))))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one value
+    parts = int(size) // BLOCK_BYTES + 1
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(2 * parts)).cast("int")
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")
     own = own.select("id", "text", held.alias("held"), block.alias("block"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = state.value
-        known = s["known"]
-        seqs, learned, names = [], [], []
-        for text, out in zip(pdf["text"], pdf["held"], strict=True):
-            w, h = hashes_of(text)
-            names += w
-            names.append(b"")
-            seqs.append(h)
-            learned.append(not out)
+        ranks, longest = state.value
+        words = Words()
+        seqs = [words.add(text) for text in pdf["text"]]
+        learned = ~pdf["held"].to_numpy(bool)
         lens = np.array([len(x) for x in seqs])
-        use = np.repeat(np.array(learned), lens)
-        tokens = np.concatenate(seqs)
-        own, some, at = np.unique(tokens, return_index=True, return_inverse=True)
-        count = np.bincount(at, use, len(own)).astype(np.int64)
+        at = np.concatenate(seqs)[np.repeat(learned, lens)]
+        own = words.hashes()
+        count = np.bincount(at, minlength=len(own)).astype(np.int64)
         pair = np.empty((len(own), 2), np.uint8)
-        for i, k in enumerate(some.tolist()):
-            w = names[k]
-            if not w:
-                pair[i] = END_CLASS, 0
-                continue
-            c = known.get(w)
-            if c is None:
-                c = classes_of(w, s["ranks"], s["longest"])
-                if len(known) >= CACHE:
-                    known.clear()
-                if len(w) < 100:
-                    known[w] = c
-            pair[i] = c
-        at = at[use]
+        pair[0] = END_CLASS, 0
+        for k, w in enumerate(words.number):
+            if k:
+                pair[k] = classes_of(w, ranks, longest)
         model = train(pair[at, 0], pair[at, 1], lens[learned]) if len(at) else start_model()
         share = (own % np.uint64(parts)).astype(np.int32)
         order = np.argsort(share, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(share[order]) != 0])
-        rows = [(int(share[o[0]]), own[o].tobytes(), count[o].tobytes(), pair[o].tobytes()) for o in np.split(order, cuts[1:])]
-        out = pd.DataFrame(rows, columns=["share", "hash", "count", "pair"])
-        out["block"], out["model"], out["weight"] = int(pdf["block"].iloc[0]), None, float(len(at))
-        out.at[0, "model"] = model.astype(np.float32).tobytes()
+        rows = [(int(share[o[0]]), own[o].tobytes(), count[o].tobytes(), pair[o].tobytes(), None) for o in np.split(order, cuts[1:])]
+        rows.append((None, None, None, None, model.astype(np.float32).tobytes()))
+        out = pd.DataFrame(rows, columns=["share", "hash", "count", "pair", "model"])
+        out["share"] = out["share"].astype("Int32")
+        out["block"], out["weight"] = int(pdf["block"].iloc[0]), float(len(at))
         return out[["block", "share", "hash", "count", "pair", "model", "weight"]]
 
-    learned = cut(own.groupBy("block").applyInPandas(learn, "block int, share int, hash binary, count binary, pair binary, model binary, weight double"))
-    model = average(learned.where("model is not null").select("model", "weight"))
-
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         own = [np.frombuffer(x, np.uint64) for x in pdf["hash"]]
         lens = np.array([len(x) for x in own])
@@ -277,7 +277,12 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         sums = pd.DataFrame({"block": [-1], "hash": [None], "pair": [np.r_[n, v].astype(np.float64).tobytes()], "count": [None]})
         return pd.concat([out, sums])
 
-    counted = cut(learned.groupBy("share").applyInPandas(total, "block int, hash binary, pair binary, count binary"))
+    with scratch() as kept:
+        learned = cut(own.groupBy("block").applyInPandas(learn, "block int, share int, hash binary, count binary, pair binary, model binary, weight double"))
+        model = average(learned.where("model is not null").select("model", "weight"))
+        counts = learned.where("model is null").select("block", "share", "hash", "count", "pair")
+        counted = cut(counts.groupBy("share").applyInPandas(total, "block int, hash binary, pair binary, count binary"))
+        kept.append(counted)
     by_class = sum_vectors(counted.where("block = -1").select("pair"), 2 * CLASSES)
     n_class, v_class = by_class[:CLASSES], by_class[CLASSES:]
     n_all, v_all = n_class.sum(), v_class.sum()
@@ -289,9 +294,10 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         pair = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 2) for x in words["pair"]])
         order = np.argsort(own)
         own, count, pair = own[order], count[order], pair[order]
-        seqs = [hashes_of(t)[1] for t in pdf["text"]]
+        found = Words()
+        seqs = [found.add(t) for t in pdf["text"]]
         lens = np.array([len(x) for x in seqs])
-        at = np.searchsorted(own, np.concatenate(seqs))
+        at = np.searchsorted(own, found.hashes())[np.concatenate(seqs)]
         c, cls = count[at], pair[at, 0]
         base = np.log10((c + 1) / (n_all + v_all + 1))
         inside = np.log10((c + 1) / (n_class[cls] + v_class[cls] + 1))

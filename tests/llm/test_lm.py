@@ -89,3 +89,43 @@ def test_only_held_out_rows(spark):
     own = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.score(spark.createDataFrame([(own, "a b c")], "doc_id bigint, text string"), PATH).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (4, 0, 0, 0.0)
+
+
+def test_scores_do_not_depend_on_the_shuffle_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 17)  # several blocks
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    key = "spark.sql.shuffle.partitions"
+    old, got = spark.conf.get(key), []
+    try:
+        for n in ("4", "16"):
+            spark.conf.set(key, n)
+            got.append({r.doc_id: (r.base_score, r.score) for r in lm.score(docs, PATH).collect()})
+    finally:
+        spark.conf.set(key, old)
+    assert got[0].keys() == got[1].keys()
+    for i, (base, full) in got[0].items():
+        assert math.isclose(base, got[1][i][0], rel_tol=1e-9) and math.isclose(full, got[1][i][1], rel_tol=1e-4)
+
+
+def test_score_equals_a_plain_forward_pass():
+    """The class logs of a text, token by token, with attention written out."""
+    rng = np.random.default_rng(3)
+    n = 70
+    first, last = rng.integers(0, lm.CLASSES, n).astype(np.uint8), rng.integers(0, lm.TAILS, n).astype(np.uint8)
+    flat = lm.start_model()
+    got = lm.class_logs(flat, first, last, np.array([n]))
+    p = {k: v.astype(np.float64) for k, v in lm.unpack(flat).items()}
+    for t in range(n):
+        lo = t // lm.STRIDE * lm.STRIDE - lm.CONTEXT  # the window's first place
+        seen = []
+        for place in range(t - lo + 1):
+            at = lo + place - 1  # the token before that place
+            if at >= -1:
+                c, d = (first[at], last[at]) if at >= 0 else (lm.START, lm.TAILS)
+                seen.append(p["emb"][c] + p["tail"][d] + p["pos"][place])
+        x = np.array(seen)
+        weight = np.exp((x[-1] @ p["q"]) @ (x @ p["kv"][:, : lm.WIDTH]).T / math.sqrt(lm.WIDTH))
+        h = weight / weight.sum() @ (x @ p["kv"][:, lm.WIDTH :])
+        z = np.r_[h, x[-1]] @ p["out"] + p["bias"]
+        want = z[first[t]] - math.log(np.exp(z).sum())
+        assert abs(got[t] - want / math.log(10)) < 1e-4, t
