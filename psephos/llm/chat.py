@@ -1,10 +1,13 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of the turns' tokens choose the windows: a turn belongs to the
-window in which its first token falls, so windows are cut between turns. Each
-window repeats the conversation's system turn and as much of the turns before
-it as the history budget holds; repeated turns are masked, so each assistant
-text is a target once.
+Prefix sums of the turns' tokens choose the windows. They lay a grid of cells of
+``span`` tokens over a conversation: the turns that lie within a cell are one
+part, a turn that crosses into the cell where it ends is another. A crossing
+turn joins the part before it if both fit the span, else the part after it, else
+it stands alone; so a window exceeds the span only by a turn that does so alone.
+Each window repeats the conversation's system turn and as many of the turns
+before it as the budget leaves room for; repeated turns are masked, so each
+assistant text is a target once.
 
 A turn is written ``### role: text </turn>`` and a line break. In texts ``\\``,
 ``#`` and ``<`` are preceded by ``\\``, and roles are URL-encoded, so no text
@@ -35,12 +38,13 @@ def format_windows(turns: DataFrame, span: int = 512, history: int = 256) -> Dat
     """``conv_id, window, formatted, n_repeated, n_targets, spans, n_tokens, over_budget`` per window.
 
     ``turns`` has conv_id, turn, role, text; other columns are not read. Tokens
-    are words. A window's target turns start within ``span`` tokens; before them
-    stand the system turn (the first turn, if its role is system) and the last
-    whole turns of at most ``history`` tokens. ``spans`` (start, length in code
-    points) is the loss mask: the target assistant texts as written.
-    ``over_budget``: more than ``span + history`` words in all, as a turn is
-    never cut. Null text or role: empty. Turns go by turn (null first), role,
+    are words. The budget of a window is ``span + history``. Its target turns
+    hold at most ``span`` tokens (less, if the system turn exceeds ``history``);
+    before them stand the system turn (the first turn, if its role is system)
+    and the last whole turns that fit ``history`` with it. ``spans`` (start,
+    length in code points) is the loss mask: the target assistant texts as
+    written. ``over_budget``: a turn, which is never cut, exceeds the budget by
+    itself or with the system turn; no other window does. Null text or role: empty. Turns go by turn (null first), role,
     text; repeated rows are turns of their own; a null conv_id is a
     conversation. An empty table gives no rows.
 
@@ -57,28 +61,38 @@ def format_windows(turns: DataFrame, span: int = 512, history: int = 256) -> Dat
     before = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = Window.partitionBy("conv_id", "block").orderBy(*order)
     t = t.withColumns({"at": before(inside), "rank": F.row_number().over(inside)})
-    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"))
+    is_system = (F.col("rank") == 1) & (F.col("role") == "system")
+    blocks = t.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"), F.max(F.when(is_system, F.col("tokens"))).alias("head"))
     by_block = Window.partitionBy("conv_id").orderBy("block")
     blocks = blocks.select(
-        F.col("conv_id").alias("b_conv"), F.col("block").alias("b_block"), before(by_block).alias("offset"), (F.row_number().over(by_block) == 1).alias("first")
+        F.col("conv_id").alias("b_conv"),
+        F.col("block").alias("b_block"),
+        before(by_block).alias("offset"),
+        (F.row_number().over(by_block) == 1).alias("first"),
+        F.coalesce(F.first("head").over(by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0)).alias("system"),
     )
     t = t.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & F.col("block").eqNullSafe(F.col("b_block"))).select(
-        "conv_id", *order, "tokens", (F.col("at") + F.col("offset")).alias("at"), (F.col("first") & (F.col("rank") == 1) & (F.col("role") == "system")).alias("is_system")
+        "conv_id", *order, "tokens", "system", (F.col("at") + F.col("offset")).alias("at"), (F.col("first") & is_system).alias("is_system")
     )
-    t = t.withColumn("window", F.floor(F.col("at") / span))
-    end = F.max(F.col("at") + F.col("tokens")).over(Window.partitionBy("conv_id", "window"))
-    t = t.withColumn("end", end).withColumn("next", F.floor(F.col("end") / span))
-    repeats = (F.col("end") - F.col("at") <= history) & (F.col("next") > F.col("window")) & ~F.col("is_system")
+    t = t.withColumn("room", F.when(F.col("system") <= history, F.lit(span)).otherwise(F.greatest(F.lit(1), span + history - F.col("system"))))
+    t = t.withColumn("cell", F.floor((F.greatest(F.col("at") + F.col("tokens"), F.lit(1)) - 1) / F.col("room")))
+    t = t.withColumn("part", 2 * F.col("cell") + (F.col("at") >= F.col("cell") * F.col("room")).cast("int"))
+    windows = _windows(t, span, history)
+    t = t.join(windows.select(F.col("conv_id").alias("p_conv"), F.col("part").alias("p_part"), "window"), F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part")))
+    t = t.select("conv_id", *order, "tokens", "at", "is_system", "window")
+    later = windows.where("window > 0").select(F.col("conv_id").alias("l_conv"), F.col("window").alias("l_window"), "start", "allowed").distinct()
     # kind: 0 system again, 1 history, 2 target
-    places = F.array_compact(F.array(F.struct(F.col("window").alias("w"), F.lit(2).alias("kind")), F.when(repeats, F.struct(F.col("next").alias("w"), F.lit(1).alias("kind")))))
-    rows = t.select("conv_id", *order, "tokens", F.explode(places).alias("p")).select("conv_id", *order, "tokens", F.col("p.w").alias("window"), F.col("p.kind").alias("kind"))
-    later = t.where("window > 0").select(F.col("conv_id").alias("l_conv"), F.col("window").alias("l_window")).distinct()
-    system = t.where("is_system").select("conv_id", *order, "tokens")
-    again = system.join(later, F.col("conv_id").eqNullSafe(F.col("l_conv"))).select(
-        "conv_id", *order, "tokens", F.col("l_window").alias("window"), F.lit(0).alias("kind")
-    )
+    row = ["conv_id", *order, "tokens"]
+    targets = t.select(*row, "window", F.lit(2).alias("kind"))
+    system = t.where("is_system").join(later, F.col("conv_id").eqNullSafe(F.col("l_conv"))).select(*row, F.col("l_window").alias("window"), F.lit(0).alias("kind"))
+    # a window's history starts in one of two stretches of ``history`` tokens
+    width = max(1, history)
+    reach = F.sequence(F.floor((F.col("start") - F.col("allowed")) / width), F.floor(F.col("start") / width))
+    behind = F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("stretch") == F.col("l_stretch")) & (F.col("window") < F.col("l_window")) & (F.col("start") - F.col("at") <= F.col("allowed"))
+    history_of = t.where("not is_system").withColumn("stretch", F.floor(F.col("at") / width)).join(later.withColumn("l_stretch", F.explode(reach)), behind)
+    again = system.unionByName(history_of.select(*row, F.col("l_window").alias("window"), F.lit(1).alias("kind")))
     head = F.concat(F.lit(HEAD), F.url_encode("role"), F.lit(SEP))
-    rows = rows.unionByName(again).withColumns({"head": F.char_length(head), "body": F.char_length(escape(F.col("text"))), "piece": F.concat(head, escape(F.col("text")), F.lit(TAIL))})
+    rows = targets.unionByName(again).withColumns({"head": F.char_length(head), "body": F.char_length(escape(F.col("text"))), "piece": F.concat(head, escape(F.col("text")), F.lit(TAIL))})
     in_window = Window.partitionBy("conv_id", "window").orderBy("kind", *order)
     start = F.coalesce(F.sum(F.char_length("piece")).over(in_window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("head")
     rows = rows.withColumns({"n": F.row_number().over(in_window), "start": start})
@@ -87,11 +101,36 @@ def format_windows(turns: DataFrame, span: int = 512, history: int = 256) -> Dat
     return (
         rows.groupBy("conv_id", "window")
         .agg(F.sort_array(F.collect_list(turn)).alias("all"), F.sum("tokens").alias("n_tokens"), F.sum((F.col("kind") < 2).cast("int")).alias("n_repeated"), F.sum((F.col("kind") == 2).cast("int")).alias("n_targets"))
-        .where("n_targets > 0")
         .select("conv_id", "window", F.concat_ws("", F.col("all.piece")).alias("formatted"), "n_repeated", "n_targets", spans.alias("spans"), "n_tokens", (F.col("n_tokens") > span + history).alias("over_budget"))
     )
 
 
+def _windows(t: DataFrame, span: int, history: int) -> DataFrame:
+    """``conv_id, part, window, start, allowed``: the parts' windows, where each starts, and the tokens of history it may repeat.
+
+    Odd parts lie within a cell, even ones are crossing turns; some two parts a
+    span of tokens, so a conversation's parts are few against its words.
+    """
+    by_part = Window.partitionBy("conv_id").orderBy("part")
+    within = lambda p: p % 2 == 1
+    step = lambda c, k: F.lag(c, k).over(by_part) if k > 0 else F.lead(c, -k).over(by_part)
+    parts = t.groupBy("conv_id", "part").agg(F.sum("tokens").alias("held"), F.min("at").alias("start"), F.max("system").alias("system"), F.max("room").alias("room"))
+    back = ~within(F.col("part")) & within(step("part", 1)) & (step("held", 1) + F.col("held") <= F.col("room"))
+    parts = parts.withColumn("back", F.coalesce(back, F.lit(False)))
+    after = F.col("held") + step("held", -1) + F.when(step("back", -2), step("held", -2)).otherwise(0)
+    ahead = F.coalesce(~within(F.col("part")) & within(step("part", -1)) & (after <= F.col("room")), F.lit(False))
+    parts = parts.withColumn("own", F.when(F.col("back"), step("part", 1)).when(ahead, step("part", -1)).otherwise(F.col("part")))
+    whole = Window.partitionBy("conv_id", "own")
+    left = F.least(history - F.col("system"), span + history - F.col("system") - F.sum("held").over(whole))
+    return parts.select(
+        "conv_id",
+        "part",
+        (F.dense_rank().over(Window.partitionBy("conv_id").orderBy("own")) - 1).cast("bigint").alias("window"),
+        F.min("start").over(whole).alias("start"),
+        F.greatest(F.lit(0), left).alias("allowed"),
+    )
+
+
 def read_windows(windows: DataFrame) -> DataFrame:
     """``conv_id, window, turns (role, text), loss (texts), formatted``: the target turns and the texts under the mask, read back."""
     pieces = F.split(F.col("formatted"), TAIL.replace("\n", "\\n"))

@@ -84,9 +84,12 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 
 def decontamination() -> str:
     k = decontaminate.SHINGLE
-    sets = f"SELECT DISTINCT id, array_to_string(w[i:i + {k - 1}], ' ') AS k FROM (SELECT id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM (SELECT {{}} AS id, {WORDS.format(f"translate(text, '{UPPER}', '{LOWER}')")} AS w FROM {{}}) WHERE len(w) >= {k})"
+    words = lambda key, source: f"SELECT {key} AS id, {WORDS.format(f"translate(text, '{UPPER}', '{LOWER}')")} AS w FROM {source}"
+    sets = "SELECT DISTINCT id, array_to_string(w[i:i + s - 1], ' ') AS k FROM (SELECT id, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM {})"
     return f"""
-WITH ds AS ({sets.format("doc_id", "documents")}), bs AS ({sets.format("item_id", "benchmark")}), size AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
+WITH bw AS MATERIALIZED (SELECT *, least({k}, len(w)) AS s FROM ({words("item_id", "benchmark")}) WHERE len(w) > 0), dw AS ({words("doc_id", "documents")}),
+sized AS (SELECT id, w, s FROM dw JOIN (SELECT DISTINCT s FROM bw) ON len(w) >= s),
+ds AS ({sets.format("sized")}), bs AS ({sets.format("bw")}), size AS (SELECT id, count(*) AS n FROM bs GROUP BY id)
 SELECT ds.id AS doc_id, bs.id AS item_id, any_value(size.n)::BIGINT AS n_item, count(*)::BIGINT AS n_shared, count(*) / any_value(size.n) AS containment
 FROM ds JOIN bs ON ds.k = bs.k JOIN size ON size.id = bs.id GROUP BY ds.id, bs.id HAVING 100 * count(*) >= {decontaminate.SHARE_PERCENT} * any_value(size.n)"""
 
@@ -99,12 +102,18 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 t AS (SELECT *, len({WORDS.format("text")})::BIGINT AS tokens, length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(url_encode(role)) + {mark} AS chars,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM c),
 p AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, n = 1 AND role = 'system' AS sys FROM t),
-w AS (SELECT *, pos // {span} AS win FROM p),
-x AS (SELECT *, max(pos + tokens) OVER (PARTITION BY conv_id, win) AS fin FROM w),
-wins AS (SELECT DISTINCT conv_id, win FROM w),
+q AS (SELECT *, coalesce(max(tokens) FILTER (WHERE sys) OVER (PARTITION BY conv_id), 0)::BIGINT AS s FROM p),
+y AS (SELECT *, CASE WHEN s <= {history} THEN {span} ELSE greatest(1, {span + history} - s) END AS room FROM q),
+z AS MATERIALIZED (SELECT *, 2 * cell + CASE WHEN pos >= cell * room THEN 1 ELSE 0 END AS part FROM (SELECT *, (greatest(pos + tokens, 1) - 1) // room AS cell FROM y)),
+k AS (SELECT conv_id, part, any_value(s) AS s, any_value(room) AS room, min(pos) AS start, sum(tokens)::BIGINT AS m FROM z GROUP BY conv_id, part),
+k1 AS (SELECT *, coalesce(part % 2 = 0 AND lag(part) OVER o % 2 = 1 AND lag(m) OVER o + m <= room, false) AS back FROM k WINDOW o AS (PARTITION BY conv_id ORDER BY part)),
+k2 AS (SELECT *, CASE WHEN back THEN lag(part) OVER o
+  WHEN part % 2 = 0 AND lead(part) OVER o % 2 = 1 AND m + lead(m) OVER o + CASE WHEN lead(back, 2) OVER o THEN lead(m, 2) OVER o ELSE 0 END <= room THEN lead(part) OVER o ELSE part END AS win FROM k1 WINDOW o AS (PARTITION BY conv_id ORDER BY part)),
+x AS MATERIALIZED (SELECT z.*, k2.win FROM z JOIN k2 ON k2.conv_id IS NOT DISTINCT FROM z.conv_id AND k2.part = z.part),
+wins AS MATERIALIZED (SELECT conv_id, win, min(start) AS start, greatest(0, least({history} - any_value(s), {span + history} - any_value(s) - sum(m))) AS allowed, row_number() OVER (PARTITION BY conv_id ORDER BY win) AS nth FROM k2 GROUP BY conv_id, win),
 f AS (SELECT conv_id, chars FROM x UNION ALL
-  SELECT x.conv_id, x.chars FROM x JOIN wins ON wins.conv_id IS NOT DISTINCT FROM x.conv_id AND wins.win = x.fin // {span} WHERE x.fin - x.pos <= {history} AND x.fin // {span} > x.win AND NOT sys UNION ALL
-  SELECT x.conv_id, x.chars FROM x JOIN wins ON wins.conv_id IS NOT DISTINCT FROM x.conv_id AND wins.win > 0 WHERE sys),
+  SELECT x.conv_id, x.chars FROM x JOIN wins ON wins.conv_id IS NOT DISTINCT FROM x.conv_id AND wins.win > x.win AND wins.start - x.pos <= wins.allowed WHERE NOT sys UNION ALL
+  SELECT x.conv_id, x.chars FROM x JOIN wins ON wins.conv_id IS NOT DISTINCT FROM x.conv_id AND wins.nth > 1 WHERE sys),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS turns, coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS loss FROM p GROUP BY conv_id),
 h AS (SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM f GROUP BY conv_id)
 SELECT g.conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g JOIN h ON h.conv_id IS NOT DISTINCT FROM g.conv_id"""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -42,12 +43,11 @@ def test_windows_keep_budget_system_and_history(spark):
     own = rows()
     windows = chat.format_windows(spark.createDataFrame(own, SCHEMA), 64, 32)
     system = len("be brief # <now>".split())
-    longest = max(len((x or "").split()) for c, _, _, x in own if c == 1)
     by = {}
     for r in windows.collect():
         by.setdefault(r.conv_id, []).append(r)
         if r.conv_id == 1:
-            assert r.n_tokens <= 64 + longest + 32 + system
+            assert r.n_tokens <= 96 and r.n_tokens >= system
             assert r.formatted.startswith("### system: be brief \\# \\<now> </turn>\n")
         assert r.over_budget == (r.n_tokens > 96)
     assert len(by[1]) > 5 and len(by[5]) > 50 and any(r.n_repeated > 1 for r in by[1])
@@ -61,6 +61,58 @@ def test_windows_keep_budget_system_and_history(spark):
         assert [r.formatted[s.start : s.start + s.length] for s in r.spans] == targets
 
 
+def plain(turns, span, history):
+    """Windows of one conversation by plain Python: [(history and system turns, targets)] as lists of numbers of turns."""
+    tokens = [len(x.split()) for _, x in turns]
+    at = [sum(tokens[:i]) for i in range(len(turns))]
+    has = turns[0][0] == "system"
+    system = tokens[0] if has else 0
+    room = span if system <= history else max(1, span + history - system)
+    parts = []  # [crosses, turns]
+    for i, n in enumerate(tokens):
+        cell = (max(at[i] + n, 1) - 1) // room
+        key = (cell, at[i] >= cell * room)
+        if not parts or parts[-1][0] != key:
+            parts.append((key, []))
+        parts[-1][1].append(i)
+    held = [sum(tokens[i] for i in own) for _, own in parts]
+    inner = [key[1] for key, _ in parts]
+    back = [k > 0 and not inner[k] and inner[k - 1] and held[k - 1] + held[k] <= room for k in range(len(parts))]
+    to = []
+    for k in range(len(parts)):
+        ahead = not inner[k] and k + 1 < len(parts) and inner[k + 1] and held[k] + held[k + 1] + (held[k + 2] if k + 2 < len(parts) and back[k + 2] else 0) <= room
+        to.append(k - 1 if back[k] else k + 1 if ahead else k)
+    out = []
+    for w in sorted(set(to)):
+        own = [i for k, (_, turns_of) in enumerate(parts) if to[k] == w for i in turns_of]
+        allowed = max(0, min(history - system, span + history - system - sum(tokens[i] for i in own)))
+        before = [i for i in range(own[0]) if not (has and i == 0) and at[own[0]] - at[i] <= allowed]
+        out.append((([0] if has and own[0] else []) + before, own))
+    return out
+
+
+def test_windows_equal_plain_python(spark):
+    rng = random.Random(3)
+    own, want = [], {}
+    for c in range(60):
+        most = rng.choice([3, 20, 70, 150])
+        turns = [("system", " ".join(["s"] * rng.choice([0, 3, 20, 40, 120])))] if c % 2 else []
+        turns += [(rng.choice(["user", "assistant"]), " ".join(f"w{i}" for _ in range(rng.randrange(most)))) for i in range(rng.randrange(1, 40))]
+        own += [(c, i, r, x) for i, (r, x) in enumerate(turns)]
+        want[c] = [("".join(f"### {turns[i][0]}: {turns[i][1]} </turn>\n" for i in again + targets), len(again), len(targets)) for again, targets in plain(turns, 64, 32)]
+        tokens = [len(x.split()) for _, x in turns]
+        system = tokens[0] if c % 2 else 0
+        for again, targets in plain(turns, 64, 32):
+            n = sum(tokens[i] for i in again + targets)
+            # over budget only by one turn, alone or with the system turn; turns without words stand anywhere
+            assert n <= 96 or n == max(tokens[i] for i in targets) + (system if again else 0)
+    got = {}
+    for r in chat.format_windows(spark.createDataFrame(own, SCHEMA), 64, 32).orderBy("conv_id", "window").collect():
+        got.setdefault(r.conv_id, []).append((r.formatted, r.n_repeated, r.n_targets))
+        assert r.window == len(got[r.conv_id]) - 1
+    assert got == want
+
+
 def test_escape_is_reversible(spark):
     texts = ["\\", "\\\\", "\\#", "#\\", "<\\<", "$1 \\$2", "\\\\#<\n", "", "plain"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
