@@ -78,21 +78,18 @@ def format_windows(turns: DataFrame, span: int = 512, history: int = 256) -> Dat
     t = t.withColumn("cell", F.floor((F.greatest(F.col("at") + F.col("tokens"), F.lit(1)) - 1) / F.col("room")))
     t = t.withColumn("part", 2 * F.col("cell") + (F.col("at") >= F.col("cell") * F.col("room")).cast("int"))
     windows = _windows(t, span, history)
-    t = t.join(windows.select(F.col("conv_id").alias("p_conv"), F.col("part").alias("p_part"), "window"), F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part")))
-    t = t.select("conv_id", *order, "tokens", "at", "is_system", "window")
-    later = windows.where("window > 0").select(F.col("conv_id").alias("l_conv"), F.col("window").alias("l_window"), "start", "allowed").distinct()
+    parts = windows.select(F.col("conv_id").alias("p_conv"), F.explode("parts").alias("p_part"), "window", "after")
+    t = t.join(parts, F.col("conv_id").eqNullSafe(F.col("p_conv")) & (F.col("part") == F.col("p_part")))
     # kind: 0 system again, 1 history, 2 target
+    place = lambda w, kind: F.struct(w.alias("window"), F.lit(kind).alias("kind"))
+    repeats = F.filter("after", lambda x: ~F.col("is_system") & (x["start"] - F.col("at") <= x["allowed"]))
+    places = F.flatten(F.array_compact(F.array(F.array(place(F.col("window"), 2)), F.transform(repeats, lambda x: place(x["window"], 1)))))
     row = ["conv_id", *order, "tokens"]
-    targets = t.select(*row, "window", F.lit(2).alias("kind"))
-    system = t.where("is_system").join(later, F.col("conv_id").eqNullSafe(F.col("l_conv"))).select(*row, F.col("l_window").alias("window"), F.lit(0).alias("kind"))
-    # a window's history starts in one of two stretches of ``history`` tokens
-    width = max(1, history)
-    reach = F.sequence(F.floor((F.col("start") - F.col("allowed")) / width), F.floor(F.col("start") / width))
-    behind = F.col("conv_id").eqNullSafe(F.col("l_conv")) & (F.col("stretch") == F.col("l_stretch")) & (F.col("window") < F.col("l_window")) & (F.col("start") - F.col("at") <= F.col("allowed"))
-    history_of = t.where("not is_system").withColumn("stretch", F.floor(F.col("at") / width)).join(later.withColumn("l_stretch", F.explode(reach)), behind)
-    again = system.unionByName(history_of.select(*row, F.col("l_window").alias("window"), F.lit(1).alias("kind")))
+    rows = t.select(*row, F.explode(places).alias("place")).select(*row, "place.window", "place.kind")
+    later = windows.where("window > 0").select(F.col("conv_id").alias("l_conv"), "window")
+    system = t.where("is_system").select(*row).join(later, F.col("conv_id").eqNullSafe(F.col("l_conv"))).select(*row, "window", F.lit(0).alias("kind"))
     head = F.concat(F.lit(HEAD), F.url_encode("role"), F.lit(SEP))
-    rows = targets.unionByName(again).withColumns({"head": F.char_length(head), "body": F.char_length(escape(F.col("text"))), "piece": F.concat(head, escape(F.col("text")), F.lit(TAIL))})
+    rows = rows.unionByName(system).withColumns({"head": F.char_length(head), "body": F.char_length(escape(F.col("text"))), "piece": F.concat(head, escape(F.col("text")), F.lit(TAIL))})
     in_window = Window.partitionBy("conv_id", "window").orderBy("kind", *order)
     start = F.coalesce(F.sum(F.char_length("piece")).over(in_window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("head")
     rows = rows.withColumns({"n": F.row_number().over(in_window), "start": start})
@@ -106,10 +103,11 @@ def format_windows(turns: DataFrame, span: int = 512, history: int = 256) -> Dat
 
 
 def _windows(t: DataFrame, span: int, history: int) -> DataFrame:
-    """``conv_id, part, window, start, allowed``: the parts' windows, where each starts, and the tokens of history it may repeat.
+    """``conv_id, window, parts, after`` per window: the parts it has (three at most), and the windows that start within ``history`` tokens after it.
 
-    Odd parts lie within a cell, even ones are crossing turns; some two parts a
-    span of tokens, so a conversation's parts are few against its words.
+    Odd parts lie within a cell, even ones are crossing turns: some two parts a
+    span of tokens, so a conversation has few parts against its words. ``after``
+    holds the number, start and tokens of history that such a window may repeat.
     """
     by_part = Window.partitionBy("conv_id").orderBy("part")
     within = lambda p: p % 2 == 1
@@ -117,18 +115,16 @@ def _windows(t: DataFrame, span: int, history: int) -> DataFrame:
     parts = t.groupBy("conv_id", "part").agg(F.sum("tokens").alias("held"), F.min("at").alias("start"), F.max("system").alias("system"), F.max("room").alias("room"))
     back = ~within(F.col("part")) & within(step("part", 1)) & (step("held", 1) + F.col("held") <= F.col("room"))
     parts = parts.withColumn("back", F.coalesce(back, F.lit(False)))
-    after = F.col("held") + step("held", -1) + F.when(step("back", -2), step("held", -2)).otherwise(0)
-    ahead = F.coalesce(~within(F.col("part")) & within(step("part", -1)) & (after <= F.col("room")), F.lit(False))
+    both = F.col("held") + step("held", -1) + F.when(step("back", -2), step("held", -2)).otherwise(0)
+    ahead = F.coalesce(~within(F.col("part")) & within(step("part", -1)) & (both <= F.col("room")), F.lit(False))
     parts = parts.withColumn("own", F.when(F.col("back"), step("part", 1)).when(ahead, step("part", -1)).otherwise(F.col("part")))
-    whole = Window.partitionBy("conv_id", "own")
-    left = F.least(history - F.col("system"), span + history - F.col("system") - F.sum("held").over(whole))
-    return parts.select(
-        "conv_id",
-        "part",
-        (F.dense_rank().over(Window.partitionBy("conv_id").orderBy("own")) - 1).cast("bigint").alias("window"),
-        F.min("start").over(whole).alias("start"),
-        F.greatest(F.lit(0), left).alias("allowed"),
-    )
+    windows = parts.groupBy("conv_id", "own").agg(F.collect_set("part").alias("parts"), F.min("start").alias("start"), F.sum("held").alias("held"), F.max("system").alias("system"))
+    by_own = Window.partitionBy("conv_id").orderBy("own")
+    left = F.least(history - F.col("system"), span + history - F.col("system") - F.col("held"))
+    windows = windows.withColumns({"window": (F.row_number().over(by_own) - 1).cast("bigint"), "allowed": F.greatest(F.lit(0), left)})
+    near = F.collect_list(F.struct("window", "start", "allowed")).over(Window.partitionBy("conv_id").orderBy("start").rangeBetween(0, history))
+    windows = windows.withColumn("near", near).withColumn("near", F.lead("near").over(by_own))
+    return windows.select("conv_id", "window", "parts", F.filter("near", lambda x: x["window"] > F.col("window")).alias("after"))
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
