@@ -122,29 +122,38 @@ _CAUSAL = (np.arange(CONTEXT + STRIDE)[None, :] <= np.arange(CONTEXT, CONTEXT +
 _SCALE = np.float32(WIDTH**-0.5)
 
 
+def times(a: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``a @ w`` as one product of all rows, not one for each window."""
+    return (a.reshape(-1, a.shape[-1]) @ w).reshape(*a.shape[:-1], w.shape[1])
+
+
+def row_sums(a: np.ndarray) -> np.ndarray:
+    return times(a, np.ones((a.shape[-1], 1), np.float32))
+
+
 def forward(p: dict, x1, x2, use):
     """Probabilities of the classes of each window's targets, and what the backward pass needs.
 
     Exponents are kept below an overflow instead of shifted by their largest.
     """
-    x = p["emb"][x1]
-    x += p["tail"][x2]
+    x = p["emb"].take(x1, 0)
+    x += p["tail"].take(x2, 0)
     x += p["pos"]
     xq = x[:, CONTEXT:]
-    kv = x @ p["kv"]
+    kv = times(x, p["kv"])
     k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-    q = xq @ p["q"]
+    q = times(xq, p["q"])
     s = (q * _SCALE) @ k.transpose(0, 2, 1)
     np.exp(np.minimum(s, 60, out=s), out=s)
     s *= _CAUSAL
     if not use.all():
         s *= use[:, None, :]
-    s /= s.sum(2, keepdims=True)
+    s /= row_sums(s)
     hx = np.concatenate([s @ v, xq], 2)
-    z = hx @ p["out"]
+    z = times(hx, p["out"])
     z += p["bias"]
     np.exp(np.minimum(z, 60, out=z), out=z)
-    z /= z.sum(2, keepdims=True)
+    z /= row_sums(z)
     return z, (x, xq, q, k, v, s, hx)
 
 
@@ -163,7 +172,7 @@ def gradient(p: dict, x1, x2, use, goal, mask) -> np.ndarray:
     dhx = (rows @ p["out"].T).reshape(hx.shape)
     dh = dhx[:, :, :WIDTH]
     ds = dh @ v.transpose(0, 2, 1)
-    ds -= (ds * s).sum(2, keepdims=True)
+    ds -= row_sums(ds * s)
     ds *= s
     ds *= _SCALE
     back = ds.transpose(0, 2, 1)
@@ -171,14 +180,15 @@ def gradient(p: dict, x1, x2, use, goal, mask) -> np.ndarray:
     dkv = np.concatenate([back @ q, s.transpose(0, 2, 1) @ dh], 2)
     g["q"][:] = flat2(xq).T @ flat2(dq)
     g["kv"][:] = flat2(x).T @ flat2(dkv)
-    dx = dkv @ p["kv"].T
-    dx[:, CONTEXT:] += dhx[:, :, WIDTH:] + dq @ p["q"].T
+    dx = times(dkv, p["kv"].T)
+    dx[:, CONTEXT:] += dhx[:, :, WIDTH:] + times(dq, p["q"].T)
     g["pos"][:] = dx.sum(0)
     for name, at in (("emb", x1), ("tail", x2)):
         # sums per class: rows sorted by class, added up run by run
         order = np.argsort(at.ravel(), kind="stable")
-        own, start = np.unique(at.ravel()[order], return_index=True)
-        g[name][own] = np.add.reduceat(flat2(dx)[order], start)
+        own = at.ravel()[order]
+        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        g[name][own[start]] = np.add.reduceat(flat2(dx)[order], start)
     return flat
 
 
