@@ -111,11 +111,13 @@ def digest_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return _encode(docs, path, pattern, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digest)
 
 
-def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", memory: int = 100_000) -> DataFrame:
     """``docs`` with ``ids`` and ``n_tokens`` added, its text encoded and decoded again.
 
     Other columns stay as they are; columns of the two added names are replaced.
-    A null text stays null, with no ids; an empty one stays empty.
+    A null text stays null, with no ids; an empty one stays empty. A Python
+    worker remembers up to ``memory`` units, which changes its speed and space
+    alone: whole rows pass here, after other stages, so it is less than ``CACHE``.
     """
     fields = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens")]
     schema = StructType([*fields, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
@@ -124,7 +126,7 @@ def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     def run(batches):
         import pyarrow as pa
 
-        encode, decode = coder(state.value[0], pattern, state.value[1])
+        encode, decode = coder(state.value[0], pattern, state.value[1], memory)
         for b in slices(batches):
             at = b.schema.get_field_index(text_col)
             ids, texts = [], []
@@ -147,7 +149,7 @@ def list_array(ids: list[array]):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def coder(ranks: dict[bytes, int], pattern: str, pairs: dict[int, int] | None = None):
+def coder(ranks: dict[bytes, int], pattern: str, pairs: dict[int, int] | None = None, memory: int = CACHE):
     """``encode(text) -> array of ids`` and ``decode(ids) -> bytes``.
 
     A space and the run after it split alike in any text, unless white space
@@ -155,7 +157,7 @@ def coder(ranks: dict[bytes, int], pattern: str, pairs: dict[int, int] | None =
     space; a text with such a place, or a space at its end, is split whole.
     """
     find = splitter(pattern)
-    units = Memory(CACHE)
+    units = Memory(memory)
     known, recall = units.get, units.put
 
     def fold(w: str) -> array:

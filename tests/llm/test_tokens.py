@@ -38,15 +38,14 @@ def test_coder_equals_the_library():
         assert decode(encode(t)) == t.encode()
 
 
-def test_a_full_memory_forgets_what_is_not_asked_for(monkeypatch):
+def test_a_full_memory_forgets_what_is_not_asked_for():
     m = Memory(10)
     for i in range(200):
         m.put(i, i)
         assert m.get(0) == 0 and m.get(i) == i and len(m.young) + len(m.old) <= 10
     assert m.get(150) is None
-    monkeypatch.setattr(bpe, "CACHE", 4)
     ranks, pairs = bpe.load(RANKS)
-    encode, _ = bpe.coder(ranks, P.PATTERN, pairs)
+    encode, _ = bpe.coder(ranks, P.PATTERN, pairs, 4)
     ref = tik()
     for t in odd_texts()[:60]:
         assert encode(t).tolist() == ref.encode_ordinary(t)
