@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import NEVER, WHITE, Memory, let, merge_ranked, slices
+from .common import NEVER, WHITE, Memory, frugal, let, merge_ranked, slices
 
 #: Units whose encoding a Python worker remembers while it works on a partition.
 CACHE = 300_000
@@ -136,7 +136,7 @@ def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
             cols = [pa.array(texts, b.schema.field(at).type) if k == at else c for k, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*cols, list_array(ids), pa.array(map(len, ids), pa.int64())], names=[*b.schema.names, "ids", "n_tokens"])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(frugal(run), schema)
 
 
 def list_array(ids: list[array]):

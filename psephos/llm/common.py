@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import uuid
 from contextlib import contextmanager
@@ -166,3 +167,24 @@ def slices(batches, rows: int = 500):
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def frugal(run):
+    """``run`` over a partition's batches, after which the worker gives freed memory back to the system.
+
+    Spark keeps Python workers for the next stages. What their allocators hold
+    on to from one stage would stand beside what the next one needs in the JVM.
+    """
+
+    def whole(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return whole

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, cut, scratch, slices
+from .common import arrow_bytes, cut, frugal, scratch, slices
 
 SEEDS = 8
 #: Min-hashes of which a class and its leader must share to be verified.
@@ -176,7 +176,7 @@ class _Join:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
         schema = "id bigint, n bigint, key bigint, seeds array<bigint>, odd array<bigint>, share int, tokens binary, counts binary"
-        out = cut(self.docs.mapInArrow(run, schema))
+        out = cut(self.docs.mapInArrow(frugal(run), schema))
         return out.where("share is null").select("id", "n", "key", "seeds", "odd"), out.where("share is not null").select("share", "tokens", "counts")
 
     def frequent(self, blocks: DataFrame) -> np.ndarray:
@@ -212,7 +212,7 @@ class _Join:
 
         ids = cut(reps.select(F.col("rep").alias("id")).distinct())
         if ids.count() > ID_MOST:
-            return self.docs.join(ids, "id", "left_semi").mapInArrow(run, "rep bigint, tokens binary")
+            return self.docs.join(ids, "id", "left_semi").mapInArrow(frugal(run), "rep bigint, tokens binary")
         bit = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
         # bitmaps count from 1
         maps = ids.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
@@ -222,7 +222,7 @@ class _Join:
             bits[at : at + len(part)] = np.frombuffer(bytes(part), np.uint8)
         longs = F.split(F.lit(",".join(map(str, bits.view("<i8")))), ",").cast("array<bigint>")  # folded into a constant by the planner
         word = F.get(longs, F.shiftright(bit, 6).cast("int"))
-        return self.docs.where(F.call_function("getbit", word, (bit % 64).cast("int")) == 1).mapInArrow(run, "rep bigint, tokens binary")
+        return self.docs.where(F.call_function("getbit", word, (bit % 64).cast("int")) == 1).mapInArrow(frugal(run), "rep bigint, tokens binary")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of class representatives that link."""
@@ -242,7 +242,7 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+        return both.select("a", "b", "x", "y").mapInArrow(frugal(run), "a bigint, b bigint")
 
     def fits(self, a: str, b: str):
         """Sizes that can link, and a parity sketch that allows it: each differing bit is a differing token."""
@@ -297,7 +297,7 @@ class _Join:
                         n_rare.append(None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(n_rare, pa.int64()), pa.array(out, pa.binary())], names=["id", "key", "rare", "first"])
 
-        tokens = self.docs.mapInArrow(first, "id bigint, key bigint, rare bigint, first binary").where("key is not null")
+        tokens = self.docs.mapInArrow(frugal(first), "id bigint, key bigint, rare bigint, first binary").where("key is not null")
         own = tokens.join(classes.select("key", F.col("rep").alias("id"), "n", "g"), ["key", "id"]).select(F.col("id").alias("rep"), "n", "g", "rare", "first")
         total = classes.agg(F.sum("n")).first()[0] or 0  # one value
         shares = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) / 100 * 32) // SHARE_BYTES + 1)
@@ -326,7 +326,7 @@ class _Join:
                     names=["share", "tok", "rep", "g", "n", "idx"],
                 )
 
-        blocks = own.mapInArrow(spread, "share int, tok binary, rep binary, g binary, n binary, idx binary")
+        blocks = own.mapInArrow(frugal(spread), "share int, tok binary, rep binary, g binary, n binary, idx binary")
 
         def look_up(key, parts):
             import pandas as pd
@@ -390,8 +390,8 @@ class _Join:
                         same = pa.array(np.full(len(part), row))
                         yield pa.RecordBatch.from_arrays([*[c.take(same) for c in b.columns[:-1]], part], names=[*b.schema.names[:-1], "token"])
 
-        union = members.join(sets, "rep").select("g", "tokens").mapInArrow(tokens, "g bigint, token bigint").distinct()
-        asked = bound.join(sets.withColumnRenamed("rep", "q"), "q").join(classes.select(F.col("rep").alias("q"), "n"), "q").select("q", "g", "n", "tokens").mapInArrow(tokens, "q bigint, g bigint, n bigint, token bigint")
+        union = members.join(sets, "rep").select("g", "tokens").mapInArrow(frugal(tokens), "g bigint, token bigint").distinct()
+        asked = bound.join(sets.withColumnRenamed("rep", "q"), "q").join(classes.select(F.col("rep").alias("q"), "n"), "q").select("q", "g", "n", "tokens").mapInArrow(frugal(tokens), "q bigint, g bigint, n bigint, token bigint")
         held = asked.join(union, ["g", "token"]).groupBy("q", "g", "n").count()
         return held.where(100 * F.col("count") >= self.percent * F.col("n")).select("q", "g").unionByName(alone)
 

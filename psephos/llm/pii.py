@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .common import frugal
+
 #: Common given names by (script, gender).
 GIVEN = {
     ("latin", "f"): "Alice Anna Barbara Carmen Claire Elena Emma Heidi Ingrid Isabel Julia Laura Linda Lucia Maria Marie Martha Mary Nina Olivia Paula Petra Rosa Sarah Sofia Susan Teresa Ursula Jennifer Elizabeth Patricia Jessica Karen Lisa Nancy Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Shirley Brenda Pamela Nicole Samantha Katherine Christine Helen Rachel Carolyn Janet Catherine Hannah Sabine Monika Brigitte Gisela Renate Helga Karin Katharina Susanne Nathalie Isabelle Sylvie Sophie Camille Chloé Hélène Françoise Monique Jacqueline Pilar Dolores Josefa Francisca Cristina Lucía Marta Beatriz".split(),
@@ -291,4 +293,4 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
             cols = [pa.array([t for t, _ in done], b.schema.field(at).type) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], names=[*b.schema.names, "n_entities", "entities"])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(frugal(run), schema)

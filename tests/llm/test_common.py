@@ -1,7 +1,7 @@
 import os
 
 from psephos.llm import jaccard
-from psephos.llm.common import cut, scratch
+from psephos.llm.common import cut, frugal, scratch
 from psephos.plans.sizing import checkpoint_dir
 
 
@@ -30,3 +30,13 @@ def test_a_join_leaves_its_last_tables(spark):
     out = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85)
     assert {r.component_id for r in out.collect()} == {0}
     assert len(folders(spark) - before) == 2
+
+
+def test_frugal_hands_over_all_batches(spark):
+    def twice(batches):
+        for b in batches:
+            yield from (b, b)
+
+    df = spark.range(0, 100, 1, 3)
+    assert sorted(r.id for r in df.mapInArrow(frugal(twice), "id bigint").collect()) == sorted([*range(100)] * 2)
+    assert df.where("id < 0").mapInArrow(frugal(twice), "id bigint").count() == 0
