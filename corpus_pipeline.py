@@ -4,6 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept; all but the last return the columns of documents. Columns that documents
 has besides its own pass through all stages, whatever their names, but for ``ids``
 and ``n_tokens``, which the last stage replaces. Every stage takes an empty table.
+The last two stages pass whole rows through Python when their result is used;
+they set the session's limit to the bytes of an Arrow batch if it has none.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.llm import bpe, decontaminate, jaccard, pii, quality
-from psephos.llm.common import cut, scratch, table
+from psephos.llm.common import cut, lean_batches, scratch, table
 from psephos.llm.queries import PII_KEY
 
 
@@ -34,12 +36,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Entities are replaced by surrogates; ``n_chars`` follows the text, null for a null one; all rows stay."""
+    lean_batches(spark)
     out = pii.replace_entities(docs, PII_KEY).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids and their number; the text is what the ids decode to, null for a null one; all rows stay."""
+    lean_batches(spark)
     return bpe.code_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -40,6 +40,21 @@ def load(path: str) -> tuple[dict[bytes, int], dict[int, int]]:
     return ranks, pair_ranks(ranks)
 
 
+def pack(ranks: dict[bytes, int], pairs: dict[int, int]) -> tuple:
+    """The two maps as bytes and arrays, which are small to keep."""
+    import numpy as np
+
+    numbers = (map(len, ranks), ranks.values(), pairs, pairs.values())
+    return b"".join(ranks), *(np.fromiter(x, np.int64) for x in numbers)
+
+
+def unpack(packed: tuple) -> tuple[dict[bytes, int], dict[int, int]]:
+    tokens, lens, ids, pairs, joined = packed
+    ends = lens.cumsum().tolist()
+    ranks = {tokens[a:b]: r for a, b, r in zip([0, *ends], ends, ids.tolist())}
+    return ranks, dict(zip(pairs.tolist(), joined.tolist(), strict=True))
+
+
 def splitter(pattern: str):
     """``findall`` of the pattern with ``\\s`` as the Unicode property White_Space."""
     p = pattern.replace(r"[^\s", "[^" + WHITE).replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
@@ -118,15 +133,18 @@ def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     A null text stays null, with no ids; an empty one stays empty. A Python
     worker remembers up to ``memory`` units, which changes its speed and space
     alone: whole rows pass here, after other stages, so it is less than ``CACHE``.
+    For the same reason the maps it codes by last for a partition only: what
+    Spark keeps in the worker between stages is the packed form.
     """
     fields = [f for f in docs.schema.fields if f.name not in ("ids", "n_tokens")]
     schema = StructType([*fields, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
-    state = docs.sparkSession.sparkContext.broadcast(load(path))
+    state = docs.sparkSession.sparkContext.broadcast(pack(*load(path)))
 
     def run(batches):
         import pyarrow as pa
 
-        encode, decode = coder(state.value[0], pattern, state.value[1], memory)
+        ranks, pairs = unpack(state.value)
+        encode, decode = coder(ranks, pattern, pairs, memory)
         for b in slices(batches):
             at = b.schema.get_field_index(text_col)
             ids, texts = [], []

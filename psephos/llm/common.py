@@ -84,16 +84,31 @@ def scratch():
                 folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 @contextmanager
 def arrow_bytes(spark: SparkSession, most: str):
     """Batches to and from Python hold at most so many bytes in the jobs run inside."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, most)
+    old = spark.conf.getAll.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, most)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        if old is None:
+            spark.conf.unset(ARROW_BYTES)
+        else:
+            spark.conf.set(ARROW_BYTES, old)
+
+
+def lean_batches(spark: SparkSession, most: str = "2m"):
+    """Batches to and from Python hold at most so many bytes from here on, if the session names no limit of its own.
+
+    For tables that are computed later, by the caller: Spark asks the session
+    for the limit then. Results do not depend on it.
+    """
+    if ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(ARROW_BYTES, most)
 
 
 #: Rank of a pair that does not merge.

@@ -429,7 +429,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     integers; other columns are not read. Sets are of 64-bit hashes.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    with arrow_bytes(docs.sparkSession, "8m"), scratch() as kept:  # all that needs Python runs in here
+    with arrow_bytes(docs.sparkSession, "4m"), scratch() as kept:  # all that needs Python runs in here
         rows, label = _Join(own.where("id is not null"), size, percent).links()
         rows, label = cut(rows), cut(label)
         kept += [rows, label]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import frugal
+from .common import frugal, slices
 
 #: Common given names by (script, gender).
 GIVEN = {
@@ -286,7 +286,7 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text") -> Dat
 
         replace = replacer(key)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("surrogate", pa.string())]))
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index(text_col)
             done = [(None, []) if t is None else replace(t) for t in b.column(at).to_pylist()]
             spans = [[dict(zip(("kind", "start", "length", "surrogate"), x, strict=True)) for x in s] for _, s in done]

@@ -1,7 +1,7 @@
 import os
 
 from psephos.llm import jaccard
-from psephos.llm.common import cut, frugal, scratch
+from psephos.llm.common import ARROW_BYTES, arrow_bytes, cut, frugal, lean_batches, scratch
 from psephos.plans.sizing import checkpoint_dir
 
 
@@ -32,6 +32,23 @@ def test_a_join_leaves_its_last_tables(spark):
     assert len(folders(spark) - before) == 2
 
 
+def test_limits_of_batches_give_way_to_the_session(spark):
+    before = spark.conf.getAll.get(ARROW_BYTES)
+    try:
+        spark.conf.unset(ARROW_BYTES)
+        with arrow_bytes(spark, "3m"):
+            assert spark.conf.getAll[ARROW_BYTES] == "3m"
+        assert ARROW_BYTES not in spark.conf.getAll  # as it was
+        lean_batches(spark, "2m")
+        assert spark.conf.getAll[ARROW_BYTES] == "2m"
+        lean_batches(spark, "1m")
+        assert spark.conf.getAll[ARROW_BYTES] == "2m"
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+        if before is not None:
+            spark.conf.set(ARROW_BYTES, before)
+
+
 def test_frugal_hands_over_all_batches(spark):
     def twice(batches):
         for b in batches:

@@ -131,3 +131,17 @@ def test_rows(spark):
     assert {k: len(v) for k, v in one.items()} == {"me@site.example.com": 1, "you@site.example.com": 1}
     assert len(set.union(*one.values())) == 2
     assert pii.replace_entities(helpers.empty(spark), KEY).count() == 0
+
+
+def test_texts_go_out_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    runs = []
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run))
+    pii.replace_entities(df, KEY)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array([TEXT if i % 2 else None for i in range(1200)])], names=["doc_id", "text"])
+    out = list(runs[0](iter([batch])))
+    assert [b.num_rows for b in out] == [500, 500, 200]
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(1200))
+    assert out[1].column(1).to_pylist()[:2] == [None, pii.replacer(KEY)(TEXT)[0]]

@@ -110,6 +110,21 @@ def test_code_texts_keeps_rows(spark):
     assert {r.n_tokens for r in got if not r.text} == {0}
 
 
+def test_packed_maps_are_the_maps():
+    maps = bpe.load(RANKS)
+    assert bpe.unpack(bpe.pack(*maps)) == maps
+    assert bpe.unpack(bpe.pack({}, {})) == ({}, {})
+
+
+def test_code_texts_keeps_only_the_packed_maps(spark, monkeypatch):
+    sent, runs = [], []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value))
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run))
+    bpe.code_texts(df, RANKS, P.PATTERN)
+    assert len(sent) == len(runs) == 1 and not any(isinstance(x, dict) for x in sent[0])
+
+
 def test_empty_tables(spark):
     df = helpers.empty(spark)
     assert bpe.digest_texts(df, RANKS, P.PATTERN).count() == 0
