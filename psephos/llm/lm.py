@@ -20,6 +20,10 @@ per-class sums, whose sizes are fixed, passes through the driver.
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,12 +47,16 @@ END_HASH, END_CLASS, START = np.uint64(0), CLASSES - 1, CLASSES
 
 def classes_of(word: bytes, ranks: dict[bytes, int], longest: int) -> tuple[int, int]:
     """Classes of the first and the last subword id of a word."""
-    for k in range(min(len(word), longest), 0, -1):
-        if (first := ranks.get(word[:k])) is not None:
-            break
-    for k in range(min(len(word), longest), 0, -1):
-        if (last := ranks.get(word[-k:])) is not None:
-            break
+    get = ranks.get
+    first = last = get(word)
+    if first is None:
+        lens = range(min(len(word) - 1, longest), 0, -1)
+        for k in lens:
+            if (first := get(word[:k])) is not None:
+                break
+        for k in lens:
+            if (last := get(word[-k:])) is not None:
+                break
     return first * 40503 % 65536 % (CLASSES - 1), last * 40503 % 65536 % TAILS
 
 
@@ -56,14 +64,14 @@ class Words:
     """The distinct words of a block, numbered as they come; 0 is the end of a text."""
 
     def __init__(self):
-        self.number = {b"": 0}
+        self.number = defaultdict(itertools.count().__next__)
+        self.number[b""]  # asking for a word numbers it
 
     def add(self, text: str | None) -> np.ndarray:
         """The numbers of a text's tokens, the end included."""
         w = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         w.append(b"")
-        number = self.number
-        return np.fromiter([number.setdefault(x, len(number)) for x in w], np.int32, len(w))
+        return np.fromiter(map(self.number.__getitem__, w), np.int32, len(w))
 
     def hashes(self) -> np.ndarray:
         from xxhash import xxh3_64_intdigest
@@ -77,16 +85,16 @@ class Words:
 # -- model ---------------------------------------------------------------
 
 SHAPES = {"emb": (CLASSES + 1, WIDTH), "tail": (TAILS + 1, WIDTH), "pos": (CONTEXT + STRIDE, WIDTH), "q": (WIDTH, WIDTH), "kv": (WIDTH, 2 * WIDTH), "out": (2 * WIDTH, CLASSES), "bias": (CLASSES,)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+ENDS = dict(zip(SHAPES, itertools.accumulate(map(math.prod, SHAPES.values())), strict=True))
+SIZE = max(ENDS.values())
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Named views of one flat parameter array."""
     out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
+    for name, end in ENDS.items():
+        out[name] = flat[at:end].reshape(SHAPES[name])
+        at = end
     return out
 
 
@@ -131,8 +139,8 @@ def row_sums(a: np.ndarray) -> np.ndarray:
     return times(a, np.ones((a.shape[-1], 1), np.float32))
 
 
-def forward(p: dict, x1, x2, use):
-    """Probabilities of the classes of each window's targets, and what the backward pass needs.
+def weights(p: dict, x1, x2, use):
+    """Weights of the classes of each window's targets, their sums, and what the backward pass needs.
 
     Exponents are kept below an overflow instead of shifted by their largest.
     """
@@ -153,8 +161,14 @@ def forward(p: dict, x1, x2, use):
     z = times(hx, p["out"])
     z += p["bias"]
     np.exp(np.minimum(z, 60, out=z), out=z)
-    z /= row_sums(z)
-    return z, (x, xq, q, k, v, s, hx)
+    return z, row_sums(z), (x, xq, q, k, v, s, hx)
+
+
+def forward(p: dict, x1, x2, use):
+    """Probabilities of the classes of each window's targets, and what the backward pass needs."""
+    z, total, own = weights(p, x1, x2, use)
+    z /= total
+    return z, own
 
 
 def gradient(p: dict, x1, x2, use, goal, mask) -> np.ndarray:
@@ -186,9 +200,9 @@ def gradient(p: dict, x1, x2, use, goal, mask) -> np.ndarray:
     for name, at in (("emb", x1), ("tail", x2)):
         # sums per class: rows sorted by class, added up run by run
         order = np.argsort(at.ravel(), kind="stable")
-        own = at.ravel()[order]
-        start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        g[name][own[start]] = np.add.reduceat(flat2(dx)[order], start)
+        size = np.bincount(at.ravel())
+        own = np.flatnonzero(size)
+        g[name][own] = np.add.reduceat(flat2(dx).take(order, 0), (np.cumsum(size) - size)[own])
     return flat
 
 
@@ -199,12 +213,13 @@ def train(first: np.ndarray, last: np.ndarray, lens: np.ndarray) -> np.ndarray:
     p["bias"][:] = np.log((np.bincount(first, minlength=CLASSES) + 1) / (len(first) + CLASSES))
     target, x1, x2, use = windows(first, last, lens)
     order = np.random.default_rng(11).permutation(len(target))
+    target, x1, x2, use = (a[order] for a in (target, x1, x2, use))
+    goal, mask = first[target], target >= 0
     m, v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
     steps = -(-len(order) // BATCH)
     for step, at in enumerate(range(0, len(order), BATCH), 1):
-        i = order[at : at + BATCH]
-        mask = target[i] >= 0
-        g = gradient(p, x1[i], x2[i], use[i], first[target[i]], mask)
+        i = slice(at, at + BATCH)
+        g = gradient(p, x1[i], x2[i], use[i], goal[i], mask[i])
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         rate = RATE * (1 - 0.9 * step / steps) * min(1.0, step / 10)
@@ -219,9 +234,10 @@ def class_logs(flat: np.ndarray, first: np.ndarray, last: np.ndarray, lens: np.n
     out = np.empty(len(first))
     for at in range(0, len(target), BATCH):
         t = target[at : at + BATCH]
-        z, _ = forward(p, x1[at : at + BATCH], x2[at : at + BATCH], use[at : at + BATCH])
+        z, total, _ = weights(p, x1[at : at + BATCH], x2[at : at + BATCH], use[at : at + BATCH])
         w, j = np.nonzero(t >= 0)
-        out[t[w, j]] = np.log10(np.maximum(z[w, j, first[t[w, j]]], 1e-30))
+        own = t[w, j]
+        out[own] = np.log10(np.maximum(z[w, j, first[own]] / total[w, j, 0], 1e-30))
     return out
 
 
@@ -307,10 +323,11 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         found = Words()
         seqs = [found.add(t) for t in pdf["text"]]
         lens = np.array([len(x) for x in seqs])
-        at = np.searchsorted(own, found.hashes())[np.concatenate(seqs)]
+        place = np.searchsorted(own, found.hashes())
+        count, pair, at = count[place], pair[place], np.concatenate(seqs)
         c, cls = count[at], pair[at, 0]
-        base = np.log10((c + 1) / (n_all + v_all + 1))
-        inside = np.log10((c + 1) / (n_class[cls] + v_class[cls] + 1))
+        base = np.log10((count + 1) / (n_all + v_all + 1))[at]
+        inside = np.log10((count + 1) / (n_class[pair[:, 0]] + v_class[pair[:, 0]] + 1))[at]
         full = class_logs(model, cls, pair[at, 1], lens) + inside
         text = np.repeat(np.arange(len(lens)), lens)
         per = lambda x: np.bincount(text, x, len(lens))

@@ -54,6 +54,32 @@ def test_a_token_sees_only_what_stands_before_it():
     assert abs(total - 1) < 1e-4
 
 
+def test_words_are_numbered_as_they_come():
+    words = lm.Words()
+    assert words.add("b A b").tolist() == [1, 2, 1, 0] and words.add(None).tolist() == [0] and words.add("c a").tolist() == [3, 2, 0]
+    assert list(words.number) == [b"", b"b", b"a", b"c"]
+
+
+def test_classes_are_those_of_the_longest_pieces():
+    ranks = {b"a": 0, b"b": 1, b"ab": 2, b"ba": 3, b"aba": 4}
+    of = lambda r: (r * 40503 % 65536 % (lm.CLASSES - 1), r * 40503 % 65536 % lm.TAILS)
+    for word, first, last in ((b"a", 0, 0), (b"aba", 4, 4), (b"abb", 2, 1), (b"bab", 3, 2), (b"bbbbaba", 1, 4)):
+        assert lm.classes_of(word, ranks, 3) == (of(first)[0], of(last)[1])
+
+
+def test_class_logs_weigh_no_class_but_the_token_s(monkeypatch):
+    rng = np.random.default_rng(5)
+    lens = np.array([40, 1, 17])
+    first, last = rng.integers(0, lm.CLASSES, 58).astype(np.uint8), rng.integers(0, lm.TAILS, 58).astype(np.uint8)
+    target, x1, x2, use = lm.windows(first, last, lens)
+    z, _ = lm.forward(lm.unpack(lm.start_model()), x1, x2, use)
+    w, t = np.nonzero(target >= 0)
+    want = np.empty(58)
+    want[target[w, t]] = np.log10(z[w, t, first[target[w, t]]])
+    monkeypatch.delattr(lm, "forward")  # which divides the weights of all classes
+    assert np.array_equal(lm.class_logs(lm.start_model(), first, last, lens), want)
+
+
 def brute(rows):
     count, tokens = collections.Counter(), []
     for i, t in rows:
