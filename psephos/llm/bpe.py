@@ -3,7 +3,8 @@
 ``encode_words`` is the fold as Spark higher-order functions with a literal rank
 map. Bringing its result back to each occurrence needs a join of all word
 occurrences, so whole texts go through ``encode_texts``: the same fold, in
-Arrow batches, over the distinct words a task meets (README has the figures).
+Arrow batches, over the distinct words a task meets; those new in a slice of
+rows are folded together (README has the figures).
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from .common import NEVER, WHITE, Memory, frugal, let, merge_ranked, slices
 
 #: Units whose encoding a Python worker remembers while it works on a partition.
 CACHE = 300_000
+#: Distinct units of texts that are looked through, and folded if new, at once.
+GROUP = 30_000
+#: Bytes of a word that may be folded over ids; longer ones go by a heap.
+SHORT = 60
 #: Slots of the literal rank map.
 SLOTS = 1 << 16
 #: More than any rank.
@@ -80,7 +85,7 @@ def fold_word(word: bytes, ranks: dict[bytes, int], pairs: dict[int, int] | None
     if word in ranks:
         return [ranks[word]]
     get = ranks.get
-    if pairs is None or len(word) > 60:
+    if pairs is None or len(word) > SHORT:
         return [ranks[p] for p in merge_ranked([word[i : i + 1] for i in range(len(word))], lambda a, b: get(a + b, NEVER))]
     ids = [get(word[i : i + 1]) for i in range(len(word))]
     joins = pairs.get
@@ -96,6 +101,70 @@ def fold_word(word: bytes, ranks: dict[bytes, int], pairs: dict[int, int] | None
     return ids
 
 
+def folder(ranks: dict[bytes, int], pairs: dict[int, int]):
+    """``fold(words) -> ids of each``, as the bytes of an int array; ``fold_word`` for many short words at once.
+
+    Words of as many parts are rows of one table. At each width every row joins
+    its lowest pair, the leftmost on ties, and so is one part shorter; a row
+    without a pair is done. Each word has at least two bytes.
+    """
+    import numpy as np
+
+    of_byte = np.fromiter((ranks[bytes([i])] for i in range(256)), np.int32)
+    keys = np.fromiter(pairs, np.int64)
+    order = keys.argsort()
+    keys = np.append(keys[order], np.int64(NEVER))  # a last one, so that every search ends at a key
+    joined = np.append(np.fromiter(pairs.values(), np.int32)[order], np.int32(IDS))
+
+    def join(a, b):
+        pair = a.astype(np.int64) * IDS + b
+        at = keys.searchsorted(pair)
+        return np.where(keys[at] == pair, joined[at], np.int32(IDS))
+
+    of_bytes = join(of_byte[:, None], of_byte[None, :])
+
+    def fold(words: list[bytes]) -> list[bytes]:
+        out, by_width = [b""] * len(words), {}
+        for i, w in enumerate(words):
+            by_width.setdefault(len(w), []).append(i)
+
+        def done(who, ids):
+            data, step = ids.tobytes(), 4 * ids.shape[1]
+            for k, i in enumerate(who.tolist()):
+                out[i] = data[k * step : (k + 1) * step]
+
+        most = max(by_width, default=0)
+        who, ids, open_ = np.empty(0, np.int64), np.empty((0, most), np.int32), np.empty((0, max(0, most - 1)), np.int32)
+        for width in range(most, 1, -1):
+            if fresh := by_width.get(width):
+                raw = np.frombuffer(b"".join([words[i] for i in fresh]), np.uint8).reshape(-1, width)
+                who = np.concatenate([who, np.array(fresh)])
+                ids = np.concatenate([ids, of_byte[raw]])
+                open_ = np.concatenate([open_, of_bytes[raw[:, :-1], raw[:, 1:]]])
+            at = open_.argmin(1)
+            best = open_[np.arange(len(at)), at]
+            if len(ends := np.flatnonzero(best == IDS)):
+                done(who[ends], ids[ends])
+                on = np.flatnonzero(best != IDS)
+                who, ids, open_, at, best = who[on], ids[on], open_[on], at[on], best[on]
+            rows = np.arange(len(who))
+            ids[rows, at] = best
+            stay = np.ones(ids.shape, bool)
+            stay[rows, at + 1] = False
+            ids = ids[stay].reshape(len(rows), width - 1)
+            stay = np.ones(open_.shape, bool)
+            stay[rows, at] = False
+            open_ = open_[stay].reshape(len(rows), width - 2)
+            r = np.flatnonzero(at > 0)
+            open_[r, at[r] - 1] = join(ids[r, at[r] - 1], best[r])
+            r = np.flatnonzero(at < width - 2)
+            open_[r, at[r]] = join(best[r], ids[r, at[r] + 1])
+        done(who, ids)
+        return out
+
+    return fold
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, ids array<int>, decoded binary`` of every whole text, a row for each row.
 
@@ -144,13 +213,13 @@ def code_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
         import pyarrow as pa
 
         ranks, pairs = unpack(state.value)
-        encode, decode = coder(ranks, pattern, pairs, memory)
+        _, encode_all, decode = coders(ranks, pattern, pairs, memory)
         for b in slices(batches):
             at = b.schema.get_field_index(text_col)
             ids, texts = [], []
-            for t in b.column(at).to_pylist():
-                ids.append(encode(t))
-                texts.append(None if t is None else decode(ids[-1]).decode())
+            for t, i in encode_all(b.column(at).to_pylist()):
+                ids.append(i)
+                texts.append(None if t is None else decode(i).decode())
             cols = [pa.array(texts, b.schema.field(at).type) if k == at else c for k, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*cols, list_array(ids), pa.array(map(len, ids), pa.int64())], names=[*b.schema.names, "ids", "n_tokens"])
 
@@ -168,63 +237,111 @@ def list_array(ids: list[array]):
 
 
 def coder(ranks: dict[bytes, int], pattern: str, pairs: dict[int, int] | None = None, memory: int = CACHE):
-    """``encode(text) -> array of ids`` and ``decode(ids) -> bytes``.
+    """``encode(text) -> array of ids`` and ``decode(ids) -> bytes``."""
+    encode, _, decode = coders(ranks, pattern, pairs, memory)
+    return encode, decode
+
+
+def coders(ranks: dict[bytes, int], pattern: str, pairs: dict[int, int] | None = None, memory: int = CACHE):
+    """``encode`` and ``decode`` as ``coder`` has them, between them ``encode_all(texts) -> each text and its ids``.
 
     A space and the run after it split alike in any text, unless white space
     stands before the space. So texts are taken unit by unit, cut before each
     space; a text with such a place, or a space at its end, is split whole.
+    ``encode_all`` first folds the new units of some texts together, then
+    encodes these texts, whose units are remembered then.
     """
     find = splitter(pattern)
     units = Memory(memory)
     known, recall = units.get, units.put
+    together = folder(ranks, pairs) if pairs is not None and all(bytes([i]) in ranks for i in range(256)) else None
 
-    def fold(w: str) -> array:
-        return array("i", fold_word(w.encode("utf-8", "surrogatepass"), ranks, pairs))
+    def fold(w: str) -> bytes:
+        return array("i", fold_word(w.encode("utf-8", "surrogatepass"), ranks, pairs)).tobytes()
 
-    def by_word(text: str) -> array:
+    def by_word(text: str) -> bytes:
         """Word by word; the words are remembered as units are."""
-        ids = array("i")
+        ids = []
         for w in find(text):
             got = known(w)
             if got is None:
                 got = fold(w)
                 if len(w) < 100:
                     recall(w, got)
-            ids += got
-        return ids
+            ids.append(got)
+        return b"".join(ids)
 
-    def of_unit(unit: str) -> array:
+    def of_unit(unit: str) -> bytes:
         if unit.isalpha() or unit[1:].isalpha() and unit[0] == " ":  # most likely one word, remembered as the unit
             words = find(unit)
             if len(words) == 1:
                 return fold(unit)
         return by_word(unit)
 
-    def encode(text: str | None) -> array:
-        ids = array("i")
-        if not text:
-            return ids
+    def of_text(text: str) -> bytes:
         first, *rest = text.split(" ")
         if not first or first[-1].isspace():
             return by_word(text)
-        ids += by_word(first)
         young = units.young.get
-        for u in rest:
-            got = young(" " + u) or known(" " + u)
-            if got is None:
-                if not u or u[-1].isspace():
-                    return by_word(text)
-                got = of_unit(" " + u)
-                if len(u) < 100:
-                    recall(" " + u, got)
-                    young = units.young.get
-            ids += got
+        ids = [young(" " + u) for u in rest]
+        if None in ids:
+            for i, u in enumerate(rest):
+                if ids[i] is None:
+                    got = known(" " + u)
+                    if got is None:
+                        if not u or u[-1].isspace():
+                            return by_word(text)
+                        got = of_unit(" " + u)
+                        if len(u) < 100:
+                            recall(" " + u, got)
+                    ids[i] = got
+        return by_word(first) + b"".join(ids)
+
+    def encode(text: str | None) -> array:
+        ids = array("i")
+        if text:
+            ids.frombytes(of_text(text))
         return ids
 
+    def learn(seen: set[str]):
+        """Remembers the units of these runs after a space that are new, their words folded together."""
+        young, old = units.young, units.old
+        runs = (" " + u for u in seen if u and len(u) < 100 and not u[-1].isspace())
+        split = {u: find(u) for u in runs if u not in young and u not in old}
+        folded, apart, short, raw = {}, [], [], []
+        for w in {w for words in split.values() for w in words}:
+            if (got := known(w)) is not None:
+                folded[w] = got
+            elif (b := w.encode("utf-8", "surrogatepass")) in ranks or len(b) > SHORT:
+                apart.append(w)
+            else:
+                short.append(w)
+                raw.append(b)
+        for w, got in (*zip(short, together(raw), strict=True), *zip(apart, map(fold, apart), strict=True)):
+            folded[w] = got
+            recall(w, got)
+        for u, words in split.items():
+            if words != [u]:
+                recall(u, b"".join([folded[w] for w in words]))
+
+    def encode_all(texts):
+        group, seen = [], set()
+        for t in texts:
+            group.append(t)
+            if t and together:
+                seen.update(t.split(" ")[1:])
+                if len(seen) > min(GROUP, units.half):
+                    learn(seen)
+                    yield from zip(group, map(encode, group))
+                    group, seen = [], set()
+        if seen:
+            learn(seen)
+        yield from zip(group, map(encode, group))
+
     piece = [b""] * (1 + max(ranks.values(), default=0))
     for b, r in ranks.items():
         piece[r] = b
-    return encode, lambda ids: b"".join(map(piece.__getitem__, ids))
+    return encode, encode_all, lambda ids: b"".join(map(piece.__getitem__, ids))
 
 
 def _encode(docs, path, pattern, id_col, text_col, columns, result):
@@ -236,13 +353,10 @@ def _encode(docs, path, pattern, id_col, text_col, columns, result):
     def run(batches):
         import pyarrow as pa
 
-        encode, decode = coder(state.value[0], pattern, state.value[1])
+        _, encode_all, decode = coders(state.value[0], pattern, state.value[1])
         of = {"int32": pa.list_(pa.int32()), "binary": pa.binary(), "int64": pa.int64(), "string": pa.string()}
         for b in slices(batches):
-            rows = []
-            for t in b.column(1).to_pylist():
-                ids = encode(t)
-                rows.append(result(ids, decode(ids)))
+            rows = [result(ids, decode(ids)) for _, ids in encode_all(b.column(1).to_pylist())]
             cols = [pa.array(c, of[k]) for c, k in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], of[k]) for k in types]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=names)
 

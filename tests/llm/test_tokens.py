@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import random
+from array import array
 
 import public_tokenizers as P
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -38,6 +40,45 @@ def test_coder_equals_the_library():
         assert decode(encode(t)) == t.encode()
 
 
+def test_new_words_fold_together(monkeypatch):
+    ranks, pairs = bpe.load(RANKS)
+    rng, ref, alone = random.Random(5), tik(), []
+    one = bpe.fold_word
+    monkeypatch.setattr(bpe, "fold_word", lambda w, *maps: alone.append(w) or one(w, *maps))
+    new = ["".join(rng.choice("aeinorstхé-'\n") for _ in range(rng.randrange(1, 12))) + "z" for _ in range(3000)]
+    texts = [" ".join(new[i : i + 30]) for i in range(0, len(new), 30)]
+    _, encode_all, _ = bpe.coders(ranks, P.PATTERN, pairs)
+    assert [(t, i.tolist()) for t, i in encode_all(texts)] == [(t, ref.encode_ordinary(t)) for t in texts]
+    firsts = {w for t in texts for w in regex.findall(r"\w+|\W+", t.split(" ")[0])}
+    assert not [w for w in alone if w not in ranks and w.decode() not in firsts]
+
+
+def test_texts_encoded_together_equal_the_library(monkeypatch):
+    ranks, pairs = bpe.load(RANKS)
+    ref, texts = tik(), [None, "", *odd_texts(), None, *odd_texts()[:40]]
+    want = [ref.encode_ordinary(t or "") for t in texts]
+    for group, memory in ((bpe.GROUP, bpe.CACHE), (20, 1000), (1, 4)):  # the last two forget on the way
+        monkeypatch.setattr(bpe, "GROUP", group)
+        _, encode_all, decode = bpe.coders(ranks, P.PATTERN, pairs, memory)
+        got = list(encode_all(texts))
+        assert [t for t, _ in got] == texts and [i.tolist() for _, i in got] == want
+        assert [decode(i) for _, i in got] == [(t or "").encode() for t in texts]
+    assert list(bpe.coders(ranks, P.PATTERN, pairs)[1]([])) == []
+
+
+def test_words_folded_together_equal_each_alone():
+    ranks, pairs = bpe.load(RANKS)
+    rng = random.Random(7)
+    own = [w.encode() for w in (" the", "zz", "ththehation", " ouèlle", "😀x", "aaaaaaaa", "abababababab")]
+    own += [bytes(rng.choice(b"aeinst \xc3\xa9\xff\x00") for _ in range(rng.randrange(2, bpe.SHORT + 1))) for _ in range(2000)]
+    own = [w for w in own if w not in ranks]
+    fold = bpe.folder(ranks, pairs)
+    assert fold(own) == [array("i", bpe.fold_word(w, ranks)).tobytes() for w in own]
+    assert fold([]) == [] and fold(own[:1]) == [array("i", bpe.fold_word(own[0], ranks)).tobytes()]
+    ties = {bytes([i]): i for i in range(256)} | {b"ab": 300, b"ba": 300, b"aba": 301}
+    assert bpe.folder(ties, bpe.pair_ranks(ties))([b"ababa", b"xbab"]) == [array("i", bpe.fold_word(w, ties)).tobytes() for w in (b"ababa", b"xbab")]
+
+
 def test_a_full_memory_forgets_what_is_not_asked_for():
     m = Memory(10)
     for i in range(200):
